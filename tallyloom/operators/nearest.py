@@ -1,0 +1,121 @@
+"""Nearest-value and latest-in-range lookups as sorted windows.
+
+A band join (``|a - b| <= x % of a``) pairs every row with every row of its band, which grows with
+the square of the data. The lookups here return a bounded number of rows per query instead: points
+and queries are merged, sorted inside small value blocks, and one running aggregate carries the
+answer to each query. Nothing is paired, so the cost is one sort of points plus queries.
+"""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+BLOCKS_PER_E = 64
+LONG_MAX = 2**63 - 1
+
+
+def value_block(value: Column, per_e: float = BLOCKS_PER_E) -> Column:
+    """Block number of a positive value; one block spans a fixed relative width."""
+    return F.floor(F.log(value.cast("double")) * F.lit(float(per_e))).cast("int")
+
+
+def nearest_both_sides(points: DataFrame, queries: DataFrame, keys: list[str]) -> DataFrame:
+    """For every query the nearest point at or above ``x`` and the nearest one below it.
+
+    ``points``: ``keys``, ``x`` long, ``p`` long, one row per ``keys`` and ``x``.
+    ``queries``: ``keys``, ``x`` and any payload columns.
+    Adds ``above`` and ``below``, each struct(x, p) or null. Rows meet on ``keys`` plus a value
+    block, so a hot key is spread over its blocks. The nearest point in another block arrives as a
+    border point, found on one row per non-empty block.
+    """
+    payload = [c for c in queries.columns if c not in [*keys, "x"]]
+    point = F.struct("x", "p")
+    pts = points.select(*keys, "x", "p", value_block(F.col("x")).alias("block"))
+    asked = queries.withColumn("block", value_block(F.col("x")))
+
+    # Border points: last point of the previous and first point of the next non-empty block.
+    blocks = pts.groupBy(*keys, "block").agg(F.min(point).alias("first_pt"), F.max(point).alias("last_pt"))
+    marks = blocks.select(*keys, "block", "first_pt", "last_pt", F.lit(False).alias("asks")).unionByName(
+        asked.select(*keys, "block").distinct().withColumn("asks", F.lit(True)), allowMissingColumns=True
+    )
+    up = Window.partitionBy(*keys).orderBy(F.col("block"), F.col("asks").desc())
+    down = Window.partitionBy(*keys).orderBy(F.col("block").desc(), F.col("asks").desc())
+    so_far = (Window.unboundedPreceding, Window.currentRow)
+    border = (
+        marks.withColumn("before", F.last("last_pt", ignorenulls=True).over(up.rowsBetween(*so_far)))
+        .withColumn("after", F.last("first_pt", ignorenulls=True).over(down.rowsBetween(*so_far)))
+        .where("asks")
+        .select(*keys, "block", F.explode(F.array_compact(F.array("before", "after"))).alias("b"))
+        .select(*keys, "block", F.col("b.x").alias("x"), F.col("b.p").alias("p"))
+    )
+
+    rows = (
+        pts.unionByName(border)
+        .withColumn("asks", F.lit(False))
+        .unionByName(asked.withColumn("asks", F.lit(True)), allowMissingColumns=True)
+    )
+    place = F.when(~F.col("asks"), point)
+    part = [*keys, "block"]
+    # Ascending with queries first leaves equal points above; descending order mirrors it exactly.
+    asc = Window.partitionBy(*part).orderBy(F.col("x"), F.col("asks").desc()).rowsBetween(*so_far)
+    desc = Window.partitionBy(*part).orderBy(F.col("x").desc(), F.col("asks")).rowsBetween(*so_far)
+    return (
+        rows.withColumn("below", F.last(place, ignorenulls=True).over(asc))
+        .withColumn("above", F.last(place, ignorenulls=True).over(desc))
+        .where("asks")
+        .select(*keys, "x", *payload, "above", "below")
+    )
+
+
+def latest_in_range(points: DataFrame, queries: DataFrame, keys: list[str], widths: dict[str, float]) -> DataFrame:
+    """For every query the largest ``v`` among the points with ``lo <= x <= hi``.
+
+    ``points``: ``keys``, ``x`` long, ``v`` int. ``queries``: ``keys``, ``tier``, ``lo``, ``hi`` and
+    payload columns. ``widths`` gives for each tier the logarithm of ``hi / lo``, the same for all
+    its queries. Blocks are 0.8 of that width, so a range ends one or two blocks after the block it
+    starts in: its answer is the best of the tail of the first block, the head of the last block and
+    the whole block between them, each of which is one running maximum.
+    """
+    payload = [c for c in queries.columns if c not in [*keys, "tier", "lo", "hi"]]
+    per_e = F.lit(None).cast("double")
+    for tier, width in widths.items():
+        per_e = F.when(F.col("tier") == tier, F.lit(1.0 / (0.8 * width))).otherwise(per_e)
+
+    def block(value: Column) -> Column:
+        return F.floor(F.log(value.cast("double")) * per_e).cast("int")
+
+    tiers = F.array(*[F.lit(t) for t in widths])
+    # side "head" runs upwards on x, side "tail" runs upwards on -x.
+    pts = (
+        points.withColumn("tier", F.explode(tiers))
+        .withColumn("block", block(F.col("x")))
+        .withColumn("side", F.explode(F.array(F.lit("head"), F.lit("tail"))))
+        .select(*keys, "tier", "side", "block", F.lit(False).alias("asks"), "v",
+                F.when(F.col("side") == "head", F.col("x")).otherwise(-F.col("x")).alias("at"))
+    )
+    first, last = block(F.col("lo")), block(F.col("hi"))
+    asked = (
+        queries.withColumn("first", first).withColumn("last", last)
+        .withColumn("ask", F.explode(F.array_compact(F.array(
+            F.struct(F.lit("tail").alias("side"), F.col("first").alias("block"), (-F.col("lo")).alias("at")),
+            F.struct(F.lit("head").alias("side"), F.col("last").alias("block"), F.col("hi").alias("at")),
+            F.when(F.col("last") - F.col("first") > 1,
+                   F.struct(F.lit("head").alias("side"), (F.col("first") + 1).alias("block"),
+                            F.lit(LONG_MAX).alias("at"))),
+        ))))
+        .select(*keys, "tier", "ask.*", F.lit(True).alias("asks"), *payload)
+    )
+    order = Window.partitionBy(*keys, "tier", "side", "block").orderBy("at", "asks")
+    return (
+        pts.unionByName(asked, allowMissingColumns=True)
+        .withColumn("v", F.max("v").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        .where(F.col("asks") & F.col("v").isNotNull())
+        .select(*keys, "tier", *payload, "v")
+    )
+
+
+def log_width(low: float, high: float) -> float:
+    """Logarithm of ``high / low``."""
+    return math.log(high / low)
