@@ -57,7 +57,7 @@ def nearest_both_sides(points: DataFrame, queries: DataFrame, keys: list[str]) -
         .unionByName(asked.withColumn("asks", F.lit(True)), allowMissingColumns=True)
     )
     place = F.when(~F.col("asks"), point)
-    part = [*keys, "block"]
+    part = ["block", *keys]  # whole numbers first: they sort fastest
     # Ascending with queries first leaves equal points above; descending order mirrors it exactly.
     asc = Window.partitionBy(*part).orderBy(F.col("x"), F.col("asks").desc()).rowsBetween(*so_far)
     desc = Window.partitionBy(*part).orderBy(F.col("x").desc(), F.col("asks")).rowsBetween(*so_far)
@@ -72,7 +72,7 @@ def nearest_both_sides(points: DataFrame, queries: DataFrame, keys: list[str]) -
 def latest_in_range(points: DataFrame, queries: DataFrame, keys: list[str], widths: dict[str, float]) -> DataFrame:
     """For every query the largest ``v`` among the points with ``lo <= x <= hi``.
 
-    ``points``: ``keys``, ``x`` long, ``v`` int. ``queries``: ``keys``, ``tier``, ``lo``, ``hi`` and
+    ``points``: ``keys``, ``tier``, ``x`` long, ``v`` int. ``queries``: ``keys``, ``tier``, ``lo``, ``hi`` and
     payload columns. ``widths`` gives for each tier the logarithm of ``hi / lo``, the same for all
     its queries. Blocks are 0.8 of that width, so a range ends one or two blocks after the block it
     starts in: its answer is the best of the tail of the first block, the head of the last block and
@@ -86,11 +86,9 @@ def latest_in_range(points: DataFrame, queries: DataFrame, keys: list[str], widt
     def block(value: Column) -> Column:
         return F.floor(F.log(value.cast("double")) * per_e).cast("int")
 
-    tiers = F.array(*[F.lit(t) for t in widths])
     # side "head" runs upwards on x, side "tail" runs upwards on -x.
     pts = (
-        points.withColumn("tier", F.explode(tiers))
-        .withColumn("block", block(F.col("x")))
+        points.withColumn("block", block(F.col("x")))
         .withColumn("side", F.explode(F.array(F.lit("head"), F.lit("tail"))))
         .select(*keys, "tier", "side", "block", F.lit(False).alias("asks"), "v",
                 F.when(F.col("side") == "head", F.col("x")).otherwise(-F.col("x")).alias("at"))
@@ -107,7 +105,7 @@ def latest_in_range(points: DataFrame, queries: DataFrame, keys: list[str], widt
         ))))
         .select(*keys, "tier", "ask.*", F.lit(True).alias("asks"), *payload)
     )
-    order = Window.partitionBy(*keys, "tier", "side", "block").orderBy("at", "asks")
+    order = Window.partitionBy("block", "side", "tier", *keys).orderBy("at", "asks")
     return (
         pts.unionByName(asked, allowMissingColumns=True)
         .withColumn("v", F.max("v").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
