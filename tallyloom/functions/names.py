@@ -52,9 +52,11 @@ def split_list(text: Column) -> Column:
     return F.transform(F.split(text, ","), F.trim)
 
 
-def append_note(notes: Column, addition: Column, label: str = "Voice note") -> Column:
-    """Existing notes, a line break, and the labelled addition."""
-    return F.concat_ws("\n", blank_to_null(notes), F.format_string(f"[{label}] %s", addition))
+def append_note(notes: Column, addition: Column, label: Column) -> Column:
+    """Existing notes, an empty line when there are any, and the labelled addition."""
+    kept = F.coalesce(notes, F.lit(""))
+    gap = F.when(kept != "", F.lit("\n\n")).otherwise(F.lit(""))
+    return F.concat(kept, gap, F.lit("["), label, F.lit("]: "), addition)
 
 
 def shorten(text: Column, length: int = 30) -> Column:
