@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 from tallyloom.fixed_values import FILE_NAME_DATE_FORMATS, MATCH_DATE_FORMATS, REPLY_DATE_FORMATS
@@ -9,10 +11,18 @@ from tallyloom.fixed_values import FILE_NAME_DATE_FORMATS, MATCH_DATE_FORMATS, R
 DATE_IN_NAME = r"(\d{1,2}[-/]\d{1,2}[-/]\d{2,4}|\d{4}[-/]\d{1,2}[-/]\d{1,2})"
 
 
+def _shape(pattern: str) -> str:
+    """Regular expression of the texts a format can read, so that a parse is tried only where it can succeed."""
+    kinds = {"MMMM": "[A-Za-z]+", "MMM": "[A-Za-z]{3}", "yyyy": r"\d{4}", "yy": r"\d{2}", "y": r"\d+",
+             "M": r"\d{1,2}", "d": r"\d{1,2}"}
+    return "^" + re.sub(r"MMMM|MMM|yyyy|yy|[yMd.]", lambda m: kinds.get(m.group(), r"\."), pattern) + "$"
+
+
 def parse_date(text: Column, formats: list[str]) -> Column:
     """The first format that reads the text wins; null when none does."""
     trimmed = F.trim(text)
-    return F.coalesce(*[F.try_to_timestamp(trimmed, F.lit(f)).cast("date") for f in formats])
+    return F.coalesce(*[
+        F.when(trimmed.rlike(_shape(f)), F.try_to_timestamp(trimmed, F.lit(f)).cast("date")) for f in formats])
 
 
 def parse_match_date(text: Column) -> Column:

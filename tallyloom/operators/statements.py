@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tallyloom.fixed_values import BANK_NAMES, HEADER_PATTERNS, STANDARD_COLUMNS
 from tallyloom.functions import money
 from tallyloom.functions.dates import parse_date
+from tallyloom.session import durable
 
 HEADER_ROWS = 10  # a header is looked for among the first ten non-blank lines of a file
 DAY_FIRST = ["d/M/y", "d-M-y", "d.M.y", "d-MMM-yy", "d MMM y"]
@@ -64,21 +65,25 @@ def map_columns(headers: DataFrame) -> DataFrame:
     reads like a date is never the amount.
     """
     places = F.sequence(F.lit(1), F.size("header"))
-    out = headers.withColumn("used", F.array().cast("array<int>"))
-    for column in ["date", "description", "reference", "debit", "credit", "balance", "amount", "amount_sign"]:
-        pattern, dates = _any(column), _any("date")
+    wanted = F.array(*[
+        F.struct(F.lit(c).alias("column"), F.lit(_any(c)).alias("pattern")) for c in MAPPED])
+
+    def serve(picks: Column, column: Column) -> Column:
+        split = column["column"].isin("amount", "amount_sign")
+        # Picks 4 and 5 are debit and credit; 0 stands for no header.
+        needed = ~split | ((F.get(picks, F.lit(3)) == 0) & (F.get(picks, F.lit(4)) == 0))
 
         def fits(i: Column) -> Column:
             title = F.trim(F.element_at("header", i))
-            hit = title.rlike(pattern) & ~F.array_contains("used", i)
-            return hit & ~title.rlike(dates) if column == "amount" else hit
+            dated = (column["column"] == "amount") & title.rlike(_any("date"))
+            return needed & F.rlike(title, column["pattern"]) & ~F.array_contains(picks, i) & ~dated
+
+        first = F.coalesce(F.try_element_at(F.filter(places, fits), F.lit(1)), F.lit(0))
+        return F.concat(picks, F.array(first))
 
-        free = F.try_element_at(F.filter(places, fits), F.lit(1))
-        if column in ("amount", "amount_sign"):
-            free = F.when(F.col("i_debit").isNull() & F.col("i_credit").isNull(), free)
-        out = out.withColumn(f"i_{column}", free).withColumn(
-            "used", F.array_compact(F.concat("used", F.array(f"i_{column}"))))
-    return out.drop("used")
+    picked = headers.withColumn("picks", F.aggregate(wanted, F.array().cast("array<int>"), serve))
+    return picked.select(*headers.columns, *[
+        F.nullif(F.get("picks", F.lit(n)), F.lit(0)).alias(f"i_{c}") for n, c in enumerate(MAPPED)])
 
 
 def resolve(lines: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
@@ -159,19 +164,20 @@ def standardise(lines: DataFrame, overrides: DataFrame | None = None) -> DataFra
         .withColumn("fields", split_fields(F.col("line")))
     )
 
-    def cell(column: str) -> Column:
-        return money.blank_to_null(F.try_element_at("fields", F.col(f"i_{column}")))
-
-    amount = money.parse_money(cell("amount"))
-    by_debit, by_credit = split_amount(amount, sign_of(cell("amount_sign")), F.col("i_amount_sign").isNotNull())
-    text_rows = rows.select(
-        "file", F.col("line_no").alias("row_no"), cell("date").alias("date_text"),
-        cell("description").alias("description"), cell("reference").alias("reference"),
-        F.coalesce(money.parse_money(cell("debit")), by_debit).alias("debit"),
-        F.coalesce(money.parse_money(cell("credit")), by_credit).alias("credit"),
-        money.parse_money(cell("balance")).alias("balance"),
-    ).dropna("all", subset=["description", "debit", "credit"])
-    return _read_dates(text_rows)
+    # Cells first, as plain text columns: the parsers below read each of them several times.
+    cells = rows.select("file", "line_no", "i_amount_sign", *[
+        F.trim(F.try_element_at("fields", F.col(f"i_{c}"))).alias(c) for c in MAPPED])
+    money_columns = ["debit", "credit", "balance", "amount"]
+    parsed = cells.withColumns({c: money.parse_money(F.col(c)) for c in money_columns}).withColumns(
+        {c: money.blank_to_null(F.col(c)) for c in ("date", "description", "reference")})
+    by_debit, by_credit = split_amount(
+        F.col("amount"), sign_of(F.col("amount_sign")), F.col("i_amount_sign").isNotNull())
+    text_rows = parsed.select(
+        "file", F.col("line_no").alias("row_no"), F.col("date").alias("date_text"), "description", "reference",
+        F.coalesce("debit", by_debit).alias("debit"), F.coalesce("credit", by_credit).alias("credit"), "balance")
+    # Written once: the date vote and the result both read it, and without the break Catalyst would
+    # push the test for empty rows, with all parsers in it, down into the join.
+    return _read_dates(durable(text_rows).dropna("all", subset=["description", "debit", "credit"]))
 
 
 def _read_dates(rows: DataFrame) -> DataFrame:

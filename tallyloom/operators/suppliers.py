@@ -91,18 +91,21 @@ def _united_categories(rows: DataFrame) -> DataFrame:
     Each distinct category keeps its earliest place before anything is collected, so the arrays are
     as long as the distinct categories of a supplier, not as its rows.
     """
-    listed = F.transform(F.coalesce("categories", F.array().cast("array<string>")),
-                         lambda c, i: F.struct(c.alias("c"), F.struct(F.lit(0), F.col("arrival"), i)))
     turn = F.col("turn")
-    single = F.struct(F.col("category").alias("c"), F.struct(turn, F.col("arrival"), F.lit(0)))
-    original = F.struct(F.col("category").alias("c"),
-                        F.struct(F.lit(1), F.coalesce("first_in", "arrival"), F.lit(1)))
+
+    def at(category: Column, stage: Column, arrival: Column, position: Column) -> Column:
+        return F.struct(category.alias("c"), F.struct(
+            stage.alias("stage"), arrival.alias("arrival"), position.alias("position")).alias("place"))
+
+    listed = F.transform(F.coalesce("categories", F.array().cast("array<string>")),
+                         lambda c, i: at(c, F.lit(0), F.col("arrival"), i))
+    single = at(F.col("category"), F.lit(1), F.col("arrival"), F.lit(0))
+    original = at(F.col("category"), F.lit(1), F.coalesce("first_in", "arrival"), F.lit(1))
     arrivals = rows.where(turn == 1).groupBy("name_key").agg(F.min("arrival").alias("first_in"))
     placed = rows.join(arrivals, "name_key", "left").select("name_key", F.explode(
         F.concat(listed, F.array(F.when(turn == 1, single).otherwise(original)))).alias("e"))
-    columns = placed.select("name_key", F.col("e").getField("c").alias("c"), F.col("e").getField("col2").alias("place"))
     return (
-        columns.where(blank_to_null(F.col("c")).isNotNull())
+        placed.select("name_key", "e.c", "e.place").where(blank_to_null(F.col("c")).isNotNull())
         .groupBy("name_key", "c").agg(F.min("place").alias("place"))
         .groupBy("name_key").agg(F.array_sort(F.collect_list(F.struct("place", "c"))).alias("p"))
         .select("name_key", F.col("p.c").alias("categories"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tallyloom.fixed_values import LABEL_TYPES
 from tallyloom.functions import money
 
 
@@ -124,3 +125,175 @@ def bank(spark: SparkSession, folder: str) -> DataFrame:
         F.when(k % 2 == 1, value).alias("credit"),
         F.lit(None).cast(money.MONEY).alias("balance"),
     )
+
+
+def statement_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """The bank lines as raw statement text: three header styles, none to four lines above the header.
+
+    One file per nation. Header lines come from the nation table, data lines from the orders.
+    """
+    nation = read(spark, folder, "nation").select(
+        F.col("n_nationkey").alias("n"), F.concat(F.lit("statement_"), F.col("n_nationkey").cast("string"), F.lit(".csv")).alias("file"))
+    style = F.pmod(F.col("n"), F.lit(3))
+    above = F.when(style == 1, F.array(F.lit("Account statement"), F.lit("Period,1995"))).when(
+        style == 2, F.array(F.lit("Account statement"), F.lit("Period,1995"), F.lit("Owner,A,B"), F.lit(" "))
+    ).otherwise(F.array().cast("array<string>"))
+    header = F.when(style == 0, "Date,Description,Reference,Debit,Credit,Balance").when(
+        style == 1, "Transaction Date,Details,Ref,Withdrawal,Deposit,Closing Balance").otherwise(
+        "Booking Date,Narrative,Ref,Amount,Amount Sign,Closing")
+    heads = nation.select("file", F.posexplode(F.concat(above, F.array(header))).alias("line_no", "line")).select(
+        "file", F.col("line_no").cast("long").alias("line_no"), "line")
+    rows = bank(spark, folder).withColumn("n", F.regexp_extract("file", r"_(\d+)\.csv", 1).cast("int"))
+    value = F.coalesce("debit", "credit")
+
+    def quoted(amount: Column) -> Column:
+        return F.coalesce(F.concat(F.lit('"'), F.format_number(amount, 2), F.lit('"')), F.lit(""))
+
+    iso = F.concat_ws(",", F.date_format("date", "yyyy-MM-dd"), F.concat(F.lit('"'), "description", F.lit(', ref"')),
+                      "reference", quoted(F.col("debit")), quoted(F.col("credit")), F.lit(""))
+    slashed = F.concat_ws(",", F.date_format("date", "dd/MM/yyyy"), "description", "reference",
+                          F.coalesce(F.col("debit").cast("string"), F.lit("")),
+                          F.coalesce(F.col("credit").cast("string"), F.lit("")), F.lit("1.00"))
+    european = F.concat_ws(",", F.date_format("date", "dd.MM.yyyy"), "description", "reference",
+                           F.translate(quoted(value), ",.", ".,"),
+                           F.when(F.col("debit").isNotNull(), "D").otherwise("C"), F.lit("x"))
+    lines = rows.select("file", (F.col("row_no") + 100).alias("line_no"),
+                        F.when(style == 0, iso).when(style == 1, slashed).otherwise(european).alias("line"))
+    return heads.unionByName(lines)
+
+
+def sheet_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """The customers as supplier sheets, one per region, with two kinds of headers and a total line each."""
+    region = read(spark, folder, "region")
+    nation = read(spark, folder, "nation")
+    named = F.pmod(F.col("r_regionkey"), F.lit(2)) == 0
+    heads = region.select(
+        F.col("r_name").alias("sheet"), F.lit(0).cast("long").alias("line_no"),
+        F.when(named, "Day,Kind of Transaction,Transactor,Expense Category Account,Vendor").otherwise("A,B,C,D").alias("line"))
+    totals = region.select(F.col("r_name").alias("sheet"), F.lit(1).cast("long").alias("line_no"),
+                           F.lit("x,y,TOTAL of all,z,Total").alias("line"))
+    k = F.col("c_custkey")
+    rows = read(spark, folder, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(
+        region, F.col("n_regionkey") == F.col("r_regionkey"))
+    name = F.when(k % 4 == 0, F.upper("c_name")).otherwise(F.col("c_name"))
+    again = F.when(k % 10 == 0, "").otherwise(F.col("c_mktsegment"))
+    body = F.when(named, F.concat_ws(",", F.lit("1"), F.lit("nan"), F.lit("old name"), again, name)).otherwise(
+        F.concat_ws(",", F.lit("1"), F.lit("EXPENSES with VAT"), name, again))
+    return heads.unionByName(totals).unionByName(rows.select(F.col("r_name").alias("sheet"), (k + 10).alias("line_no"), body.alias("line")))
+
+
+def _json(**fields: Column) -> Column:
+    """JSON text with the given keys (spaces for underscores) and values already written as JSON."""
+    parts = [F.concat(F.lit('"' + key.replace("_", " ") + '": '), value) for key, value in fields.items()]
+    return F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}"))
+
+
+def _text(value: Column) -> Column:
+    return F.concat(F.lit('"'), value, F.lit('"'))
+
+
+def extractions(spark: SparkSession, folder: str) -> DataFrame:
+    """Three raw model replies per order, one per stage, in five ways of answering."""
+    k = F.col("o_orderkey")
+    customer = read(spark, folder, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    rows = read(spark, folder, "orders").join(customer, F.col("o_custkey") == F.col("c_custkey")).withColumn(
+        "stage_no", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    net = F.col("o_totalprice").cast(money.MONEY)
+    date = F.col("o_orderdate").cast("date")
+    written = F.when(k % 4 == 0, F.date_format(date, "yyyy-MM-dd")).when(k % 4 == 1, F.date_format(date, "dd/MM/yyyy")).when(
+        k % 4 == 2, F.date_format(date, "MMMM d, yyyy")).otherwise("")
+    body = _json(
+        Transactor=_text(F.concat("c_name", F.lit(" Trading"))),
+        Invoice_Number=F.when(k % 3 == 0, F.lit('""')).otherwise(_text(F.concat(F.lit("INV-"), F.lpad(k.cast("string"), 9, "0")))),
+        Invoice_Date=_text(written),
+        Amount=F.when(k % 7 == 0, "null").when(k % 7 == 1, _text(F.concat(F.lit("$"), F.format_number(net, 2)))).otherwise(net.cast("string")),
+        Tax_Amount=F.when(k % 3 == 0, "12.50").otherwise("0"),
+        Total_Amount=F.when(k % 2 == 0, (net + 20).cast("string")).otherwise('""'),
+        Currency=_pick(k, '"eur"', '"USD"', '"GBP"', '"XXX"', "null"),
+        Description=F.when(k % 4 == 1, _text(F.lit("None"))).otherwise(_text(F.concat(F.lit("Order "), k.cast("string")))),
+        Expense_Category_Account=_text(F.concat("c_mktsegment", F.lit(", general"))),
+        Kind_of_Transaction=_text(F.lit("DEDUCTION")),
+        VAT=F.when(k % 5 == 0, F.lit("undefined")).otherwise(_text(F.concat(F.lit("BG"), k.cast("string")))),
+        Confidence=F.concat(F.lit('{"amount": 0.'), (F.col("stage_no") * 3 + k % 3 + 1).cast("string"), F.lit(', "transactor": 0.5}')),
+    )
+    way = F.pmod(k + F.col("stage_no") * 2, F.lit(5))
+    reply = (
+        F.when(way == 0, F.concat(F.lit("Here it is:\n```json\n"), body, F.lit("\n```\nDone.")))
+        .when(way == 1, F.concat(F.lit("Result "), body, F.lit(" end")))
+        .when(way == 2, F.concat(F.expr("substring(body, 1, length(body) - 1)"), F.lit(", }")))
+        .when(way == 3, F.lit("I could not read this document {"))
+        .otherwise(F.concat(F.lit("["), body, F.lit(",]")))
+    )
+    number = F.lpad(k.cast("string"), 9, "0")
+    return rows.withColumn("body", body).select(
+        k.alias("doc_id"),
+        F.when(k % 2 == 0, F.concat(F.lit("invoice_"), number, F.lit(".pdf"))).otherwise(
+            F.concat(F.lit("scan "), F.date_format(date, "d-M-yyyy"), F.lit(".pdf"))).alias("file_name"),
+        F.element_at(F.array(F.lit("cloud"), F.lit("text"), F.lit("local")), F.col("stage_no") + 1).alias("stage"),
+        (F.col("stage_no") + 1).alias("attempt"), reply.alias("response"))
+
+
+def ground_truth(spark: SparkSession, folder: str) -> DataFrame:
+    """Expected fields of every invoice; the VAT of some is unknown and not scored."""
+    inv = invoices(spark, folder)
+    fields = {"transactor": F.col("transactor"), "invoice_number": F.col("invoice_number"),
+              "date": F.date_format("date", "yyyy-MM-dd"), "amount": F.col("amount").cast("string"),
+              "vat": F.when(F.col("id") % 3 == 0, F.col("vat").cast("string")), "currency": F.col("currency"),
+              "description": F.concat(F.lit("order "), F.col("id").cast("string"), F.lit(" goods"))}
+    return inv.select(
+        F.concat(F.lit("doc_"), F.col("id").cast("string"), F.lit(".pdf")).alias("file"),
+        F.col("document_type").alias("expected_type"),
+        F.create_map(*[x for key, value in fields.items() for x in (F.lit(key), value)]).alias("expected"))
+
+
+def predictions(spark: SparkSession, folder: str) -> DataFrame:
+    """Two models' answers for every invoice: shifted amounts, dates and names, failures and gaps."""
+    inv = invoices(spark, folder).withColumn("m", F.explode(F.array(F.lit(0), F.lit(1))))
+    k, m = F.col("id"), F.col("m")
+    turn = F.pmod(k + m * 3, F.lit(7))
+    factor = F.when(turn == 0, "1.0005").when(turn == 1, "1.03").when(turn == 2, "1.08").when(turn == 3, "1.20").otherwise("1")
+    days = F.when(turn == 1, 1).when(turn == 2, 5).when(turn == 4, 40).otherwise(0)
+    shifted = F.date_add("date", days)
+    body = _json(
+        Transactor=_text(F.when(turn == 5, F.upper("transactor")).when(turn == 6, F.regexp_replace("transactor", " Trading$", ""))
+                         .otherwise(F.col("transactor"))),
+        Invoice_Number=F.when(turn == 4, _text(F.concat(F.lit("No. "), "invoice_number"))).otherwise(_text(F.col("invoice_number"))),
+        Invoice_Date=_text(F.when(m == 0, F.date_format(shifted, "yyyy-MM-dd")).otherwise(F.date_format(shifted, "dd/MM/yyyy"))),
+        Amount=(F.col("amount") * factor.cast("decimal(6,4)")).cast(money.MONEY).cast("string"),
+        VAT_Amount=F.when(turn == 3, "null").otherwise(F.col("vat").cast("string")),
+        Currency=F.when(turn == 0, _text(F.concat("currency", F.lit(" money")))).when(turn == 1, '""').otherwise(_text(F.col("currency"))),
+        Description=F.when(turn == 2, F.concat(F.lit('["order", "'), k.cast("string"), F.lit(' goods"]'))).otherwise(
+            _text(F.concat(F.lit("goods of order "), k.cast("string")))),
+    )
+    status = F.when(k % 13 == 0, "error").when(k % 17 == 0, "extraction_returned_none").otherwise("success")
+    return inv.where(~((k % 19 == 0) & (m == 1))).select(
+        F.when(m == 0, "alpha").otherwise("beta").alias("model"),
+        F.concat(F.lit("doc_"), k.cast("string"), F.lit(".pdf")).alias("file"), status.alias("status"),
+        ((k % 100 + m * 7 + 1) / 100).alias("seconds"), F.when(status == "success", body).alias("payload"))
+
+
+def type_predictions(spark: SparkSession, folder: str) -> DataFrame:
+    """Two classifiers' answers for every invoice."""
+    inv = invoices(spark, folder).withColumn("m", F.explode(F.array(F.lit(0), F.lit(1))))
+    k, m = F.col("id"), F.col("m")
+    label = F.when((k + m) % 3 == 0, "memo").when((k + m) % 3 == 1, "Invoice").otherwise("form")
+    return inv.where(~((k % 11 == 0) & (m == 0))).select(
+        F.when(m == 0, "dense").otherwise("tiny").alias("model"),
+        F.concat(F.lit("doc_"), k.cast("string"), F.lit(".pdf")).alias("file"),
+        F.when(k % 23 == 0, "error").otherwise("success").alias("status"), F.lit(0.5).alias("seconds"),
+        label.alias("raw_label"))
+
+
+def transcripts(spark: SparkSession, folder: str) -> DataFrame:
+    """Every conversation turn as reference and the next turn of the same conversation as hypothesis."""
+    turns = read(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    following = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("hypothesis"))
+    return turns.join(following, ["conv_id", "turn"]).select(
+        "conv_id", "turn", F.col("role").alias("model"), F.col("text").alias("reference"), "hypothesis")
+
+
+def label_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Sixteen class scores per labelled document."""
+    labels = F.array(*[F.lit(label) for label in LABEL_TYPES])
+    rows = read(spark, folder, "labels").select("doc_id", "quality", F.posexplode(labels).alias("i", "label"))
+    return rows.select("doc_id", "label", (F.pmod(F.col("doc_id") * 7 + F.col("i") * 13 + F.col("quality"), F.lit(17)) / 100).alias("score"))
