@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from tallyloom.functions.binding import bind
 from tallyloom.fixed_values import BASE_CURRENCY, COMMA_CURRENCIES, DEFAULT_RATES, INGEST_CURRENCIES
 
 MONEY = "decimal(18,2)"
@@ -27,18 +28,24 @@ def parse_money(text: Column) -> Column:
     A last separator followed by one or two digits is the decimal mark, every other separator
     groups digits. A leading or trailing minus and surrounding brackets mean a negative amount.
     """
-    kept = F.regexp_replace(text, r"[^0-9.,\-()]", "")
+    return bind(F.regexp_replace(text, r"[^0-9.,\-()]", ""), _signed_amount)
+
+
+def _signed_amount(kept: Column) -> Column:
     negative = kept.startswith("-") | kept.endswith("-") | kept.rlike(r"^\(.*\)$")
-    digits = F.regexp_replace(kept, r"[()\-]", "")
-    whole = F.regexp_replace(F.regexp_replace(digits, r"[.,]\d{1,2}$", ""), "[.,]", "")
-    cents = F.regexp_extract(digits, r"[.,](\d{1,2})$", 1)
-    plain = F.when(cents != "", F.concat(F.when(whole == "", "0").otherwise(whole), F.lit("."), cents))
+    value = bind(F.translate(kept, "()-", ""), _plain_amount)
+    return F.when(negative, -value).otherwise(value).cast(MONEY)
+
+
+def _plain_amount(digits: Column) -> Column:
+    whole = F.translate(F.regexp_replace(digits, r"[.,]\d{1,2}$", ""), ".,", "")
+    plain = F.when(digits.rlike(r"[.,]\d{1,2}$"), F.concat(
+        F.lit("0"), whole, F.lit("."), F.regexp_extract(digits, r"(\d{1,2})$", 1)))
     # One separator that cannot group thousands ("0.125", "12.5000", "1234.567") is a decimal mark.
     fraction = F.when(
         digits.rlike(r"^(0?[.,]\d{3,}|\d*[.,]\d{4,}|\d{4,}[.,]\d{3})$"), F.translate(digits, ",", ".")
     )
-    value = F.coalesce(plain, fraction, whole).try_cast(MONEY)
-    return F.when(negative, -value).otherwise(value).cast(MONEY)
+    return F.coalesce(plain, fraction, whole).try_cast(MONEY)
 
 
 def parse_plain(text: Column) -> Column:

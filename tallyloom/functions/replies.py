@@ -6,6 +6,7 @@ from pyspark.sql import Column, functions as F
 
 from tallyloom.fixed_values import DESCRIPTION_KEYS, LABEL_TYPES, REPLY_KEYS, SCORE_DATE_FORMATS
 from tallyloom.functions import dates, names
+from tallyloom.functions.binding import bind
 from tallyloom.functions.money import blank_to_null, parse_plain
 
 RECORDS = "array<map<string,string>>"
@@ -13,17 +14,19 @@ RECORDS = "array<map<string,string>>"
 
 def reply_json(text: Column) -> Column:
     """JSON text of a reply: the fenced block, else the outermost braces, else the whole text."""
-    fenced = F.regexp_extract(text, r"```(?:json)?\s*([\s\S]*?)\s*```", 1)
-    braces = F.regexp_extract(text, r"(\{[\s\S]*\})", 1)
-    found = F.coalesce(F.nullif(fenced, F.lit("")), F.nullif(braces, F.lit("")), text)
-    clean = F.regexp_replace(F.trim(found), "undefined", "null")
-    return F.regexp_replace(F.regexp_replace(clean, r",\s*\}", "}"), r",\s*\]", "]")
+    def found(reply: Column) -> Column:
+        fenced = F.regexp_extract(reply, r"```(?:json)?\s*([\s\S]*?)\s*```", 1)
+        opening, closing = F.instr(reply, "{"), F.length(reply) - F.instr(F.reverse(reply), "}") + 1
+        braces = F.when((opening > 0) & (closing > opening), F.substr(reply, opening, closing - opening + 1))
+        return F.when(reply.contains("```") & (fenced != ""), fenced).otherwise(F.coalesce(braces, reply))
+    clean = F.replace(F.trim(bind(text, found)), F.lit("undefined"), F.lit("null"))
+    return F.regexp_replace(clean, r",\s*([}\]])", "$1")
 
 
 def reply_records(text: Column) -> Column:
     """Records of a reply as an array of maps; an object counts as one record, anything else as none."""
-    body = reply_json(text)
-    listed = F.when(body.startswith("["), body).otherwise(F.concat(F.lit("["), body, F.lit("]")))
+    listed = bind(reply_json(text), lambda body: F.when(body.startswith("["), body).otherwise(
+        F.concat(F.lit("["), body, F.lit("]"))))
     parsed = F.from_json(listed, RECORDS, {"mode": "PERMISSIVE"})
     return F.coalesce(F.filter(parsed, lambda r: r.isNotNull()), F.array().cast(RECORDS))
 
@@ -97,16 +100,18 @@ def word_error_rate(reference: Column, hypothesis: Column) -> Column:
     Every distinct word of the pair becomes one character, so Spark's own edit distance on the two
     coded texts is the edit distance on words.
     """
-    ref, hyp = names.tokens(F.lower(reference)), names.tokens(F.lower(hypothesis))
-    vocabulary = F.array_union(ref, hyp)
-
-    def coded(words: Column) -> Column:
+    def coded(words: Column, vocabulary: Column) -> Column:
         units = F.transform(words, lambda w: F.lpad(F.hex(F.array_position(vocabulary, w) + 0x20000), 8, "0"))
         return F.decode(F.unhex(F.array_join(units, "")), "UTF-32")
 
-    rate = F.try_divide(F.levenshtein(coded(ref), coded(hyp)).cast("double"), F.size(ref))
-    return F.when(F.size(ref) == 0, F.when(F.size(hyp) == 0, F.lit(0.0)).otherwise(F.lit(1.0))).otherwise(
-        F.least(rate, F.lit(1.0)))
+    def rate(pair: Column) -> Column:
+        ref, hyp = pair["ref"], pair["hyp"]
+        edits = bind(F.array_union(ref, hyp), lambda v: F.levenshtein(coded(ref, v), coded(hyp, v)))
+        return F.when(F.size(ref) == 0, F.when(F.size(hyp) == 0, F.lit(0.0)).otherwise(F.lit(1.0))).otherwise(
+            F.least(F.try_divide(edits.cast("double"), F.size(ref)), F.lit(1.0)))
+
+    return bind(F.struct(names.tokens(F.lower(reference)).alias("ref"),
+                         names.tokens(F.lower(hypothesis)).alias("hyp")), rate)
 
 
 def amount_field(record: Column, *keys: str) -> Column:

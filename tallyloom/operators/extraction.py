@@ -25,11 +25,12 @@ def first_success(extractions: DataFrame, mode: str = "auto") -> DataFrame:
     allowed = MODE_STAGES[mode]
     order = F.array_position(F.array(*[F.lit(s) for s in STAGE_ORDER]), F.col("stage"))
     others = ["file_name", "stage", "attempt", "records"]
+    # The test for records sits in the aggregate: as a filter it would parse every reply twice.
+    usable = F.when(F.size("records") > 0, F.struct(order, "attempt"))
     return (
         parse(extractions.where(F.col("stage").isin(allowed)))
-        .where(F.size("records") > 0)
-        .groupBy("doc_id").agg(F.min_by(F.struct(*others), F.struct(order, "attempt")).alias("w"))
-        .select("doc_id", "w.*")
+        .groupBy("doc_id").agg(F.min_by(F.struct(*others), usable).alias("w"))
+        .where(F.col("w").isNotNull()).select("doc_id", "w.*")
     )
 
 

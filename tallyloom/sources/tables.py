@@ -14,7 +14,12 @@ from tallyloom.functions import money
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """One given table. A table stored as fewer pieces than there are cores is spread over them."""
+    table = spark.read.parquet(f"{folder}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in ("orders", "conversations", "lineitem") and table.rdd.getNumPartitions() < cores:
+        return table.repartition(cores)
+    return table
 
 
 def _pick(key: Column, *values) -> Column:
