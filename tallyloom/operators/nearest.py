@@ -12,28 +12,28 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-BLOCKS_PER_E = 64
 LONG_MAX = 2**63 - 1
 
 
-def value_block(value: Column, per_e: float = BLOCKS_PER_E) -> Column:
+def value_block(value: Column, per_e: float) -> Column:
     """Block number of a positive value; one block spans a fixed relative width."""
     return F.floor(F.log(value.cast("double")) * F.lit(float(per_e))).cast("int")
 
 
-def nearest_both_sides(points: DataFrame, queries: DataFrame, keys: list[str]) -> DataFrame:
+def nearest_both_sides(points: DataFrame, queries: DataFrame, keys: list[str], per_e: float) -> DataFrame:
     """For every query the nearest point at or above ``x`` and the nearest one below it.
 
     ``points``: ``keys``, ``x`` long, ``p`` long, one row per ``keys`` and ``x``.
     ``queries``: ``keys``, ``x`` and any payload columns.
     Adds ``above`` and ``below``, each struct(x, p) or null. Rows meet on ``keys`` plus a value
     block, so a hot key is spread over its blocks. The nearest point in another block arrives as a
-    border point, found on one row per non-empty block.
+    border point, found on one row per non-empty block. ``per_e`` is the number of blocks for each
+    factor e of the value: many where one key holds much of the data, few where keys are small.
     """
     payload = [c for c in queries.columns if c not in [*keys, "x"]]
     point = F.struct("x", "p")
-    pts = points.select(*keys, "x", "p", value_block(F.col("x")).alias("block"))
-    asked = queries.withColumn("block", value_block(F.col("x")))
+    pts = points.select(*keys, "x", "p", value_block(F.col("x"), per_e).alias("block"))
+    asked = queries.withColumn("block", value_block(F.col("x"), per_e))
 
     # Border points: last point of the previous and first point of the next non-empty block.
     blocks = pts.groupBy(*keys, "block").agg(F.min(point).alias("first_pt"), F.max(point).alias("last_pt"))

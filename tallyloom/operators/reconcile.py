@@ -295,7 +295,7 @@ def _far_days(queries: DataFrame, points: DataFrame, opposite: bool, tolerance:
     edges = bounded.select(*QUERY, "approx_lo", "approx_hi", F.explode(F.array_compact(F.array(
         F.col("close_hi") + 1, F.when(F.col("is_debit"), F.col("close_lo"))))).alias("x"))
     beyond = nearest_both_sides(
-        by_amount.select(*GROUP, F.col("c").alias("x"), F.col("v").cast("long").alias("p")), edges, GROUP)
+        by_amount.select(*GROUP, F.col("c").alias("x"), F.col("v").cast("long").alias("p")), edges, GROUP, 64)
     nearest = (
         beyond.withColumn("hit", F.when(F.col("x") > F.col("t"), F.col("above")).otherwise(F.col("below")))
         .where(F.col("hit.x").between(F.col("approx_lo"), F.col("approx_hi")))
@@ -308,7 +308,7 @@ def _best_on(days: DataFrame, points: DataFrame, tolerance_days: int, tolerance:
     """Best accepted invoice of each query row among the given invoice days (``QUERY`` + ``inv_day``)."""
     looked = nearest_both_sides(
         points.select(*GROUP, F.col("day").alias("inv_day"), F.col("c").alias("x"), "p"),
-        days.withColumnRenamed("t", "x"), ["inv_day", *GROUP],
+        days.withColumnRenamed("t", "x"), ["inv_day", *GROUP], 4,
     ).withColumnRenamed("x", "t").where("above is not null or below is not null")
     known = (F.col("day") != NO_DAY) & (F.col("inv_day") != NO_DAY)
     on_date = F.when(known, dates.date_points(F.col("day") - F.col("inv_day"), tolerance_days)).otherwise(F.lit(0.0))
