@@ -60,8 +60,8 @@ SELECT b.file, b.row_no, i.transactor AS matched_supplier, i.invoice_number AS m
     CASE WHEN d > 0 THEN 'date_proximity' END,
     CASE WHEN s = 0.15::DOUBLE THEN 'supplier_name' WHEN s > 0 THEN 'partial_name' END,
     CASE WHEN n > 0 THEN 'invoice_number' END) AS match_method,
-  (m.c / 10000)::DECIMAL(18,2)::DOUBLE AS converted_invoice_amount,
-  round((m.c - m.t)::DOUBLE / m.c::DOUBLE * 100, 1) AS amount_difference_pct
+  ((m.c + 50) // 100)::DOUBLE / 100 AS converted_invoice_amount,
+  round((m.c - m.t)::DOUBLE / m.c::DOUBLE * 100, 1) + 0.0::DOUBLE AS amount_difference_pct
 FROM bank b LEFT JOIN matched m ON b.row_no = m.row_no LEFT JOIN inv i ON m.id = i.id"""
 
 STATS = with_views(INVOICES, BANK, MATCHED) + """
