@@ -252,24 +252,23 @@ def grouped_points(inv: DataFrame, members: DataFrame, wanted: DataFrame) -> Dat
     return everything.unionByName(grouped).groupBy(*point).agg(F.min("id").alias("p"))
 
 
-def _near_days(queries: DataFrame, group_days: DataFrame, low: int, high: int) -> DataFrame:
-    """Invoice days at a distance of ``low`` to ``high`` days from each dated query.
+def _near_days(queries: DataFrame, group_days: DataFrame, low: int, widest: int) -> DataFrame:
+    """Invoice days at a distance of ``low`` up to the query's ``reach`` (at most ``widest``) days.
 
     The all-invoices group has an invoice on practically every day, so its days are written out; the
     other groups meet only the days they have, through blocks of days.
     """
-    dated = queries.where(F.col("day") != NO_DAY)
-    every = dated.where(F.col("grp") == EVERY).withColumn(
-        "inv_day", F.explode(F.sequence(F.col("day") - high, F.col("day") + high)))
-    width = 2 * high + 1
-    blocks = F.array_distinct(F.array(
-        F.floor((F.col("day") - high) / width), F.floor((F.col("day") + high) / width)))
+    day, reach = F.col("day"), F.col("reach")
+    dated = queries.where(day != NO_DAY)
+    every = dated.where(F.col("grp") == EVERY).withColumn("inv_day", F.explode(F.sequence(day - reach, day + reach)))
+    width = 2 * widest + 1
+    blocks = F.array_distinct(F.array(F.floor((day - reach) / width), F.floor((day + reach) / width)))
     grouped = (
         dated.where(F.col("grp") != EVERY).withColumn("span", F.explode(blocks))
         .join(group_days.withColumn("span", F.floor(F.col("inv_day") / width)), [*GROUP, "span"])
         .drop("span")
     )
-    return every.unionByName(grouped).where(F.abs(F.col("day") - F.col("inv_day")).between(low, high))
+    return every.unionByName(grouped).where(F.abs(day - F.col("inv_day")).between(F.lit(low), reach)).drop("reach")
 
 
 def _far_days(queries: DataFrame, points: DataFrame, opposite: bool, tolerance: float) -> DataFrame:
@@ -332,21 +331,28 @@ def _best_of(queries: DataFrame, points: DataFrame, opposite: bool, tolerance_da
              tolerance: float) -> DataFrame:
     """Best accepted invoice of each query row (columns ``QUERY``).
 
-    An exact amount within three days cannot be beaten from outside those days (0.73 against at most
-    0.70 before the same bonus), so only queries without one look further. The denser the invoices,
-    the fewer of those there are.
+    The points bound what a wider look can find, always before the same bonus. An exact amount within
+    three days (0.73) beats everything outside them (at most 0.70). A close amount within three days
+    (0.68) is beaten only within seven days, because an exact amount further away has 0.65 at most.
+    So the denser the invoices, the fewer queries look far.
     """
+    span = max(14, tolerance_days)
     group_days = points.where((F.col("grp") != EVERY) & (F.col("day") != NO_DAY)).select(
         *GROUP, F.col("day").alias("inv_day")).distinct()
-    close = durable(_best_on(_near_days(queries, group_days, 0, 3), points, tolerance_days, tolerance))
-    settled = close.where(
-        F.col("best.score") >= F.lit(0.55) + F.lit(0.18) + F.col("name_points") + F.col("number_points"))
-    open_ = durable(queries.join(settled, QUERY, "left_anti"))
-    further = durable(
-        _near_days(open_.where(F.col("grp") != EVERY), group_days, 4, max(14, tolerance_days))
-        .unionByName(_far_days(open_, points, opposite, tolerance)))
-    written_out = _near_days(open_.where(F.col("grp") == EVERY), group_days, 4, max(14, tolerance_days))
-    return close.unionByName(
+    first = queries.withColumn("reach", F.lit(3))
+    near = durable(_best_on(_near_days(first, group_days, 0, 3), points, tolerance_days, tolerance))
+
+    def reached(amount: float) -> Column:
+        score = F.lit(amount) + F.lit(0.18) + F.col("name_points") + F.col("number_points")
+        return F.coalesce(F.col("score") >= score, F.lit(False))
+
+    open_ = durable(
+        queries.join(near.select(*QUERY, "best.score"), QUERY, "left").where(~reached(0.55))
+        .select(*QUERY, F.when(reached(0.50), 7).otherwise(span).alias("reach")))
+    far = _far_days(open_.where(F.col("reach") == span).drop("reach"), points, opposite, tolerance)
+    further = durable(_near_days(open_.where(F.col("grp") != EVERY), group_days, 4, span).unionByName(far))
+    written_out = _near_days(open_.where(F.col("grp") == EVERY), group_days, 4, span)
+    return near.unionByName(
         _best_on(written_out.unionByName(further), points, tolerance_days, tolerance))
 
 
