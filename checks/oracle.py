@@ -128,8 +128,8 @@ SELECT coalesce(b.k, i.k) AS name_key, coalesce(b.supplier_name, i.supplier_name
 FROM base b FULL JOIN inc i ON b.k = i.k""")
 
 add("supplier_changes", SUPPLIERS, INCOMING)(f"""
-, edited AS (SELECT {key('supplier_name')} AS k, * FROM incoming WHERE arrival % 3 = 0),
-gone AS (SELECT {key('supplier_name')} AS k FROM incoming WHERE arrival % 5 = 0)
+, edited AS (SELECT {key('supplier_name')} AS k, * FROM incoming WHERE category > 'NATION_2'),
+gone AS (SELECT {key('supplier_name')} AS k FROM incoming WHERE category = 'NATION_7')
 SELECT s.arrival, CASE WHEN e.k IS NULL THEN s.category ELSE e.category END AS category,
   CASE WHEN e.k IS NULL THEN array_to_string(s.categories, '|') ELSE e.category || '|Extra' END AS categories,
   CASE WHEN e.k IS NULL THEN s.transaction_type ELSE e.transaction_type END AS transaction_type,
@@ -138,26 +138,26 @@ FROM suppliers s LEFT JOIN edited e ON e.k = {key('s.supplier_name')}
 WHERE {key('s.supplier_name')} NOT IN (SELECT k FROM gone)""")
 
 SHEET = """sheet_rows AS (
-  SELECT c_custkey, c_name, r_name, r_regionkey % 2 = 0 AS named, CASE WHEN c_custkey % 10 = 0 THEN '' ELSE c_mktsegment END AS segment
+  SELECT c_custkey, c_name, n_name, r_name, r_regionkey % 2 = 0 AS named, CASE WHEN c_custkey % 10 = 0 THEN '' ELSE c_mktsegment END AS segment
   FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
 add("supplier_import", SHEET)("""
 SELECT lower(c_name) AS supplier_name, CASE WHEN named THEN NULL ELSE 'EXPENSES with VAT' END AS transaction_type,
   nullif(segment, '') AS category FROM sheet_rows""")
 add("supplier_import_stats", SHEET)("""
-SELECT count(*) AS total_suppliers, count(*) FILTER (WHERE c_custkey % 2 = 1) AS new_suppliers,
-  count(*) FILTER (WHERE c_custkey % 2 = 0) AS updated_suppliers FROM sheet_rows""")
+SELECT count(*) AS total_suppliers, count(*) FILTER (WHERE n_name <= 'NATION_2') AS new_suppliers,
+  count(*) FILTER (WHERE n_name > 'NATION_2') AS updated_suppliers FROM sheet_rows""")
 
 add("invoice_merge", INVOICES, SUPPLIERS)("""
 , named AS (SELECT replace(supplier_name, '  ', ' ') AS n, min(arrival) AS sid FROM suppliers GROUP BY 1),
 top AS (SELECT max(id) AS m FROM invoices),
 grown AS (
-  SELECT id, invoice_number, amount, notes, NULL::BIGINT AS supplier_id, is_income FROM invoices
+  SELECT id, invoice_number, amount, notes, NULL::BIGINT AS supplier_id, is_income, currency FROM invoices
   UNION ALL
-  SELECT (SELECT m FROM top) + row_number() OVER (ORDER BY id), invoice_number, amount, notes, sid, is_income
+  SELECT (SELECT m FROM top) + row_number() OVER (ORDER BY id), invoice_number, amount, notes, sid, is_income, currency
   FROM invoices LEFT JOIN named ON n = transactor)
-SELECT id, invoice_number, (CASE WHEN id % 2 = 0 THEN amount + 1 ELSE amount END)::DOUBLE AS amount,
-  CASE WHEN id % 4 = 0 THEN 'edited' ELSE notes END AS notes, coalesce(supplier_id, -1) AS supplier_id, is_income::INTEGER AS is_income
-FROM grown WHERE id % 9 <> 4""")
+SELECT id, invoice_number, (CASE WHEN NOT is_income THEN amount + 1 ELSE amount END)::DOUBLE AS amount,
+  CASE WHEN NOT is_income AND currency = 'EUR' THEN 'edited' ELSE notes END AS notes, coalesce(supplier_id, -1) AS supplier_id, is_income::INTEGER AS is_income
+FROM grown WHERE NOT (currency = 'BGN' AND is_income)""")
 
 add("snapshot_export", INVOICES, SUPPLIERS, ONE_SUPPLIER, ENRICHED)(f"""
 SELECT id AS invoice_id, s_category AS category, array_to_string(s_categories, '|') AS categories,

@@ -166,12 +166,12 @@ def supplier_upsert(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def supplier_changes(spark: SparkSession, d: str) -> DataFrame:
-    """Edit form on every third supplier, then a deletion by name."""
+    """Edit form for the suppliers of some nations, then a deletion by name."""
     s = tables.suppliers(spark, d)
-    form = tables.incoming_suppliers(spark, d).where(F.pmod("arrival", F.lit(3)) == 0).select(
+    form = tables.incoming_suppliers(spark, d).where(F.col("category") > "NATION_2").select(
         "supplier_name", "category", "transaction_type", "vat_number",
         F.array(F.lit("Extra"), F.col("category"), F.lit("")).alias("additional_categories"))
-    gone = tables.incoming_suppliers(spark, d).where(F.pmod("arrival", F.lit(5)) == 0)
+    gone = tables.incoming_suppliers(spark, d).where(F.col("category") == "NATION_7")
     return plain(supplier_ops.delete(supplier_ops.merge_form(s, form).drop("name_key"), gone).select(
         "arrival", "category", "categories", "transaction_type", "vat_number"))
 
@@ -187,7 +187,7 @@ def supplier_import_stats(spark: SparkSession, d: str) -> DataFrame:
     known = tables.incoming_suppliers(spark, d).select("arrival", F.regexp_replace("supplier_name", " trading$", "").alias("supplier_name"),
                                                        "category", "transaction_type", "vat_number",
                                                        F.array("category").alias("categories"))
-    return supplier_ops.import_sheets(known.where(F.pmod("arrival", F.lit(2)) == 0), tables.sheet_lines(spark, d))[1]
+    return supplier_ops.import_sheets(known.where(F.col("category") > "NATION_2"), tables.sheet_lines(spark, d))[1]
 
 
 @query
@@ -197,10 +197,10 @@ def invoice_merge(spark: SparkSession, d: str) -> DataFrame:
     s = tables.suppliers(spark, d).withColumn("supplier_name", F.regexp_replace("supplier_name", "  ", " "))
     incoming = inv.select(F.col("id").alias("arrival"), *[c for c in ledger.FIELDS if c != "document_type"])
     grown = inv.unionByName(ledger.append(inv, incoming, s))
-    changes = grown.where(F.col("id") % 2 == 0).select(
-        "id", F.when(F.col("id") % 4 == 0, F.lit("edited")).alias("notes"), (F.col("amount") + 1).cast(money.MONEY).alias("amount"))
+    changes = grown.where(~F.col("is_income")).select(
+        "id", F.when(F.col("currency") == "EUR", F.lit("edited")).alias("notes"), (F.col("amount") + 1).cast(money.MONEY).alias("amount"))
     updated = ledger.update(grown, changes)
-    kept = ledger.delete(updated, grown.where(F.col("id") % 9 == 4).select("id"))
+    kept = ledger.delete(updated, grown.where((F.col("currency") == "BGN") & F.col("is_income")).select("id"))
     return plain(kept.select("id", "invoice_number", "amount", "notes",
                              F.coalesce("supplier_id", F.lit(-1)).alias("supplier_id"), "is_income"))
 
