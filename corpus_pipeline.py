@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import near_dedup, quality_rules, sharding
+from tallyloom.llm import decontamination, mixing, near_dedup, quality_rules, sharding
 from tallyloom.llm.common import shared_folder, table
 
 
@@ -20,6 +20,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return near_dedup.dedupe(docs)
 
 
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which a twentieth or more stands in the benchmark go; from the others, shared spans are cut out."""
+    return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stands as often as the mix takes it."""
+    return mixing.materialise(docs)
+
+
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every row gets its shard and its place there."""
     return sharding.shard(docs, shards=16)
@@ -28,6 +38,8 @@ def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality rules", quality),
     ("near-dedup", near_duplicates),
+    ("benchmark decontamination", decontaminated),
+    ("mixing", mixed),
     ("sharding", shards),
 ]
 
