@@ -1,5 +1,79 @@
-"""SQL equivalents of the queries that SQL can express."""
+"""SQL equivalents of the queries that SQL can express; tests hold the others against brute-force versions."""
 
 from __future__ import annotations
 
-ORACLE: dict[str, str] = {}
+WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+ALNUM = rf"regexp_extract_all(translate(coalesce(text, ''), {AZ}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLE: dict[str, str] = {
+    "op2_suffix_automaton": f"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, {ALNUM} AS w FROM documents),
+items AS (SELECT coalesce(CAST(item_id AS VARCHAR), 'null') AS item, {ALNUM} AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item, 13 AS n, array_to_string(w[i:i + 12], ' ') AS k
+  FROM (SELECT item, w, unnest(range(1, CAST(len(w) AS BIGINT) - 11)) AS i FROM items WHERE len(w) >= 13)
+  UNION SELECT DISTINCT item, CAST(len(w) AS INTEGER), array_to_string(w, ' ') FROM items WHERE len(w) BETWEEN 1 AND 12),
+lengths AS (SELECT DISTINCT n FROM windows),
+places AS (SELECT rid, w, n, unnest(range(1, CAST(len(w) AS BIGINT) - n + 2)) AS i FROM docs, lengths WHERE len(w) >= n),
+found AS (
+  SELECT p.rid, p.i, p.n, v.item FROM (SELECT rid, i, n, array_to_string(w[i:i + n - 1], ' ') AS k FROM places) p
+  JOIN windows v ON v.n = p.n AND v.k = p.k),
+hit AS (SELECT rid, count(DISTINCT pos) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS pos FROM found) GROUP BY rid),
+owned AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
+  FROM (SELECT DISTINCT rid, item FROM found) GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+  CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM docs LEFT JOIN hit USING (rid) LEFT JOIN owned USING (rid)""",
+    "op5_chat_rendering": r"""
+WITH said AS (
+  SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+  UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length('<|im_start|>') + length(role) + 1 + length(text) + len(regexp_extract_all(text, '<\\*\|'))
+    + length('<|im_end|>') + 1) AS BIGINT) AS formatted_chars
+FROM said GROUP BY conv_id""",
+    "op7_url_sweep": f"""
+WITH rules(rh, rp, v) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
+  ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+parts AS (
+  SELECT row_number() OVER () AS rid, page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), {AZ}) AS host,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
+  FROM pages),
+fits AS (
+  SELECT rid, rh || rp AS rule, v, row_number() OVER (PARTITION BY rid ORDER BY length(rh || rp) DESC, rh || rp) AS place
+  FROM parts JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp))
+SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict
+FROM parts LEFT JOIN (SELECT * FROM fits WHERE place = 1) USING (rid)""",
+    "op9_quality_lines": f"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS text, {WORDS} AS w FROM documents),
+lines AS (SELECT rid, source, text, l, regexp_extract_all(l, '[^\\x20\\x09-\\x0D]+') AS lw
+  FROM (SELECT rid, source, text, unnest(string_split(text, chr(10))) AS l FROM docs)),
+worded AS (SELECT *, translate(array_to_string(lw, ' '), {AZ}) AS k FROM lines WHERE len(lw) > 0),
+hosts AS (SELECT source, count(DISTINCT text) AS n FROM docs GROUP BY source),
+often AS (
+  SELECT c.source, c.k FROM (SELECT source, k, count(DISTINCT text) AS n FROM worded GROUP BY source, k) c
+  JOIN hosts h ON c.source IS NOT DISTINCT FROM h.source WHERE c.n > 20 AND c.n > floor(h.n * CAST(0.01 AS DOUBLE))),
+gone AS (SELECT rid, sum(len(lw)) AS n FROM worded JOIN often ON worded.source IS NOT DISTINCT FROM often.source AND worded.k = often.k
+  GROUP BY rid),
+dup AS (SELECT rid, count(*) - count(DISTINCT l) AS n FROM worded GROUP BY rid),
+windows AS (
+  SELECT rid, i, count(*) OVER (PARTITION BY rid, a, b, c) AS times
+  FROM (SELECT rid, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c
+    FROM (SELECT rid, w, unnest(range(1, CAST(len(w) AS BIGINT) - 1)) AS i FROM docs WHERE len(w) >= 3))),
+again AS (SELECT rid, count(DISTINCT pos) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS pos FROM windows WHERE times > 1) GROUP BY rid),
+all_of AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(again.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(gone.n, 0) AS BIGINT) AS n_removed_words
+  FROM docs LEFT JOIN dup USING (rid) LEFT JOIN again USING (rid) LEFT JOIN gone USING (rid))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - n_removed_words >= CAST(0.3 AS DOUBLE) * n_words AS kept
+FROM all_of""",
+}
