@@ -50,7 +50,7 @@ def flight(chance: np.ndarray, size: np.ndarray, luck: np.ndarray) -> np.ndarray
     """Moves inclusion chances to 0 or 1 until at most two stay between, keeping their sum and their words.
 
     Three open documents at a time move along the null space of (1, size): one direction, both ways up to the first
-    bound, chosen so that every chance keeps its expectation.
+    bound, chosen by the luck of the latest of the three so that every chance keeps its expectation.
     """
     p = chance.astype(float).tolist()
     sizes = size.tolist()
@@ -69,7 +69,7 @@ def flight(chance: np.ndarray, size: np.ndarray, luck: np.ndarray) -> np.ndarray
                 move = (1, -1, 0)
             up = min(((1 - p[k]) / m if m > 0 else p[k] / -m) for k, m in zip(active, move) if m)
             down = min((p[k] / m if m > 0 else (1 - p[k]) / -m) for k, m in zip(active, move) if m)
-            way = up if luck[a] * (up + down) < down else -down
+            way = up if luck[c] * (up + down) < down else -down
             for k, m in zip(active, move):
                 p[k] += way * m
                 if p[k] < edge or p[k] > 1 - edge:

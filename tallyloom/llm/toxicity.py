@@ -27,16 +27,24 @@ IDENTITY_TERMS: dict[str, tuple[str, ...]] = {
 SAMPLE_DOCS, FEATURES = 20_000, 4096
 
 
-def features_of(text: bytes | None) -> set[bytes]:
-    """The distinct words of a text, lower-cased."""
-    return set((text or b"").translate(ALNUM_BYTES).split())
+def features_of(text: bytes | None, terms: frozenset[bytes] = frozenset()) -> set[bytes]:
+    """The distinct words of a text, lower-cased, and the first four and five bytes of the longer ones, after ``^``.
 
+    ``terms`` have no beginnings, so that a swap exchanges one feature for another and nothing else.
+    """
+    words = set((text or b"").translate(ALNUM_BYTES).split())
+    longer = words - terms
+    return words | {b"^" + w[:4] for w in longer if len(w) > 4} | {b"^" + w[:5] for w in longer if len(w) > 5}
 
-def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        *rest, texts = batch.columns
-        found = [sorted(features_of(t)) for t in texts.to_pylist()]
-        yield pa.RecordBatch.from_arrays([*rest, pa.array(found, pa.list_(pa.binary()))], names=[*batch.schema.names[:-1], "words"])
+
+def _featured(terms: frozenset[bytes]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            *rest, texts = batch.columns
+            found = [sorted(features_of(t, terms)) for t in texts.to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [*rest, pa.array(found, pa.list_(pa.binary()))], names=[*batch.schema.names[:-1], "words"])
+    return run
 
 
 @dataclass(frozen=True)
@@ -102,22 +110,22 @@ def train(examples: Examples, n_words: int, *, swap_penalty: float = 1.0, sparsi
     return w
 
 
-def _scored(weights: dict[bytes, float], intercept: float):
+def _scored(weights: dict[bytes, float], intercept: float, terms: frozenset[bytes]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = weights.keys()
         for batch in batches:
             *rest, texts = batch.columns
-            logits = [sum(weights[w] for w in sorted(known & features_of(t))) + intercept for t in texts.to_pylist()]
+            logits = [sum(weights[w] for w in sorted(known & features_of(t, terms))) + intercept for t in texts.to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*rest, pa.array(sigmoid(np.array(logits, float)))], names=[*batch.schema.names[:-1], "score"])
     return run
 
 
 class CounterfactualClassifier:
-    """Word weights and an intercept; :meth:`fit` makes one and :meth:`score` applies it."""
+    """Feature weights and an intercept; :meth:`fit` makes one and :meth:`score` applies it."""
 
-    def __init__(self, weights: dict[bytes, float], intercept: float):
-        self.weights, self.intercept = weights, intercept
+    def __init__(self, weights: dict[bytes, float], intercept: float, terms: frozenset[bytes] = frozenset()):
+        self.weights, self.intercept, self.terms = weights, intercept, terms
 
     @classmethod
     def fit(cls, labelled: DataFrame, *, label: str = "label", text: str = "text", key: str = "doc_id",
@@ -125,8 +133,8 @@ class CounterfactualClassifier:
             identity_terms: dict[str, tuple[str, ...]] | None = None) -> CounterfactualClassifier:
         """Learns from rows labelled 1 (toxic) and 0.
 
-        Spark counts, over all labelled rows, in how many documents of each class a word stands; the ``features`` words
-        with the largest G statistic and the identity terms become the model's words. The weights are fitted on the
+        Spark counts, over all labelled rows, in how many documents of each class a feature stands; the ``features`` ones
+        with the largest G statistic and the identity terms become the model's. The weights are fitted on the
         ``sample_docs`` rows with the least hash of key and text. In each of these, every identity term is taken out, and swapped
         for the others of its list; ``swap_penalty`` holds the score to the same value. Rows without a label are left
         out, null texts are empty. Without rows of both classes all scores are the share of toxic labels.
@@ -136,7 +144,9 @@ class CounterfactualClassifier:
             F.col(f"`{label}`").cast("int").alias("y"),
             F.xxhash64(F.col(f"`{key}`").cast("string"), F.col(f"`{text}`")).alias("h"),
             F.col(f"`{text}`").cast("binary").alias("t")).where("y in (0, 1)")
-        worded = common.staged(rows.mapInArrow(_words, "y int, h long, words array<binary>"), "toxicity")
+        groups = [[t.encode() for t in g] for g in terms.values()]
+        whole = frozenset(t for g in groups for t in g)
+        worded = common.staged(rows.mapInArrow(_featured(whole), "y int, h long, words array<binary>"), "toxicity")
         counts = {r.y: r["count"] for r in worded.groupBy("y").count().collect()}
         total = sum(counts.values())
         share = counts.get(1, 0) / total if total else 0.5
@@ -152,7 +162,6 @@ class CounterfactualClassifier:
         gain = part(n1, n * share) + part(n - n1, n * (1 - share)) + part(counts[1] - n1, (total - n) * share) \
             + part(counts[0] - (n - n1), (total - n) * (1 - share))
         top = seen.where("n > 1").select("word", gain.alias("g")).orderBy(F.desc("g"), "word").limit(features).collect()
-        groups = [[t.encode() for t in g] for g in terms.values()]
         words = list(dict.fromkeys([bytes(r.word) for r in top] + [t for g in groups for t in g]))
         number = {w: i for i, w in enumerate(words)}
         known = F.array(*[F.lit(w) for w in words])
@@ -166,7 +175,7 @@ class CounterfactualClassifier:
             swaps_of(present, [[number[t] for t in g] for g in groups]))
         common.discard(worded)
         fitted = train(examples, len(words), swap_penalty=swap_penalty)
-        return cls({w: float(x) for w, x in zip(words, fitted[:-1]) if x}, float(fitted[-1]))
+        return cls({w: float(x) for w, x in zip(words, fitted[:-1]) if x}, float(fitted[-1]), whole)
 
     def score(self, docs: DataFrame, text: str = "text") -> DataFrame:
         """``docs`` without ``text``, with ``score``: how likely the whole text is toxic, from 0 to 1.
@@ -178,4 +187,4 @@ class CounterfactualClassifier:
         others = [c for c in known.columns if c != text]
         ready = known.select(*[f"`{c}`" for c in others], F.col(f"`{text}`").cast("binary").alias("__bytes"))
         schema = StructType([*ready.schema.fields[:-1], StructField("score", DoubleType())])
-        return ready.mapInArrow(_scored(self.weights, self.intercept), schema)
+        return ready.mapInArrow(_scored(self.weights, self.intercept, self.terms), schema)
