@@ -81,7 +81,7 @@ def links(prints: DataFrame) -> DataFrame:
     for s in reversed(range(SEGMENTS)):
         chain = F.when(start == s, F.bit_count(F.shiftrightunsigned(_turned(differing, s), SEGMENT_BITS))).otherwise(chain)
     return (
-        asked.join(indexed, "key")
+        asked.join(indexed.hint("merge"), "key")  # rows that come out of an explode are many more than their source's size tells
         .where((F.col("a") < F.col("b")) & (F.bit_count(differing) <= MAX_DIFFERENCE) & (chain <= 2))
         .select("a", "b")
     )
