@@ -7,6 +7,10 @@ from dataclasses import dataclass
 import numpy as np
 
 
+#: Measures count up to this many standard deviations from their mean, so that none outweighs the others far off.
+REACH = 3.0
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -35, 35)))
 
@@ -18,14 +22,14 @@ class Logistic:
     weights: np.ndarray
 
     def score(self, measures: np.ndarray) -> np.ndarray:
-        ready = (measures - self.mean) / self.spread
+        ready = np.clip((measures - self.mean) / self.spread, -REACH, REACH)
         return sigmoid(ready @ self.weights[:-1] + self.weights[-1])
 
 
 def fit(measures: np.ndarray, labels: np.ndarray, importance: np.ndarray, penalty: float = 1e-3, rounds: int = 40) -> Logistic:
     """Newton steps on the weighted log loss; with one class only, a constant near its label."""
     mean, spread = measures.mean(axis=0), measures.std(axis=0) + 1e-9
-    x = np.c_[(measures - mean) / spread, np.ones(len(measures))]
+    x = np.c_[np.clip((measures - mean) / spread, -REACH, REACH), np.ones(len(measures))]
     w = np.zeros(x.shape[1])
     importance = importance / importance.mean()
     for _ in range(rounds):
