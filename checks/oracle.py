@@ -262,8 +262,10 @@ SELECT sheet, strftime(date, '%Y-%m-%d') AS date, invoice_number, transactor, de
   amount::DOUBLE AS amount, vat::DOUBLE AS vat, total_bgn::DOUBLE AS total_bgn, total_eur::DOUBLE AS total_eur, currency,
   payment_method, fx_warning::INTEGER AS fx_warning FROM items""")
 add("report_summary", *REPORT)("""
-SELECT coalesce(y, 0)::INTEGER AS year, coalesce(m, 0)::INTEGER AS month, inc::DOUBLE AS income, spent::DOUBLE AS expenses, (inc - spent)::DOUBLE AS net
-FROM (SELECT year(date) AS y, month(date) AS m, coalesce(sum(total) FILTER (WHERE sheet = 'INCOME'), 0) AS inc,
+SELECT coalesce(y, 0)::INTEGER AS year, coalesce(m, 0)::INTEGER AS month, CASE g WHEN 0 THEN 'month' WHEN 1 THEN 'year' ELSE 'all' END AS level,
+  inc::DOUBLE AS income, spent::DOUBLE AS expenses, (inc - spent)::DOUBLE AS net
+FROM (SELECT year(date) AS y, month(date) AS m, grouping_id(year(date), month(date)) AS g,
+        coalesce(sum(total) FILTER (WHERE sheet = 'INCOME'), 0) AS inc,
         coalesce(sum(total) FILTER (WHERE sheet = 'EXPENSES'), 0) AS spent
       FROM items GROUP BY ROLLUP (year(date), month(date)))""")
 add("report_month", *REPORT)("""
@@ -297,13 +299,14 @@ SELECT id, transactor AS supplier_name,
   coalesce(nullif(array_to_string(s_categories, ', '), ''), nullif(s_category, ''), json_extract_string(raw, '$."Expense Category Account"'), '') AS service_category,
   kind AS transaction_type, coalesce({filled('s_vat')}, '') AS vat_number FROM kinds""")
 GROUPED = "regexp_replace(regexp_replace({c}::VARCHAR, '(\\d)(\\d{{3}})\\.', '\\1,\\2.'), '(\\d)(\\d{{3}}),', '\\1,\\2,')"
+EXPORT_COLUMNS = ["id", "date", "invoice_number", "transactor", "amount", "vat", "total_base", "currency", "supplier_id", "notes",
+                  "is_income", "transaction_type", "file_path", "description", "raw_extraction", "document_type"]
 EXPORT = f"""shown AS (
   SELECT id, strftime(date, '%Y-%m-%d') AS date, invoice_number, transactor, {GROUPED.format(c='amount')} AS amount,
-    {GROUPED.format(c='vat')} AS vat, {GROUPED.format(c='total_base')} AS total_base, currency, transaction_type, notes,
-    CASE WHEN length(coalesce(description, '')) > 30 THEN left(description, 30) || '...' ELSE coalesce(description, '') END AS description
+    {GROUPED.format(c='vat')} AS vat, {GROUPED.format(c='total_base')} AS total_base, currency, NULL::BIGINT AS supplier_id, notes,
+    is_income, transaction_type, file_path, coalesce(description, '') AS description, raw_extraction, document_type
   FROM invoices)"""
-add("ledger_export", INVOICES, EXPORT)("SELECT * FROM shown")
-EXPORT_COLUMNS = ["id", "date", "invoice_number", "transactor", "amount", "vat", "total_base", "currency", "transaction_type", "notes", "description"]
+add("ledger_export", INVOICES, EXPORT)("SELECT * REPLACE (is_income::INTEGER AS is_income, coalesce(supplier_id, -1) AS supplier_id) FROM shown")
 add("export_widths", INVOICES, EXPORT)("\nUNION ALL ".join(
     f"SELECT '{c}' AS \"column\", (greatest(coalesce(max(length({c}::VARCHAR)), 0), {len(c)}) + 2)::INTEGER AS width FROM shown"
     for c in EXPORT_COLUMNS))

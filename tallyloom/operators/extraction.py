@@ -5,7 +5,7 @@ Input rows: ``doc_id``, ``file_name``, ``stage``, ``attempt``, ``response`` (the
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyloom.fixed_values import MODE_STAGES, STAGE_ORDER
 from tallyloom.functions import dates, money, names, replies
@@ -20,18 +20,15 @@ def parse(extractions: DataFrame) -> DataFrame:
 def first_success(extractions: DataFrame, mode: str = "auto") -> DataFrame:
     """Per document the first allowed stage (then attempt) whose reply holds at least one record.
 
-    A keyed aggregate instead of a window: each document keeps one row on the map side.
+    All but one reply a task and document drop out before the shuffle.
     """
     allowed = MODE_STAGES[mode]
     order = F.array_position(F.array(*[F.lit(s) for s in STAGE_ORDER]), F.col("stage"))
-    others = ["file_name", "stage", "attempt", "records"]
-    # The test for records sits in the aggregate: as a filter it would parse every reply twice.
-    usable = F.when(F.size("records") > 0, F.struct(order, "attempt"))
-    return (
-        parse(extractions.where(F.col("stage").isin(allowed)))
-        .groupBy("doc_id").agg(F.min_by(F.struct(*others), usable).alias("w"))
-        .where(F.col("w").isNotNull()).select("doc_id", "w.*")
-    )
+    # The test for records sits in the order: as a filter it would parse every reply twice.
+    usable = F.size("records") > 0
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(usable.desc(), order, "attempt"))
+    ranked = parse(extractions.where(F.col("stage").isin(allowed))).withColumn("place", place)
+    return ranked.where((F.col("place") == 1) & usable).select("doc_id", "file_name", "stage", "attempt", "records")
 
 
 def merge_passes(passes: DataFrame) -> DataFrame:
@@ -39,9 +36,9 @@ def merge_passes(passes: DataFrame) -> DataFrame:
 
     ``passes``: doc_id, pass, field, value, confidence.
     """
-    return passes.groupBy("doc_id", "field").agg(
-        F.max_by("value", F.struct(F.coalesce("confidence", F.lit(0.0)), -F.col("pass"))).alias("value"),
-        F.max(F.coalesce("confidence", F.lit(0.0))).alias("confidence"))
+    sure = passes.withColumn("confidence", F.coalesce("confidence", F.lit(0.0)))
+    place = F.row_number().over(Window.partitionBy("doc_id", "field").orderBy(F.desc("confidence"), "pass"))
+    return sure.withColumn("place", place).where("place = 1").select("doc_id", "field", "value", "confidence")
 
 
 def confidences(extractions: DataFrame) -> DataFrame:

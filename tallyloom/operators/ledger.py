@@ -104,10 +104,16 @@ def years(invoices: DataFrame) -> DataFrame:
 
 
 def page(invoices: DataFrame, number: int, size: int = 20) -> DataFrame:
-    """One listing page, newest first; a page beyond either end is moved to the nearest one."""
+    """One listing page, newest first; a page beyond either end is moved to the nearest one.
+
+    Ids are numbered in listing order without gathering the ledger, then the rows of the page are fetched.
+    """
     last = max(1, -(-invoices.count() // size))
     number = min(max(1, number), last)
-    return newest_first(invoices).offset((number - 1) * size).limit(size)
+    age = F.coalesce(-F.unix_date("date").cast("long"), F.lit(2**40))
+    placed = number_rows(invoices.select(age.alias("age"), "id"), "age", "id", name="place")
+    wanted = placed.where(F.col("place").between((number - 1) * size + 1, number * size)).select("id")
+    return newest_first(invoices.join(wanted, "id", "left_semi"))
 
 
 def listing_totals(invoices: DataFrame, size: int = 20) -> DataFrame:

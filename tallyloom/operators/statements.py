@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tallyloom.fixed_values import BANK_NAMES, HEADER_PATTERNS, STANDARD_COLUMNS
 from tallyloom.functions import money
 from tallyloom.functions.dates import parse_date
-from tallyloom.session import durable
 
 HEADER_ROWS = 10  # a header is looked for among the first ten non-blank lines of a file
 DAY_FIRST = ["d/M/y", "d-M-y", "d.M.y", "d-MMM-yy", "d MMM y"]
@@ -175,19 +174,28 @@ def standardise(lines: DataFrame, overrides: DataFrame | None = None) -> DataFra
     text_rows = parsed.select(
         "file", F.col("line_no").alias("row_no"), F.col("date").alias("date_text"), "description", "reference",
         F.coalesce("debit", by_debit).alias("debit"), F.coalesce("credit", by_credit).alias("credit"), "balance")
-    # Written once: the date vote and the result both read it, and without the break Catalyst would
-    # push the test for empty rows, with all parsers in it, down into the join.
-    return _read_dates(durable(text_rows).dropna("all", subset=["description", "debit", "credit"]))
+    # The one-row inline keeps the test for empty rows, with all parsers in it, from being repeated below the join.
+    once = text_rows.select(F.inline(F.array(F.struct(*text_rows.columns))))
+    votes = _month_first(cells.select("file", F.col("date").alias("date_text")))
+    return _read_dates(once.dropna("all", subset=["description", "debit", "credit"]), votes)
 
 
-def _read_dates(rows: DataFrame) -> DataFrame:
-    """ISO dates are ISO; other dates are day-first unless month-first reads more rows of the file."""
-    text = F.col("date_text")
+def _dates_of(text: Column) -> tuple[Column, Column, Column]:
     iso = F.coalesce(parse_date(text, ["y-M-d"]), F.try_to_timestamp(text).cast("date"))
-    iso = F.when(text.rlike(r"^\d{4}-"), iso)
-    day_first, month_first = parse_date(text, DAY_FIRST), parse_date(text, MONTH_FIRST)
-    votes = rows.where(text.isNotNull() & iso.isNull()).groupBy("file").agg(
+    return F.when(text.rlike(r"^\d{4}-"), iso), parse_date(text, DAY_FIRST), parse_date(text, MONTH_FIRST)
+
+
+def _month_first(dates: DataFrame) -> DataFrame:
+    """(file, month_first): whether month-first reads more of the file's dates than day-first."""
+    text = money.blank_to_null(F.col("date_text"))
+    iso, day_first, month_first = _dates_of(F.col("date_text"))
+    return dates.withColumn("date_text", text).where("date_text is not null").where(iso.isNull()).groupBy("file").agg(
         (F.count(month_first) > F.count(day_first)).alias("month_first"))
+
+
+def _read_dates(rows: DataFrame, votes: DataFrame) -> DataFrame:
+    """ISO dates are ISO; other dates are day-first unless month-first reads more rows of the file."""
+    iso, day_first, month_first = _dates_of(F.col("date_text"))
     chosen = F.when(F.coalesce("month_first", F.lit(False)), month_first).otherwise(day_first)
     return rows.join(votes, "file", "left").select(
         "file", "row_no", F.coalesce(iso, chosen).alias("date"), "description", "reference", "debit", "credit",

@@ -1,15 +1,16 @@
 """Supplier master: lookups, upserts and sheet imports on the normalised name.
 
-``arrival`` is a unique number per row that fixes what "first" means.
+``arrival`` is unique per row and fixes what "first" means: a number in the master, anything that sorts in new rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyloom.fixed_values import SHEET_COLUMNS, SHEET_HEADER_NAMES, SHEET_TOTAL_WORDS
 from tallyloom.functions import names
 from tallyloom.functions.money import blank_to_null
+from tallyloom.operators.numbering import number_rows
 from tallyloom.operators.statements import split_fields
 
 
@@ -18,10 +19,9 @@ def keyed(suppliers: DataFrame) -> DataFrame:
 
 
 def one_per_key(suppliers: DataFrame) -> DataFrame:
-    """First supplier of every normalised name; a partial aggregate, so hot names stay small."""
-    rows = keyed(suppliers).where(F.col("name_key") != "")
-    others = [c for c in rows.columns if c != "name_key"]
-    return rows.groupBy("name_key").agg(F.min_by(F.struct(*others), "arrival").alias("s")).select("name_key", "s.*")
+    """First supplier of every normalised name; all but one row a task and name drop out before the shuffle."""
+    place = F.row_number().over(Window.partitionBy("name_key").orderBy("arrival"))
+    return keyed(suppliers).where(F.col("name_key") != "").withColumn("place", place).where("place = 1").drop("place")
 
 
 def by_category(suppliers: DataFrame, category: str) -> DataFrame:
@@ -59,21 +59,37 @@ def amounts_of_nested(suppliers: DataFrame, amount: float, threshold: float = 0.
     return entry.where(F.abs(value - F.lit(amount)) < threshold).select("supplier_name", "i.*")
 
 
+def with_arrival(suppliers: DataFrame, incoming: DataFrame) -> DataFrame:
+    """``incoming`` with whole arrival numbers after those of ``suppliers``, in the order of its own ``arrival``.
+
+    An arrival may be anything unique that sorts, such as a struct of document and record.
+    """
+    if dict(incoming.dtypes)["arrival"] in ("int", "bigint"):
+        return incoming
+    start = suppliers.agg(F.coalesce(F.max("arrival"), F.lit(0)).cast("long")).scalar()
+    given = incoming.withColumnRenamed("arrival", "given")
+    return number_rows(given, "given", name="arrival", start=start).drop("given")
+
+
 def upsert(suppliers: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Add-or-merge in one keyed aggregate: first filled value per field, categories united in order.
+    """Add-or-merge by name: first filled value of every column, categories united in order.
 
-    Known suppliers come before incoming rows, incoming rows in arrival order. Adds ``is_new``, and
-    ``vat_filled`` where an incoming row supplied a VAT number that was missing.
+    Known suppliers come before incoming rows, incoming rows in arrival order. Columns of either side are kept. Adds
+    ``is_new``, and ``vat_filled`` where an incoming row supplied a VAT number that was missing.
     """
-    fields = ["supplier_name", "transaction_type", "vat_number"]
     rows = keyed(suppliers).withColumn("turn", F.lit(0)).unionByName(
-        keyed(incoming).withColumn("turn", F.lit(1)), allowMissingColumns=True).where(F.col("name_key") != "")
+        keyed(with_arrival(suppliers, incoming)).withColumn("turn", F.lit(1)), allowMissingColumns=True).where(F.col("name_key") != "")
     at = F.struct("turn", "arrival")
+    fields = [c for c in rows.columns if c not in ("name_key", "turn", "arrival", "category", "categories")]
+
+    def filled(name: str) -> Column:
+        return blank_to_null(F.col(name)) if rows.schema[name].dataType.simpleString() == "string" else F.col(name)
+
     merged = rows.groupBy("name_key").agg(
-        *[F.min_by(f, F.when(blank_to_null(F.col(f)).isNotNull(), at)).alias(f) for f in fields],
+        *[F.min_by(f, F.when(filled(f).isNotNull(), at)).alias(f) for f in fields],
         # The primary category is never replaced; a new supplier takes the one it arrives with.
         F.min_by("category", at).alias("category"),
-        F.min("arrival").alias("arrival"),
+        F.min(at).getField("arrival").alias("arrival"),
         (F.min("turn") == 1).alias("is_new"),
         (F.min(F.when(blank_to_null(F.col("vat_number")).isNotNull(), F.col("turn"))) == 1).alias("vat_from_incoming"),
     )
@@ -182,7 +198,7 @@ def import_sheets(suppliers: DataFrame, lines: DataFrame) -> tuple[DataFrame, Da
     """Supplier master after a sheet import, and its statistics (total, new, updated)."""
     found = read_sheets(lines).withColumn("transaction_type", F.coalesce(
         blank_to_null(F.col("transaction_type")), F.lit("Not specified")))
-    incoming = found.withColumn("arrival", F.xxhash64("sheet", "line_no"))
+    incoming = found.withColumn("arrival", F.struct("sheet", "line_no"))
     known = keyed(suppliers).select("name_key", F.lit(True).alias("known")).distinct()
     # Two spellings of one key: the first is new, the rest update it.
     per_key = keyed(found).groupBy("name_key").agg(F.count("*").alias("n")).join(known, "name_key", "left")

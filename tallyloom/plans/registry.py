@@ -6,7 +6,7 @@ Results are projected to plain types (amounts as double, dates and lists as text
 from __future__ import annotations
 
 import datetime as dt
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -15,6 +15,7 @@ from tallyloom.functions import dates, money, names, replies
 from tallyloom.operators import currency, evaluation, extraction, ledger, reconcile, statements
 from tallyloom.operators import suppliers as supplier_ops
 from tallyloom.plans import reports
+from tallyloom.session import shared_folder
 from tallyloom.sources import sinks, tables
 from tallyloom.streaming import jobs
 
@@ -47,11 +48,8 @@ def plain(df: DataFrame) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below the shared checkpoint folder; a temporary one only in local sessions without it."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        return tempfile.mkdtemp(prefix="tallyloom-run-")
-    return f"{root}/tallyloom-run-{spark.sql('select uuid()').first()[0]}"
+    """A new folder below the shared one."""
+    return f"{shared_folder(spark)}/tallyloom-run-{uuid.uuid4().hex}"
 
 
 @query
@@ -265,7 +263,7 @@ def report_summary(spark: SparkSession, d: str) -> DataFrame:
     items = reports.combine(reports.invoice_items(tables.invoices(spark, d), tables.suppliers(spark, d)),
                             reports.bank_items(tables.bank(spark, d)))
     return plain(reports.summary(items)).select(
-        F.coalesce("year", F.lit(0)).alias("year"), F.coalesce("month", F.lit(0)).alias("month"), "income", "expenses", "net")
+        F.coalesce("year", F.lit(0)).alias("year"), F.coalesce("month", F.lit(0)).alias("month"), "level", "income", "expenses", "net")
 
 
 @query
@@ -303,7 +301,7 @@ def four_field_export(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def ledger_export(spark: SparkSession, d: str) -> DataFrame:
-    return reports.display_ledger(tables.invoices(spark, d))
+    return plain(reports.display_ledger(tables.invoices(spark, d))).withColumn("supplier_id", F.coalesce("supplier_id", F.lit(-1).cast("long")))
 
 
 @query

@@ -69,10 +69,11 @@ def bank_items(transactions: DataFrame, fee_limit: float = FEE_LIMIT) -> DataFra
 
 
 def in_month(items: DataFrame, year: int, month: int, include_undated: bool = False) -> DataFrame:
-    """Rows of one month; undated rows count as that month only on request."""
+    """Rows of one month; undated rows count, on request, as of its first day, in sheets and sums alike."""
     first = dt.date(year, month, 1)
-    date = F.coalesce(F.col("date"), F.lit(first)) if include_undated else F.col("date")
-    return items.where(date.between(F.lit(first), F.last_day(F.lit(first))))
+    if include_undated:
+        items = items.withColumn("date", F.coalesce(F.col("date"), F.lit(first)))
+    return items.where(F.col("date").between(F.lit(first), F.last_day(F.lit(first))))
 
 
 def combine(items: DataFrame, bank: DataFrame) -> DataFrame:
@@ -85,12 +86,24 @@ def combine(items: DataFrame, bank: DataFrame) -> DataFrame:
     return items.unionByName(bank.join(spent, ["date", "transactor", "total"], "left_anti"))
 
 
-def summary(items: DataFrame) -> DataFrame:
-    """Income, expenses and net in the base currency per year and month, with year and grand totals."""
+def _sums() -> list[Column]:
     income = F.coalesce(F.sum(F.when(F.col("sheet") == "INCOME", F.col("total"))), F.lit(0).cast(money.MONEY))
     spent = F.coalesce(F.sum(F.when(F.col("sheet") == "EXPENSES", F.col("total"))), F.lit(0).cast(money.MONEY))
-    return items.rollup(F.year("date").alias("year"), F.month("date").alias("month")).agg(
-        income.alias("income"), spent.alias("expenses"), (income - spent).alias("net"))
+    return [income.alias("income"), spent.alias("expenses"), (income - spent).alias("net")]
+
+
+def summary(items: DataFrame) -> DataFrame:
+    """Income, expenses and net in the base currency; ``level`` tells months from year totals and the grand total.
+
+    Undated rows are a month and a year of their own (null).
+    """
+    level = F.when(F.grouping_id() == 0, "month").when(F.grouping_id() == 1, "year").otherwise("all")
+    return items.rollup(F.year("date").alias("year"), F.month("date").alias("month")).agg(level.alias("level"), *_sums())
+
+
+def month_summary(items: DataFrame) -> DataFrame:
+    """The sums of the months that the items lie in."""
+    return items.groupBy(F.year("date").alias("year"), F.month("date").alias("month")).agg(*_sums())
 
 
 def alerts(items: DataFrame, columns: list[str] = AMOUNT_COLUMNS) -> DataFrame:
@@ -120,7 +133,7 @@ def comprehensive_report(invoices: DataFrame, suppliers: DataFrame, year: int, m
     return {
         "INCOME": ordered(items.where("sheet = 'INCOME'"), INCOME_COLUMNS),
         "EXPENSES": ordered(items.where("sheet = 'EXPENSES'"), EXPENSE_COLUMNS),
-        "SUMMARY": summary(items).where("year is not null and month is not null"),
+        "SUMMARY": month_summary(items),
         "DATA ALERTS": alerts(items),
     }
 
@@ -183,9 +196,9 @@ def add_unseen(current: DataFrame, session_rows: DataFrame) -> DataFrame:
 
 
 def display_ledger(invoices: DataFrame) -> DataFrame:
-    """Full ledger export with written dates and grouped amounts."""
-    return invoices.select(
-        "id", F.date_format("date", "yyyy-MM-dd").alias("date"), "invoice_number", "transactor",
-        F.format_number("amount", 2).alias("amount"), F.format_number("vat", 2).alias("vat"),
-        F.format_number("total_base", 2).alias("total_base"), "currency", "transaction_type", "notes",
-        names.shorten(F.coalesce("description", F.lit(""))).alias("description"))
+    """Full ledger export: every column and the whole texts, dates written out and amounts grouped."""
+    return invoices.select("id", *[
+        F.date_format("date", "yyyy-MM-dd").alias("date") if c == "date"
+        else F.format_number(c, 2).alias(c) if c in ("amount", "vat", "total_base")
+        else F.coalesce(c, F.lit("")).alias(c) if c == "description" else F.col(c)
+        for c in ledger.FIELDS])

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_OWN_FOLDERS: dict[str, tempfile.TemporaryDirectory] = {}
+
+
 def build_session(app: str = "tallyloom", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the jobs expect; on a cluster the submit command sets the rest."""
     builder = (
@@ -23,20 +29,43 @@ def build_session(app: str = "tallyloom", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors see: the one of ``spark.checkpoint.dir``.
+
+    A session in one process (master ``local`` or ``local[...]``) without that setting gets a temporary folder of its own,
+    removed when the driver ends. On a cluster the setting must be there.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder:
+        return folder
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _OWN_FOLDERS:
+        _OWN_FOLDERS[app] = tempfile.TemporaryDirectory(prefix="tallyloom-", ignore_cleanup_errors=True)
+    return _OWN_FOLDERS[app].name
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the checkpoint folder so that several readers share it.
+    """Writes ``df`` once as Parquet into the shared folder, so that several readers see the same rows.
 
-    The folder is the shared one named by ``spark.checkpoint.dir``. A local-mode session without
-    that setting gets a temporary folder; a cluster session without it keeps the plain lineage,
-    because a machine-local folder would not survive the loss of an executor.
+    The behaviour is the same everywhere: the copy is written, also where nothing would be recomputed. Copies stay until
+    :func:`discard` or until the driver ends.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None and context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
-            return df
-        folder = tempfile.mkdtemp(prefix="tallyloom-checkpoint-")
-    if folder is not None and context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(df.sparkSession)}/tallyloom/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    copy = df.sparkSession.read.schema(df.schema).parquet(path)
+    copy._durable_path = path
+    atexit.register(discard, copy)
+    return copy
+
+
+def discard(*copies: DataFrame) -> None:
+    """Removes durable copies that nothing reads any more."""
+    for copy in copies:
+        try:
+            context = copy.sparkSession.sparkContext
+            path = context._jvm.org.apache.hadoop.fs.Path(copy._durable_path)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        except Exception:  # the session has ended; the folder belongs to the run
+            return

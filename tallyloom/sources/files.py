@@ -33,13 +33,22 @@ def statement_lines(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("file", (F.col("block") * F.lit(1 << 20) + within).alias("line_no"), "line")
 
 
-def multiline_statements(spark: SparkSession, path: str) -> DataFrame:
-    """Statement files with line breaks inside quoted cells: whole records by the CSV reader, as lines again."""
-    rows = spark.read.csv(path, header=False, multiLine=True, quote='"', escape='"', recursiveFileLookup=True)
-    cells = F.transform(F.array(*[F.coalesce(F.col(c), F.lit("")) for c in rows.columns]), lambda v: F.concat(
+def multiline_statements(spark: SparkSession, path: str, widest: int = 256) -> DataFrame:
+    """Statement files with line breaks inside quoted cells: whole records by the CSV reader, as lines again.
+
+    Records may differ in width, as lines above the header do; a record of ``widest`` cells or more raises an error. Each
+    such file is read by one task.
+    """
+    names = [f"c{i}" for i in range(widest)]
+    rows = spark.read.schema(", ".join(f"{c} string" for c in names)).csv(
+        path, header=False, multiLine=True, quote='"', escape='"', recursiveFileLookup=True)
+    cells = F.transform(F.array(*[F.coalesce(F.col(c), F.lit("")) for c in names]), lambda v: F.concat(
         F.lit('"'), F.replace(F.translate(v, "\r\n", "  "), F.lit('"'), F.lit('""')), F.lit('"')))
-    return rows.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line_no"),
-                       F.array_join(cells, ",").alias("line"))
+    filled = F.greatest(*[F.when(F.col(c).isNotNull(), F.lit(i + 1)).otherwise(F.lit(0)) for i, c in enumerate(names)])
+    wide = F.raise_error(F.concat(F.lit(f"a record has {widest} cells or more in "), F.col("_metadata.file_path")))
+    return rows.select(
+        F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line_no"),
+        F.when(F.col(names[-1]).isNotNull(), wide).otherwise(F.array_join(F.slice(cells, 1, filled), ",")).alias("line"))
 
 
 def _or_empty(spark: SparkSession, schema: str, load: Callable[[], DataFrame]) -> DataFrame:

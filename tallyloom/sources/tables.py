@@ -14,11 +14,10 @@ from tallyloom.functions import money
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """One given table. A table stored as fewer pieces than there are cores is spread over them."""
+    """One given table. One that comes as a single file of one row group is spread over the cores."""
     table = spark.read.parquet(f"{folder}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in ("orders", "conversations", "lineitem") and table.rdd.getNumPartitions() < cores:
-        return table.repartition(cores)
+    if name in ("orders", "conversations", "lineitem") and len(table.inputFiles()) == 1:
+        return table.repartition(spark.sparkContext.defaultParallelism)
     return table
 
 
