@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from checks.reconcile_sql import BEST_MATCH, STATS
+from checks.reconcile_sql import BEST_MATCH, LINES_TO_MATCH, STATS
 from checks.views_sql import BANK, INCOMING, INVOICES, SUPPLIERS, rate, with_views
 
-ORACLE: dict[str, str] = {"reconcile_best_match": BEST_MATCH, "reconcile_stats": STATS}
+ORACLE: dict[str, str] = {"reconcile_best_match": BEST_MATCH, "reconcile_stats": STATS, "statement_to_match": LINES_TO_MATCH}
 
 
 def add(name: str, *views: str):
@@ -223,12 +223,45 @@ FROM chosen LEFT JOIN one_supplier s ON s.k = {key('transactor')}""")
 
 add("confidence_merge", REPLIES)("""
 , fields AS (
-  SELECT doc_id, stage_no, 'Amount' AS field, amount_text AS value, CASE WHEN stage_no = 2 AND doc_id % 3 = 3 THEN 0 ELSE ('0.' || (stage_no * 3 + doc_id % 3 + 1))::DOUBLE END AS confidence FROM answers WHERE readable
-  UNION ALL SELECT doc_id, stage_no, 'Transactor', transactor, 0.5::DOUBLE FROM answers WHERE readable
-  UNION ALL SELECT doc_id, stage_no, 'Currency', CASE doc_id % 5 WHEN 0 THEN 'eur' WHEN 1 THEN 'USD' WHEN 2 THEN 'GBP' WHEN 3 THEN 'XXX' END, 0::DOUBLE FROM answers WHERE readable)
+  SELECT doc_id, stage_no, unnest([
+    {'field': 'Amount', 'value': amount_text, 'confidence': ('0.' || (stage_no * 3 + doc_id % 3 + 1))::DOUBLE},
+    {'field': 'Transactor', 'value': transactor, 'confidence': 0.5::DOUBLE},
+    {'field': 'Currency', 'value': CASE doc_id % 5 WHEN 0 THEN 'eur' WHEN 1 THEN 'USD' WHEN 2 THEN 'GBP' WHEN 3 THEN 'XXX' END, 'confidence': 0::DOUBLE},
+    {'field': 'Invoice Number', 'value': CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'INV-' || digits END, 'confidence': 0::DOUBLE},
+    {'field': 'Invoice Date', 'value': CASE doc_id % 4 WHEN 0 THEN strftime(date, '%Y-%m-%d') WHEN 1 THEN strftime(date, '%d/%m/%Y')
+      WHEN 2 THEN strftime(date, '%B %-d, %Y') ELSE '' END, 'confidence': 0::DOUBLE},
+    {'field': 'Tax Amount', 'value': CASE WHEN doc_id % 3 = 0 THEN '12.5' ELSE '0' END, 'confidence': 0::DOUBLE},
+    {'field': 'Total Amount', 'value': CASE WHEN doc_id % 2 = 0 THEN (net + 20)::DOUBLE::VARCHAR ELSE '' END, 'confidence': 0::DOUBLE},
+    {'field': 'Description', 'value': CASE WHEN doc_id % 4 = 1 THEN 'None' ELSE 'Order ' || doc_id END, 'confidence': 0::DOUBLE},
+    {'field': 'Expense Category Account', 'value': segment || ', general', 'confidence': 0::DOUBLE},
+    {'field': 'Kind of Transaction', 'value': 'DEDUCTION', 'confidence': 0::DOUBLE},
+    {'field': 'VAT', 'value': vat_text, 'confidence': 0::DOUBLE}], recursive := true)
+  FROM answers WHERE readable)
 SELECT doc_id, field, value, confidence FROM fields WHERE value IS NOT NULL
 QUALIFY row_number() OVER (PARTITION BY doc_id, field ORDER BY confidence DESC, stage_no) = 1""")
 
+add("replies_to_suppliers", REPLIES, CHOSEN, SUPPLIERS)(f"""
+, half AS (SELECT {key('supplier_name')} AS k, * FROM suppliers WHERE arrival % 2 = 0),
+named AS (SELECT {key('transactor')} AS k, any_value(transactor) AS transactor, any_value(segment || ', general') AS account,
+    arg_min(vat_text, doc_id) FILTER (WHERE vat_text IS NOT NULL) AS vat FROM chosen GROUP BY 1)
+SELECT coalesce(h.k, n.k) AS name_key, coalesce(h.supplier_name, n.transactor) AS supplier_name,
+  CASE WHEN h.k IS NULL THEN account ELSE h.category END AS category,
+  CASE WHEN h.k IS NULL THEN account ELSE array_to_string(list_concat(h.categories, CASE WHEN account IS NULL THEN [] ELSE [account] END), '|') END AS categories,
+  coalesce({filled('h.transaction_type')}, CASE WHEN n.k IS NOT NULL THEN 'DEDUCTION' END) AS transaction_type,
+  coalesce({filled('h.vat_number')}, n.vat) AS vat_number, (h.k IS NULL)::INTEGER AS is_new,
+  (h.k IS NOT NULL AND {filled('h.vat_number')} IS NULL AND n.vat IS NOT NULL)::INTEGER AS vat_filled
+FROM half h FULL JOIN named n ON h.k = n.k""")
+
+add("supplier_import_master", SHEET)(f"""
+, placed AS (SELECT *, {key("c_name || ' Co'")} AS k, CASE WHEN c_custkey % 10 = 0 THEN [n_name, seg] ELSE [seg, n_name] END AS listed
+  FROM (SELECT s.*, c.c_mktsegment AS seg FROM sheet_rows s JOIN customer c ON c.c_custkey = s.c_custkey))
+SELECT k AS name_key, CASE WHEN c_custkey % 2 = 0 THEN c_name || ' CO' ELSE c_name || '-Co' END AS supplier_name,
+  CASE WHEN c_custkey % 2 = 0 THEN 'KNOWN' WHEN c_custkey % 10 = 0 THEN NULL ELSE seg END AS category,
+  CASE WHEN c_custkey % 2 = 0 THEN 'KNOWN|' ELSE '' END || array_to_string(listed, '|') AS categories,
+  'EXPENSES with VAT' AS transaction_type, CASE WHEN c_custkey % 2 = 0 THEN 'NEW' || c_custkey END AS vat_number,
+  CASE WHEN c_custkey % 2 = 0 THEN '{{"arrival":' || c_custkey || '}}' END AS raw_extraction, (c_custkey % 2 <> 0)::INTEGER AS is_new
+FROM placed""")
+
 add("names_and_dates", INVOICES)(f"""
 , f AS (SELECT id, date, invoice_number, id % 2 = 0 AS even, lpad(id::VARCHAR, 9, '0') AS digits,
           day(date) || '-' || month(date) || '-' || year(date) AS written FROM invoices)
@@ -278,6 +311,14 @@ SELECT 'EXPENSES' AS sheet, event_type AS transactor, event_id::VARCHAR AS invoi
 FROM (SELECT *, 'amount' AS field, (value::DECIMAL(18,2) - 1)::DECIMAL(18,2) AS v FROM events
       UNION ALL SELECT *, 'total_eur', value::DECIMAL(18,2) FROM events)
 WHERE v < 0.01""")
+UNDATED = INVOICES.replace("o_orderdate::DATE AS date", "CASE WHEN o_orderkey % 50 <> 0 THEN o_orderdate::DATE END AS date")
+MARCH = "coalesce(date, DATE '1997-03-01') BETWEEN DATE '1997-03-01' AND DATE '1997-03-31'"
+add("report_undated", UNDATED, SUPPLIERS, BANK, ONE_SUPPLIER, ENRICHED, ITEMS)(f"""
+, march AS (SELECT * FROM items WHERE {MARCH})
+SELECT part, total::DOUBLE AS total FROM (
+  SELECT unnest(['summary income', 'INCOME']) AS part, sum(total) FILTER (WHERE sheet = 'INCOME') AS total FROM march
+  UNION ALL SELECT unnest(['summary expenses', 'EXPENSES']), sum(total) FILTER (WHERE sheet = 'EXPENSES') FROM march
+  UNION ALL SELECT 'alerts', count(*) FROM march WHERE amount < 0.01 OR total_bgn < 0.01 OR total_eur < 0.01)""")
 KINDS = f"""kinds AS (
   SELECT *, coalesce({filled('transaction_type')}, CASE WHEN json_valid(raw_extraction)
     THEN json_extract_string(raw_extraction, '$."Kind of Transaction"') END, '') AS kind,
@@ -392,9 +433,27 @@ FROM (SELECT model, sum(wer::DECIMAL(20,6))::DOUBLE / count(*) AS mean, count(*)
 add("voice_drafts")("""
 SELECT conv_id * 1000 + turn AS doc_id, '2002-01-01' AS date, CASE WHEN turn > 0 THEN role ELSE '' END AS transactor,
   CASE WHEN turn > 0 THEN 12.5::DOUBLE ELSE 0::DOUBLE END AS amount, 'PKR' AS currency,
-  least(length(text), 500)::INTEGER AS description_length, (length(text) + 14)::INTEGER AS notes_length
+  left(text, 500) AS description, '[Voice Memo]: ' || text AS notes
 FROM conversations WHERE trim(text) <> ''""")
 add("stream_daily_totals")("""
 SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day_start, event_type AS kind, count(*) AS entries,
   sum(value::DECIMAL(18,2))::DOUBLE AS total FROM events GROUP BY 1, 2""")
 add("stream_without_repeats")("SELECT event_type, count(*) AS rows FROM (SELECT DISTINCT event_id, event_type FROM events) GROUP BY 1")
+
+add("form_functions", INVOICES)(f"""
+SELECT id, amount::DOUBLE AS amount, vat::DOUBLE AS vat,
+  ((CASE WHEN id % 3 = 2 THEN amount ELSE amount + vat END) * {rate('currency')})::DECIMAL(18,2)::DOUBLE AS total_base,
+  (amount + vat)::DOUBLE AS line_total, ((amount + vat) * {rate('currency')})::DECIMAL(18,2)::DOUBLE AS line_base,
+  CASE id % 4 WHEN 0 THEN 'USD' WHEN 1 THEN 'EUR' WHEN 2 THEN 'PKR' END AS named_currency, amount::DOUBLE AS named_amount,
+  CASE WHEN notes <> '' THEN notes || chr(10) || chr(10) ELSE '' END || '[Note]: seen' AS noted,
+  currency || '|' || transactor AS listed, strftime(date_trunc('month', date), '%Y-%m-%d') AS month, month(date)::INTEGER AS month_number,
+  strftime(date, '%d/%m/%Y') AS slashed, CASE WHEN id % 5 = 1 THEN 'Known Payee' ELSE transactor END AS payee,
+  transactor || ' ' || notes AS spoken, id::DOUBLE AS spoken_seconds
+FROM invoices""")
+add("stream_ingest", REPLIES, CHOSEN)(f"""
+, typed AS (SELECT *, CASE WHEN doc_id % 7 = 0 THEN 0 ELSE net END AS a0, CASE WHEN doc_id % 3 = 0 THEN 12.50 ELSE 0 END AS v0,
+    CASE WHEN doc_id % 2 = 0 THEN net + 20 ELSE 0 END AS t0 FROM chosen),
+rows AS (SELECT transactor, (CASE WHEN t0 > 0 AND a0 = 0 THEN t0 - v0 ELSE a0 END)::DECIMAL(18,2) AS amount FROM typed)
+SELECT transactor, count(*) AS rows, sum(amount)::DOUBLE AS amount, count(*) AS numbered, 1 AS unique_ids FROM rows GROUP BY 1
+UNION ALL SELECT 'suppliers', n, 0.0, n, 1 FROM (
+  SELECT count(*) AS n FROM customer WHERE c_custkey % 2 = 0 OR c_custkey IN (SELECT o_custkey FROM orders))""")

@@ -69,3 +69,13 @@ SELECT file, count(*) AS total, count(id) AS matched,
   printf('%.0f%%', floor(count(id) * 100.0::DOUBLE / count(*) + 0.5)) AS match_rate,
   coalesce(floor(sum(round_even((a + d + s + n) * 100, 0)::INTEGER)::DOUBLE / nullif(count(id), 0)), 0)::INTEGER AS avg_confidence
 FROM bank b LEFT JOIN matched m ON b.row_no = m.row_no GROUP BY file"""
+
+LINES_TO_MATCH = with_views(INVOICES, BANK, MATCHED) + """
+SELECT b.file, b.row_no - min(b.row_no) OVER (PARTITION BY b.file) + 100 AS row_no, i.invoice_number AS matched_invoice_number,
+  coalesce(round_even((a + d + s + n) * 100, 0), 0)::INTEGER AS match_confidence,
+  ((m.c + 50) // 100)::DOUBLE / 100 AS converted_invoice_amount,
+  CASE WHEN m.id IS NULL THEN '' ELSE 'Invoice ' || i.invoice_number || ': ' || (v.amount + v.vat)::DECIMAL(18,2) || ' ' || v.currency
+    || ' (net ' || v.amount || ' + VAT ' || v.vat || ') = ' || format('{:,.2f}', ((m.c + 50) // 100)::DOUBLE / 100) || ' PKR, bank: '
+    || format('{:,.2f}', m.t::DOUBLE / 10000) || ' PKR (diff: '
+    || format('{:.1f}', round((m.c - m.t)::DOUBLE / m.c::DOUBLE * 100, 1)) || '%)' END AS match_details
+FROM bank b LEFT JOIN matched m ON b.row_no = m.row_no LEFT JOIN inv i ON m.id = i.id LEFT JOIN invoices v ON m.id = v.id"""

@@ -25,8 +25,14 @@ def parse_date(text: Column, formats: list[str]) -> Column:
         F.when(trimmed.rlike(_shape(f)), F.try_to_timestamp(trimmed, F.lit(f)).cast("date")) for f in formats])
 
 
+def leading_date(text: Column) -> Column:
+    """The date that a text begins with, without a time behind it; any other text as a whole."""
+    token = F.regexp_extract(F.trim(text), r"^(\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4})(?=\D|$)", 1)
+    return F.coalesce(F.nullif(token, F.lit("")), F.trim(text))
+
+
 def parse_match_date(text: Column) -> Column:
-    return parse_date(F.substring(F.trim(text), 1, 10), MATCH_DATE_FORMATS)
+    return parse_date(leading_date(text), MATCH_DATE_FORMATS)
 
 
 def date_in_text(text: Column) -> Column:

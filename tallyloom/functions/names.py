@@ -49,7 +49,7 @@ def fold_lines(text: Column) -> Column:
 
 
 def split_list(text: Column) -> Column:
-    return F.transform(F.split(text, ","), F.trim)
+    return F.transform(F.split(text, ","), lambda part: F.trim(part))
 
 
 def append_note(notes: Column, addition: Column, label: Column) -> Column:

@@ -2,28 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-def find_needles(texts: DataFrame, needles: DataFrame) -> DataFrame:
+#: Characters of a needle's anchor.
+ANCHOR = 8
+
+
+def _pieces(text: Column, size: Column) -> Column:
+    """Distinct substrings of one size; none if the text is shorter."""
+    starts = F.when(size <= F.length(text), F.sequence(F.lit(1), F.length(text) - size + 1))
+    return F.array_distinct(F.transform(starts, lambda start: F.substr(text, start, size)))
+
+
+def _anchored(keys: DataFrame, size: int) -> DataFrame:
+    """(kind, needle, piece): the needle's substring of the given size that the fewest needles have; all of a shorter one."""
+    pieces = keys.select("needle").distinct().where(F.length("needle") >= size).select(
+        "needle", F.explode(_pieces(F.col("needle"), F.lit(size))).alias("piece"))
+    popularity = pieces.groupBy("piece").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("needle").orderBy("n", "piece"))
+    anchors = pieces.join(popularity, "piece").withColumn("place", place).where("place = 1").select("needle", "piece")
+    short = keys.where(F.length("needle") < size).select("kind", "needle", F.col("needle").alias("piece"))
+    return short.unionByName(keys.join(anchors, "needle").select("kind", "needle", "piece"))
+
+
+def find_needles(texts: DataFrame, needles: DataFrame, size: int = ANCHOR) -> DataFrame:
     """Pairs (text, kind, needle) where the needle occurs anywhere in the text.
 
-    ``texts``: one column ``text``; ``needles``: ``kind``, ``needle`` (non-empty). Each distinct text
-    is cut into its distinct substrings of exactly the lengths that occur among the needles, and
-    substrings meet needles in an equi-join. Whole texts are cut; Spark broadcasts the needles by
-    itself only while they stay under its size threshold.
+    ``texts``: one column ``text``; ``needles``: ``kind``, ``needle`` (non-empty). Every needle is looked up by one anchor, its
+    rarest substring of ``size`` characters; texts are cut into pieces of that size (and of the sizes of shorter needles), so
+    a text costs about its length in rows, however long the needles are. Pieces meet anchors in an equi-join, and what meets is
+    compared in full. Whole texts are cut.
     """
     keys = needles.select("kind", "needle").where(F.length("needle") > 0).distinct()
-    # A one-row scalar subquery: the distinct lengths are at most as many as the longest key is long.
-    lengths = keys.select(F.length("needle").alias("n")).agg(F.array_sort(F.collect_set("n"))).scalar()
-    text = F.col("text")
+    # A one-row scalar subquery with at most ``size`` numbers.
+    sizes = keys.select(F.least(F.length("needle"), F.lit(size)).alias("n")).agg(F.array_sort(F.collect_set("n"))).scalar()
     cut = (
         texts.select("text").where(F.length("text") > 0).distinct()
-        .withColumn("n", F.explode(lengths))
-        .where(F.col("n") <= F.length("text"))
-        .select("text", F.explode(F.array_distinct(F.transform(
-            F.sequence(F.lit(1), F.length(text) - F.col("n") + 1),
-            lambda start: F.substr(text, start, F.col("n")),
-        ))).alias("needle"))
+        .withColumn("n", F.explode(sizes))
+        .select("text", F.explode(_pieces(F.col("text"), F.col("n"))).alias("piece"))
     )
-    return cut.join(keys, "needle").select("text", "kind", "needle")
+    return cut.join(_anchored(keys, size), "piece").where(F.contains("text", "needle")).select("text", "kind", "needle")

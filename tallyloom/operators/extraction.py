@@ -131,9 +131,11 @@ def invoice_rows(recs: DataFrame, as_of: str, supplier_rules: list[tuple[str, st
     ).where(F.col("transactor").isNotNull())
 
 
-def draft_from_transcript(transcripts: DataFrame, as_of: str) -> DataFrame:
+def draft_from_transcript(transcripts: DataFrame, as_of: str, description_length: int = 500) -> DataFrame:
     """Voice memos as draft invoices: defaults overlaid with whatever was extracted.
 
+    ``description`` is the beginning of the text, up to ``description_length`` characters; ``notes`` holds all of it.
+
     ``transcripts``: doc_id, text, fields map<string,string> (null when nothing was extracted).
     """
     f = F.col("fields")
@@ -147,7 +149,7 @@ def draft_from_transcript(transcripts: DataFrame, as_of: str) -> DataFrame:
         amount.alias("amount"), vat.alias("vat"),
         F.coalesce(replies.field(f, "currency"), F.lit("PKR")).alias("currency"),
         F.concat(F.lit("[Voice Memo]: "), "text").alias("notes"),
-        F.left("text", F.lit(500)).alias("description"),
+        F.left("text", F.lit(description_length)).alias("description"),
         F.lit(False).alias("is_income"), F.lit("EXPENSES with VAT").alias("transaction_type"))
 
 

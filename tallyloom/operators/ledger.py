@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyloom.functions import money, names
 from tallyloom.operators.containment import find_needles
@@ -79,10 +79,11 @@ def near_amount(invoices: DataFrame, amount: float, threshold: float = 0.01) ->
     return invoices.where(close("amount") | close("total_base"))
 
 
-def near_amounts(invoices: DataFrame, targets: DataFrame, threshold: float = 0.01) -> DataFrame:
+def near_amounts(invoices: DataFrame, targets: DataFrame, threshold: float = 0.01, nearest: int | None = None) -> DataFrame:
     """Bulk form of ``near_amount``: pairs (target, id), found through buckets of the threshold's width.
 
-    ``targets``: one column ``target``. Two amounts closer than the threshold share a bucket or lie in
+    ``targets``: one column ``target``. With ``nearest``, each target keeps that many invoices, by distance, then id; without it, all
+    that the threshold admits. Two amounts closer than the threshold share a bucket or lie in
     neighbouring ones, so each target asks three buckets and meets only those invoices.
     """
     def bucket(value: Column) -> Column:
@@ -91,11 +92,13 @@ def near_amounts(invoices: DataFrame, targets: DataFrame, threshold: float = 0.0
     asked = targets.select("target").distinct().withColumn(
         "bucket", F.explode(F.transform(F.array(*[F.lit(i) for i in (-1, 0, 1)]),
                                         lambda step: bucket(F.col("target")) + step)))
-    return (
-        amounts.withColumn("bucket", bucket(F.col("value"))).join(asked, "bucket")
-        .where(F.abs(F.col("value") - F.col("target")) < threshold)
-        .select("target", "id").distinct()
-    )
+    away = F.abs(F.col("value") - F.col("target"))
+    found = amounts.withColumn("bucket", bucket(F.col("value"))).join(asked, "bucket").where(away < threshold)
+    if nearest is None:
+        return found.select("target", "id").distinct()
+    closest = found.groupBy("target", "id").agg(F.min(away).alias("away"))
+    place = F.row_number().over(Window.partitionBy("target").orderBy("away", "id"))
+    return closest.withColumn("place", place).where(F.col("place") <= nearest).select("target", "id")
 
 
 def years(invoices: DataFrame) -> DataFrame:

@@ -25,6 +25,8 @@ amount) are collapsed first, so hot amounts and hot suppliers do not multiply.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyloom.functions import dates, money
@@ -120,13 +122,13 @@ def prepare_invoices(invoices: DataFrame, bank_currency: str, rates: DataFrame |
     )
 
 
-def prepare_transactions(txns: DataFrame, key: str) -> DataFrame:
+def prepare_transactions(txns: DataFrame, key: Sequence[str]) -> DataFrame:
     """Direction, amount, day and search text of each transaction with a positive amount; credit wins."""
     credit, debit = F.coalesce(F.col("credit"), F.lit(0)), F.coalesce(F.col("debit"), F.lit(0))
     value = F.when(credit > 0, credit).when(debit > 0, debit)
     text = F.lower(F.concat_ws(" ", F.coalesce("description", F.lit("")), F.coalesce("reference", F.lit(""))))
     return txns.select(
-        F.col(key).alias("txn"),
+        F.struct(*key).alias("txn"),
         (~(credit > 0)).alias("is_debit"),
         (value * UNITS).cast("long").alias("t"),
         F.coalesce(F.unix_date("date"), F.lit(NO_DAY)).alias("day"),
@@ -374,17 +376,22 @@ def _search(txns: DataFrame, points: DataFrame, evidence: DataFrame, opposite: b
 def match_transactions(
     statement: DataFrame,
     invoices: DataFrame,
-    key: str = "row_no",
+    key: Sequence[str] = ("file", "row_no"),
     bank_currency: str = BASE_CURRENCY,
     date_tolerance_days: int = 30,
     amount_tolerance_pct: float = 0.15,
     rates: DataFrame | None = None,
 ) -> DataFrame:
-    """The statement with the seven match columns; ``key`` names its unique row id."""
+    """The statement with the seven match columns; ``key`` names the columns that identify a row.
+
+    A key that repeats among the rows to match raises an error.
+    """
     if not 0 < amount_tolerance_pct < 1:
         raise ValueError("amount_tolerance_pct must lie between 0 and 1")
     inv = prepare_invoices(invoices, bank_currency, rates)
     txns = prepare_transactions(statement, key)
+    if txns.groupBy("txn").count().where("count > 1").limit(1).count():
+        raise ValueError(f"{', '.join(key)} must identify the rows of the statement")
     found_in_text, members = text_evidence(txns.select("text").distinct(), inv)
     found_in_text = durable(found_in_text)
     # Whole numbers instead of texts as group keys; written once, so that the numbers stay the same.
@@ -398,7 +405,7 @@ def match_transactions(
     return _describe(statement, txns, found, inv, key, bank_currency, date_tolerance_days, amount_tolerance_pct)
 
 
-def _describe(statement: DataFrame, txns: DataFrame, found: DataFrame, inv: DataFrame, key: str,
+def _describe(statement: DataFrame, txns: DataFrame, found: DataFrame, inv: DataFrame, key: Sequence[str],
               bank_currency: str, tolerance_days: int, tolerance: float) -> DataFrame:
     """Re-scores the winning pairs from the plain rule and writes the match columns."""
     pair = with_bounds(txns.join(found, "txn").join(inv.withColumnRenamed("day", "inv_day"), "id"), tolerance)
@@ -430,7 +437,7 @@ def _describe(statement: DataFrame, txns: DataFrame, found: DataFrame, inv: Data
         F.format_number(bank, 2), F.lit(f" {bank_currency} (diff: "), F.format_string("%.1f", pct), F.lit("%)"),
     )
     columns = pair.select(
-        F.col("txn").alias(key),
+        *[F.col("txn").getField(k).alias(k) for k in key],
         F.col("transactor").alias("matched_supplier"),
         F.col("invoice_number").alias("matched_invoice_number"),
         F.bround(score * 100).cast("int").alias("match_confidence"),
@@ -440,7 +447,7 @@ def _describe(statement: DataFrame, txns: DataFrame, found: DataFrame, inv: Data
         details.alias("match_details"),
         F.col("id").alias("matched_invoice_id"),
     )
-    return statement.join(columns, key, "left").withColumn(
+    return statement.join(columns, list(key), "left").withColumn(
         "match_confidence", F.coalesce("match_confidence", F.lit(0)))
 
 

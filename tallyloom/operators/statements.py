@@ -38,22 +38,25 @@ def is_header(fields: Column) -> Column:
     return (F.size(named) >= 3) & dated & financial
 
 
-def find_headers(lines: DataFrame) -> DataFrame:
-    """(file, header_line, header_row, header): first valid header per file, else its first line."""
+def find_headers(lines: DataFrame, header_rows: int = HEADER_ROWS) -> DataFrame:
+    """(file, header_line, header_row, header, header_found): first valid header per file, else its first line.
+
+    A header is looked for among the first ``header_rows`` non-blank lines; ``header_found`` tells files without one.
+    """
     order = Window.partitionBy("file").orderBy("line_no")
     first = (
         lines.where(F.trim("line") != "")
-        .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= HEADER_ROWS + 1)
+        .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= header_rows + 1)
         .withColumn("fields", split_fields(F.col("line")))
     )
     # A header needs a data line behind it, so the last of the first lines never counts.
     last = F.max("rank").over(Window.partitionBy("file"))
-    good = is_header(F.col("fields")) & (F.col("rank") <= HEADER_ROWS) & (F.col("rank") < F.col("last"))
+    good = is_header(F.col("fields")) & (F.col("rank") <= header_rows) & (F.col("rank") < F.col("last"))
     pick = F.struct(F.when(good, 0).otherwise(1), "rank")
     return first.withColumn("last", last).groupBy("file").agg(
-        F.min_by(F.struct("line_no", F.col("rank") - 1, "fields"), pick).alias("h")
-    ).select("file", F.col("h.line_no").alias("header_line"), F.col("h").getField("col2").alias("header_row"),
-             F.col("h.fields").alias("header"))
+        F.min_by(F.struct("line_no", (F.col("rank") - 1).alias("row"), "fields", good.alias("good")), pick).alias("h")
+    ).select("file", F.col("h.line_no").alias("header_line"), F.col("h.row").alias("header_row"),
+             F.col("h.fields").alias("header"), F.col("h.good").alias("header_found"))
 
 
 def map_columns(headers: DataFrame) -> DataFrame:
@@ -85,9 +88,9 @@ def map_columns(headers: DataFrame) -> DataFrame:
         F.nullif(F.get("picks", F.lit(n)), F.lit(0)).alias(f"i_{c}") for n, c in enumerate(MAPPED)])
 
 
-def resolve(lines: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
+def resolve(lines: DataFrame, overrides: DataFrame | None = None, header_rows: int = HEADER_ROWS) -> DataFrame:
     """Header and column mapping per file; ``overrides`` (file, std_col, src_col) win over detection."""
-    mapped = map_columns(find_headers(lines))
+    mapped = map_columns(find_headers(lines, header_rows))
     if overrides is None:
         return mapped
     wanted = overrides.groupBy("file").agg(
@@ -119,7 +122,7 @@ def mapping_options(lines: DataFrame) -> DataFrame:
                F.struct(F.lit(c).alias("key"), F.element_at("header", F.col(f"i_{c}")).alias("value")))
         for c in MAPPED]))
     return mapped.select("file", "header_row", F.col("header").alias("columns"),
-                         F.map_from_entries(entries).alias("suggested_mapping"), "header_line")
+                         F.map_from_entries(entries).alias("suggested_mapping"), "header_line", "header_found")
 
 
 def detect_formats(lines: DataFrame) -> DataFrame:
@@ -132,7 +135,7 @@ def detect_formats(lines: DataFrame) -> DataFrame:
     return options.join(counts, "file").select(
         "file", _format_name(F.col("file"), F.size("columns")).alias("detected_format"), "header_row", "columns",
         "suggested_mapping", F.size("suggested_mapping").alias("matched_columns"),
-        F.least(F.size("suggested_mapping") / 4, F.lit(1.0)).alias("confidence"), "row_count")
+        F.least(F.size("suggested_mapping") / 4, F.lit(1.0)).alias("confidence"), "row_count", "header_found")
 
 
 def sign_of(text: Column) -> Column:
@@ -154,9 +157,9 @@ def infer_sign(sign_cell: Column, fields: Column, amount: Column) -> Column:
     return F.coalesce(sign_of(sign_cell), bare, F.when(amount < 0, "D").otherwise("C"))
 
 
-def standardise(lines: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
+def standardise(lines: DataFrame, overrides: DataFrame | None = None, header_rows: int = HEADER_ROWS) -> DataFrame:
     """Standard transactions of all files: file, row_no, date, description, reference, debit, credit, balance."""
-    mapped = resolve(lines, overrides).select("file", "header_line", *[f"i_{c}" for c in MAPPED])
+    mapped = resolve(lines, overrides, header_rows).select("file", "header_line", *[f"i_{c}" for c in MAPPED])
     rows = (
         lines.where(F.trim("line") != "").join(mapped, "file")
         .where(F.col("line_no") > F.col("header_line"))

@@ -246,7 +246,7 @@ def extraction_suppliers(spark: SparkSession, d: str) -> DataFrame:
 @query
 def confidence_merge(spark: SparkSession, d: str) -> DataFrame:
     merged = extraction.merge_passes(extraction.confidences(tables.extractions(spark, d)))
-    return merged.where(F.col("field").isin("Amount", "Transactor", "Currency"))
+    return merged
 
 
 @query
@@ -414,8 +414,97 @@ def voice_drafts(spark: SparkSession, d: str) -> DataFrame:
         (F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text",
         F.when(F.col("turn") > 0, F.create_map(F.lit("transactor"), F.col("role"), F.lit("amount"), F.lit("12,50"))).alias("fields"))
     out = extraction.draft_from_transcript(t, AS_OF)
-    return plain(out.select("doc_id", "date", "transactor", "amount", "currency", F.length("description").alias("description_length"),
-                            F.length("notes").alias("notes_length")))
+    return plain(out.select("doc_id", "date", "transactor", "amount", "currency", "description", "notes"))
+
+
+@query
+def statement_to_match(spark: SparkSession, d: str) -> DataFrame:
+    """Raw statement text to matched transactions; line numbers start anew in every file, so they repeat."""
+    lines = tables.statement_lines(spark, d)
+    data = F.col("line_no") >= tables.FIRST_DATA_LINE
+    firsts = lines.where(data).groupBy("file").agg(F.min("line_no").alias("first"))
+    lines = lines.join(firsts, "file", "left").withColumn(
+        "line_no", F.when(data, F.col("line_no") - F.col("first") + tables.FIRST_DATA_LINE).otherwise(F.col("line_no"))).drop("first")
+    matched = reconcile.match_transactions(statements.standardise(lines), tables.invoices(spark, d))
+    return plain(matched.select("file", "row_no", "matched_invoice_number", "match_confidence", "converted_invoice_amount",
+                                F.coalesce("match_details", F.lit("")).alias("match_details")))
+
+
+@query
+def replies_to_suppliers(spark: SparkSession, d: str) -> DataFrame:
+    """Half of the supplier master, brought up to date with all suppliers that the replies name."""
+    recs = extraction.records(extraction.first_success(tables.extractions(spark, d)))
+    master = tables.suppliers(spark, d).where(F.col("arrival") % 2 == 0)
+    grown = supplier_ops.upsert(master, extraction.supplier_rows(recs).drop("doc_id", "record_no"))
+    return plain(grown.select("name_key", "supplier_name", "category", "categories", "transaction_type", "vat_number", "is_new", "vat_filled"))
+
+
+@query
+def supplier_import_master(spark: SparkSession, d: str) -> DataFrame:
+    """The master after sheets that name every supplier three times, each time spelled another way."""
+    known = tables.incoming_suppliers(spark, d).where((F.col("arrival") % 2 == 0) & F.col("supplier_name").endswith(" trading")).select(
+        "arrival", F.regexp_replace("supplier_name", " trading$", " CO").alias("supplier_name"), F.lit("KNOWN").alias("category"),
+        F.array(F.lit("KNOWN")).alias("categories"), F.lit(None).cast("string").alias("transaction_type"),
+        F.col("vat_number"), F.to_json(F.struct("arrival")).alias("raw_extraction"))
+    grown, _ = supplier_ops.import_sheets(known, tables.repeated_sheet_lines(spark, d))
+    return plain(grown.select("name_key", "supplier_name", "category", "categories", "transaction_type", "vat_number",
+                              "raw_extraction", "is_new"))
+
+
+@query
+def report_undated(spark: SparkSession, d: str) -> DataFrame:
+    """One month with the undated rows counted in: the sums of the sheets beside those of the summary."""
+    inv = tables.invoices(spark, d).withColumn("date", F.when(F.col("id") % 50 != 0, F.col("date")))
+    sheets = reports.comprehensive_report(inv, tables.suppliers(spark, d), 1997, 3, tables.bank(spark, d), include_undated=True)
+    value = F.coalesce("total_bgn", "total_eur", F.lit(0).cast(money.MONEY))
+    out = sheets["SUMMARY"].select(F.explode(F.array(
+        F.struct(F.lit("summary income").alias("part"), F.col("income").alias("total")),
+        F.struct(F.lit("summary expenses").alias("part"), F.col("expenses").alias("total")))).alias("x")).select("x.*")
+    for name in ("INCOME", "EXPENSES"):
+        out = out.unionByName(sheets[name].agg(F.lit(name).alias("part"), F.sum(value).alias("total")))
+    alerts = sheets["DATA ALERTS"].agg(F.lit("alerts").alias("part"), F.count("*").cast(money.MONEY).alias("total"))
+    return plain(out.unionByName(alerts))
+
+
+@query
+def form_functions(spark: SparkSession, d: str) -> DataFrame:
+    """What forms and memos do with a row: edited amounts, totals, notes, lists, months, payees, currencies in text."""
+    k = F.col("id")
+    inv = tables.invoices(spark, d).select("id", "date", "currency", "notes", "transactor", F.col("amount").alias("net"), F.col("vat").alias("tax"))
+    edits = ledger.edit_amounts(inv.withColumns({
+        "amount": F.col("net").cast("string"), "vat": F.col("tax").cast("string"),
+        "total": F.when(k % 3 == 0, "").when(k % 3 == 1, "0").otherwise(F.col("net").cast("string"))}))
+    text = F.concat(F.lit("Paid "), F.when(k % 4 == 0, "$").when(k % 4 == 1, "EUR ").when(k % 4 == 2, "Rs ").otherwise(""),
+                    F.col("net").cast("string"))
+    total = money.line_total(F.col("net"), F.col("tax"), F.col("currency"))
+    spoken = extraction.transcript_text(F.array(
+        F.struct(F.lit(0.0).alias("start"), F.lit(1.5).alias("end"), F.concat(F.lit(" "), "transactor", F.lit(" ")).alias("text")),
+        F.struct(F.lit(1.5).alias("start"), k.cast("double").alias("end"), F.col("notes").alias("text"))))
+    return plain(edits.select(
+        "id", "amount", "vat", "total_base", total["original"].alias("line_total"), total["base"].alias("line_base"),
+        money.currency_in_text(text).alias("named_currency"), money.first_amount_in_text(text).alias("named_amount"),
+        names.append_note(F.col("notes"), F.lit("seen"), F.lit("Note")).alias("noted"),
+        names.split_list(F.concat("currency", F.lit(" , "), "transactor")).alias("listed"),
+        dates.month_text(F.date_format("date", "MMMM yyyy")).alias("month"),
+        dates.month_number(F.date_format("date", "MMMM")).alias("month_number"), dates.slashed(F.col("date")).alias("slashed"),
+        replies.override_payee(F.col("transactor"), F.when(k % 5 == 0, "UNKNOWN").when(k % 5 == 1, F.lit("Known Payee"))).alias("payee"),
+        spoken["text"].alias("spoken"), spoken["duration"].alias("spoken_seconds")))
+
+
+@query
+def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
+    """All replies as a stream in four batches: ledger rows with supplier ids, and the grown master's size."""
+    folder = scratch(spark)
+    stream = jobs.read_pieces(spark, tables.extractions(spark, d), f"{folder}/in", 4, "doc_id")
+    master = tables.suppliers(spark, d).where(F.col("arrival") % 2 == 0)
+    jobs.ingest_replies(stream, f"{folder}/ledger", master, f"{folder}/checkpoint", AS_OF, f"{folder}/suppliers").awaitTermination()
+    rows = spark.read.parquet(f"{folder}/ledger")
+    grown = jobs.latest_master(spark, f"{folder}/suppliers", master)
+    return plain(rows.groupBy("transactor").agg(
+        F.count("*").alias("rows"), F.sum("amount").alias("amount"), F.count_if(F.col("id") > 0).alias("numbered"),
+        (F.countDistinct("id") == F.count("*")).alias("unique_ids"))).unionByName(grown.agg(
+            F.lit("suppliers").alias("transactor"), F.count("*").alias("rows"), F.lit(0.0).alias("amount"),
+            F.countDistinct("arrival").alias("numbered"), F.lit(1).alias("unique_ids")))
 
 
 @query
@@ -423,8 +512,8 @@ def stream_daily_totals(spark: SparkSession, d: str) -> DataFrame:
     folder = scratch(spark)
     stream = jobs.read_events(spark, d).select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("kind"),
                                                F.col("value").cast(money.MONEY).alias("amount"))
-    jobs.run_complete(jobs.daily_totals(stream), f"{folder}/out", f"{folder}/checkpoint")
-    return plain(spark.read.parquet(f"{folder}/out").withColumn("day_start", F.col("day_start").cast("date")))
+    jobs.run_updates(jobs.daily_totals(stream), f"{folder}/out", f"{folder}/checkpoint")
+    return plain(jobs.read_latest(spark, f"{folder}/out", ["day_start", "kind"]).withColumn("day_start", F.col("day_start").cast("date")))
 
 
 @query

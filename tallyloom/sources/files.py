@@ -60,6 +60,16 @@ def _or_empty(spark: SparkSession, schema: str, load: Callable[[], DataFrame]) -
         return spark.createDataFrame([], schema)
 
 
+def parquet_or_empty(spark: SparkSession, path: str) -> DataFrame | None:
+    """A Parquet table, or None where nothing has been written yet."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
 def suppliers(spark: SparkSession, path: str) -> DataFrame:
     """Supplier master from JSON (a list per file); a missing path gives an empty table."""
     rows = _or_empty(spark, SUPPLIER_SCHEMA, lambda: spark.read.schema(SUPPLIER_SCHEMA).json(path, multiLine=True))

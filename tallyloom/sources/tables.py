@@ -161,11 +161,38 @@ def statement_lines(spark: SparkSession, folder: str) -> DataFrame:
     european = F.concat_ws(",", F.date_format("date", "dd.MM.yyyy"), "description", "reference",
                            F.translate(quoted(value), ",.", ".,"),
                            F.when(F.col("debit").isNotNull(), "D").otherwise("C"), F.lit("x"))
-    lines = rows.select("file", (F.col("row_no") + 100).alias("line_no"),
+    lines = rows.select("file", (F.col("row_no") + FIRST_DATA_LINE).alias("line_no"),
                         F.when(style == 0, iso).when(style == 1, slashed).otherwise(european).alias("line"))
     return heads.unionByName(lines)
 
 
+#: Data lines of the statements are numbered from here.
+FIRST_DATA_LINE = 100
+
+
+def repeated_sheet_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Every customer on three sheets of its region, spelled and classed differently on each."""
+    rows = read(spark, folder, "customer").join(read(spark, folder, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(
+        read(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    k = F.col("c_custkey")
+    turns = F.array(F.lit("third"), F.lit("first"), F.lit("second"))
+    spelled = {"first": F.concat("c_name", F.lit("-Co")), "second": F.concat(F.upper("c_name"), F.lit("_CO")),
+               "third": F.concat("c_name", F.lit("  co"))}
+    classed = {"first": F.when(k % 10 == 0, "").otherwise(F.col("c_mktsegment")), "second": F.col("n_name"),
+               "third": F.col("c_mktsegment")}
+    body = rows.select("r_name", k.alias("k"), F.explode(turns).alias("turn"), "c_name", "c_mktsegment", "n_name", "c_custkey")
+
+    def of_turn(choice: dict[str, Column]) -> Column:
+        return F.when(F.col("turn") == "first", choice["first"]).when(F.col("turn") == "second", choice["second"]).otherwise(choice["third"])
+
+    sheet = F.concat("r_name", F.lit(" "), F.col("turn"))
+    lines = body.select(sheet.alias("sheet"), (F.col("k") + 10).alias("line_no"), F.concat_ws(
+        ",", F.lit("1"), F.lit("EXPENSES with VAT"), of_turn(spelled), of_turn(classed)).alias("line"))
+    heads = read(spark, folder, "region").select(F.col("r_name"), F.explode(turns).alias("turn")).select(
+        sheet.alias("sheet"), F.lit(0).cast("long").alias("line_no"), F.lit("A,B,C,D").alias("line"))
+    return heads.unionByName(lines)
+
+
 def sheet_lines(spark: SparkSession, folder: str) -> DataFrame:
     """The customers as supplier sheets, one per region, with two kinds of headers and a total line each."""
     region = read(spark, folder, "region")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tallyloom.operators import extraction, ledger, reconcile
+from tallyloom.operators import suppliers as supplier_ops
+from tallyloom.session import durable
 from tallyloom.sources import files
 
 
@@ -24,23 +26,55 @@ def without_repeats(stream: DataFrame, keys: list[str], watermark: str = "1 day"
     return stream.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(keys)
 
 
-def ingest_replies(replies: DataFrame, ledger_root: str, suppliers: DataFrame, checkpoint: str, as_of: str) -> StreamingQuery:
-    """Replies to ledger rows: each micro-batch overwrites its own folder of the ledger."""
+def _before(rows: DataFrame, batch_id: int) -> DataFrame:
+    """What earlier batches have written; a repeated batch does not see itself."""
+    return rows.where(F.col("batch") < batch_id) if "batch" in rows.columns else rows
+
+
+def latest_master(spark: SparkSession, root: str, start: DataFrame, batch_id: int | None = None) -> DataFrame:
+    """The supplier master after the last batch (before ``batch_id``), or ``start`` where no batch has written one."""
+    versions = files.parquet_or_empty(spark, root)
+    if versions is None:
+        return start
+    versions = _before(versions, batch_id) if batch_id is not None else versions
+    last = versions.agg(F.max("batch")).first()[0]
+    return start if last is None else versions.where(F.col("batch") == last).drop("batch")
+
+
+def ingest_replies(replies: DataFrame, ledger_root: str, suppliers: DataFrame, checkpoint: str, as_of: str,
+                   supplier_root: str | None = None) -> StreamingQuery:
+    """Replies to ledger rows and, with ``supplier_root``, to the supplier master.
+
+    Each micro-batch overwrites its own folders. A document counts once: replies that arrive after a batch that put its
+    document into the ledger add no row. The ids of those documents are kept beside the ledger.
+    """
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        earlier = files.invoices(spark, ledger_root)
-        if "batch" in earlier.columns:
-            earlier = earlier.where(F.col("batch") < batch_id)
-        rows = extraction.invoice_rows(extraction.records(extraction.first_success(batch)), as_of)
-        incoming = rows.withColumn("arrival", F.col("doc_id") * 1000 + F.col("record_no")).drop("conversion_error")
-        ledger.append(earlier, incoming, suppliers).write.mode("overwrite").parquet(f"{ledger_root}/batch={batch_id}")
+        earlier = _before(files.invoices(spark, ledger_root), batch_id)
+        winners = extraction.first_success(durable(batch))
+        seen = files.parquet_or_empty(spark, f"{ledger_root}/_documents")
+        if seen is not None:
+            winners = winners.join(_before(seen, batch_id).select("doc_id"), "doc_id", "left_anti")
+        winners = durable(winners)
+        winners.select("doc_id").write.mode("overwrite").parquet(f"{ledger_root}/_documents/batch={batch_id}")
+        recs = extraction.records(winners)
+        master = suppliers if supplier_root is None else latest_master(spark, supplier_root, suppliers, batch_id)
+        rows = extraction.invoice_rows(recs, as_of)
+        incoming = rows.withColumn("arrival", F.struct("doc_id", "record_no")).drop("conversion_error")
+        if supplier_root is not None:
+            grown = supplier_ops.upsert(master, extraction.supplier_rows(recs).drop("doc_id", "record_no"))
+            folder = f"{supplier_root}/batch={batch_id}"
+            grown.drop("name_key", "is_new", "vat_filled").write.mode("overwrite").parquet(folder)
+            master = spark.read.parquet(folder)
+        ledger.append(earlier, incoming, master).write.mode("overwrite").parquet(f"{ledger_root}/batch={batch_id}")
     return replies.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def reconcile_arrivals(transactions: DataFrame, invoices: DataFrame, out: str, checkpoint: str, **options) -> StreamingQuery:
     """Matches arriving transactions with the ledger; each micro-batch overwrites its own folder."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        matched = reconcile.match_transactions(batch, invoices, **options)
+        # A micro-batch is read several times; it is written out, so that all reads see the same rows.
+        matched = reconcile.match_transactions(durable(batch), invoices, **options)
         matched.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
     return transactions.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -51,15 +85,31 @@ def run_to_folder(stream: DataFrame, out: str, checkpoint: str) -> None:
      .outputMode("append").trigger(availableNow=True).start().awaitTermination())
 
 
-def run_complete(stream: DataFrame, out: str, checkpoint: str) -> None:
-    """Runs an aggregating stream over everything that is there; the folder holds the full result."""
-    def write(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
+def run_updates(stream: DataFrame, out: str, checkpoint: str) -> None:
+    """Runs an aggregating stream over everything that is there; each batch adds the rows that it changed.
+
+    State older than the watermark is dropped, and a repeated batch overwrites its own folder. :func:`read_latest`
+    reads the result.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
     (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-     .outputMode("complete").trigger(availableNow=True).start().awaitTermination())
+     .outputMode("update").trigger(availableNow=True).start().awaitTermination())
+
+
+def read_latest(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
+    """The last row that any batch wrote for each key."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("batch")))
+    return spark.read.parquet(out).withColumn("place", place).where("place = 1").drop("place", "batch")
 
 
 def read_events(spark: SparkSession, folder: str) -> DataFrame:
     """The events table as a stream of its file."""
     schema = spark.read.parquet(f"{folder}/events.parquet").schema
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+
+
+def read_pieces(spark: SparkSession, rows: DataFrame, folder: str, pieces: int, *keys: str) -> DataFrame:
+    """``rows`` written as so many files and streamed one file a batch."""
+    rows.repartition(pieces, *keys).write.parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)

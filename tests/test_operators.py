@@ -205,3 +205,106 @@ def test_match_method_columns(spark):
 def test_pages_are_clamped(spark, n, last):
     inv = spark.range(50).withColumn("date", F.lit(dt.date(2024, 1, 1)))
     assert ledger.page(inv, n).count() == last
+
+
+def test_upsert_keeps_every_column_and_the_order_of_arrival(spark):
+    base = spark.createDataFrame([(4, "Acme Ltd", "IT", ["IT"], None, "", {"a": "1"}, None)], SUP + ", raw_extraction map<string,string>, phone string")
+    new = spark.createDataFrame([(("d2", 0), "ACME_LTD", "Cloud", "X", "V2", {"b": "2"}, "77"), (("d1", 5), "New-Co", "First", None, None, {"c": "3"}, ""),
+                                 (("d3", 0), "new co", "Third", "T", None, None, "88")],
+                                "arrival struct<doc:string,no:int>, supplier_name string, category string, transaction_type string, "
+                                "vat_number string, raw_extraction map<string,string>, phone string")
+    got = {r["name_key"]: r for r in sup.upsert(base, new).collect()}
+    acme, other = got["ACME LTD"], got["NEW CO"]
+    assert acme["raw_extraction"] == {"a": "1"} and acme["phone"] == "77" and acme["arrival"] == 4
+    assert (other["supplier_name"], other["category"], other["categories"], other["transaction_type"], other["phone"]) == (
+        "New-Co", "First", ["First", "Third"], "T", "88")
+    assert other["raw_extraction"] == {"c": "3"} and other["arrival"] > 4
+
+
+def test_import_keeps_the_first_spelling(spark):
+    lines = spark.createDataFrame([("s", 0, "A,B,C,D"), ("s", 1, "1,T,Acme-Ltd,First"), ("s", 2, "1,T,Acme Ltd,Second"), ("s", 3, "1,T,ACME_LTD,Third")],
+                                  "sheet string, line_no long, line string")
+    master, counts = sup.import_sheets(spark.createDataFrame([], SUP), lines)
+    row = master.first()
+    assert (row["supplier_name"], row["categories"]) == ("Acme-Ltd", ["First", "Second", "Third"]) and counts.first()["new_suppliers"] == 1
+
+
+def test_replace_supplier(spark):
+    base = spark.createDataFrame([(1, "Acme Ltd", "IT", ["IT"], None, ""), (2, "Beta", "x", [], None, "")], SUP)
+    new = spark.createDataFrame([(9, "acme_ltd", "Z", ["Z"], "T", "V"), (9, "Nobody", "Z", [], None, None)], SUP)
+    assert {(r["arrival"], r["category"]) for r in sup.replace(base, new).collect()} == {(9, "Z"), (2, "x")}
+
+
+def test_multiline_statements_keep_all_columns(spark, tmp_path):
+    (tmp_path / "m.csv").write_text('My bank\nDate,Description,Debit\n2024-01-02,"two\nlines, and ""more""",5.00\n')
+    lines = files.multiline_statements(spark, str(tmp_path))
+    row = statements.standardise(lines).first()
+    assert (row["date"], row["description"], row["debit"]) == (dt.date(2024, 1, 2), 'two lines, and "more"', Decimal("5.00"))
+    with pytest.raises(Exception, match="cells or more"):
+        files.multiline_statements(spark, str(tmp_path), widest=3).collect()
+
+
+def test_undated_rows_count_in_sheets_and_sums(spark):
+    inv = tables.invoices(spark, DATA).limit(2).withColumns({
+        "date": F.when(F.col("id") == F.lit(-1), F.col("date")), "is_income": F.lit(True), "currency": F.lit("PKR"), "total_base": F.lit(5).cast("decimal(18,2)")})
+    sheets = reports.comprehensive_report(inv, tables.suppliers(spark, DATA), 2024, 5, include_undated=True)
+    assert sheets["INCOME"].count() == 2
+    assert [tuple(r) for r in sheets["SUMMARY"].collect()] == [(2024, 5, Decimal("10.00"), Decimal("0.00"), Decimal("10.00"))]
+    levels = reports.summary(reports.invoice_items(inv, tables.suppliers(spark, DATA))).collect()
+    assert sorted((r["level"], r["year"], r["income"]) for r in levels) == [
+        ("all", None, Decimal("10.00")), ("month", None, Decimal("10.00")), ("year", None, Decimal("10.00"))]
+
+
+def test_date_votes_own_signs_and_empty_rows(spark):
+    text = ["Date,Description,Amount", "03/25/2024,a,-5.00", "04/01/2024,b,7.00", "04/02/2024,,", "2024-04-03,c,1"]
+    lines = spark.createDataFrame([("us.csv", i, t) for i, t in enumerate(text)] + [("none.csv", i, f"x{i},y") for i in range(3)],
+                                  "file string, line_no long, line string")
+    rows = sorted((str(r["date"]), r["debit"], r["credit"]) for r in statements.standardise(lines).where("file = 'us.csv'").collect())
+    assert rows == [("2024-03-25", Decimal("5.00"), None), ("2024-04-01", None, Decimal("7.00")), ("2024-04-03", None, Decimal("1.00"))]
+    assert {r["file"]: r["header_found"] for r in statements.detect_formats(lines).collect()} == {"us.csv": True, "none.csv": False}
+
+
+def test_nearest_amounts_for_each_target(spark):
+    inv = spark.range(50).select("id", F.col("id").cast("decimal(18,2)").alias("amount"), F.lit(None).cast("decimal(18,2)").alias("total_base"))
+    targets = spark.createDataFrame([(Decimal("10.00"),)], "target decimal(18,2)")
+    assert {r["id"] for r in ledger.near_amounts(inv, targets, 5.0, nearest=3).collect()} == {9, 10, 11}
+
+
+def test_a_document_over_two_batches_counts_once(spark, tmp_path):
+    src, out, names = str(tmp_path / "in"), str(tmp_path / "ledger"), str(tmp_path / "suppliers")
+    reply = lambda n: f'{{"Transactor": "Firm {n}", "Amount": 5}}'
+    master = spark.createDataFrame([(3, "Firm 1", "IT", ["IT"], None, "")], SUP)
+
+    def arrive(rows):
+        spark.createDataFrame(rows, files.EXTRACTION_SCHEMA).coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(files.EXTRACTION_SCHEMA).parquet(src)
+        jobs.ingest_replies(stream, out, master, str(tmp_path / "cp"), "2024-01-01", names).awaitTermination()
+
+    arrive([(1, "a.pdf", "cloud", 1, reply(1)), (2, "b.pdf", "cloud", 1, "no answer")])
+    arrive([(1, "a.pdf", "text", 2, reply(9)), (2, "b.pdf", "text", 2, reply(2)), (3, "a.pdf", "cloud", 1, reply(3))])
+    rows = sorted((r["id"], r["transactor"]) for r in spark.read.parquet(out).collect())
+    assert [n for _, n in rows] == ["Firm 1", "Firm 2", "Firm 3"] and len({i for i, _ in rows}) == 3
+    grown = jobs.latest_master(spark, names, master)
+    assert {r["supplier_name"] for r in grown.collect()} == {"Firm 1", "Firm 2", "Firm 3"}
+    assert grown.select("arrival").distinct().count() == 3
+
+
+def test_updates_over_several_batches(spark, tmp_path):
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for hour, value in ((1, 1), (2, 10), (30, 100)):
+        spark.createDataFrame([(dt.datetime(2024, 1, 1) + dt.timedelta(hours=hour), "k", Decimal(value))],
+                              "ts timestamp, kind string, amount decimal(18,2)").coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema("ts timestamp, kind string, amount decimal(18,2)").parquet(src)
+        jobs.run_updates(jobs.daily_totals(stream), out, str(tmp_path / "cp"))
+    rows = sorted((r["day_start"].day, r["entries"], int(r["total"])) for r in jobs.read_latest(spark, out, ["day_start", "kind"]).collect())
+    assert rows == [(1, 2, 11), (2, 1, 100)]
+
+
+def test_exports_read_back(spark, tmp_path):
+    matched = spark.createDataFrame([("a", 1, 0), ("b", 2, 50)], "file string, row_no long, match_confidence int")
+    sinks.write_matches(matched, str(tmp_path / "m"))
+    assert spark.read.parquet(str(tmp_path / "m")).count() == 2
+    sinks.write_evaluation(matched, matched, matched, str(tmp_path / "e"))
+    assert spark.read.json(str(tmp_path / "e" / "details")).count() == 2
+    sinks.write_sheets({"DATA ALERTS": matched}, str(tmp_path / "s"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "s" / "data_alerts")).count() == 2

@@ -136,17 +136,34 @@ def test_equals_brute_force(spark, seed, days, tol):
     assert len(want) > 100
 
 
-def test_no_pairwise_join_in_plan(spark):
-    """Neither a nested loop nor a product, and the result does not depend on the partitioning."""
+def test_no_pairwise_join_in_any_plan(spark, monkeypatch):
+    """Neither a nested loop nor a product in what is written on the way or returned; partitioning does not matter."""
     rng = random.Random(9)
     invoices = [(i, day("2024-03-01"), f"inv-{i:04d}", "Nord Trading", D(rng.randint(1000, 9000)), None, "PKR", False) for i in range(60)]
     txns = [(i, "f", day("2024-03-02"), "nord", f"inv-{i:04d}", D(rng.randint(1000, 9000)), None) for i in range(60)]
+    plans, write = [], reconcile.durable
+
+    def watched(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df)
+
+    monkeypatch.setattr(reconcile, "durable", watched)
     a = reconcile.match_transactions(spark.createDataFrame(txns, TXN).repartition(1), spark.createDataFrame(invoices, INV))
+    monkeypatch.setattr(reconcile, "durable", write)
     b = reconcile.match_transactions(spark.createDataFrame(txns, TXN).repartition(7, "debit"), spark.createDataFrame(invoices, INV))
     rows = [sorted((r["row_no"], r["matched_invoice_id"]) for r in m.collect()) for m in (a, b)]
-    assert rows[0] == rows[1]
-    plan = a._jdf.queryExecution().executedPlan().toString()
-    assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+    assert rows[0] == rows[1] and len(plans) >= 3
+    for plan in (*plans, a._jdf.queryExecution().executedPlan().toString()):
+        assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+
+
+def test_rows_of_several_files_share_numbers(spark):
+    txns = [(1, "a.csv", day("2024-01-02"), "x", "", D("100.00"), None), (1, "b.csv", day("2024-01-02"), "x", "", D("900.00"), None)]
+    invoices = [(7, day("2024-01-02"), "n", "Y", D("100.00"), None, "PKR", False), (8, day("2024-01-02"), "m", "Z", D("900.00"), None, "PKR", False)]
+    out = reconcile.match_transactions(spark.createDataFrame(txns, TXN), spark.createDataFrame(invoices, INV)).collect()
+    assert sorted((r["file"], r["matched_invoice_id"]) for r in out) == [("a.csv", 7), ("b.csv", 8)]
+    with pytest.raises(ValueError, match="identify"):
+        reconcile.match_transactions(spark.createDataFrame(txns, TXN), spark.createDataFrame(invoices, INV), key=["row_no"])
 
 
 def test_stats(spark):
