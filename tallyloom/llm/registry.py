@@ -94,7 +94,8 @@ def op6_contextual_pii(spark: SparkSession, d: str) -> DataFrame:
 @query
 def op7_url_sweep(spark: SparkSession, d: str) -> DataFrame:
     """The verdict of the rules on every page."""
-    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    listed = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("host", "path", "verdict"), r)]) for r in URL_RULES])
+    rules = spark.range(1).select(F.inline(listed))
     judged = url_rules.judge(table(spark, d, "pages").select("page_id", "url"), rules)
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
