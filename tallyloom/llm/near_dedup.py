@@ -98,8 +98,13 @@ def classes(table: DataFrame, key: str) -> DataFrame:
     return joined.join(least, "__root").select("__print", "component_id")
 
 
+def _numbered(docs: DataFrame, text: str, carry: list[str]) -> DataFrame:
+    """The carried columns, ``__print`` and ``__rid``, staged."""
+    return common.numbered(fingerprints(docs, text).select(*[f"`{c}`" for c in carry], "__print"), "prints")
+
+
 def group(docs: DataFrame, *, text: str = "text", key: str = "doc_id", carry: list[str] | None = None) -> DataFrame:
-    """``docs`` with ``fingerprint`` (16 hex digits), ``component_id`` and ``__rid``, a number for each row.
+    """``docs`` with ``fingerprint`` (16 hex digits) and ``component_id``.
 
     Equal fingerprints collapse to one class before any pair is sought, so a group of thousands of copies costs one row.
     ``carry``: the input columns to keep (all by default). Null and empty texts share fingerprint zero and are linked like
@@ -107,15 +112,19 @@ def group(docs: DataFrame, *, text: str = "text", key: str = "doc_id", carry: li
     returned; an empty table gives no rows. Input columns named like an output column are replaced.
     """
     known = common.without(docs, "fingerprint", "component_id")
-    table = fingerprints(known, text).select(*[f"`{c}`" for c in known.columns if carry is None or c in carry], "__print")
-    table = common.numbered(table, "prints")
-    found = table.join(classes(table, key), "__print")
+    table = _numbered(known, text, [c for c in known.columns if carry is None or c in carry])
+    found = table.join(classes(table, key), "__print").drop("__rid")
     return found.withColumn("fingerprint", F.lpad(F.lower(F.hex("__print")), 16, "0")).drop("__print")
 
 
 def dedupe(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One document of each group: the one with the least key, and one of those if rows repeat. Columns as in ``docs``."""
-    grouped = group(docs, text=text, key=key)
+    """One document of each group: the one with the least key, and one of those if rows repeat. Columns as in ``docs``.
+
+    The survivors are chosen on narrow rows; the texts are exchanged once. See :func:`group` for nulls, repeated rows and
+    empty tables.
+    """
+    table = _numbered(docs, text, docs.columns)
     order = F.struct(F.col(f"`{key}`").isNull().alias("n"), F.col(f"`{key}`").alias("k"), F.col("__rid").alias("r"))
-    survivors = grouped.groupBy("component_id").agg(F.min(order).alias("first")).select(F.col("first.r").alias("__rid"))
-    return grouped.join(survivors, "__rid", "left_semi").select(*[f"`{c}`" for c in docs.columns])
+    chosen = table.select("__print", order.alias("o")).join(classes(table, key), "__print")
+    survivors = chosen.groupBy("component_id").agg(F.min("o").alias("first")).select(F.col("first.r").alias("__rid"))
+    return table.join(survivors, "__rid", "left_semi").select(*[f"`{c}`" for c in docs.columns])
