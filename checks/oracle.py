@@ -457,3 +457,12 @@ rows AS (SELECT transactor, (CASE WHEN t0 > 0 AND a0 = 0 THEN t0 - v0 ELSE a0 EN
 SELECT transactor, count(*) AS rows, sum(amount)::DOUBLE AS amount, count(*) AS numbered, 1 AS unique_ids FROM rows GROUP BY 1
 UNION ALL SELECT 'suppliers', n, 0.0, n, 1 FROM (
   SELECT count(*) AS n FROM customer WHERE c_custkey % 2 = 0 OR c_custkey IN (SELECT o_custkey FROM orders))""")
+add("statement_report_rows", BANK)("""
+, listed AS (
+  SELECT file, row_no + 100 AS row_no, date, CASE n % 3 WHEN 0 THEN 'Shop' ELSE description END AS payee,
+    CASE n % 3 WHEN 0 THEN description ELSE '' END AS description, CASE n % 3 WHEN 0 THEN '' ELSE reference END AS reference, debit
+  FROM (SELECT *, regexp_extract(file, '_(\\d+)', 1)::INTEGER AS n FROM bank) WHERE debit >= 0.01)
+SELECT file, row_no, strftime(date, '%Y-%m-%d') AS date, payee, description, reference, debit::DOUBLE AS debit FROM listed
+UNION ALL
+SELECT CASE WHEN debit <= 17 THEN 'BANK FEES' ELSE 'PAYMENT' END, count(*), NULL, CASE WHEN debit <= 17 THEN 'BANK' ELSE payee END, '', '',
+  sum(debit)::DOUBLE FROM listed GROUP BY 1, 4""")

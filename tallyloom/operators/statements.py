@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyloom.fixed_values import BANK_NAMES, HEADER_PATTERNS, STANDARD_COLUMNS
 from tallyloom.functions import money
-from tallyloom.functions.dates import parse_date
+from tallyloom.functions.dates import excel_serial, parse_date
 
 HEADER_ROWS = 10  # a header is looked for among the first ten non-blank lines of a file
 DAY_FIRST = ["d/M/y", "d-M-y", "d.M.y", "d-MMM-yy", "d MMM y"]
@@ -208,3 +208,46 @@ def _read_dates(rows: DataFrame, votes: DataFrame) -> DataFrame:
 def debit_rows(transactions: DataFrame) -> DataFrame:
     """Outgoing transactions for the report; amounts below one cent drop out."""
     return transactions.where(F.col("debit") >= 0.01)
+
+
+def _place(fits) -> Column:
+    """Place of the first header (lower-cased) that fits, null without one."""
+    return F.try_element_at(F.filter(F.sequence(F.lit(1), F.size("titles")), lambda i: fits(F.element_at("titles", i))), F.lit(1))
+
+
+def report_rows(lines: DataFrame, header_rows: int = HEADER_ROWS) -> DataFrame:
+    """Outgoing rows of raw statements for the report: file, row_no, date, payee, description, reference, debit.
+
+    Looser than :func:`standardise`: the date is the column named so, else the first cell that reads like one; the amount is the
+    amount column, else one named after a sum, total or value; the sign comes from its column, else from any bare sign in
+    the row, else from the amount; the reference is the column named so, else the first filled column without a name.
+    """
+    heads = find_headers(lines, header_rows).select(
+        "file", "header_line", F.transform("header", lambda h: F.lower(F.trim(h))).alias("titles"))
+    placed = heads.select(
+        "file", "header_line", "titles",
+        _place(lambda t: (t == "date") | (t.contains("date") & ~t.contains("value"))).alias("i_date"),
+        F.coalesce(_place(lambda t: t == "amount"), _place(lambda t: t.rlike("amount|sum|total|value") & ~t.contains("sign"))).alias("i_amount"),
+        F.coalesce(_place(lambda t: t == "amount sign"), _place(lambda t: t.contains("sign"))).alias("i_sign"),
+        _place(lambda t: t.contains("reference")).alias("i_reference"),
+        _place(lambda t: t == "payee").alias("i_payee"), _place(lambda t: t == "description").alias("i_description"))
+    rows = lines.where(F.trim("line") != "").join(placed, "file").where(F.col("line_no") > F.col("header_line")).withColumn(
+        "fields", F.transform(split_fields(F.col("line")), lambda c: F.trim(c)))
+
+    def cell(name: str) -> Column:
+        return money.blank_to_null(F.try_element_at("fields", F.col(f"i_{name}")))
+
+    by_content = F.try_element_at(F.filter("fields", lambda c: c.rlike("[/-]") & c.rlike("[0-9]")), F.lit(1))
+    unnamed = F.try_element_at(F.filter("fields", lambda c, i: (F.get("titles", i) == "") & (c != "")), F.lit(1))
+    cells = rows.select(
+        "file", F.col("line_no").alias("row_no"), "fields",
+        F.when(F.col("i_date").isNull(), by_content).otherwise(cell("date")).alias("date_text"),
+        F.coalesce(cell("payee"), F.lit("")).alias("payee"), F.coalesce(cell("description"), F.lit("")).alias("description"),
+        F.coalesce(F.when(F.col("i_reference").isNull(), unnamed).otherwise(cell("reference")), F.lit("")).alias("reference"),
+        cell("sign").alias("sign_cell"), money.parse_money(cell("amount")).alias("amount"))
+    text = F.col("date_text")
+    date = F.when(text.rlike(r"^[0-9]+(\.[0-9]+)?$"), excel_serial(text.try_cast("double"))).otherwise(
+        parse_date(text, ["d/M/y", "y-M-d"]))
+    signed = cells.withColumn("sign", infer_sign(F.col("sign_cell"), F.col("fields"), F.col("amount")))
+    return signed.where((F.col("sign") == "D") & (F.abs("amount") >= 0.01)).select(
+        "file", "row_no", date.alias("date"), "payee", "description", "reference", F.abs("amount").alias("debit")).where("date is not null")

@@ -430,6 +430,17 @@ def statement_to_match(spark: SparkSession, d: str) -> DataFrame:
                                 F.coalesce("match_details", F.lit("")).alias("match_details")))
 
 
+@query
+def statement_report_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Outgoing rows of statements whose columns are found by content, and what the report makes of them."""
+    rows = statements.report_rows(tables.report_lines(spark, d))
+    items = reports.bank_items(rows).groupBy("kind_of_transaction", "transactor").agg(F.sum("total").alias("debit"), F.count("*").alias("n"))
+    listed = rows.select("file", "row_no", "date", "payee", "description", "reference", "debit")
+    return plain(listed.unionByName(items.select(
+        F.col("kind_of_transaction").alias("file"), F.col("n").alias("row_no"), F.lit(None).cast("date").alias("date"), F.col("transactor").alias("payee"),
+        F.lit("").alias("description"), F.lit("").alias("reference"), F.col("debit").cast(money.MONEY).alias("debit"))))
+
+
 @query
 def replies_to_suppliers(spark: SparkSession, d: str) -> DataFrame:
     """Half of the supplier master, brought up to date with all suppliers that the replies name."""

@@ -166,6 +166,24 @@ def statement_lines(spark: SparkSession, folder: str) -> DataFrame:
     return heads.unionByName(lines)
 
 
+def report_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """The bank lines as statements that only the report reads: dates, signs and references in columns named otherwise."""
+    nation = read(spark, folder, "nation").select(F.col("n_nationkey").alias("n"))
+    style = F.pmod(F.col("n"), F.lit(3))
+    file = F.concat(F.lit("statement_"), F.col("n").cast("string"), F.lit(".csv"))
+    heads = nation.select(file.alias("file"), F.lit(0).cast("long").alias("line_no"), F.when(
+        style == 0, "Date,Description,Payee,Amount,Amount Sign").when(style == 1, "When,Payee,,Total sum,Mark").otherwise(
+        "Value of,Booking date,Payee,Reference number,Amount").alias("line"))
+    rows = bank(spark, folder).withColumn("n", F.regexp_extract("file", r"_(\d+)\.csv", 1).cast("int"))
+    value, out = F.coalesce("debit", "credit").cast("string"), F.col("debit").isNotNull()
+    plain = F.concat_ws(",", F.date_format("date", "dd/MM/yyyy"), "description", F.lit("Shop"), value, F.when(out, "D").otherwise("C"))
+    bare = F.concat_ws(",", F.date_format("date", "yyyy-MM-dd"), "description", "reference", value, F.when(out, "Dr").otherwise("cr"))
+    own = F.concat_ws(",", F.lit("x"), F.datediff("date", F.lit("1899-12-30").cast("date")).cast("string"), "description", "reference",
+                      F.concat(F.when(out, "-").otherwise(""), value))
+    return heads.unionByName(rows.select("file", (F.col("row_no") + FIRST_DATA_LINE).alias("line_no"), F.when(
+        style == 0, plain).when(style == 1, bare).otherwise(own).alias("line")))
+
+
 #: Data lines of the statements are numbered from here.
 FIRST_DATA_LINE = 100
 
