@@ -8,10 +8,13 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 _LOCAL_FOLDERS: dict[str, str] = {}
+_RECORDS: list[list[DataFrame]] = []
 
 #: Lower-cases A-Z and turns every byte that is no word byte of the contamination rule into a blank.
 ALNUM_BYTES = bytes(
@@ -52,9 +55,21 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     back = spark.read.schema(df.schema).parquet(path)
     back._staged_path = path
     atexit.register(discard, back)
+    if _RECORDS:
+        _RECORDS[-1].append(back)
     return back
 
 
+@contextmanager
+def recorded() -> Iterator[list[DataFrame]]:
+    """The tables staged inside the block, so that a caller who has written the result can discard them."""
+    _RECORDS.append([])
+    try:
+        yield _RECORDS[-1]
+    finally:
+        _RECORDS.pop()
+
+
 def discard(*frames: DataFrame) -> None:
     """Removes staged tables that nothing reads any more."""
     for df in frames:

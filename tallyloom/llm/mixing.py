@@ -175,7 +175,8 @@ def mix(docs: DataFrame, *, text: str = "text", source: str = "source", key: str
             break
         open_docs = rest.join(counts, rest["__source"].eqNullSafe(counts["s"])).drop("s")
         round_no += 1
-    mixed = named.join(settled, "__rid", "left")
+    # What was settled grows with the documents: one plan at every size, no broadcast of it.
+    mixed = named.join(settled.hint("merge"), "__rid", "left")
     copies = (F.col("__whole") + F.coalesce("__more", F.lit(0))).cast("int")
     return mixed.select(
         *[f"`{c}`" for c in kept], F.col("__size").alias("size"), "source_size", "target", copies.alias("copies"),

@@ -72,27 +72,22 @@ class CompressionClassifier:
         self.good, self.bad, self.model, self.prior = good, bad, model, prior
 
     @classmethod
-    def fit(cls, labelled: DataFrame, *, label: str = "label", text: str = "text", key: str = "doc_id",
+    def fit(cls, docs: DataFrame, labels: DataFrame, *, label: str = "label", text: str = "text", key: str = "doc_id",
             sample_docs: int = SAMPLE_DOCS) -> CompressionClassifier:
-        """Learns from rows labelled 1 (good) and 0 (bad).
+        """Learns from the documents that ``labels`` marks 1 (good) or 0 (bad).
 
-        Of each class the ``sample_docs`` rows with the least hash of key and text are drawn. One half, up to ``SAMPLE_BYTES`` of
-        each, makes the dictionaries; the whole texts of the other half, measured in Spark, make the calibration, weighted
-        to the share that the classes have among all labelled rows. Rows without a label or text are left out.
-        Without rows of both classes every score is the share of good labels, one half without any.
+        ``sample_docs`` labels of each class are drawn, see :func:`calibration.draw`. One half of the documents, up to
+        ``SAMPLE_BYTES`` of each, makes the dictionaries; the whole texts of the other half, measured in Spark, make the
+        calibration, weighted to the share that the classes have among all labels. Null texts are empty. Without labels of
+        both classes every score is the share of good ones, one half without any.
         """
-        spark = labelled.sparkSession
-        rows = labelled.select(
-            F.col(f"`{label}`").cast("int").alias("y"), F.col(f"`{text}`").cast("binary").alias("t"),
-            F.xxhash64(F.col(f"`{key}`").cast("string"), F.col(f"`{text}`")).alias("h"),
-        ).where("y in (0, 1) and t is not null")
-        counts = {r.y: r["count"] for r in rows.groupBy("y").count().collect()}
+        rows, counts = calibration.draw(docs, labels, label=label, text=text, key=key, per_class=sample_docs)
         if len(counts) < 2:
             return cls(b"", b"", None, float(next(iter(counts), 0.5)))
-        draws = [rows.where(F.col("y") == y).orderBy("h", "t").limit(sample_docs) for y in (0, 1)]
-        drawn = common.staged(draws[0].union(draws[1]), "quality-sample")
+        prior = counts[1] / sum(counts.values())
+        drawn = common.staged(rows, "quality-sample")
         even = F.pmod(F.shiftrightunsigned("h", 1), F.lit(2)) == 0
-        heads = drawn.where(even).select("y", F.substring("t", 1, SAMPLE_BYTES).alias("t"), "h").collect()
+        heads = drawn.where(even).select("y", F.substring("t", 1, SAMPLE_BYTES).alias("t"), "h").where("t is not null").collect()
         heads.sort(key=lambda r: (r.h, r.t))
         bad, good = (_dictionary([bytes(r.t) for r in heads if r.y == y]) for y in (0, 1))
         rest = drawn.where(~even).select("y", "h", "t").mapInArrow(
@@ -101,10 +96,10 @@ class CompressionClassifier:
         common.discard(drawn)
         y = np.array([r.y for r in rest], float)
         if len(set(y)) < 2:
-            return cls(good, bad, None, counts[1] / sum(counts.values()))
+            return cls(good, bad, None, prior)
         seen = {v: float((y == v).sum()) for v in (0, 1)}
         importance = np.array([counts[int(v)] / seen[int(v)] for v in y])
-        return cls(good, bad, calibration.fit(np.array([r[2:] for r in rest]), y, importance), counts[1] / sum(counts.values()))
+        return cls(good, bad, calibration.fit(np.array([r[2:] for r in rest]), y, importance), prior)
 
     def score(self, docs: DataFrame, text: str = "text") -> DataFrame:
         """``docs`` without ``text``, with ``score``: how likely the whole text is good, from 0 to 1.

@@ -46,12 +46,10 @@ def op2_suffix_automaton(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _labelled(spark: SparkSession, d: str, label: str, held: int, parts: int) -> tuple[DataFrame, DataFrame]:
-    """All documents with ``held_out``, and the labelled ones that are not held out."""
+    """All documents with ``held_out``, and the labels of those that are not held out."""
     held_out = quality_model.remainder(F.col("doc_id"), parts) == held
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    labels = table(spark, d, "labels").select("doc_id", F.col(label).alias("label"))
-    learn = docs.join(labels.where(~held_out & F.col("label").isNotNull()), "doc_id")
-    return docs.withColumn("held_out", held_out), learn
+    labels = table(spark, d, "labels").select("doc_id", F.col(label).alias("label")).where(~held_out)
+    return table(spark, d, "documents").select("doc_id", "text").withColumn("held_out", held_out), labels
 
 
 def _verdict(scored: DataFrame) -> DataFrame:
@@ -61,15 +59,15 @@ def _verdict(scored: DataFrame) -> DataFrame:
 @query
 def op3_compression_quality(spark: SparkSession, d: str) -> DataFrame:
     """How likely each document is of good quality."""
-    docs, learn = _labelled(spark, d, "quality", 1, 3)
-    return _verdict(quality_model.CompressionClassifier.fit(learn).score(docs))
+    docs, labels = _labelled(spark, d, "quality", 1, 3)
+    return _verdict(quality_model.CompressionClassifier.fit(docs, labels).score(docs))
 
 
 @query
 def op4_counterfactual_toxicity(spark: SparkSession, d: str) -> DataFrame:
     """How likely each document is toxic."""
-    docs, learn = _labelled(spark, d, "toxic", 0, 5)
-    return _verdict(toxicity.CounterfactualClassifier.fit(learn).score(docs))
+    docs, labels = _labelled(spark, d, "toxic", 0, 5)
+    return _verdict(toxicity.CounterfactualClassifier.fit(docs, labels).score(docs))
 
 
 @query

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tallyloom.llm import common
+from tallyloom.llm import calibration, common
 from tallyloom.llm.calibration import sigmoid
 from tallyloom.llm.common import ALNUM_BYTES
 
@@ -128,30 +128,31 @@ class CounterfactualClassifier:
         self.weights, self.intercept, self.terms = weights, intercept, terms
 
     @classmethod
-    def fit(cls, labelled: DataFrame, *, label: str = "label", text: str = "text", key: str = "doc_id",
+    def fit(cls, docs: DataFrame, labels: DataFrame, *, label: str = "label", text: str = "text", key: str = "doc_id",
             sample_docs: int = SAMPLE_DOCS, features: int = FEATURES, swap_penalty: float = 1.0,
             identity_terms: dict[str, tuple[str, ...]] | None = None) -> CounterfactualClassifier:
-        """Learns from rows labelled 1 (toxic) and 0.
+        """Learns from the documents that ``labels`` marks 1 (toxic) or 0.
 
-        Spark counts, over all labelled rows, in how many documents of each class a feature stands; the ``features`` ones
-        with the largest G statistic and the identity terms become the model's. The weights are fitted on the
-        ``sample_docs`` rows with the least hash of key and text. In each of these, every identity term is taken out, and swapped
-        for the others of its list; ``swap_penalty`` holds the score to the same value. Rows without a label are left
-        out, null texts are empty. Without rows of both classes all scores are the share of toxic labels.
+        Up to ``sample_docs`` labels, half of each class, are drawn, see :func:`calibration.draw`, and weighted to the share that
+        the classes have among all labels. Spark counts in how many of the documents of each class a feature stands; the
+        ``features`` ones with the largest G statistic and the identity terms become the model's. In each document, every
+        identity term is taken out, and swapped for the others of its list; ``swap_penalty`` holds the score to the same
+        value. Null texts are empty. Without labels of both classes all scores are the share of toxic labels.
         """
         terms = IDENTITY_TERMS if identity_terms is None else identity_terms
-        rows = labelled.select(
-            F.col(f"`{label}`").cast("int").alias("y"),
-            F.xxhash64(F.col(f"`{key}`").cast("string"), F.col(f"`{text}`")).alias("h"),
-            F.col(f"`{text}`").cast("binary").alias("t")).where("y in (0, 1)")
         groups = [[t.encode() for t in g] for g in terms.values()]
         whole = frozenset(t for g in groups for t in g)
+        rows, counted = calibration.draw(docs, labels, label=label, text=text, key=key, per_class=sample_docs // 2)
+        share = counted.get(1, 0) / sum(counted.values()) if counted else 0.5
+        constant = cls({}, float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))))
+        if len(counted) < 2:
+            return constant
         worded = common.staged(rows.mapInArrow(_featured(whole), "y int, h long, words array<binary>"), "toxicity")
         counts = {r.y: r["count"] for r in worded.groupBy("y").count().collect()}
-        total = sum(counts.values())
-        share = counts.get(1, 0) / total if total else 0.5
         if len(counts) < 2:
-            return cls({}, float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))))
+            return constant
+        total = sum(counts.values())
+        drawn_share = counts[1] / total
         seen = worded.select("y", F.explode("words").alias("word")).groupBy("word").agg(
             F.count("*").alias("n"), F.sum("y").alias("n1"))
 
@@ -159,19 +160,20 @@ class CounterfactualClassifier:
             return F.when(observed > 0, observed * F.log(observed / expected)).otherwise(0.0)
 
         n, n1 = F.col("n").cast("double"), F.col("n1").cast("double")
-        gain = part(n1, n * share) + part(n - n1, n * (1 - share)) + part(counts[1] - n1, (total - n) * share) \
-            + part(counts[0] - (n - n1), (total - n) * (1 - share))
+        gain = part(n1, n * drawn_share) + part(n - n1, n * (1 - drawn_share)) \
+            + part(counts[1] - n1, (total - n) * drawn_share) + part(counts[0] - (n - n1), (total - n) * (1 - drawn_share))
         top = seen.where("n > 1").select("word", gain.alias("g")).orderBy(F.desc("g"), "word").limit(features).collect()
         words = list(dict.fromkeys([bytes(r.word) for r in top] + [t for g in groups for t in g]))
         number = {w: i for i, w in enumerate(words)}
         known = F.array(*[F.lit(w) for w in words])
-        drawn = worded.orderBy("h").limit(sample_docs).select("y", "h", F.array_intersect("words", known).alias("words")).collect()
-        drawn.sort(key=lambda r: (r.h, r.y))
+        drawn = worded.select("y", "h", F.array_sort(F.array_intersect("words", known)).alias("words")).collect()
+        drawn.sort(key=lambda r: (r.h, r.y, r.words))
         present = [{number[bytes(w)] for w in r.words} for r in drawn]
         labels = np.array([r.y for r in drawn], float)
         examples = Examples(
             np.array([w for p in present for w in sorted(p)], np.int64),
-            np.repeat(np.arange(len(present)), [len(p) for p in present]), labels, np.ones(len(labels)),
+            np.repeat(np.arange(len(present)), [len(p) for p in present]), labels,
+            np.array([counted[r.y] / counts[r.y] for r in drawn]),
             swaps_of(present, [[number[t] for t in g] for g in groups]))
         common.discard(worded)
         fitted = train(examples, len(words), swap_penalty=swap_penalty)

@@ -22,7 +22,7 @@ def _held_out(spark, name, label):
 
 def test_quality_on_held_out_rows(spark):
     accuracy, auc = _held_out(spark, "op3_compression_quality", "quality")
-    assert accuracy > 0.93 and auc > 0.93
+    assert accuracy > 0.95 and auc > 0.9  # some ten bad rows to tell apart
 
 
 def test_toxicity_on_held_out_rows(spark):
@@ -34,6 +34,10 @@ def _labelled(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, text string, label int, score string")
 
 
+def _fit(model, rows, **options):
+    return model.fit(rows.drop("label"), rows.select("doc_id", "label"), **options)
+
+
 def test_swaps_lower_the_score_of_neutral_mentions(spark):
     rows, i = [], 0
     for k in range(300):
@@ -41,8 +45,8 @@ def test_swaps_lower_the_score_of_neutral_mentions(spark):
         rows.append((i + 1, f"the nice people w{k % 50} live {'there' if k % 9 else 'christian'}", 0, "x"))
         i += 2
     neutral = _labelled(spark, [(1, "a muslim family lives w3", None, ""), (2, "a family lives w3", None, ""), (3, "they are scum", None, ""), (4, None, None, "")])
-    plain = toxicity.CounterfactualClassifier.fit(_labelled(spark, rows), swap_penalty=0.0)
-    held = toxicity.CounterfactualClassifier.fit(_labelled(spark, rows), swap_penalty=5.0)
+    plain = _fit(toxicity.CounterfactualClassifier, _labelled(spark, rows), swap_penalty=0.0)
+    held = _fit(toxicity.CounterfactualClassifier, _labelled(spark, rows), swap_penalty=5.0)
     a, b = ({r.doc_id: r.score for r in m.score(neutral).collect()} for m in (plain, held))
     assert a[1] - a[2] > 0.03 > 10 * abs(b[1] - b[2]) and b[3] > 0.9 and b[3] > b[1] + 0.3
     assert abs(held.weights.get(b"muslim", 0) - held.weights.get(b"christian", 0)) < 0.3
@@ -53,10 +57,10 @@ def test_one_class_no_class_and_awkward_rows(spark):
     none = _labelled(spark, []).limit(0)
     for model in (quality_model.CompressionClassifier, toxicity.CounterfactualClassifier):
         for rows in (_labelled(spark, texts), none):
-            scores = [r.score for r in model.fit(rows).score(_labelled(spark, texts)).collect()]
+            scores = [r.score for r in _fit(model, rows).score(_labelled(spark, texts)).collect()]
             assert len(scores) == 4 and len(set(scores)) == 1 and 0 <= scores[0] <= 1
         both = [(k, "good words here " * 9 if k % 2 else "#### !!!! %%%% " * 9, k % 2, "x") for k in range(40)]
-        fitted = model.fit(_labelled(spark, both + texts))
+        fitted = _fit(model, _labelled(spark, both + texts))
         out = fitted.score(clash(_labelled(spark, texts), "held_out")).collect()
         assert len(out) == 4 and all(0 <= r.score <= 1 for r in out)
         assert fitted.score(empty(spark)).count() == 0
@@ -68,5 +72,5 @@ def test_compression_tells_junk_of_the_kind_it_learned(spark):
     bad = lambda: " ".join(rnd.choice(["BUY!!", "$$$", "%%%", "CLICK!!", "###", "NOW!!"]) for _ in range(80))
     labelled = _labelled(spark, [(k, good() if k % 2 else bad(), k % 2, "x") for k in range(80)])
     docs = documents(spark, [(k, good() if k % 2 else bad(), "s") for k in range(100, 160)] + [(200, " ".join(bad() for _ in range(300)), "s"), (201, " ".join(good() for _ in range(300)), "s")])
-    scores = {r.doc_id: r.score for r in quality_model.CompressionClassifier.fit(labelled).score(docs).collect()}
+    scores = {r.doc_id: r.score for r in _fit(quality_model.CompressionClassifier, labelled).score(docs).collect()}
     assert all((scores[k] > 0.5) == (k % 2 == 1) for k in scores)
