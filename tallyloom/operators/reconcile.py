@@ -181,13 +181,13 @@ def _set_groups(word_sets: DataFrame) -> DataFrame:
     )
 
 
-def text_evidence(texts: DataFrame, inv: DataFrame) -> tuple[DataFrame, DataFrame]:
+def text_evidence(texts: DataFrame, slim: DataFrame) -> tuple[DataFrame, DataFrame]:
     """What each distinct text points to, and which names belong to which evidence group.
 
     Returns (text, grp, name_points, number_points) and (name, grp).
     """
-    names = inv.where(F.col("name") != "").select("name").distinct()
-    numbers = inv.where(F.length("number") > 2).select("number").distinct()
+    names = durable(slim.where(F.col("name") != "").select("name").distinct())
+    numbers = slim.where(F.length("number") > 2).select("number").distinct()
     words = names.select(F.explode(_long_words(F.col("name"))).alias("word")).distinct()
     needles = (
         names.select(F.lit("name").alias("kind"), F.col("name").alias("needle"))
@@ -196,7 +196,7 @@ def text_evidence(texts: DataFrame, inv: DataFrame) -> tuple[DataFrame, DataFram
     )
     hits = durable(find_needles(texts, needles))
     in_text = hits.where("kind = 'word'").select("text", F.col("needle").alias("word"))
-    word_sets = _used_words(names, in_text.select("word").distinct())
+    word_sets = durable(_used_words(names, in_text.select("word").distinct()))
     sets = _set_groups(word_sets)
     vocabulary = in_text.groupBy("text").agg(F.collect_set("word").alias("vocabulary"))
     partial = (
@@ -232,14 +232,12 @@ def text_evidence(texts: DataFrame, inv: DataFrame) -> tuple[DataFrame, DataFram
     return evidence, members
 
 
-def grouped_points(inv: DataFrame, members: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Invoices as points (is_income, grp, day, c) -> smallest id, one row per distinct point.
+def grouped_points(slim: DataFrame, members: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Distinct invoices as points (is_income, grp, day, c) -> smallest id, one row per distinct point.
 
     ``wanted``: (grp, no), the groups some text points to and their numbers.
     """
     point = ["is_income", "grp", "day", "c"]
-    # Equal invoices collapse before they are copied into their groups.
-    slim = inv.groupBy("is_income", "name", "number", "day", "c").agg(F.min("id").alias("id"))
     named = slim.join(members, "name")
     numbered = F.length("number") > 2
     grouped = (
@@ -274,7 +272,12 @@ def _near_days(queries: DataFrame, group_days: DataFrame, low: int, widest: int)
 
 
 def _far_days(queries: DataFrame, points: DataFrame, opposite: bool, tolerance: float) -> DataFrame:
-    """Invoice days at any distance that can win on the amount alone: at most four for each query."""
+    """Invoice days at any distance that can win on the amount alone: at most four for each query.
+
+    They depend on the group, the direction and the amount only, so each of these is asked for once.
+    """
+    asked = [*GROUP, "is_debit", "t"]
+    queries, every_query = queries.select(*asked).distinct(), queries
     by_amount = points.groupBy(*GROUP, "c").agg(F.max("day").alias("v"))
     widths = {
         "debit_exact": log_width(1 / 1.005, 1 / 0.995), "debit_close": log_width(1 / 1.05, 1 / 0.95),
@@ -286,23 +289,23 @@ def _far_days(queries: DataFrame, points: DataFrame, opposite: bool, tolerance:
         F.array(F.lit("credit_exact"), F.lit("credit_close")))
     bounded = with_bounds(queries, tolerance)
     side = F.when(F.col("is_debit"), "debit_").otherwise("credit_")
-    ranges = bounded.select(*QUERY, F.explode(F.array(*[
+    ranges = bounded.select(*asked, F.explode(F.array(*[
         F.struct(F.concat(side, F.lit(tier)).alias("tier"), F.col(f"{tier}_lo").alias("lo"), F.col(f"{tier}_hi").alias("hi"))
         for tier in ("exact", "close")
-    ])).alias("r")).select(*QUERY, "r.*")
+    ])).alias("r")).select(*asked, "r.*")
     latest = latest_in_range(
         by_amount.select(*GROUP, F.explode(tiers).alias("tier"), F.col("c").alias("x"), "v"), ranges, GROUP, widths
-    ).select(*QUERY, F.col("v").alias("inv_day"))
-    edges = bounded.select(*QUERY, "approx_lo", "approx_hi", F.explode(F.array_compact(F.array(
+    ).select(*asked, F.col("v").alias("inv_day"))
+    edges = bounded.select(*asked, "approx_lo", "approx_hi", F.explode(F.array_compact(F.array(
         F.col("close_hi") + 1, F.when(F.col("is_debit"), F.col("close_lo"))))).alias("x"))
     beyond = nearest_both_sides(
         by_amount.select(*GROUP, F.col("c").alias("x"), F.col("v").cast("long").alias("p")), edges, GROUP, 64)
     nearest = (
         beyond.withColumn("hit", F.when(F.col("x") > F.col("t"), F.col("above")).otherwise(F.col("below")))
         .where(F.col("hit.x").between(F.col("approx_lo"), F.col("approx_hi")))
-        .select(*QUERY, F.col("hit.p").cast("int").alias("inv_day"))
+        .select(*asked, F.col("hit.p").cast("int").alias("inv_day"))
     )
-    return latest.unionByName(nearest)
+    return every_query.join(latest.unionByName(nearest).distinct(), asked)
 
 
 def _best_on(days: DataFrame, points: DataFrame, tolerance_days: int, tolerance: float) -> DataFrame:
@@ -366,7 +369,7 @@ def _search(txns: DataFrame, points: DataFrame, evidence: DataFrame, opposite: b
     groups = durable(base.select("txn", "is_income", F.lit(EVERY).cast("long").alias("grp"), "is_debit", "t", "day",
                                  F.lit(0.0).alias("name_points"), F.lit(0.0).alias("number_points")).unionByName(
         base.join(evidence, "text").select("txn", *QUERY)))
-    best = _best_of(durable(groups.select(*QUERY).distinct()), points, opposite, tolerance_days, tolerance)
+    best = _best_of(groups.select(*QUERY).distinct(), points, opposite, tolerance_days, tolerance)
     return (
         groups.join(best, QUERY).groupBy("txn").agg(F.max("best").alias("best"))
         .select("txn", (-F.col("best.neg_id")).alias("id"))
@@ -392,12 +395,14 @@ def match_transactions(
     txns = prepare_transactions(statement, key)
     if txns.groupBy("txn").count().where("count > 1").limit(1).count():
         raise ValueError(f"{', '.join(key)} must identify the rows of the statement")
-    found_in_text, members = text_evidence(txns.select("text").distinct(), inv)
-    found_in_text = durable(found_in_text)
+    # Equal invoices collapse before they are copied into their groups.
+    slim = durable(inv.groupBy("is_income", "name", "number", "day", "c").agg(F.min("id").alias("id")))
+    found_in_text, members = text_evidence(txns.select("text").distinct(), slim)
+    found_in_text, members = durable(found_in_text), durable(members)
     # Whole numbers instead of texts as group keys; written once, so that the numbers stay the same.
     numbered = durable(found_in_text.select("grp").distinct().withColumn("no", F.monotonically_increasing_id() + 1))
     evidence = durable(found_in_text.join(numbered, "grp").drop("grp").withColumnRenamed("no", "grp"))
-    points = durable(grouped_points(inv, members, numbered))
+    points = durable(grouped_points(slim, members, numbered))
     primary = durable(_search(txns, points, evidence, False, date_tolerance_days, amount_tolerance_pct))
     rest = txns.join(primary, "txn", "left_anti")
     other = _search(rest, points, evidence, True, date_tolerance_days, amount_tolerance_pct)
