@@ -58,14 +58,42 @@ class Examples:
     swaps: np.ndarray
 
 
-def swaps_of(present: list[set[int]], groups: list[list[int]]) -> np.ndarray:
+def _encoded(number: dict[bytes, int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [sorted(number[w] for w in words if w in number) for words in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:2], pa.array(found, pa.list_(pa.int32()))], names=["y", "h", "f"])
+    return run
+
+
+def _examples(drawn: pa.Table, weight: dict[int, float], groups: list[list[int]]) -> Examples:
+    """The sample in the order of its hashes, so that a fit does not depend on how Spark dealt the rows."""
+    labels, hashes = drawn["y"].to_numpy(), drawn["h"].to_numpy()
+    lists = drawn["f"].combine_chunks()
+    sizes = np.diff(lists.offsets.to_numpy())
+    flat = lists.flatten().to_numpy().astype(np.int64)
+    place = np.empty(len(labels), np.int64)
+    place[np.lexsort((labels, hashes))] = np.arange(len(labels))
+    rows = np.repeat(place, sizes)
+    order = np.argsort(rows, kind="stable")
+    rows, flat, y = rows[order], flat[order], np.empty(len(labels))
+    y[place] = labels
+    return Examples(flat, rows, y, np.where(y == 1, weight[1], weight[0]), swaps_of(rows, flat, groups))
+
+
+def swaps_of(rows: np.ndarray, words: np.ndarray, groups: list[list[int]]) -> np.ndarray:
     """For every identity term of a row: the term taken out, and exchanged for each other term of its list."""
     out = []
-    for row, words in enumerate(present):
-        for group in groups:
-            for term in words.intersection(group):
+    for group in groups:
+        here = np.isin(words, group)
+        present: dict[int, set[int]] = {}
+        for row, term in zip(rows[here].tolist(), words[here].tolist()):
+            present.setdefault(row, set()).add(term)
+        for row, terms in present.items():
+            for term in sorted(terms):
                 out.append((row, term, -1))
-                out.extend((row, term, other) for other in group if other not in words)
+                out.extend((row, term, other) for other in group if other not in terms)
     return np.array(out, np.int64).reshape(-1, 3)
 
 
@@ -165,16 +193,10 @@ class CounterfactualClassifier:
         top = seen.where("n > 1").select("word", gain.alias("g")).orderBy(F.desc("g"), "word").limit(features).collect()
         words = list(dict.fromkeys([bytes(r.word) for r in top] + [t for g in groups for t in g]))
         number = {w: i for i, w in enumerate(words)}
-        known = F.array(*[F.lit(w) for w in words])
-        drawn = worded.select("y", "h", F.array_sort(F.array_intersect("words", known)).alias("words")).collect()
-        drawn.sort(key=lambda r: (r.h, r.y, r.words))
-        present = [{number[bytes(w)] for w in r.words} for r in drawn]
-        labels = np.array([r.y for r in drawn], float)
-        examples = Examples(
-            np.array([w for p in present for w in sorted(p)], np.int64),
-            np.repeat(np.arange(len(present)), [len(p) for p in present]), labels,
-            np.array([counted[r.y] / counts[r.y] for r in drawn]),
-            swaps_of(present, [[number[t] for t in g] for g in groups]))
+        # Feature numbers, not words, come to the driver: at most sample_docs short lists of whole numbers.
+        drawn = worded.mapInArrow(_encoded(number), "y int, h long, f array<int>").toArrow()
+        terms_of = [[number[t] for t in g] for g in groups]
+        examples = _examples(drawn, {y: counted[y] / counts[y] for y in (0, 1)}, terms_of)
         common.discard(worded)
         fitted = train(examples, len(words), swap_penalty=swap_penalty)
         return cls({w: float(x) for w, x in zip(words, fitted[:-1]) if x}, float(fitted[-1]), whole)
