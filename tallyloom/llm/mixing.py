@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 from fractions import Fraction
 
 import numpy as np
@@ -18,6 +17,8 @@ BLOCK_ROWS = 4096
 MAX_SOURCES = 100_000
 #: Words take part in the balance as whole numbers, as do documents.
 BALANCED = 2
+#: Documents that are left to the landing besides those that the flight leaves open.
+RESERVE = 12
 
 
 def word_count(text: Column) -> Column:
@@ -83,18 +84,45 @@ def flight(chance: np.ndarray, size: np.ndarray, luck: np.ndarray) -> np.ndarray
     return np.array(p)
 
 
+def reserve(chance: np.ndarray, size: np.ndarray, most: int = RESERVE) -> np.ndarray:
+    """Places of at most ``most`` open documents, each about half as long as the one before, from half the longest on."""
+    free = [i for i in np.argsort(-size, kind="stable").tolist() if 0 < chance[i] < 1 and size[i] > 0]
+    out: list[int] = []
+    due = size[free[0]] / 2 if free else 0
+    for i in free[1:]:
+        if size[i] <= due and len(out) < most:
+            out.append(i)
+            due = size[i] / 2
+    return np.array(out, np.int64)
+
+
 def landing(chance: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Decides the few chances that the flight left open: nearest to the words still due, then to the documents."""
+    """Decides the few chances that are still open: nearest to the words and the documents that are due, a document
+    counting as many words as the mean of the open ones."""
     p = chance.copy()
     open_at = np.flatnonzero((p > 0) & (p < 1))
-    words, docs = float((p[open_at] * size[open_at]).sum()), float(p[open_at].sum())
-    best = min(
-        itertools.product((0.0, 1.0), repeat=len(open_at)),
-        key=lambda c: (abs(float((np.array(c) * size[open_at]).sum()) - words), abs(sum(c) - docs), c))
-    p[open_at] = best
+    if not len(open_at):
+        return p
+    choices = (np.arange(2 ** len(open_at))[:, None] >> np.arange(len(open_at))) & 1
+    words = np.abs(choices @ size[open_at] - float((p[open_at] * size[open_at]).sum()))
+    docs = np.abs(choices.sum(axis=1) - float(p[open_at].sum()))
+    p[open_at] = choices[np.argmin(words / max(float(size[open_at].mean()), 1.0) + docs)]
     return p
 
 
+def settle(chance: np.ndarray, size: np.ndarray, luck: np.ndarray, last: bool = True) -> np.ndarray:
+    """The flight of a block and, in a source's last one, the landing.
+
+    Long documents are the last to be decided and would miss the words due by half their length. So some documents of
+    falling length stay out of the flight: they go on to the next round, and are landed in the end.
+    """
+    kept = reserve(chance, size, RESERVE if last else min(RESERVE, len(chance) // 8))
+    rest = np.setdiff1d(np.arange(len(chance)), kept)
+    out = chance.astype(float).copy()
+    out[rest] = flight(chance[rest], size[rest], luck[rest])
+    return landing(out, size) if last else out
+
+
 def _luck(keys: np.ndarray, seed: int) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(int(k).to_bytes(8, "little", signed=True), seed) / 2**64 for k in keys])
 
@@ -103,10 +131,8 @@ def _flown(seed: int):
     def run(block: pd.DataFrame) -> pd.DataFrame:
         block = block.sort_values(["__size", "__key", "__rid"], kind="stable")
         size = block["__size"].to_numpy()
-        chance = flight(block["__chance"].to_numpy(), size, _luck(block["__key"].to_numpy(), seed))
-        if block["__last"].iloc[0]:
-            chance = landing(chance, size)
-        return block.assign(__chance=chance)
+        luck = _luck(block["__key"].to_numpy(), seed)
+        return block.assign(__chance=settle(block["__chance"].to_numpy(), size, luck, bool(block["__last"].iloc[0])))
     return run
 
 
@@ -175,8 +201,7 @@ def mix(docs: DataFrame, *, text: str = "text", source: str = "source", key: str
             break
         open_docs = rest.join(counts, rest["__source"].eqNullSafe(counts["s"])).drop("s")
         round_no += 1
-    # What was settled grows with the documents: one plan at every size, no broadcast of it.
-    mixed = named.join(settled.hint("merge"), "__rid", "left")
+    mixed = named.join(settled, "__rid", "left")
     copies = (F.col("__whole") + F.coalesce("__more", F.lit(0))).cast("int")
     return mixed.select(
         *[f"`{c}`" for c in kept], F.col("__size").alias("size"), "source_size", "target", copies.alias("copies"),

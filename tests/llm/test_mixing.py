@@ -28,7 +28,11 @@ def test_flight_keeps_both_totals_and_expectations():
         landed = mixing.landing(p, size)
         assert set(landed) <= {0.0, 1.0} and abs((landed * size).sum() - (chance * size).sum()) <= 500
         mean += landed / 300
-    assert abs(mean.mean() - 0.37) < 0.01 and np.abs(mean - 0.37).max() < 0.15
+    assert abs(mean.mean() - 0.37) < 0.01 and np.abs(mean - 0.37).max() < 0.2
+    for i in range(20):
+        settled = mixing.settle(chance, size, rng.random(400))
+        assert set(settled) <= {0.0, 1.0} and abs(settled.sum() - chance.sum()) < 2
+        assert abs((settled * size).sum() - (chance * size).sum()) < 40
     same = mixing.landing(mixing.flight(np.full(9, 1 / 3), np.full(9, 5), rng.random(9)), np.full(9, 5))
     assert same.sum() == 3
 
