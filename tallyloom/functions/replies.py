@@ -76,8 +76,8 @@ def numeric_score(expected: Column, extracted: Column) -> Column:
 
 def date_text_score(expected: Column, extracted: Column) -> Column:
     """Score of a date written in any of the known formats."""
-    e = dates.parse_date(F.substring(F.trim(expected), 1, 10), SCORE_DATE_FORMATS)
-    x = dates.parse_date(F.substring(F.trim(extracted), 1, 10), SCORE_DATE_FORMATS)
+    e = dates.parse_date(dates.leading_date(expected), SCORE_DATE_FORMATS)
+    x = dates.parse_date(dates.leading_date(extracted), SCORE_DATE_FORMATS)
     return F.coalesce(dates.date_score(F.date_diff(e, x)), F.lit(0.0))
 
 

@@ -62,25 +62,23 @@ def outcome(truth: DataFrame, predictions: DataFrame, models: DataFrame | None =
 def field_scores(truth: DataFrame, predictions: DataFrame) -> DataFrame:
     """(model, file, field, expected, extracted, score) for the successful predictions.
 
-    ``truth``: file, expected map<string,string>; ``payload`` of a prediction is a JSON object. Both
-    sides become long tables of fields and meet in one equi-join.
+    ``truth``: file, expected map<string,string>; ``payload`` of a prediction is a JSON object. Each prediction meets its file
+    once, and the expected fields are written out behind the join.
     """
-    expected = truth.select("file", F.explode("expected").alias("field", "expected")).where(F.col("expected").isNotNull())
     done = predictions.where(F.col("status") == "success").select(
         "model", "file", F.from_json("payload", "map<string,string>").alias("fields"))
-    keys = F.transform(F.map_entries("fields"), lambda e: F.struct(replies.ground_truth_key(e["key"]).alias("field"),
-                                                                   e["value"].alias("value")))
+    entries = F.transform(F.map_entries("fields"), lambda e: F.struct(
+        replies.ground_truth_key(e["key"]).alias("field"), e["value"].alias("value")))
+    wanted = (
+        done.select("model", "file", entries.alias("entries")).join(truth.select("file", F.col("expected").alias("all")), "file")
+        .select("model", "file", "entries", F.explode("all").alias("field", "expected")).where(F.col("expected").isNotNull())
+    )
     # A later key of the reply replaces an earlier one that maps to the same field.
-    entries = F.transform(keys, lambda e, i: F.struct(i.alias("i"), e["field"].alias("field"), e["value"].alias("value")))
+    last = F.try_element_at(F.filter("entries", lambda e: e["field"] == F.col("field")), F.lit(-1))["value"]
+    found = wanted.select("model", "file", "field", "expected", last.alias("value"))
     as_list = F.from_json("value", "array<string>")
-    extracted = (
-        done.select("model", "file", F.explode(entries).alias("e")).groupBy("model", "file", F.col("e.field").alias("field"))
-        .agg(F.max_by(F.struct("e.value"), F.col("e.i"))["value"].alias("value"))
-        .select("model", "file", "field", F.when(F.col("value").startswith("["), F.coalesce(F.array_join(as_list, "; "), "value"))
-                .otherwise(F.col("value")).alias("extracted"))
-    )
-    wanted = expected.join(done.select("model", "file"), "file")
-    return wanted.join(extracted, ["model", "file", "field"], "left").withColumn(
+    extracted = F.when(F.col("value").startswith("["), F.coalesce(F.array_join(as_list, "; "), "value")).otherwise(F.col("value"))
+    return found.select("model", "file", "field", "expected", extracted.alias("extracted")).withColumn(
         "score", replies.field_score(F.col("field"), F.col("expected"), F.col("extracted")))
 
 
