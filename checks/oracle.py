@@ -466,3 +466,21 @@ SELECT file, row_no, strftime(date, '%Y-%m-%d') AS date, payee, description, ref
 UNION ALL
 SELECT CASE WHEN debit <= 17 THEN 'BANK FEES' ELSE 'PAYMENT' END, count(*), NULL, CASE WHEN debit <= 17 THEN 'BANK' ELSE payee END, '', '',
   sum(debit)::DOUBLE FROM listed GROUP BY 1, 4""")
+add("rate_upsert", INVOICES)("""
+, proposed AS (
+  SELECT o_orderkey AS k, CASE o_orderkey % 5 WHEN 1 THEN 'USD' WHEN 2 THEN 'BGN' WHEN 3 THEN 'GBP' ELSE 'EUR' END AS c,
+    CASE WHEN o_orderkey % 7 > 1 THEN (o_orderkey % 50 + 100) + 0.5::DOUBLE END AS v FROM orders),
+rates AS (SELECT c, arg_max(v, k) AS v FROM proposed WHERE c <> 'GBP' AND v IS NOT NULL GROUP BY c)
+SELECT c AS what, v AS value FROM rates
+UNION ALL SELECT 'rejected', count(*)::DOUBLE FROM proposed WHERE c = 'GBP' OR v IS NULL
+UNION ALL SELECT 'shown', (3 * length('EUR_TO_PKR'))::DOUBLE
+UNION ALL SELECT 'worth ' || currency, sum((amount * coalesce(v, 1)::DECIMAL(12,4))::DECIMAL(18,2))::DOUBLE
+FROM invoices LEFT JOIN rates ON c = currency GROUP BY currency""")
+add("best_models", INVOICES, SCORED, SUMMARY)("""
+, ran AS (
+  SELECT *, CASE model WHEN 'alpha' THEN 2 ELSE 3 END AS run_no FROM summary
+  UNION ALL SELECT 'idle', 0, 1, 0, 0, (SELECT max(total_files) FROM summary), 0, (SELECT max(total_files) FROM summary), 1)
+SELECT (SELECT model FROM ran ORDER BY accuracy DESC, run_no LIMIT 1) AS best_accuracy,
+  (SELECT model FROM ran WHERE avg_time > 0 ORDER BY avg_time, run_no LIMIT 1) AS fastest,
+  (SELECT model FROM ran ORDER BY failure_rate, run_no LIMIT 1) AS most_reliable""")
+ORACLE["stream_matches"] = f"SELECT file, row_no, matched_invoice_number, match_confidence FROM ({BEST_MATCH})"

@@ -518,6 +518,41 @@ def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
             F.countDistinct("arrival").alias("numbered"), F.lit(1).alias("unique_ids")))
 
 
+@query
+def rate_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """Rates after one proposed change per order, and what the ledger's amounts are worth in them."""
+    k = F.col("o_orderkey")
+    changes = tables.read(spark, d, "orders").select(
+        k.alias("arrival"), F.when(k % 5 == 1, "USD").when(k % 5 == 2, "BGN").when(k % 5 == 3, "GBP").otherwise("EUR").alias("currency"),
+        F.when(k % 7 == 0, "-1").when(k % 7 == 1, "abc").otherwise(F.concat((k % 50 + 100).cast("string"), F.lit(",5"))).alias("value"))
+    updated, rejected = currency.update_rates(currency.rates(spark), changes)
+    shown = currency.display_rates(updated)
+    worth = currency.convert(tables.invoices(spark, d).select("id", "amount", "currency"), updated).groupBy("currency").agg(
+        F.sum("base_amount").cast("double").alias("worth"))
+    return updated.select(F.col("currency").alias("what"), F.col("rate_to_base").alias("value")).unionByName(
+        rejected.agg(F.lit("rejected").alias("what"), F.count("*").cast("double").alias("value"))).unionByName(
+        shown.agg(F.lit("shown").alias("what"), F.sum(F.length("rate_key")).cast("double").alias("value"))).unionByName(
+        worth.select(F.concat(F.lit("worth "), "currency").alias("what"), F.col("worth").alias("value")))
+
+
+@query
+def best_models(spark: SparkSession, d: str) -> DataFrame:
+    """The most accurate, the fastest and the most reliable model, a model without any file among them."""
+    listed = spark.range(1).select(F.explode(F.array(F.lit("alpha"), F.lit("beta"), F.lit("idle"))).alias("model"))
+    summary = evaluation.model_summary(tables.ground_truth(spark, d), tables.predictions(spark, d), listed)
+    order = F.array_position(F.array(F.lit("idle"), F.lit("alpha"), F.lit("beta")), F.col("model"))
+    return evaluation.best_models(summary.withColumn("run_no", order))
+
+
+@query
+def stream_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Bank lines arriving in two batches, each matched with the ledger."""
+    folder = scratch(spark)
+    stream = jobs.read_pieces(spark, tables.bank(spark, d), f"{folder}/in", 2, "row_no")
+    jobs.reconcile_arrivals(stream, tables.invoices(spark, d), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return plain(spark.read.parquet(f"{folder}/out").select("file", "row_no", "matched_invoice_number", "match_confidence"))
+
+
 @query
 def stream_daily_totals(spark: SparkSession, d: str) -> DataFrame:
     folder = scratch(spark)
