@@ -2,34 +2,57 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyloom.llm import decontamination, mixing, near_dedup, quality_rules, sharding
-from tallyloom.llm.common import shared_folder, table
+from tallyloom.llm.common import discard, recorded, shared_folder, table
 
 
+_done: list[DataFrame] = []
+
+
+def stage(work: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Stages run one after another, each on the written result of the one before, so what that one staged can go."""
+    @functools.wraps(work)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        discard(*_done)
+        _done.clear()
+        with recorded() as staged:
+            out = work(spark, docs, sf_dir)
+        _done.extend(staged)
+        return out
+    return run_stage
+
+
+@stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go; lines that too many documents of a host repeat are cut out."""
     return quality_rules.clean(docs)
 
 
+@stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
     return near_dedup.dedupe(docs)
 
 
+@stage
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which a twentieth or more stands in the benchmark go; from the others, shared spans are cut out."""
     return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
+@stage
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stands as often as the mix takes it."""
     return mixing.materialise(docs)
 
 
+@stage
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every row gets its shard and its place there."""
     return sharding.shard(docs, shards=16)
@@ -48,8 +71,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what a stage returns is written and read again by the next one."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/tallyloom-llm/pipeline-{uuid.uuid4().hex}"
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+    for i, (_, work) in enumerate(STAGES):
+        docs = work(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs.write.option("compression", "zstd").parquet(f"{folder}/{i}")
             docs = spark.read.parquet(f"{folder}/{i}")
