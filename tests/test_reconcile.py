@@ -3,7 +3,6 @@ import random
 from decimal import Decimal
 
 import pytest
-from pyspark.sql import functions as F
 
 from tallyloom.operators import reconcile
 
