@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tallyloom.fixed_values import BANK_NAMES, HEADER_PATTERNS, STANDARD_COLUMNS
 from tallyloom.functions import money
 from tallyloom.functions.dates import excel_serial, parse_date
+from tallyloom.session import durable
 
 HEADER_ROWS = 10  # a header is looked for among the first ten non-blank lines of a file
 DAY_FIRST = ["d/M/y", "d-M-y", "d.M.y", "d-MMM-yy", "d MMM y"]
@@ -177,10 +178,10 @@ def standardise(lines: DataFrame, overrides: DataFrame | None = None, header_row
     text_rows = parsed.select(
         "file", F.col("line_no").alias("row_no"), F.col("date").alias("date_text"), "description", "reference",
         F.coalesce("debit", by_debit).alias("debit"), F.coalesce("credit", by_credit).alias("credit"), "balance")
-    # The one-row inline keeps the test for empty rows, with all parsers in it, from being repeated below the join.
-    once = text_rows.select(F.inline(F.array(F.struct(*text_rows.columns))))
-    votes = _month_first(cells.select("file", F.col("date").alias("date_text")))
-    return _read_dates(once.dropna("all", subset=["description", "debit", "credit"]), votes)
+    # Written once: the date vote and the result both read it, and without the break Catalyst would
+    # push the test for empty rows, with all parsers in it, down into the join.
+    rows = durable(text_rows).dropna("all", subset=["description", "debit", "credit"])
+    return _read_dates(rows, _month_first(rows.select("file", "date_text")))
 
 
 def _dates_of(text: Column) -> tuple[Column, Column, Column]:
