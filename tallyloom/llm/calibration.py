@@ -8,21 +8,30 @@ import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
 
+def labelled(labels: DataFrame, label: str, key: str) -> DataFrame:
+    """(k, y) of the labels 0 and 1 whose key is not null."""
+    return labels.select(F.col(f"`{key}`").alias("k"), F.col(f"`{label}`").cast("int").alias("y")).where("y in (0, 1) and k is not null")
+
+
+def texts_of(docs: DataFrame, keys: DataFrame, *, text: str, key: str) -> DataFrame:
+    """(y, h, t) of the documents that ``keys`` (k, y) names: the label, a hash of the key and the text as bytes. Of documents
+    that share a key, the one with the least text counts."""
+    rows = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").cast("binary").alias("t")).join(keys, "k")
+    place = F.row_number().over(Window.partitionBy("k", "y").orderBy("t"))
+    return rows.withColumn("place", place).where("place = 1").select("y", F.xxhash64(F.col("k").cast("string")).alias("h"), "t")
+
+
 def draw(docs: DataFrame, labels: DataFrame, *, label: str, text: str, key: str, per_class: int) -> tuple[DataFrame, dict[int, int]]:
-    """A bounded sample for a fit, (y, h, t) with the label, a hash and the text as bytes, and the number of labels by class.
+    """A bounded sample for a fit, (y, h, t) as in :func:`texts_of`, and the number of labels by class.
 
     Of each class the ``per_class`` labels with the least hash of the key are drawn, from the narrow label table; this list of
-    at most twice ``per_class`` keys is broadcast, so the texts of other documents do not move. Labels other than 0 and 1 and
-    null keys are left out; of documents that share a key, the one with the least text counts.
+    at most twice ``per_class`` keys is broadcast, so the texts of other documents do not move.
     """
-    known = labels.select(F.col(f"`{key}`").alias("k"), F.col(f"`{label}`").cast("int").alias("y")).where("y in (0, 1) and k is not null")
+    known = labelled(labels, label, key)
     counts = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
     order = F.xxhash64(F.col("k").cast("string"))
     drawn = [known.where(F.col("y") == y).distinct().orderBy(order, "k").limit(per_class) for y in (0, 1)]
-    chosen = F.broadcast(drawn[0].union(drawn[1]))
-    rows = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").cast("binary").alias("t")).join(chosen, "k")
-    place = F.row_number().over(Window.partitionBy("k", "y").orderBy("t"))
-    return rows.withColumn("place", place).where("place = 1").select("y", order.alias("h"), "t"), counts
+    return texts_of(docs, F.broadcast(drawn[0].union(drawn[1])), text=text, key=key), counts
 
 
 #: Measures count up to this many standard deviations from their mean, so that none outweighs the others far off.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,6 +26,10 @@ IDENTITY_TERMS: dict[str, tuple[str, ...]] = {
     "ability": ("blind", "deaf", "disabled", "autistic", "behindert", "aveugle", "ciego"),
 }
 SAMPLE_DOCS, FEATURES = 20_000, 4096
+#: Features that a task counts before it passes their partial counts on.
+HELD = 400_000
+#: Up to so many labels are broadcast, so that the texts of unlabelled documents do not move; more are joined by a shuffle.
+NEAR_LABELS = 1_000_000
 
 
 def features_of(text: bytes | None, terms: frozenset[bytes] = frozenset()) -> set[bytes]:
@@ -37,13 +42,27 @@ def features_of(text: bytes | None, terms: frozenset[bytes] = frozenset()) -> se
     return words | {b"^" + w[:4] for w in longer if len(w) > 4} | {b"^" + w[:5] for w in longer if len(w) > 5}
 
 
-def _featured(terms: frozenset[bytes]):
+def _counted(terms: frozenset[bytes]):
+    """Partial counts (word, n, n1): documents, and toxic documents, with the feature; null stands for all documents."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = (Counter(), Counter())
+
+        def partial() -> pa.RecordBatch:
+            words = list(counts[0].keys() | counts[1].keys())
+            n = [counts[0][w] + counts[1][w] for w in words]
+            return pa.RecordBatch.from_arrays([
+                pa.array(words, pa.binary()), pa.array(n, pa.int64()), pa.array([counts[1][w] for w in words], pa.int64())],
+                names=["word", "n", "n1"])
+
         for batch in batches:
-            *rest, texts = batch.columns
-            found = [sorted(features_of(t, terms)) for t in texts.to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*rest, pa.array(found, pa.list_(pa.binary()))], names=[*batch.schema.names[:-1], "words"])
+            for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                counts[y].update(features_of(text, terms))
+                counts[y][None] += 1
+                if len(counts[0]) + len(counts[1]) > HELD:
+                    yield partial()
+                    for c in counts:
+                        c.clear()
+        yield partial()
     return run
 
 
@@ -58,10 +77,11 @@ class Examples:
     swaps: np.ndarray
 
 
-def _encoded(number: dict[bytes, int]):
+def _encoded(number: dict[bytes, int], terms: frozenset[bytes]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = number.keys()
         for batch in batches:
-            found = [sorted(number[w] for w in words if w in number) for words in batch.column(2).to_pylist()]
+            found = [sorted(number[w] for w in known & features_of(t, terms)) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:2], pa.array(found, pa.list_(pa.int32()))], names=["y", "h", "f"])
     return run
@@ -161,11 +181,12 @@ class CounterfactualClassifier:
             identity_terms: dict[str, tuple[str, ...]] | None = None) -> CounterfactualClassifier:
         """Learns from the documents that ``labels`` marks 1 (toxic) or 0.
 
-        Up to ``sample_docs`` labels, half of each class, are drawn, see :func:`calibration.draw`, and weighted to the share that
-        the classes have among all labels. Spark counts in how many of the documents of each class a feature stands; the
-        ``features`` ones with the largest G statistic and the identity terms become the model's. In each document, every
-        identity term is taken out, and swapped for the others of its list; ``swap_penalty`` holds the score to the same
-        value. Null texts are empty. Without labels of both classes all scores are the share of toxic labels.
+        Spark counts, over all labelled documents, in how many of each class a feature stands; the ``features`` ones
+        with the largest G statistic and the identity terms become the model's. The weights are fitted on up to ``sample_docs``
+        labels, half of each class, see :func:`calibration.draw`, weighted to the share that the classes have among all labels;
+        a feature that none of these documents holds gets no weight. In each of them, every identity term is taken out, and
+        swapped for the others of its list; ``swap_penalty`` holds the score to the same value. Null texts are empty.
+        Without labels of both classes all scores are the share of toxic labels.
         """
         terms = IDENTITY_TERMS if identity_terms is None else identity_terms
         groups = [[t.encode() for t in g] for g in terms.values()]
@@ -175,29 +196,34 @@ class CounterfactualClassifier:
         constant = cls({}, float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))))
         if len(counted) < 2:
             return constant
-        worded = common.staged(rows.mapInArrow(_featured(whole), "y int, h long, words array<binary>"), "toxicity")
-        counts = {r.y: r["count"] for r in worded.groupBy("y").count().collect()}
-        if len(counts) < 2:
+        keys = calibration.labelled(labels, label, key).distinct()
+        near = sum(counted.values()) <= NEAR_LABELS
+        documents = calibration.texts_of(docs, F.broadcast(keys) if near else keys, text=text, key=key)
+        seen = documents.select("y", "t").mapInArrow(_counted(whole), "word binary, n long, n1 long").groupBy("word").agg(
+            F.sum("n").alias("n"), F.sum("n1").alias("n1")).where("n > 1 or word is null")
+        seen = common.staged(seen, "toxicity")
+        total, toxic = next(((r.n, r.n1) for r in seen.where("word is null").collect()), (0, 0))
+        if not 0 < toxic < total:
             return constant
-        total = sum(counts.values())
-        drawn_share = counts[1] / total
-        seen = worded.select("y", F.explode("words").alias("word")).groupBy("word").agg(
-            F.count("*").alias("n"), F.sum("y").alias("n1"))
+        toxic_share = toxic / total
 
         def part(observed, expected):
             return F.when(observed > 0, observed * F.log(observed / expected)).otherwise(0.0)
 
         n, n1 = F.col("n").cast("double"), F.col("n1").cast("double")
-        gain = part(n1, n * drawn_share) + part(n - n1, n * (1 - drawn_share)) \
-            + part(counts[1] - n1, (total - n) * drawn_share) + part(counts[0] - (n - n1), (total - n) * (1 - drawn_share))
-        top = seen.where("n > 1").select("word", gain.alias("g")).orderBy(F.desc("g"), "word").limit(features).collect()
+        gain = part(n1, n * toxic_share) + part(n - n1, n * (1 - toxic_share)) + part(toxic - n1, (total - n) * toxic_share) \
+            + part(total - toxic - (n - n1), (total - n) * (1 - toxic_share))
+        top = seen.where("word is not null").select("word", gain.alias("g")).orderBy(F.desc("g"), "word").limit(features).collect()
+        common.discard(seen)
         words = list(dict.fromkeys([bytes(r.word) for r in top] + [t for g in groups for t in g]))
         number = {w: i for i, w in enumerate(words)}
         # Feature numbers, not words, come to the driver: at most sample_docs short lists of whole numbers.
-        drawn = worded.mapInArrow(_encoded(number), "y int, h long, f array<int>").toArrow()
+        drawn = rows.mapInArrow(_encoded(number, whole), "y int, h long, f array<int>").toArrow()
+        counts = Counter(drawn["y"].to_pylist())
+        if len(counts) < 2:
+            return constant
         terms_of = [[number[t] for t in g] for g in groups]
         examples = _examples(drawn, {y: counted[y] / counts[y] for y in (0, 1)}, terms_of)
-        common.discard(worded)
         fitted = train(examples, len(words), swap_penalty=swap_penalty)
         return cls({w: float(x) for w, x in zip(words, fitted[:-1]) if x}, float(fitted[-1]), whole)
 

@@ -52,6 +52,15 @@ def test_swaps_lower_the_score_of_neutral_mentions(spark):
     assert abs(held.weights.get(b"muslim", 0) - held.weights.get(b"christian", 0)) < 0.3
 
 
+def test_features_are_counted_over_all_labelled_rows(spark):
+    keys = [r.k for r in spark.range(600).select(F.col("id").alias("k")).orderBy(F.xxhash64(F.col("id").cast("string"))).collect()]
+    toxic, drawn = keys[::2], set(keys[::2][:10]) | set(keys[1::2][:10])
+    held = set(toxic[10:]) | {toxic[0]}  # one drawn row and all that are not drawn
+    rows = _labelled(spark, [(k, f"{'scum' if k in drawn and k in toxic else ''} {'vile' if k in held else ''} text", int(k in toxic), "x") for k in keys])
+    fitted = _fit(toxicity.CounterfactualClassifier, rows, sample_docs=20, features=1)
+    assert fitted.weights.get(b"vile", 0) > 0 and b"scum" not in fitted.weights
+
+
 def test_one_class_no_class_and_awkward_rows(spark):
     texts = [(1, "a", 1, "x"), (2, None, 1, "x"), (2, "", None, "x"), (None, "b c", 1, "x")]
     none = _labelled(spark, []).limit(0)
