@@ -12,20 +12,29 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tallyloom.llm import calibration, common
 
-#: Labelled documents of each class that take part in the fit, and bytes of each that may enter a dictionary.
-SAMPLE_DOCS, SAMPLE_BYTES = 4000, 2048
+#: Labelled documents of each class that take part in the fit; bytes of each that may enter a dictionary, drawn in pieces.
+SAMPLE_DOCS, SAMPLE_BYTES, PIECE = 4000, 2048, 512
 DICTIONARY_BYTES, CHUNK, LEVEL = 32_768, 1024, 3
 
 
 def _dictionary(samples: list[bytes]) -> bytes:
     """A trained dictionary; from too few samples, their plain text."""
-    parts = [s[i:i + 512] for s in samples for i in range(0, len(s), 512)]
+    parts = [s[i:i + PIECE] for s in samples for i in range(0, len(s), PIECE)]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, parts, level=LEVEL).as_bytes()
     except zstandard.ZstdError:
         return b"".join(parts)[-DICTIONARY_BYTES:]
 
 
+def pieces(text: Column, seed: Column) -> Column:
+    """Up to ``SAMPLE_BYTES`` of a text that is not empty: the pieces of ``PIECE`` bytes with the least hash, anywhere in it, in
+    their order."""
+    numbers = F.sequence(F.lit(0), F.floor((F.length(text) - 1) / PIECE).cast("int"))
+    ranked = F.sort_array(F.transform(numbers, lambda i: F.struct(F.xxhash64(seed, i).alias("h"), i.alias("i"))))
+    chosen = F.array_sort(F.transform(F.slice(ranked, 1, SAMPLE_BYTES // PIECE), lambda r: r["i"]))
+    return F.transform(chosen, lambda i: F.substring(text, i * PIECE + 1, F.lit(PIECE)))
+
+
 def _compressor(dictionary: bytes | None):
     data = {"dict_data": zstandard.ZstdCompressionDict(dictionary)} if dictionary else {}
     return zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False, **data)
@@ -76,8 +85,8 @@ class CompressionClassifier:
             sample_docs: int = SAMPLE_DOCS) -> CompressionClassifier:
         """Learns from the documents that ``labels`` marks 1 (good) or 0 (bad).
 
-        ``sample_docs`` labels of each class are drawn, see :func:`calibration.draw`. One half of the documents, up to
-        ``SAMPLE_BYTES`` of each, makes the dictionaries; the whole texts of the other half, measured in Spark, make the
+        ``sample_docs`` labels of each class are drawn, see :func:`calibration.draw`. One half of the documents
+        makes the dictionaries, with up to ``SAMPLE_BYTES`` of each, see :func:`pieces`; the whole texts of the other half, measured in Spark, make the
         calibration, weighted to the share that the classes have among all labels. Null texts are empty. Without labels of
         both classes every score is the share of good ones, one half without any.
         """
@@ -87,9 +96,9 @@ class CompressionClassifier:
         prior = counts[1] / sum(counts.values())
         drawn = common.staged(rows, "quality-sample")
         even = F.pmod(F.shiftrightunsigned("h", 1), F.lit(2)) == 0
-        heads = drawn.where(even).select("y", F.substring("t", 1, SAMPLE_BYTES).alias("t"), "h").where("t is not null").collect()
-        heads.sort(key=lambda r: (r.h, r.t))
-        bad, good = (_dictionary([bytes(r.t) for r in heads if r.y == y]) for y in (0, 1))
+        parts = drawn.where(even).where("length(t) > 0").select("y", "h", pieces(F.col("t"), F.col("h")).alias("p")).collect()
+        samples = sorted((r.h, b"".join(map(bytes, r.p)), r.y) for r in parts)
+        bad, good = (_dictionary([t for _, t, label in samples if label == y]) for y in (0, 1))
         rest = drawn.where(~even).select("y", "h", "t").mapInArrow(
             _measured(good, bad), "y int, h long, __m0 double, __m1 double, __m2 double").collect()
         rest.sort(key=lambda r: (r.h, r[2:]))

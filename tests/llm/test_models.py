@@ -83,3 +83,17 @@ def test_compression_tells_junk_of_the_kind_it_learned(spark):
     docs = documents(spark, [(k, good() if k % 2 else bad(), "s") for k in range(100, 160)] + [(200, " ".join(bad() for _ in range(300)), "s"), (201, " ".join(good() for _ in range(300)), "s")])
     scores = {r.doc_id: r.score for r in _fit(quality_model.CompressionClassifier, labelled).score(docs).collect()}
     assert all((scores[k] > 0.5) == (k % 2 == 1) for k in scores)
+
+
+def test_dictionaries_learn_from_the_whole_of_a_text(spark):
+    rnd = random.Random(4)
+    words = lambda n, of: " ".join(rnd.choice(of) for _ in range(n))
+    prose, junk = ["river", "house", "evening", "quiet", "walked", "under", "stone"], ["BUY!!", "$$$", "CLICK!!", "###", "NOW!!"]
+    rows = _labelled(spark, [(k, words(500, prose) + " " + words(900, prose if k % 2 else junk), k % 2, "x") for k in range(60)])
+    fitted = _fit(quality_model.CompressionClassifier, rows)
+    assert b"CLICK!!" in fitted.bad and b"river" in fitted.good and b"CLICK!!" not in fitted.good
+    whole = spark.createDataFrame([("a" * 100,), ("".join(map(chr, range(33, 120))) * 20,)], "t string").select(F.col("t").cast("binary").alias("t"))
+    for r in whole.select("t", quality_model.pieces(F.col("t"), F.lit(1)).alias("p")).collect():
+        text, found = bytes(r.t), [bytes(x) for x in r.p]
+        own = [text[i:i + 512] for i in range(0, len(text), 512)]
+        assert found == own or (len(found) == 4 and [x for x in own if x in found] == found)
