@@ -72,11 +72,66 @@ def _plain(token: str) -> str:
     return token.strip(_TRIM).lower()
 
 
+def _trimmed(text: str, start: int, end: int) -> tuple[int, int]:
+    while start < end and (text[start] in _TRIM or text[start].isspace()):
+        start += 1
+    while end > start and (text[end - 1] in _TRIM or text[end - 1].isspace()):
+        end -= 1
+    return start, end
+
+
+def _unmatched(text: str, start: int, end: int, min_digits: int) -> list[tuple[int, int]]:
+    """Between ``start`` and ``end``: tokens with an ``@``, and neighbouring tokens with digits as one, from ``min_digits`` on."""
+    groups, joins = [], False
+    for m in _TOKEN.finditer(text, start, end):
+        if "@" in m[0]:
+            groups.append((m.start(), m.end()))
+            joins = False
+        elif any("0" <= c <= "9" for c in m[0]):
+            groups.append((groups.pop()[0] if joins else m.start(), m.end()))
+            joins = True
+        else:
+            joins = False
+    found = [_trimmed(text, a, b) for a, b in groups]
+    return [(a, b) for a, b in found
+            if sum("0" <= c <= "9" for c in text[a:b]) >= min_digits or ("@" in text[a:b] and b - a > 1)]
+
+
+def _parts(text: str, start: int, end: int, spans: list[tuple[int, int, int]], min_digits: int) -> list[Span]:
+    """(kind or -1, start, end) of a run of marked tokens: its base spans, and what lies outside them and is shaped like an
+    identifier. Text outside that is not goes with the base span beside it; overlapping base spans count as the first."""
+    known: list[list[int]] = []
+    for a, b, k in spans:
+        if known and a < known[-1][1]:
+            known[-1][1] = max(known[-1][1], min(b, end))
+        else:
+            known.append([max(a, start), min(b, end), k])
+    out: list[Span] = []
+    done = start
+    for a, b, k in [*known, (end, end, -1)]:
+        between = _unmatched(text, done, a, min_digits)
+        if between:
+            until, begin = between[0][0], between[-1][1]
+        elif k < 0:
+            until = begin = end
+        else:
+            blank = max(text.rfind(" ", done, a), text.rfind("\n", done, a))
+            until = begin = blank + 1 if blank >= 0 else a if out else start
+        if out:
+            out[-1] = (out[-1][0], *_trimmed(text, out[-1][1], until))
+        out += [(-1, *x) for x in between]
+        if k >= 0:
+            out.append((k, begin if between or out else start, b))
+            done = b
+    return [(k, *_trimmed(text, a, b)) for k, a, b in out]
+
+
 def instances(text: str, spans: list[Span], min_digits: int) -> list[tuple[int, int, int, int, list[int]]]:
     """(start, end, kind or -1, hash of the token, hashes of its patterns) of everything shaped like an identifier.
 
-    Neighbouring tokens with digits count as one. Patterns are lexical: the word before with the token's shape, the two
-    words before, and the words on both sides.
+    Neighbouring tokens with digits count as one; base spans and what lies between them count each for itself, see
+    :func:`_parts`. Patterns are lexical: the word before with the token's shape, the two words before, and the words on both
+    sides. A neighbour in the same run stands for itself by its kind, or by its shape if it has none.
     """
     tokens = [(m.start(), m.end()) for m in _TOKEN.finditer(text)]
     marked = [any("0" <= c <= "9" for c in text[a:b]) or "@" in text[a:b] for a, b in tokens]
@@ -90,21 +145,23 @@ def instances(text: str, spans: list[Span], min_digits: int) -> list[tuple[int,
         j = i
         while j + 1 < len(tokens) and marked[j + 1]:
             j += 1
-        start, end = tokens[i][0], tokens[j][1]
-        while start < end and text[start] in _TRIM:
-            start += 1
-        while end > start and text[end - 1] in _TRIM:
-            end -= 1
-        token = text[start:end]
+        start, end = _trimmed(text, tokens[i][0], tokens[j][1])
         while at < len(by_place) and by_place[at][1] <= start:
             at += 1
-        kind = by_place[at][2] if at < len(by_place) and by_place[at][0] < end else -1
-        if kind >= 0 or sum("0" <= c <= "9" for c in token) >= min_digits:
-            left = [_plain(text[a:b]) for a, b in tokens[max(0, i - 2):i]]
-            one, two = left[-1] if left else "", left[0] if len(left) == 2 else ""
-            right = _plain(text[slice(*tokens[j + 1])]) if j + 1 < len(tokens) else ""
+        here, k = [], at
+        while k < len(by_place) and by_place[k][0] < end:
+            if by_place[k][1] > start:
+                here.append(by_place[k])
+            k += 1
+        parts = _parts(text, start, end, here, min_digits)
+        names = [f"\1{KINDS[kind]}" if kind >= 0 else f"\1{_shape(text[a:b])}" for kind, a, b in parts]
+        left = [_plain(text[a:b]) for a, b in tokens[max(0, i - 2):i]]
+        words = [*[""] * (2 - len(left)), *left, *names, _plain(text[slice(*tokens[j + 1])]) if j + 1 < len(tokens) else ""]
+        for place, (kind, a, b) in enumerate(parts):
+            two, one, right = words[place], words[place + 1], words[place + 3]
+            token = text[a:b]
             patterns = [hash64("shape", one, _shape(token)), hash64("two", two, one), hash64("sides", one, right)]
-            out.append((start, end, kind, hash64(token.lower()), patterns))
+            out.append((a, b, kind, hash64(token.lower()), patterns))
         i = j + 1
     return out
 
@@ -139,13 +196,18 @@ def _scan(min_digits: int):
     return run
 
 
-def bootstrap(found: DataFrame, *, rounds: int = 3, min_confidence: float = 0.9, min_support: int = 8) -> DataFrame:
+#: Rounds end when the trust of all tokens together rises by no more than this.
+SETTLED = 1e-6
+
+
+def bootstrap(found: DataFrame, *, min_confidence: float = 0.9, min_support: int = 8) -> DataFrame:
     """(token, kind) of identifiers that only their contexts give away.
 
     ``found``: token, kind (-1: none), pattern; a row for each occurrence and pattern. Tokens and patterns form a graph. Known tokens have
     trust 1 for their kind. A pattern's confidence for a kind is the trust among its distinct tokens over their number plus one; it
     counts from ``min_confidence`` and ``min_support`` distinct trusted tokens on. An unknown token's trust is the chance
-    that not all of its counting patterns err. Every round scores all patterns and then all tokens, as joins and sums.
+    that not all of its counting patterns err. Every round scores all patterns and then all tokens, as joins and sums. Trust only
+    rises from round to round; rounds end when it no longer does.
     """
     edges = common.staged(found.groupBy("pattern", "token").agg(F.max("kind").alias("kind")), "pii-edges")
     sizes = edges.groupBy("pattern").agg(F.count("*").alias("n"), F.min("kind").alias("least"))
@@ -155,26 +217,30 @@ def bootstrap(found: DataFrame, *, rounds: int = 3, min_confidence: float = 0.9,
     useful = common.staged(useful, "pii-useful")
     known = useful.where("kind >= 0").select("token", "kind", F.lit(1.0).alias("trust")).distinct()
     unknown = useful.where("kind < 0").select("token", "pattern")
-    trust, learned = known, None
-    for _ in range(rounds):
+    trust, learned, total = known, None, 0.0
+    while True:
         scored = (
             useful.select("token", "pattern", "n").join(trust, "token")
             .groupBy("pattern", "kind").agg(
                 (F.sum("trust") / (F.max("n") + 1)).alias("c"), F.count("*").alias("support"))
             .where((F.col("c") >= min_confidence) & (F.col("support") >= min_support))
         )
-        learned = common.staged(
+        latest = common.staged(
             unknown.join(scored, "pattern").groupBy("token", "kind")
             .agg((1 - F.exp(F.sum(F.log(1 - F.col("c"))))).alias("trust")), "pii-learned")
-        if not learned.limit(1).count():
+        if learned is not None:
+            common.discard(learned)
+        learned, before = latest, total
+        total = learned.agg(F.sum("trust")).first()[0] or 0.0
+        if total <= before + SETTLED:
             break
         trust = known.union(learned.select("token", "kind", "trust"))
     best = learned.groupBy("token").agg(F.max(F.struct("trust", (-F.col("kind")).alias("k"))).alias("b"))
     return best.where(F.col("b.trust") >= min_confidence).select("token", (-F.col("b.k")).alias("kind"))
 
 
-def find(docs: DataFrame, *, text: str = "text", min_digits: int = 4, rounds: int = 3, min_confidence: float = 0.9,
-         min_support: int = 8, carry: list[str] | None = None) -> DataFrame:
+def find(docs: DataFrame, *, text: str = "text", min_digits: int = 4, min_confidence: float = 0.9, min_support: int = 8,
+         carry: list[str] | None = None) -> DataFrame:
     """``docs`` with ``base`` and ``spans``: arrays of (kind, start, end), kind as a place in ``KINDS``, sorted.
 
     ``base`` holds the base patterns, ``spans`` also what the contexts of the whole corpus add. Each text is read
@@ -192,7 +258,7 @@ def find(docs: DataFrame, *, text: str = "text", min_digits: int = 4, rounds: in
     table = common.staged(ready.mapInArrow(_scan(min_digits), schema), "pii")
     seen = table.select("__rid", F.explode("__found").alias("x")).select("__rid", "x.*")
     learned = bootstrap(
-        seen.select("token", "kind", F.explode("patterns").alias("pattern")), rounds=rounds,
+        seen.select("token", "kind", F.explode("patterns").alias("pattern")),
         min_confidence=min_confidence, min_support=min_support)
     added = (
         seen.where("kind < 0").select("__rid", "token", "start", "end").join(learned, "token")

@@ -68,6 +68,34 @@ def test_rounds_reach_tokens_that_share_no_pattern_with_seeds(spark):
     assert found == {(hash64("u0"), 1), (hash64("v"), 1)}
 
 
+def test_rounds_go_on_until_nothing_changes(spark):
+    rows = [(f"seed{k}", 1, "p0") for k in range(30)] + [("u0", -1, "p0")]
+    for link in range(1, 7):  # each pattern counts only when the token of the one before is trusted
+        rows += [(f"seed{k}", 1, f"p{link}") for k in range(20)] + [(f"u{link - 1}", -1, f"p{link}"), (f"u{link}", -1, f"p{link}")]
+    df = spark.createDataFrame([(hash64(t), k, hash64(p)) for t, k, p in rows], "token long, kind int, pattern long")
+    assert {(r.token, r.kind) for r in pii.bootstrap(df).collect()} == {(hash64(f"u{k}"), 1) for k in range(7)}
+
+
+def _new(spark, texts):
+    rows = pii.find(documents(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()
+    return sorted((r.doc_id, pii.KINDS[s.kind], r.text[s.start:s.end]) for r in rows for s in r.spans if s not in r.base)
+
+
+def test_tokens_with_an_at_sign_are_candidates(spark):
+    texts = [f"write a mail to person{k}@host{k}.org about it" for k in range(60)]
+    texts += ["write a mail to jane@intranet about it", "write a mail to joe@intranet 12 about it", "write a note @ noon about it"]
+    assert _new(spark, texts) == [(60, "email", "jane@intranet"), (61, "email", "joe@intranet")]
+
+
+def test_parts_of_a_run_outside_base_spans_are_candidates(spark):
+    texts = [f"contact p{k}@host.org +1 555 {100 + k} {1000 + 7 * k} today" for k in range(60)]
+    texts += ["contact jane@host.org 1 555 777 9999 today", "contact jane@host.org;1-555-777-8888 today"]
+    assert _new(spark, texts) == [(60, "phone", "1 555 777 9999"), (61, "phone", "1-555-777-8888")]
+    text = "tel:+1 555 010 9999, a@b.cc/12345678 x"
+    found = [(k, text[a:b]) for a, b, k, *_ in pii.instances(text, pii.base_spans(text), 4)]
+    assert found == [(3, "tel:+1 555 010 9999"), (0, "a@b.cc"), (-1, "/12345678")]
+
+
 def hash64(text):
     import xxhash
     return xxhash.xxh64_intdigest(text) - 2**63
