@@ -13,8 +13,6 @@ from pyspark.sql.types import (ArrayType, BooleanType, LongType, StringType, Str
 
 Message = tuple[str, str]
 
-#: Turns that stand before the one under study: the first ones and the latest ones.
-HEAD, TAIL = 2, 4
 #: Two texts that differ from the first to the last character.
 PROBES = ("\ue000", "\ue001")
 
@@ -92,41 +90,27 @@ def _text_place(render, context: list[Message], role: str, before: int, piece: i
 
 
 def locate(messages: list[Message], render: Callable[[list[Message]], str]) -> Located:
-    """Renders successive prefixes and compares consecutive outputs.
+    """Renders every prefix in full and compares consecutive outputs.
 
-    A template that only appends gives each turn the part by which the output grew. A prefix longer than HEAD + TAIL turns is
-    stood for by its first and its latest turns, so that a conversation costs its length and not its square; that the parts add up
-    to the output of the whole conversation proves it. Where they do not, or an output does not go on from the one
-    before it, the template rewrites history: all prefixes are rendered in full, and a turn is located if what it added is still in place
-    at the end.
+    A template that only appends gives each turn the part by which the output grew. Where an output does not go on from the one
+    before it, the template rewrites history, also if the output of the whole shows no trace of it; a turn is then located if
+    what it added is still in place at the end. A black box can only be known by its outputs, so a conversation costs the
+    square of its turns; two outputs are held at a time.
     """
     whole = render(messages)
-    opening = render([])
-    at, spans, parts = len(opening), [], [opening]
-    for k, (role, text) in enumerate(messages):
-        context = messages[:k] if k <= HEAD + TAIL else messages[:HEAD] + messages[k - TAIL:k]
-        before = render(context)
-        after = render([*context, (role, text)])
-        if not after.startswith(before):
-            break
-        part = after[len(before):]
-        first, last = _text_place(render, context, role, len(before), len(part))
-        spans.append((at, at + len(part), at + first, at + last))
-        parts.append(part)
-        at += len(part)
-    if len(spans) == len(messages) and "".join(parts) == whole:
-        return Located(whole, False, spans)
-    spans, before = [], opening
+    before, rewrites, spans = render([]), False, []
     for k, (role, _) in enumerate(messages):
-        after = render(messages[:k + 1])
-        start = _common(before, after)
+        after = render(messages[:k + 1]) if k + 1 < len(messages) else whole
+        start = len(before)
+        if not after.startswith(before):
+            rewrites, start = True, _common(before, after)
         if whole[start:len(after)] == after[start:]:
             first, last = _text_place(render, messages[:k], role, start, len(after) - start)
             spans.append((start, len(after), start + first, start + last))
         else:
             spans.append(None)
         before = after
-    return Located(whole, True, spans)
+    return Located(whole, rewrites, spans)
 
 
 _SPAN = ("role", "start", "end", "text_start", "text_end")

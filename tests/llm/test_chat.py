@@ -46,6 +46,21 @@ def test_templates_that_rewrite_history_are_seen():
     assert chat.locate([("user", "x")] * 12, counted).rewrites
 
 
+def test_long_prefixes_are_rendered_in_full():
+    messages = [("user", f"text {i}") for i in range(12)]
+
+    def loud(shown):  # rewrites the prefix of nine turns, and nothing else
+        return "".join(f"{t.upper() if len(shown) == 9 else t};" for _, t in shown)
+
+    assert chat.locate(messages, loud).rewrites
+
+    def listed(shown):  # only appends, but a turn knows its number
+        return "".join(f"{i}. {t}\n" for i, (_, t) in enumerate(shown))
+
+    found = chat.locate(messages, listed)
+    assert not found.rewrites and [found.formatted[s[2]:s[3]] for s in found.spans] == [t for _, t in messages]
+
+
 def test_conversations_against_brute_force(spark):
     rnd = random.Random(6)
     rows = []
