@@ -177,19 +177,29 @@ def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def pieces(words: list[bytes], window: int, most: int) -> list[list[bytes]]:
+    """The words of an item, in pieces of at most ``most`` that overlap by one word less than a window, so that each
+    window stands whole in a piece; an item within the bound is one piece."""
+    size = max(most, window)
+    if len(words) <= size:
+        return [words]
+    return [words[a:a + size] for a in range(0, len(words) - window + 1, size - window + 1)]
+
+
 def automata(benchmark: DataFrame, window: int = WINDOW, *, item: str = "item_id", text: str = "text",
              block_words: int = BLOCK_WORDS) -> Iterator[Automaton]:
-    """One automaton for every ``block_words`` words of items, streamed through the driver block by block."""
+    """One automaton for every ``block_words`` words of items, streamed through the driver block by block. An item of more
+    words goes into several, under the same name."""
     block: list[tuple[str, list[bytes]]] = []
     size = 0
     rows = benchmark.select(F.col(f"`{item}`").cast("string").alias("i"), F.col(f"`{text}`").cast("binary").alias("t"))
     for row in rows.toLocalIterator():
-        words = words_of(None if row.t is None else bytes(row.t))
-        if block and size + len(words) > block_words:
-            yield Automaton(window).build(block)
-            block, size = [], 0
-        block.append((row.i if row.i is not None else "null", words))
-        size += len(words)
+        for words in pieces(words_of(None if row.t is None else bytes(row.t)), window, block_words):
+            if block and size + len(words) > block_words:
+                yield Automaton(window).build(block)
+                block, size = [], 0
+            block.append((row.i if row.i is not None else "null", words))
+            size += len(words)
     yield Automaton(window).build(block)
 
 

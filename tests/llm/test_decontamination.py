@@ -99,3 +99,13 @@ def test_awkward_rows(spark):
     nothing = spark.createDataFrame([], "item_id string, text string")
     assert dc.find_contamination(docs, nothing).where("n_hit > 0 or contaminated").count() == 0
     assert dc.find_contamination(empty(spark), benchmark).count() == 0
+
+
+def test_an_item_above_the_block_size_is_split(spark):
+    words = [f"w{i}" for i in range(150)]
+    items = spark.createDataFrame([("long", " ".join(words)), ("short", "one two")], "item_id string, text string")
+    assert max(max(a.length) for a in dc.automata(items, block_words=50)) == 50
+    docs = documents(spark, [(i, " ".join(words[i:i + 13]), "s") for i in range(138)] + [(200, " ".join(words), "s"), (201, "one two", "s")])
+    rows = {r.doc_id: r for r in dc.find_contamination(docs, items, block_words=50).collect()}
+    assert all(rows[i].n_hit == 13 and rows[i].items == ["long"] for i in range(138))
+    assert rows[200].n_hit == 150 and rows[200].n_items == 1 and rows[201].items == ["short"]
