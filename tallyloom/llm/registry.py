@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyloom.llm import (chat, decontamination, mixing, near_dedup, pii, quality_model, quality_rules, sharding, toxicity,
-                           url_rules)
+from tallyloom.llm import (chat, decontamination, fill_in_middle, hard_negatives, mixing, near_dedup, piece_bpe, pii,
+                           quality_model, quality_rules, sharding, toxicity, url_rules)
 from tallyloom.llm.checks import ORACLE  # noqa: F401
 from tallyloom.llm.common import table
 
@@ -117,3 +117,33 @@ def op10_cube_mixing(spark: SparkSession, d: str) -> DataFrame:
     """How many words of each document the mix takes."""
     mixed = mixing.mix(table(spark, d, "documents").select("doc_id", "source", "text"), carry=["doc_id"])
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op11_piece_backtracking(spark: SparkSession, d: str) -> DataFrame:
+    """Every document as ids of the public 32k vocabulary, and back."""
+    import public_tokenizers
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    encoded = piece_bpe.encode(table(spark, d, "documents").select("doc_id", "text"), model, carry=["doc_id"])
+    return piece_bpe.decode(encoded, model).select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query
+def op12_fill_in_middle(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with its middle moved to the end, and rebuilt from that."""
+    made = fill_in_middle.transform(table(spark, d, "documents").select("doc_id", "text"), carry=["doc_id"])
+    restored = fill_in_middle.restore(F.col("fim_text"), F.col("form"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2(F.col("fim_text").cast("binary"), 256).alias("output_sha256"),
+        F.sha2(restored.cast("binary"), 256).alias("restored_sha256"))
+
+
+@query
+def op13_residue_hard_negatives(spark: SparkSession, d: str) -> DataFrame:
+    """The hard negatives of every fiftieth vector."""
+    vectors = table(spark, d, "embeddings").select("vec_id", "embedding", "label")
+    moved = vectors.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.mine(moved, F.col("vec_id") % 50 == 0)
