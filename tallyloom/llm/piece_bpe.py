@@ -5,10 +5,10 @@ from __future__ import annotations
 import codecs
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -23,7 +23,7 @@ UNKNOWN_TEXT = " ⁇ "
 #: Types of pieces in a model file.
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 #: Encoded segments and checked pairs that a worker remembers, and the longest segment worth remembering.
-REMEMBERED, REMEMBERED_CHARS = 200_000, 64
+REMEMBERED, REMEMBERED_CHARS = 300_000, 64
 
 codecs.register_error("tallyloom-each-byte", lambda e: ("�" * (e.end - e.start), e.end))
 
@@ -76,21 +76,86 @@ class Merger:
         self.ids = {p: i for i, p in enumerate(vocabulary.pieces) if vocabulary.kinds[i] == NORMAL}
         self.scores = vocabulary.scores
 
-    def merge(self, text: str) -> list[int]:
-        """Ids of the merged parts; -1 for a character without a piece."""
-        parts = list(text)
-        while len(parts) > 1:
+    def steps(self, parts: list[str]) -> Iterator[tuple[float, list[str]]]:
+        """The score of each merge, and the parts after it."""
+        while True:
             best, at = None, -1
             for i in range(len(parts) - 1):
                 found = self.ids.get(parts[i] + parts[i + 1])
                 if found is not None and (best is None or self.scores[found] > best):
                     best, at = self.scores[found], i
-            if at < 0:
-                break
+            if best is None:
+                return
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
+            yield best, parts
+
+    def merge(self, text: str) -> list[int]:
+        """Ids of the merged parts; -1 for a character without a piece."""
+        parts = list(text)
+        for _ in self.steps(parts):
+            pass
         return [self.ids.get(p, -1) for p in parts]
 
 
+class Edges:
+    """What merging a piece by itself does to its outer parts: the score of each merge, and the first and last part after it."""
+
+    def __init__(self, merger: Merger, piece: str) -> None:
+        self.first, self.last, self.scores = [piece[0]], [piece[-1]], []
+        for score, parts in merger.steps(list(piece)):
+            self.scores.append(score)
+            self.first.append(parts[0])
+            self.last.append(parts[-1])
+        self.scores.append(float("-inf"))
+
+
+class LongestMatches:
+    """Aho-Corasick over the reversed pieces: read from the end, every character tells the longest piece that starts with it.
+
+    Each state keeps the longest of the pieces that end there, so no shorter match is ever listed.
+    """
+
+    def __init__(self, pieces: dict[str, int]) -> None:
+        leaf: dict[str, int] = {}
+        go, best = [{}], [-1]
+        for piece, number in pieces.items():
+            state = 0
+            for c in reversed(piece):
+                if go[state] is leaf:
+                    go[state] = {}
+                state = go[state].setdefault(c, len(go))
+                if state == len(go):
+                    go.append(leaf)
+                    best.append(-1)
+            best[state] = number
+        fail = [0] * len(go)
+        level = [(0, c, s) for c, s in go[0].items()]
+        while level:
+            for parent, c, state in level:
+                at = fail[parent]
+                while at and c not in go[at]:
+                    at = fail[at]
+                fail[state] = go[at].get(c, 0) if parent else 0
+                if best[state] < 0:
+                    best[state] = best[fail[state]]
+            level = [(state, c, s) for _, _, state in level for c, s in go[state].items()]
+        self.go, self.fail, self.best = go, fail, best
+
+    def starting(self, text: str) -> list[int]:
+        """The longest piece that starts at each place of the text, all of whose characters are pieces."""
+        go, fail, best = self.go, self.fail, self.best
+        state, out = 0, []
+        for c in reversed(text):
+            follow = go[state].get(c)
+            while follow is None:
+                state = fail[state]
+                follow = go[state].get(c)
+            state = follow
+            out.append(best[state])
+        out.reverse()
+        return out
+
+
 class Encoder:
     """Encodes whole texts exactly as merging does, in time linear in the text.
 
@@ -100,101 +165,155 @@ class Encoder:
     prefix piece where neighbours do not fit, and goes back one piece where none fits. A bit for each place remembers that
     no way leads on from there, so no place is tried twice.
 
-    Merges never cross a character without a piece, nor the place between a word and the blank behind it if no piece
-    holds such a place; the text is cut there, and recurring segments are looked up.
+    Merges never cross a character without a piece, nor a place between two characters that no piece holds side by side;
+    the text is cut there, and recurring segments are looked up.
     """
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.vocabulary, self.merger = vocabulary, Merger(vocabulary)
         self.text = vocabulary.pieces
         self.size = [len(p) for p in vocabulary.pieces]
-        usable = {vocabulary.pieces[i]: i for i in vocabulary.mergeable}
-        self.automaton = ahocorasick.Automaton()
-        self.shorter: dict[int, int] = {}
+        usable = {vocabulary.pieces[i]: i for i in sorted(vocabulary.mergeable)}
+        self.matches = LongestMatches(usable)
+        self.shorter = [-1] * len(self.text)
         for piece, i in usable.items():
-            self.automaton.add_word(piece[::-1], i)
             for n in range(len(piece) - 1, 0, -1):
                 if piece[:n] in usable:
                     self.shorter[i] = usable[piece[:n]]
                     break
-        if usable:
-            self.automaton.make_automaton()
         self.single = {p: struct.pack("<I", i) for p, i in usable.items() if len(p) == 1}
         self.bytes = dict(zip((int(p[3:5], 16) for i, p in enumerate(self.text) if vocabulary.kinds[i] == BYTE),
                               (i for i, k in enumerate(vocabulary.kinds) if k == BYTE)))
         known = "".join(map(re.escape, (c for c in self.single if c != SPACE)))
-        across = any(a != SPACE and b == SPACE for p in usable for a, b in zip(p, p[1:]))
+        self.inside = {pair for p in usable for pair in zip(p, p[1:])}
+        across = any(a != SPACE and b == SPACE for a, b in self.inside)
         blank = SPACE if SPACE in self.single else ""
         if across or not known:
             self.cut = re.compile(f"[{known}{blank}]+|.", re.S) if known or blank else re.compile(".", re.S)
         else:
             self.cut = re.compile(f"{SPACE}+[{known}]*|[{known}]+|.", re.S)
         self.known: dict[str, bytes] = {}
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.older: dict[str, bytes] = {}
+        self.edges: dict[int, Edges] = {}
+        self.fits: list[dict[int, bool]] = [{} for _ in self.text]
+        self.checked = 0
 
     def compatible(self, left: int, right: int) -> bool:
-        """Whether the two pieces, merged again from their characters, stay apart where they are."""
-        if len(self.fits) >= REMEMBERED:
-            self.fits.clear()
-        found = self.fits[left, right] = self.merger.merge(self.text[left] + self.text[right]) == [left, right]
+        """Whether the two pieces, merged again from their characters, stay apart where they are.
+
+        Until a merge crosses the place between them, each side merges as it does alone. So the next merge is the best of
+        the next one on the left, the one across, and the next one on the right, in this order among equals.
+        """
+        a, b = self._edges(left), self._edges(right)
+        ids, scores, i, j, fits = self.merger.ids, self.merger.scores, 0, 0, True
+        while True:
+            across = ids.get(a.last[i] + b.first[j])
+            most = float("-inf") if across is None else scores[across]
+            if a.scores[i] >= max(most, b.scores[j]) and i + 1 < len(a.scores):
+                i += 1
+            elif across is not None and most >= b.scores[j]:
+                fits = False
+                break
+            elif j + 1 < len(b.scores):
+                j += 1
+            else:
+                break
+        if self.checked >= REMEMBERED:
+            self.checked = 0
+            for row in self.fits:
+                row.clear()
+        self.checked += 1
+        self.fits[left][right] = fits
+        return fits
+
+    def _edges(self, piece: int) -> Edges:
+        found = self.edges.get(piece)
+        if found is None:
+            found = self.edges[piece] = Edges(self.merger, self.text[piece])
         return found
 
     def backtrack(self, segment: str) -> list[int]:
         """Ids of a segment all of whose characters have a piece."""
-        n = len(segment)
-        longest = [-1] * n
-        for end, piece in self.automaton.iter(segment[::-1]):
-            if longest[n - 1 - end] < 0:  # the longest match that ends there comes first
-                longest[n - 1 - end] = piece
-        failed = bytearray(n // 8 + 1)
-        size, shorter, known, out, at = self.size, self.shorter, self.fits.get, [], 0
+        n, size, shorter, rows = len(segment), self.size, self.shorter, self.fits
+        longest = self.matches.starting(segment)
+        failed, some_failed = bytearray(n // 8 + 1), False
         piece = longest[0]
+        out, at = [piece], size[piece]  # a single piece always fits the start; shorter ones follow by going back
         while at < n:
-            end = at + size[piece]
-            if not failed[end >> 3] >> (end & 7) & 1:
-                fits = known((out[-1], piece)) if out else True
-                if fits is None:
-                    fits = self.compatible(out[-1], piece)
-                if fits:
-                    out.append(piece)
-                    at = end
-                    if at < n:
-                        piece = longest[at]
+            left, piece = out[-1], longest[at]
+            row = rows[left]
+            while True:
+                end = at + size[piece]
+                if not (some_failed and failed[end >> 3] >> (end & 7) & 1):
+                    fits = row.get(piece)
+                    if fits is None:
+                        fits = self.compatible(left, piece)
+                    if fits:
+                        out.append(piece)
+                        at = end
+                        break
+                piece = shorter[piece]
+                if piece >= 0:
                     continue
-            while True:  # the next shorter piece here; where there is none, the piece before is at fault
-                follow = shorter.get(piece, -1)
-                if follow >= 0:
-                    piece = follow
+                while piece < 0:  # no piece fits here, so the one before is at fault: its next shorter prefix
+                    failed[at >> 3] |= 1 << (at & 7)
+                    some_failed = True
+                    at -= size[out[-1]]
+                    piece = shorter[out.pop()]
+                if out:
+                    left = out[-1]
+                    row = rows[left]
+                else:
+                    piece = self._first(piece, failed)
+                    out.append(piece)
+                    at = size[piece]
                     break
-                failed[at >> 3] |= 1 << (at & 7)
-                piece = out.pop()
-                at -= size[piece]
         return out
 
+    def _first(self, piece: int, failed: bytearray) -> int:
+        """The longest prefix piece from ``piece`` on that does not end where no way leads on."""
+        while failed[self.size[piece] >> 3] >> (self.size[piece] & 7) & 1:
+            piece = self.shorter[piece]
+        return piece
+
     def segment(self, segment: str) -> bytes:
-        found = self.known.get(segment)
-        if found is not None:
-            return found
+        """Packed ids of a segment that was not used lately; the older half of what is remembered is dropped in turn."""
+        found = self.known.get(segment) or self.older.get(segment)
+        if found is None:
+            ends = [] if segment[1:].isalpha() else [
+                i for i, pair in enumerate(zip(segment, segment[1:]), 1) if pair not in self.inside]
+            if ends:
+                known = self.known.get
+                parts = [segment[a:b] for a, b in zip([0, *ends], [*ends, len(segment)])]
+                found = b"".join([known(p) or self.remember(p, self.older.get(p) or self.whole(p)) for p in parts])
+            else:
+                found = self.whole(segment)
+        return self.remember(segment, found)
+
+    def remember(self, segment: str, ids: bytes) -> bytes:
+        if len(segment) <= REMEMBERED_CHARS:
+            if len(self.known) >= REMEMBERED:
+                self.known, self.older = {}, self.known
+            self.known[segment] = ids
+        return ids
+
+    def whole(self, segment: str) -> bytes:
+        """Packed ids of characters that have pieces, or of one that has none."""
         if len(segment) > 1 or segment in self.single:
             ids = self.backtrack(segment)
         elif self.bytes:
             ids = [self.bytes[b] for b in segment.encode()]
         else:
             ids = [self.vocabulary.unknown]
-        found = struct.pack(f"<{len(ids)}I", *ids)
-        if len(segment) <= REMEMBERED_CHARS:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            self.known[segment] = found
-        return found
+        return array("I", ids).tobytes()
 
     def encode(self, text: str | None, begin: bool, end: bool) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         marked = (text or "").replace(" ", SPACE)
         if marked and self.vocabulary.add_prefix:
             marked = SPACE + marked
-        look, made = self.known.get, self.segment
-        body = [look(s) or made(s) for s in self.cut.findall(marked)]
+        known, made = self.known.get, self.segment
+        body = [known(s) or made(s) for s in self.cut.findall(marked)]
         if not self.bytes:
             body = _unknown_runs(body, struct.pack("<I", self.vocabulary.unknown))
         first = struct.pack("<I", self.vocabulary.begin) if begin else b""
@@ -213,7 +332,7 @@ class Decoder:
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.vocabulary = vocabulary
         self.raw = []
-        self.control = {i for i, kind in enumerate(vocabulary.kinds) if kind == CONTROL}
+        self.control = np.array([i for i, kind in enumerate(vocabulary.kinds) if kind == CONTROL], np.uint32)
         for piece, kind in zip(vocabulary.pieces, vocabulary.kinds):
             if kind == BYTE:
                 self.raw.append(bytes([int(piece[3:5], 16)]))
@@ -223,14 +342,14 @@ class Decoder:
                 self.raw.append((UNKNOWN_TEXT if kind == UNKNOWN else piece.replace(SPACE, " ")).encode())
 
     def decode(self, ids: bytes | None) -> str:
-        found = memoryview(ids or b"").cast("I")
-        raw = list(map(self.raw.__getitem__, found))
+        found = np.frombuffer(ids or b"", "<u4")
+        raw = list(map(self.raw.__getitem__, found.tolist()))
         if self.vocabulary.add_prefix:
             first = next((i for i, x in enumerate(raw) if x), None)  # the blank that encoding put before the text
             if first is not None and raw[first][:1] == b" " and self.vocabulary.kinds[found[first]] == NORMAL:
                 raw[first] = raw[first][1:]
         parts, start = [], 0
-        for at in [*(i for i, x in enumerate(found) if x in self.control), len(raw)]:  # bytes do not join across these
+        for at in [*np.flatnonzero(np.isin(found, self.control)).tolist(), len(raw)]:  # bytes do not join across these
             parts.append(b"".join(raw[start:at]).decode("utf-8", "tallyloom-each-byte"))
             start = at
         return "".join(parts)
