@@ -12,6 +12,9 @@ from tallyloom.llm import common
 #: Key columns hold whole numbers from 0 to TOP.
 TOP = 2**62 - 1
 KEYS = ("__k1", "__k2", "__k3")
+#: Counts that one round of probing brings to the driver; pieces of all shards together; bytes of a piece, at least and at most.
+MAX_COUNTS, MAX_PIECES = 1 << 17, 1 << 14
+SMALL_PIECE, LARGE_PIECE = 1 << 18, 1 << 28
 
 
 @dataclass(frozen=True)
@@ -24,24 +27,50 @@ class Interval:
     below: int
 
 
-def _inside(interval: Interval, keys: Sequence[str]) -> Column:
-    at = F.col(keys[len(interval.prefix)])
-    found = (at >= F.lit(interval.low)) & (at <= F.lit(interval.high))
-    for name, value in zip(keys, interval.prefix):
-        found = (F.col(name) == F.lit(value)) & found
-    return found
+def _numbers(values: Sequence[int]) -> Column:
+    """A constant array of longs, as one literal however many there are."""
+    return F.split(F.lit(" ".join(map(str, values))), " ").cast("array<long>")
+
+
+def _reached(keys: Sequence[str], bounds: Sequence[tuple[int, ...]]) -> Column:
+    """How many of the rising ``bounds`` lie at or below the row's key, by binary search in constant arrays."""
+    if not bounds:
+        return F.lit(0)
+    columns = [_numbers([b[i] for b in bounds]) for i in range(len(keys))]
+    steps = [1 << i for i in reversed(range(len(bounds).bit_length()))]
+
+    def step(found: Column, width: Column) -> Column:
+        at = (found + width - 1).cast("int")
+        fits = F.col(keys[-1]) >= F.get(columns[-1], at)
+        for name, column in reversed(list(zip(keys[:-1], columns[:-1]))):
+            bound = F.get(column, at)
+            fits = (F.col(name) > bound) | ((F.col(name) == bound) & fits)
+        return F.when(fits, found + width).otherwise(found)  # behind the last bound the test is null
+
+    return F.aggregate(_numbers(steps), F.lit(0).cast("long"), step).cast("int")
 
 
 def _histogram(table: DataFrame, keys: Sequence[str], weight: str, intervals: list[Interval], probes: int):
-    """Exact weight and rows in each of ``probes`` equal key ranges of each interval: one aggregation, probes rows an interval."""
-    place = F.lit(None).cast("struct<i:int,b:long>")
-    for i, iv in reversed(list(enumerate(intervals))):
-        step = -(-(iv.high - iv.low + 1) // probes)
-        bin_no = F.expr(f"(`{keys[len(iv.prefix)]}` - {iv.low}L) div {step}L")
-        place = F.when(_inside(iv, keys), F.struct(F.lit(i).alias("i"), bin_no.alias("b"))).otherwise(place)
+    """Exact weight and rows in each of ``probes`` equal key ranges of each interval: one aggregation, probes rows an interval.
+
+    The intervals share no key and come in rising order, so a row's interval is found by binary search.
+    """
+    pad = lambda iv, last, rest: (*iv.prefix, last, *[rest] * (len(keys) - len(iv.prefix) - 1))
+    ends = [pad(iv, iv.high, TOP) for iv in intervals]
+    i = F.col("__i")
+    depth = F.get(_numbers([len(iv.prefix) for iv in intervals]), i)
+    at = F.coalesce(*[F.when(depth == n, F.col(k)) for n, k in enumerate(keys)])
+    low = F.get(_numbers([iv.low for iv in intervals]), i)
+    width = F.get(_numbers([-(-(iv.high - iv.low + 1) // probes) for iv in intervals]), i)
+    inside = F.col(keys[-1]) <= F.get(_numbers([e[-1] for e in ends]), i)
+    for n in reversed(range(len(keys) - 1)):
+        end = F.get(_numbers([e[n] for e in ends]), i)
+        inside = (F.col(keys[n]) < end) | ((F.col(keys[n]) == end) & inside)
     rows = (
-        table.select(place.alias("p"), F.col(weight).alias("w")).where("p is not null")
-        .groupBy(F.col("p.i").alias("i"), F.col("p.b").alias("b")).agg(F.sum("w").alias("w"), F.count("*").alias("n")).collect()
+        table.select(*keys, F.col(weight).alias("w"), (_reached(keys, [pad(iv, iv.low, 0) for iv in intervals]) - 1).alias("__i"))
+        .where((i >= 0) & inside)
+        .select("w", i.alias("i"), (at - low).alias("__d"), width.alias("__s"))
+        .groupBy("i", F.expr("__d div __s").alias("b")).agg(F.sum("w").alias("w"), F.count("*").alias("n")).collect()
     )
     found: list[list[tuple[int, int, int]]] = [[] for _ in intervals]
     for r in rows:
@@ -55,21 +84,22 @@ def find_splitters(table: DataFrame, keys: Sequence[str], weight: str, targets:
 
     ``targets``: rising (weight, tolerance) pairs. Each round counts every open interval exactly and keeps, for each
     target, the one range of keys that holds it. A range of one key value goes on with the next key column; where a range
-    holds a single row, or the last column ends, the nearer side is taken. The driver holds targets times ``probes`` numbers at most.
+    holds a single row, or the last column ends, the nearer side is taken. A round brings at most MAX_COUNTS
+    counts to the driver: the more intervals are open, the fewer ranges each is cut into.
     """
     open_at = {t: Interval((), 0, TOP, 0) for t in range(len(targets))}
     done: dict[int, tuple[int, ...]] = {}
     pad = lambda key: (*key, *[0] * (len(keys) - len(key)))
     while open_at:
-        intervals = list(dict.fromkeys(open_at.values()))
-        wide = max(probes, probes * len(targets) // len(intervals)) if len(intervals) == 1 else probes
-        counts = _histogram(table, keys, weight, intervals, wide)
+        place = {iv: n for n, iv in enumerate(sorted(set(open_at.values()), key=lambda iv: (*iv.prefix, iv.low)))}
+        wide = max(2, min(MAX_COUNTS, probes * len(open_at)) // len(place))
+        counts = _histogram(table, keys, weight, list(place), wide)
         for t, iv in list(open_at.items()):
             goal, tolerance = targets[t]
             step = -(-(iv.high - iv.low + 1) // wide)
             before, at = iv.below, iv.low
             chosen = None
-            for b, w, n in counts[intervals.index(iv)]:
+            for b, w, n in counts[place[iv]]:
                 if before + w >= goal:
                     chosen = (b, before, before + w, n)
                     break
@@ -96,32 +126,14 @@ def find_splitters(table: DataFrame, keys: Sequence[str], weight: str, targets:
     return rising
 
 
-def _below(keys: Sequence[str], splitter: tuple[int, ...]) -> Column:
-    """Whether the row's key lies before the splitter; trailing zeros need no comparison."""
-    used = max((i for i, v in enumerate(splitter) if v), default=0) + 1
-    test = F.col(keys[used - 1]) < F.lit(splitter[used - 1])
-    for name, value in reversed(list(zip(keys[: used - 1], splitter[: used - 1]))):
-        test = (F.col(name) < F.lit(value)) | ((F.col(name) == F.lit(value)) & test)
-    return test
-
-
-def _search(keys: Sequence[str], splitters: Sequence[tuple[int, ...]], first: int = 0) -> Column:
-    """The number of splitters at or below the row's key, as a balanced tree of comparisons."""
-    if not splitters:
-        return F.lit(first)
-    mid = len(splitters) // 2
-    return F.when(_below(keys, splitters[mid]), _search(keys, splitters[:mid], first)).otherwise(
-        _search(keys, splitters[mid + 1:], first + mid + 1))
-
-
 def shard(docs: DataFrame, shards: int = 16, tolerance: float = 0.001, *, text: str = "text", key: str = "doc_id",
           probes: int = 256) -> DataFrame:
     """``docs`` with ``size``, ``shard`` and ``slot``, in shards of nearly equal bytes (law ``bytes``).
 
     Size is the UTF-8 length of the text plus 1. Rows are ordered by a hash of the text, a hash of ``key`` and a row
     number, so that equal texts lie side by side and a group with a third of all rows is still cut at the right byte. Each
-    shard is cut into several pieces by further splitters, so that no task sorts a whole shard; ``slot`` counts from 0
-    without gaps within a shard. A shard's bytes miss the mean by ``tolerance`` of it or, if that is more, by about one
+    shard is cut into pieces by further splitters, so that no task sorts a whole shard: as many as there are shuffle
+    partitions, but of 256 KB to 256 MB each where MAX_PIECES allows it. ``slot`` counts from 0 without gaps within a shard. A shard's bytes miss the mean by ``tolerance`` of it or, if that is more, by about one
     document.
 
     The rows are staged once with their row number, as splitters and the exchange must see the same keys; probing reads
@@ -142,13 +154,14 @@ def shard(docs: DataFrame, shards: int = 16, tolerance: float = 0.001, *, text:
     total = table.agg(F.sum("size")).first()[0]
     if total is None:
         return table.drop(*KEYS).withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("long")})
-    per = max(1, -(-common.partitions(spark) // shards))
+    wanted = min(max(common.partitions(spark), total // LARGE_PIECE), total // SMALL_PIECE, MAX_PIECES)
+    per = max(1, -(-wanted // shards))
     fine = shards * per
     targets = [
         (total * i // fine, int(total / shards * tolerance) if i % per == 0 else total // fine // 10) for i in range(1, fine)
     ]
     splitters = find_splitters(table, KEYS, "size", targets, probes)
-    piece = _search(KEYS, splitters)
+    piece = _reached(KEYS, splitters)
     counted = {r.piece: r["count"] for r in table.select(piece.alias("piece")).groupBy("piece").count().collect()}
     starts, at = [], 0
     for i in range(fine):
@@ -156,7 +169,7 @@ def shard(docs: DataFrame, shards: int = 16, tolerance: float = 0.001, *, text:
         starts.append(at)
         at += counted.get(i, 0)
     inside = F.row_number().over(Window.partitionBy("__piece").orderBy(*KEYS))
-    start = F.element_at(F.array(*[F.lit(x).cast("long") for x in starts]), F.col("__piece") + 1)
+    start = F.get(_numbers(starts), F.col("__piece"))
     return (
         table.withColumn("__piece", piece)
         .withColumn("slot", start + inside - 1)

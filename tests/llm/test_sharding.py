@@ -1,3 +1,4 @@
+from bisect import bisect_left
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -58,6 +59,44 @@ def test_splitters_against_brute_force(spark):
         assert abs(below - goal) == min(abs(c - goal) for c in cuts)
 
 
+def test_thousands_of_splitters_over_repeated_and_long_rows(spark):
+    table = spark.range(6000).select(
+        F.pmod(F.xxhash64(F.col("id") % 1500), F.lit(2**40)).alias("__k1"), F.lit(5).cast("long").alias("__k2"),
+        F.col("id").alias("__k3"), F.when(F.col("id") % 500 == 0, 90_000).otherwise(F.col("id") % 700 + 1).cast("long").alias("w"))
+    rows = sorted((r["__k1"], r["__k2"], r["__k3"], r.w) for r in table.collect())
+    sums = [0]
+    for r in rows:
+        sums.append(sums[-1] + r[3])
+    targets = [(sums[-1] * i // 5001, 0) for i in range(1, 5001)]
+    found = sharding.find_splitters(table, sharding.KEYS, "w", targets)
+    assert found == sorted(found)
+    keys = [r[:3] for r in rows]
+    for (goal, _), splitter in zip(targets, found):
+        below = sums[bisect_left(keys, splitter)]
+        at = bisect_left(sums, goal)
+        assert abs(below - goal) <= min(sums[at] - goal, goal - sums[at - 1])
+
+
+def test_many_shuffle_partitions_and_repeated_texts(spark):
+    docs = documents(spark, [(i, f"text {i // 4} " * (i % 50), "s") for i in range(2000)])
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "4000")
+    try:
+        rows = sharding.shard(docs, shards=16).select("size", "shard", "slot").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    sizes, mean = _sizes(rows, 16), sum(r.size for r in rows) / 16
+    assert _gapless(rows) and max(abs(v - mean) for v in sizes.values()) <= max(r.size for r in rows) + 0.001 * mean
+
+
+def test_pieces_inside_shards(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "SMALL_PIECE", 1000)
+    docs = documents(spark, [(i % 700, f"text {i % 300}", "s") for i in range(3000)])
+    rows = sharding.shard(docs, shards=3).collect()
+    sizes, mean = _sizes(rows, 3), sum(r.size for r in rows) / 3
+    assert len(rows) == 3000 and _gapless(rows) and max(abs(v - mean) for v in sizes.values()) <= 9 + 0.001 * mean
+
+
 def test_awkward_rows(spark):
     docs = clash(awkward(spark), "shard", "slot", "size")
     rows = sharding.shard(docs, shards=3).collect()
