@@ -56,10 +56,7 @@ WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text,
 lines AS (SELECT rid, source, text, l, regexp_extract_all(l, '[^\\x20\\x09-\\x0D]+') AS lw
   FROM (SELECT rid, source, text, unnest(string_split(text, chr(10))) AS l FROM docs)),
 worded AS (SELECT *, translate(array_to_string(lw, ' '), {AZ}) AS k FROM lines WHERE len(lw) > 0),
-hosts AS (SELECT source, count(DISTINCT text) AS n FROM docs GROUP BY source),
-often AS (
-  SELECT c.source, c.k FROM (SELECT source, k, count(DISTINCT text) AS n FROM worded GROUP BY source, k) c
-  JOIN hosts h ON c.source IS NOT DISTINCT FROM h.source WHERE c.n > 20 AND c.n > floor(h.n * CAST(0.01 AS DOUBLE))),
+often AS (SELECT source, k FROM worded GROUP BY source, k HAVING count(DISTINCT text) > 20),
 gone AS (SELECT rid, sum(len(lw)) AS n FROM worded JOIN often ON worded.source IS NOT DISTINCT FROM often.source AND worded.k = often.k
   GROUP BY rid),
 dup AS (SELECT rid, count(*) - count(DISTINCT l) AS n FROM worded GROUP BY rid),

@@ -52,14 +52,19 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tallyloom-llm/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
-    back._staged_path = path
-    atexit.register(discard, back)
+    back = removable(spark.read.schema(df.schema).parquet(path), path)
     if _RECORDS:
         _RECORDS[-1].append(back)
     return back
 
 
+def removable(df: DataFrame, path: str) -> DataFrame:
+    """``df``, read from ``path``, known to :func:`discard` and removed when the driver ends."""
+    df._staged_path = path
+    atexit.register(discard, df)
+    return df
+
+
 @contextmanager
 def recorded() -> Iterator[list[DataFrame]]:
     """The tables staged inside the block, so that a caller who has written the result can discard them."""
@@ -92,6 +97,17 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in taken])
 
 
+def hidden(docs: DataFrame, *used: str) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with reserved names for all columns but ``used``, and what each column of ``docs`` is called there."""
+    names = {c: c if c in used else f"__in{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
+def shown(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """The columns of the table that was given to :func:`hidden`, under their own names."""
+    return df.select(*[F.col(f"`{now}`").alias(name) for name, now in names.items()])
+
+
 def text_hash(text: Column) -> Column:
     """64 bits of a text; null counts as empty."""
     return F.xxhash64(F.coalesce(text, F.lit("")))

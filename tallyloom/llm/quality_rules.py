@@ -79,32 +79,27 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def frequent_lines(table: DataFrame, host: str, text: str, min_docs: int, max_share: float) -> DataFrame:
-    """(__host, __line) of the lines that stand in too many distinct documents of their host.
+def frequent_lines(table: DataFrame, text: str, max_docs: int) -> DataFrame:
+    """(__host, __line) of the lines that stand in more than ``max_docs`` distinct documents of their host.
 
     Equal texts of a host count as one document. A hot line or host is counted in two steps, first by document, so its
     partial sums and not its rows meet in one task.
     """
     docs = table.select("__host", common.text_hash(F.col(f"`{text}`")).alias("__doc"), "__lines") \
         if "__doc" not in table.columns else table.select("__host", "__doc", "__lines")
-    limits = (
-        docs.select("__host", "__doc").distinct().groupBy("__host").count()
-        .select("__host", F.greatest(F.lit(min_docs), F.floor(F.col("count") * max_share)).alias("__limit"))
-    )
     return (
         docs.select("__host", "__doc", F.explode(F.array_distinct("__lines")).alias("__line")).distinct()
-        .groupBy("__host", "__line").count().where(F.col("count") > min_docs)
-        .join(limits, "__host").where(F.col("count") > F.col("__limit")).select("__host", "__line")
+        .groupBy("__host", "__line").count().where(F.col("count") > max_docs).select("__host", "__line")
     )
 
 
-def judge(docs: DataFrame, *, text: str = "text", host: str = "source", min_docs: int = 20, max_share: float = 0.01,
+def judge(docs: DataFrame, *, text: str = "text", host: str = "source", max_docs: int = 20,
           min_left: float = 0.3, carry: list[str] | None = None) -> DataFrame:
     """``docs`` with the five measures, ``n_removed_words``, ``base_failed``, ``kept`` and ``__drop``, the places of the
     lines to remove (counting lines with a word from 0).
 
-    A line is removed if its normalised form stands in more than ``min_docs`` distinct documents of the host and in
-    more than ``max_share`` of them. A document is rejected if the base rules fail or if fewer than ``min_left`` of its
+    A line is removed if its normalised form stands in more than ``max_docs`` distinct documents of the host, however large
+    the host is. A document is rejected if the base rules fail or if fewer than ``min_left`` of its
     words remain. Copies of one text count as one document, so a group of copies does not make its own lines frequent.
 
     ``carry``: the input columns to keep (all by default). Null texts have no words and fail the base rules; a null host is a
@@ -124,7 +119,7 @@ def judge(docs: DataFrame, *, text: str = "text", host: str = "source", min_docs
     hits = (
         table.select("__rid", "__host", F.posexplode(F.arrays_zip("__lines", "__sizes")).alias("__at", "__l"))
         .select("__rid", "__host", "__at", F.col("__l.__lines").alias("__line"), F.col("__l.__sizes").alias("__size"))
-        .join(frequent_lines(table, host, text, min_docs, max_share), ["__host", "__line"])
+        .join(frequent_lines(table, text, max_docs), ["__host", "__line"])
         .groupBy("__rid").agg(F.sum("__size").alias("n_removed_words"), F.collect_list("__at").alias("__drop"))
     )
     left = F.col("n_words") - F.col("n_removed_words")
@@ -152,16 +147,16 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(out, pa.string())], names=batch.schema.names[:-1])
 
 
-def clean(docs: DataFrame, **rules) -> DataFrame:
-    """The kept documents with the columns of ``docs``; frequent lines are cut out of ``text``, and ``n_chars`` follows.
+def clean(docs: DataFrame, *, text: str = "text", host: str = "source", **rules) -> DataFrame:
+    """The kept documents with the columns of ``docs``; frequent lines are cut out of the text, and ``n_chars`` follows.
 
-    See :func:`judge` for the rules and for nulls, repeated rows and empty tables.
+    See :func:`judge` for the rules and for nulls, repeated rows and empty tables. Further columns keep their values,
+    whatever their names.
     """
-    kept = judge(docs, **rules).where("kept")
-    others = [c for c in docs.columns if c != "text"]
-    ready = kept.select(*[f"`{c}`" for c in others], "text", "__drop")
-    schema = StructType([f for f in ready.schema.fields if f.name != "__drop"])
-    out = ready.mapInArrow(_cut, schema)
+    known, names = common.hidden(docs, text, host)
+    kept = judge(known, text=text, host=host, **rules).where("kept")
+    ready = kept.select(*[f"`{c}`" for c in names.values() if c != text], f"`{text}`", "__drop")
+    out = ready.mapInArrow(_cut, StructType(ready.schema.fields[:-1]))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*[f"`{c}`" for c in docs.columns])
+        out = out.withColumn(names["n_chars"], F.length(f"`{text}`").cast(docs.schema["n_chars"].dataType))
+    return common.shown(out, names)

@@ -48,11 +48,21 @@ def test_frequent_lines_go_and_depleted_documents_are_rejected(spark):
     assert cleaned[0].n_chars == len(cleaned[0].text) and "letter" in cleaned[400].text
 
 
+def test_the_limit_does_not_depend_on_the_host(spark):
+    rnd = random.Random(4)
+    words = lambda n: " ".join(f"w{rnd.randint(0, 5000)}" for _ in range(n))
+    said = words(60)
+    rows = [(i, f"{words(55)}\n{said}", "small") for i in range(25)] + [(100 + i, f"{words(55)}\n{said}", "large") for i in range(25)]
+    rows += [(1000 + i, words(55), "large") for i in range(4000)]
+    found = {r.doc_id: r.n_removed_words for r in quality_rules.judge(documents(spark, rows)).where("doc_id < 1000").collect()}
+    assert set(found.values()) == {60} and len(found) == 50
+
+
 def test_awkward_rows(spark):
-    docs = clash(awkward(spark), "kept", "n_words", "base_failed", "n_removed_words")
+    docs = clash(awkward(spark), "kept", "n_words", "base_failed", "n_removed_words", "spans", "words")
     rows = quality_rules.judge(docs).collect()
     assert len(rows) == docs.count() and [r.kept for r in rows if r.doc_id == 5] == [True]
     assert all(r.base_failed and not r.kept for r in rows if r.doc_id != 5)
     cleaned = quality_rules.clean(docs)
-    assert cleaned.columns == docs.columns and [r.doc_id for r in cleaned.collect()] == [5]
+    assert cleaned.columns == docs.columns and [(r.doc_id, set(r[5:])) for r in cleaned.collect()] == [(5, {"clash"})]
     assert quality_rules.judge(empty(spark)).count() == 0 and quality_rules.clean(empty(spark)).count() == 0
