@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from fractions import Fraction
-
 import numpy as np
 import pandas as pd
 import xxhash
@@ -13,8 +11,6 @@ from tallyloom.llm import common
 
 #: Documents of one flight; also the most that Spark gives one Python call at a time.
 BLOCK_ROWS = 4096
-#: The driver holds one row for each source.
-MAX_SOURCES = 100_000
 #: Words take part in the balance as whole numbers, as do documents.
 BALANCED = 2
 #: Documents that are left to the landing besides those that the flight leaves open.
@@ -25,26 +21,50 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
 
 
-def targets(sizes: dict[str | None, int], weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> dict[str | None, Fraction]:
-    """Each source's share of all words by its weight, at most ``most`` times its own words.
+def targets(sources: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
+    """``sources`` (__source, words, docs) with ``target``, and the times a document is taken: ``__whole`` and ``__share``.
+
+    Sources are weighted in code point order, null last. Each gets a share of all words by its weight, at most ``most``
+    times its own words; what lies above that is shared again by weight among the others, until none is above.
 
-    Sources are weighted in code point order, null last. What lies above a source's limit is shared again by
-    weight among the others, until none is above.
+    The words left for each unit of weight only rise from round to round, so they alone tell which sources are at their
+    limit: a round is one aggregate, whatever the number of sources. Counts are whole numbers, so limits are exact.
     """
-    order = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
-    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
-    left, open_to, done = Fraction(sum(sizes.values())), list(order), {}
-    while open_to:
-        total = sum(weight[s] for s in open_to)
-        above = [s for s in open_to if left * weight[s] / total > most * sizes[s]]
-        if not above:
-            done.update({s: left * weight[s] / total for s in open_to})
-            break
-        for s in above:
-            done[s] = Fraction(most * sizes[s])
-        left -= sum(most * sizes[s] for s in above)
-        open_to = [s for s in open_to if s not in done]
-    return done
+    ordered = _numbered_in_order(sources)
+    weight = F.get(F.array(*[F.lit(w).cast("long") for w in weights]), F.pmod("__no", F.lit(len(weights))).cast("int"))
+    limit = F.col("words") * most
+    table = common.staged(ordered.withColumn("__weight", weight).drop("__no"), "sources")
+    exact = lambda c: c.cast("decimal(19,0)")
+    left, total, before = 0, 0, None
+    while before != (left, total):
+        before = (left, total)
+        above = exact(F.lit(left)) * exact(F.col("__weight")) > exact(limit) * exact(F.lit(total)) if total else F.lit(False)
+        row = table.agg(F.sum("words").alias("all"), F.sum(F.when(above, limit)).alias("limited"),
+                        F.sum(F.when(~above, F.col("__weight"))).alias("weights")).first()
+        left, total = (row["all"] or 0) - (row["limited"] or 0), row["weights"] or 0
+    limited = exact(F.lit(left)) * exact(F.col("__weight")) > exact(limit) * exact(F.lit(total)) if total else F.lit(True)
+    shared = table.withColumns({
+        "__limited": limited,
+        "__due": exact(F.lit(left)) * exact(F.col("__weight")),  # in units of 1 / total, as is the next
+        "__unit": exact(F.col("words")) * exact(F.lit(max(1, total))),
+    }).withColumn("__whole", F.when(F.col("words") == 0, 0).when(F.col("__limited"), most).otherwise(
+        F.expr("__due div nullif(__unit, 0)")).cast("int"))
+    rest = (F.col("__due") - exact(F.col("__whole")) * F.col("__unit")).cast("double") / F.col("__unit").cast("double")
+    return shared.select(
+        "__source", "words", "docs", "__whole", F.when((F.col("words") > 0) & ~F.col("__limited"), rest).otherwise(0.0).alias("__share"),
+        F.when(F.col("__limited"), limit.cast("double")).otherwise(F.col("__due").cast("double") / float(max(1, total))).alias("target"))
+
+
+def _numbered_in_order(sources: DataFrame) -> DataFrame:
+    """``sources`` with their place ``__no`` in code point order, null last: numbered inside ranges, which are counted first."""
+    empty_last = F.col("__source").isNull()
+    placed = common.staged(
+        sources.repartitionByRange(empty_last, F.col("__source")).withColumn("__part", F.spark_partition_id()), "sources")
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy("__part").count().select("__part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__start"))
+    inside = F.row_number().over(Window.partitionBy("__part").orderBy(empty_last, "__source"))
+    return placed.withColumn("__at", inside).join(starts, "__part").withColumn(
+        "__no", F.col("__start") + F.col("__at") - 1).drop("__part", "__at", "__start")
 
 
 def flight(chance: np.ndarray, size: np.ndarray, luck: np.ndarray) -> np.ndarray:
@@ -137,15 +157,18 @@ def _flown(seed: int):
 
 
 def _round(table: DataFrame, round_no: int, seed: int) -> DataFrame:
-    """One flight in every block. Blocks of a source are chosen by the hash of the document, then cut to size.
+    """One flight in every block. Blocks of a source are chosen by the hash of the document.
 
-    ``__blocks`` is the number of blocks of the source; with one block left, the landing follows at once.
+    ``__blocks`` is the number of blocks of the source; with one block left, the landing follows at once. Documents that
+    repeat as a whole share their hash, so a block that came out too large is dealt again by row number.
     """
     lot = F.when(F.col("__blocks") > 1, F.pmod(F.xxhash64("__key", F.lit(round_no)), "__blocks")).otherwise(F.lit(0)).cast("long")
     dealt = table.withColumn("__lot", lot)
-    rank = F.row_number().over(Window.partitionBy("__source", "__lot").orderBy("__key", "__rid"))
-    cut = F.when(F.col("__blocks") > 1, F.floor((rank - 1) / (2 * BLOCK_ROWS))).otherwise(F.lit(0)).cast("long")
-    blocks = dealt.withColumn("__cut", cut).withColumn("__last", F.col("__blocks") == 1)
+    full = dealt.where("__blocks > 1").groupBy("__source", "__lot").count().where(F.col("count") > 2 * BLOCK_ROWS).select(
+        F.col("__source").alias("s"), F.col("__lot").alias("l"), F.ceil(F.col("count") / BLOCK_ROWS).cast("long").alias("__cuts"))
+    cut = F.coalesce(F.pmod(F.xxhash64("__rid", F.lit(round_no)), "__cuts"), F.lit(0)).cast("long")
+    blocks = dealt.join(full, dealt["__source"].eqNullSafe(full["s"]) & (dealt["__lot"] == full["l"]), "left").withColumn(
+        "__cut", cut).withColumn("__last", F.col("__blocks") == 1).drop("s", "l", "__cuts")
     flown = blocks.groupBy("__source", "__lot", "__cut").applyInPandas(_flown(seed + round_no), blocks.schema)
     return common.staged(flown.drop("__lot", "__cut", "__last", "__blocks"), "flight")
 
@@ -162,9 +185,7 @@ def mix(docs: DataFrame, *, text: str = "text", source: str = "source", key: str
     ``carry``: the input columns to keep (all by default). Null texts have no words; a null source is a source of its own,
     weighted last; null keys are a value like any other. Repeated rows are separate documents, of which it does
     not matter which is taken. An empty table gives no rows. Input columns named like an output column are replaced.
-    More sources than ``MAX_SOURCES`` are refused.
     """
-    spark = docs.sparkSession
     known = common.without(docs, *[c for c in ("size", "source_size", "target", "copies", "taken") if c not in (text, source, key)])
     kept = [c for c in known.columns if carry is None or c in carry]
     ready = known.select(
@@ -172,19 +193,11 @@ def mix(docs: DataFrame, *, text: str = "text", source: str = "source", key: str
         word_count(F.col(f"`{text}`")).alias("__size"),
         F.xxhash64(F.col(f"`{key}`"), F.col(f"`{source}`"), F.col(f"`{text}`")).alias("__key"))
     table = common.numbered(ready, "mixing")
-    totals = table.groupBy("__source").agg(F.sum("__size").alias("words"), F.count("*").alias("docs")).limit(MAX_SOURCES + 1).collect()
-    if len(totals) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    sizes = {r["__source"]: r["words"] for r in totals}
-    due = targets(sizes, weights, most)
-    plan = []
-    for r in totals:
-        s = r["__source"]
-        times = due[s] / sizes[s] if sizes[s] else Fraction(0)
-        whole = int(times)
-        plan.append((s, sizes[s], float(due[s]), whole, float(times - whole), r["docs"]))
-    sources = spark.createDataFrame(plan, "s string, source_size long, target double, __whole int, __share double, __docs long")
-    named = table.join(F.broadcast(sources), table["__source"].eqNullSafe(sources["s"])).drop("s")
+    totals = table.groupBy("__source").agg(F.sum("__size").alias("words"), F.count("*").alias("docs"))
+    sources = common.staged(targets(totals, weights, most), "targets").select(
+        F.col("__source").alias("s"), F.col("words").alias("source_size"), "target", "__whole", "__share",
+        F.col("docs").alias("__docs"))
+    named = table.join(sources, table["__source"].eqNullSafe(sources["s"])).drop("s")
     narrow = named.where("__share > 0").select(
         "__rid", "__source", "__size", "__key", F.col("__share").alias("__chance"),
         F.ceil(F.col("__docs") / BLOCK_ROWS).cast("long").alias("__blocks"))
@@ -209,8 +222,12 @@ def mix(docs: DataFrame, *, text: str = "text", source: str = "source", key: str
         (F.col("__size") * copies).alias("taken"))
 
 
-def materialise(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: every document as often as :func:`mix` takes it, with the columns of ``docs``."""
-    mixed = mix(docs, **options)
+def materialise(docs: DataFrame, *, text: str = "text", source: str = "source", key: str = "doc_id", **options) -> DataFrame:
+    """The mix itself: every document as often as :func:`mix` takes it, with the columns of ``docs``.
+
+    See :func:`mix` for nulls, repeated rows and empty tables. Further columns keep their values, whatever their names.
+    """
+    known, names = common.hidden(docs, text, source, key)
+    mixed = mix(known, text=text, source=source, key=key, **options)
     repeated = mixed.where("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return repeated.select(*[f"`{c}`" for c in docs.columns])
+    return common.shown(repeated, names)

@@ -1,5 +1,7 @@
 import math
+import random
 from collections import defaultdict
+from fractions import Fraction
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -8,13 +10,54 @@ from tallyloom.llm import mixing
 from tests.llm.helpers import awkward, clash, documents, empty
 
 
-def test_targets():
-    due = mixing.targets({"a": 100, "b": 100, "c": 100, None: 300})
-    assert [float(due[s]) for s in ("a", "b", "c", None)] == [600 / 7, 1200 / 7, 1800 / 7, 600 / 7]
-    due = mixing.targets({"a": 1000, "b": 10, "c": 0, "d": 500})
-    assert sum(due.values()) == 1510 and due["b"] == 30 and due["c"] == 0
-    assert all(due[s] <= 3 * n for s, n in {"a": 1000, "b": 10, "c": 0, "d": 500}.items())
-    assert mixing.targets({}) == {} and mixing.targets({"a": 0}) == {"a": 0}
+def _due(sizes, weights=(1, 2, 3), most=3):
+    """Shares by weight, with what lies above a source's limit shared again, in fractions."""
+    order = sorted(s for s in sizes if s is not None) + ([None] if None in sizes else [])
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    done, open_to, left = {}, list(order), Fraction(sum(sizes.values()))
+    while open_to:
+        total = sum(weight[s] for s in open_to)
+        above = [s for s in open_to if left * weight[s] / total > most * sizes[s]]
+        if not above:
+            return done | {s: left * weight[s] / total for s in open_to}
+        done |= {s: Fraction(most * sizes[s]) for s in above}
+        left -= sum(most * sizes[s] for s in above)
+        open_to = [s for s in open_to if s not in done]
+    return done
+
+
+def _targets(spark, sizes):
+    rows = spark.createDataFrame([(s, n, 1) for s, n in sizes.items()], "__source string, words long, docs long")
+    return {r["__source"]: r for r in mixing.targets(rows).collect()}
+
+
+def test_targets(spark):
+    assert _targets(spark, {}) == {} and _targets(spark, {"a": 0})["a"].target == 0
+    rnd = random.Random(5)
+    many = {f"s{i}": int(10 ** rnd.uniform(0, 9)) for i in range(3000)}
+    for sizes in ({"a": 100, "b": 100, "c": 100, None: 300}, {"a": 1000, "b": 10, "c": 0, "d": 500, "é": 7}, many):
+        found, due = _targets(spark, sizes), _due(sizes)
+        assert found.keys() == due.keys()
+        for s, r in found.items():
+            times = due[s] / sizes[s] if sizes[s] else 0
+            assert math.isclose(r.target, due[s], rel_tol=1e-12) and r["__whole"] == int(times)
+            assert math.isclose(r["__share"], times - int(times), rel_tol=1e-9, abs_tol=1e-9)
+
+
+def test_a_source_for_every_document(spark):
+    docs = spark.range(3000).select(
+        F.col("id").alias("doc_id"), F.lit("one two three").alias("text"), F.format_string("s%07d", "id").alias("source"))
+    row = mixing.mix(docs).agg(F.sum("taken").alias("taken"), F.countDistinct("source").alias("n")).first()
+    assert row.n == 3000 and row.taken % 3 == 0 and 0 < row.taken <= 9 * 3000
+
+
+def test_repeated_rows_are_dealt_into_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", 16)
+    docs = documents(spark, [(1, "a b c", "x")] * 700 + [(i, f"w {i}", "x") for i in range(100)] + [(1, "q " * 3000, "y")])
+    rows = mixing.mix(docs).collect()
+    taken = sum(r.taken for r in rows if r.source == "x")
+    target = next(r.target for r in rows if r.source == "x")
+    assert len(rows) == 801 and abs(taken - target) <= 6
 
 
 def test_flight_keeps_both_totals_and_expectations():
@@ -53,7 +96,7 @@ def test_mix_meets_targets_and_reruns_agree(spark):
         taken[r.source] += r.taken
         size[r.source] += r.size
         target[r.source] = r.target
-    due = mixing.targets(dict(size))
+    due = _due(dict(size))
     for s in size:
         assert math.isclose(target[s], due[s]) and abs(taken[s] - target[s]) <= 90
     again = mixing.mix(docs.repartition(13)).collect()
@@ -78,6 +121,10 @@ def test_awkward_rows(spark):
     assert len(rows) == docs.count() and all(r.taken <= 3 * r.size for r in rows)
     assert all(r.size == 0 and r.taken == 0 for r in rows if not (r.text or "").strip())
     assert mixing.mix(empty(spark)).count() == 0 and mixing.materialise(empty(spark)).count() == 0
+    clashing = clash(_docs(spark, 60), "size", "target", "copies", "taken", "source_size", "words")
+    made = mixing.materialise(clashing)
+    assert made.columns == clashing.columns and made.count()
+    assert all(set(r[3:]) == {"clash"} for r in made.collect())
     repeated = mixing.mix(documents(spark, [(1, "a b", "x")] * 50 + [(2, "c d e", "y")] * 40)).collect()
     taken = sum(r.taken for r in repeated if r.source == "x")
     assert len(repeated) == 90 and abs(taken - repeated[0].target) <= 3
