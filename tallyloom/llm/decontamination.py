@@ -310,17 +310,18 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(out, pa.string())], names=batch.schema.names[:-1])
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, min_span: int = WINDOW, **limits) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", min_span: int = WINDOW, **limits) -> DataFrame:
     """The documents that are not contaminated, with the columns of ``docs``.
 
-    Spans of at least ``min_span`` words that they still share with the benchmark are cut out of ``text``, and ``n_chars``
-    follows. See :func:`find_contamination` for the limits and for nulls, repeated rows and empty tables.
+    Spans of at least ``min_span`` words that they still share with the benchmark are cut out of the text, and ``n_chars``
+    follows. See :func:`find_contamination` for the limits and for nulls, repeated rows and empty tables. Further
+    columns keep their values, whatever their names.
     """
-    found = find_contamination(docs, benchmark, **limits).where(~F.col("contaminated"))
-    others = [c for c in docs.columns if c != "text"]
+    known, names = common.hidden(docs, text)
+    found = find_contamination(known, benchmark, text=text, **limits).where(~F.col("contaminated"))
     long = F.filter("spans", lambda x: x["after"] - x["first"] >= min_span)
-    ready = found.select(*[f"`{c}`" for c in others], "text", long.alias("__spans"))
+    ready = found.select(*[f"`{c}`" for c in names.values() if c != text], f"`{text}`", long.alias("__spans"))
     out = ready.mapInArrow(_cut, StructType(ready.schema.fields[:-1]))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*[f"`{c}`" for c in docs.columns])
+        out = out.withColumn(names["n_chars"], F.length(f"`{text}`").cast(docs.schema["n_chars"].dataType))
+    return common.shown(out, names)

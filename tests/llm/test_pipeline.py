@@ -3,7 +3,7 @@ import random
 
 import corpus_pipeline
 from tallyloom.llm import decontamination, mixing, near_dedup, quality_rules
-from tests.llm.helpers import documents
+from tests.llm.helpers import clash, documents
 
 
 def _folder(spark, tmp_path):
@@ -52,6 +52,31 @@ def test_every_stage_does_what_its_operator_decides(spark, tmp_path):
     assert rows(whole) == rows(outputs[4])
 
 
+def test_runs_side_by_side_and_what_they_leave(spark, tmp_path):
+    folder = _folder(spark, tmp_path)
+    a = corpus_pipeline.run(spark, folder)
+    b = corpus_pipeline.run(spark, folder)
+    assert b.count() == a.count() > 0
+    for run in (a, b):
+        inside = os.path.dirname(run._staged_path)
+        assert os.listdir(inside) == ["4"]  # the results of earlier stages are gone
+
+
+def test_awkward_rows_and_clashing_columns_pass_through(spark, tmp_path):
+    folder = str(tmp_path)
+    words = " ".join(f"wort{i % 997} {i}" for i in range(30_000))
+    unlike = " ".join(f"ding{i}" for i in range(400))
+    rows = documents(spark, [(1, words, "a"), (1, words, "a"), (2, unlike, None), (None, None, None), (3, "", "b"), (4, unlike + " neu", "b")])
+    names = ["size", "kept", "spans", "target", "items", "n_words", "taken"]
+    clash(rows, *names).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(None, "some item"), (1, None)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    found = corpus_pipeline.run(spark, folder)
+    assert set(found.columns) == {*rows.columns, *names, "shard", "slot"}
+    out = found.collect()
+    assert {r.doc_id for r in out} <= {1, 2} and len(out) > 0
+    assert all(r[n] == "clash" for r in out for n in names if n != "size") and all(r.size == len(r.text) + 1 for r in out)
+
+
 def test_an_empty_corpus_passes_through(spark, tmp_path):
     folder = str(tmp_path)
     documents(spark, []).write.parquet(f"{folder}/documents.parquet")
