@@ -37,9 +37,11 @@ def find_needles(texts: DataFrame, needles: DataFrame, size: int = ANCHOR) -> Da
     keys = needles.select("kind", "needle").where(F.length("needle") > 0).distinct()
     # A one-row scalar subquery with at most ``size`` numbers.
     sizes = keys.select(F.least(F.length("needle"), F.lit(size)).alias("n")).agg(F.array_sort(F.collect_set("n"))).scalar()
-    cut = (
-        texts.select("text").where(F.length("text") > 0).distinct()
-        .withColumn("n", F.explode(sizes))
-        .select("text", F.explode(_pieces(F.col("text"), F.col("n"))).alias("piece"))
-    )
-    return cut.join(_anchored(keys, size), "piece").where(F.contains("text", "needle")).select("text", "kind", "needle")
+    whole = texts.select("text").where(F.length("text") > 0).distinct()
+    # Only hashes of texts and pieces are shuffled; what meets is looked up and compared in full, so a clash costs nothing else.
+    cut = whole.withColumn("n", F.explode(sizes)).select(
+        F.xxhash64("text").alias("h"), F.explode(_pieces(F.col("text"), F.col("n"))).alias("piece")).select(
+        "h", F.xxhash64("piece").alias("piece"))
+    anchored = _anchored(keys, size).withColumn("piece", F.xxhash64("piece"))
+    met = cut.join(anchored, "piece").select("h", "kind", "needle").distinct()
+    return met.join(whole.withColumn("h", F.xxhash64("text")), "h").where(F.contains("text", "needle")).select("text", "kind", "needle")

@@ -13,14 +13,12 @@ Plan. No pair of a transaction and all invoices in its band is ever built:
   invoices, one supplier, one number, or both) with its bonus.
 * Inside one group and one invoice day, the date points are fixed and the amount points only fall
   with the distance of the amounts. So just two invoices can win: the nearest at or above and the
-  nearest below. Each is found by a sorted running lookup.
-* The days to look at are the days within the date tolerance, plus at most four days outside it:
-  the latest day with an invoice in the two best amount ranges and the days of the nearest amounts
-  in the approximate range.
-
-A transaction therefore costs a fixed number of rows for each of its evidence groups, however many
-invoices there are. Equal transactions (direction, amount, date) and equal invoices (group, day,
-amount) are collapsed first, so hot amounts and hot suppliers do not multiply.
+  nearest below. Outside the date tolerance at most four days can win.
+* All these lookups, for both directions, are answered in one sorted pass (``match_index``).
+
+Three tables are written on the way: the distinct invoices, what the texts hold, and the questions.
+Equal transactions (direction, amount, date) and equal invoices (group, day, amount) are collapsed
+first, so hot amounts and hot suppliers do not multiply.
 """
 
 from __future__ import annotations
@@ -32,15 +30,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tallyloom.functions import dates, money
 from tallyloom.fixed_values import BASE_CURRENCY
 from tallyloom.operators.containment import find_needles
-from tallyloom.operators.nearest import latest_in_range, log_width, nearest_both_sides
+from tallyloom.operators.match_index import ASKED, GROUP, NO_DAY, Rule, best_answers
 from tallyloom.session import durable
 
-NO_DAY = -9_999_999
 UNITS = 10_000  # amounts are compared as whole 1/10,000 units of the bank currency
 THRESHOLD = 0.30
-EVERY = 0  # number of the group of all invoices; the evidence groups are numbered from 1
-GROUP = ["is_income", "grp"]
-QUERY = ["is_income", "grp", "is_debit", "t", "day", "name_points", "number_points"]
+EVERY = 0  # both numbers of the group of all invoices
 
 
 def _floor_ratio(value: str, num: int, den: int) -> Column:
@@ -140,6 +135,11 @@ def _long_words(name: Column) -> Column:
     return F.filter(F.split(name, r"\s+"), lambda w: F.length(w) > 3)
 
 
+def _named(grp: Column) -> dict[str, Column]:
+    """A group's name as two numbers, which sort and compare faster than texts."""
+    return {"g1": F.xxhash64(grp), "g2": F.xxhash64(F.lit(1), grp)}
+
+
 def _numbered(grp: Column, number: Column) -> Column:
     """Group of the invoices of ``grp`` that carry ``number``; ``grp`` is empty for any invoice."""
     return F.concat(grp, F.lit("#"), number)
@@ -186,7 +186,7 @@ def text_evidence(texts: DataFrame, slim: DataFrame) -> tuple[DataFrame, DataFra
 
     Returns (text, grp, name_points, number_points) and (name, grp).
     """
-    names = durable(slim.where(F.col("name") != "").select("name").distinct())
+    names = slim.where(F.col("name") != "").select("name").distinct()
     numbers = slim.where(F.length("number") > 2).select("number").distinct()
     words = names.select(F.explode(_long_words(F.col("name"))).alias("word")).distinct()
     needles = (
@@ -196,7 +196,7 @@ def text_evidence(texts: DataFrame, slim: DataFrame) -> tuple[DataFrame, DataFra
     )
     hits = durable(find_needles(texts, needles))
     in_text = hits.where("kind = 'word'").select("text", F.col("needle").alias("word"))
-    word_sets = durable(_used_words(names, in_text.select("word").distinct()))
+    word_sets = _used_words(names, in_text.select("word").distinct())
     sets = _set_groups(word_sets)
     vocabulary = in_text.groupBy("text").agg(F.collect_set("word").alias("vocabulary"))
     partial = (
@@ -233,147 +233,33 @@ def text_evidence(texts: DataFrame, slim: DataFrame) -> tuple[DataFrame, DataFra
 
 
 def grouped_points(slim: DataFrame, members: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Distinct invoices as points (is_income, grp, day, c) -> smallest id, one row per distinct point.
+    """Distinct invoices as points (is_income, g1, g2, day, c) -> smallest id, one row per distinct point.
 
-    ``wanted``: (grp, no), the groups some text points to and their numbers.
+    ``wanted``: (g1, g2), the groups some text points to.
     """
-    point = ["is_income", "grp", "day", "c"]
+    point = [*GROUP, "day", "c"]
     named = slim.join(members, "name")
     numbered = F.length("number") > 2
     grouped = (
-        named.select(*point, "id")
-        .unionByName(named.where(numbered).withColumn("grp", _numbered(F.col("grp"), F.col("number")))
-                     .select(*point, "id"))
-        .unionByName(slim.where(numbered).withColumn("grp", _numbered(F.lit(""), F.col("number")))
-                     .select(*point, "id"))
-        .join(wanted, "grp").drop("grp").withColumnRenamed("no", "grp")
+        named.select("is_income", "grp", "day", "c", "id")
+        .unionByName(named.where(numbered).select(
+            "is_income", _numbered(F.col("grp"), F.col("number")).alias("grp"), "day", "c", "id"))
+        .unionByName(slim.where(numbered).select(
+            "is_income", _numbered(F.lit(""), F.col("number")).alias("grp"), "day", "c", "id"))
+        .withColumns(_named(F.col("grp"))).join(wanted, ["g1", "g2"], "left_semi")
     )
-    everything = slim.withColumn("grp", F.lit(EVERY).cast("long")).select(*point, "id")
-    return everything.unionByName(grouped).groupBy(*point).agg(F.min("id").alias("p"))
-
+    everything = slim.withColumns({"g1": F.lit(EVERY).cast("long"), "g2": F.lit(EVERY).cast("long")}).select(*point, "id")
+    return everything.unionByName(grouped.select(*point, "id")).groupBy(*point).agg(F.min("id").alias("p"))
 
-def _near_days(queries: DataFrame, group_days: DataFrame, low: int, widest: int) -> DataFrame:
-    """Invoice days at a distance of ``low`` up to the query's ``reach`` (at most ``widest``) days.
-
-    The all-invoices group has an invoice on practically every day, so its days are written out; the
-    other groups meet only the days they have, through blocks of days.
-    """
-    day, reach = F.col("day"), F.col("reach")
-    dated = queries.where(day != NO_DAY)
-    every = dated.where(F.col("grp") == EVERY).withColumn("inv_day", F.explode(F.sequence(day - reach, day + reach)))
-    width = 2 * widest + 1
-    blocks = F.array_distinct(F.array(F.floor((day - reach) / width), F.floor((day + reach) / width)))
-    grouped = (
-        dated.where(F.col("grp") != EVERY).withColumn("span", F.explode(blocks))
-        .join(group_days.withColumn("span", F.floor(F.col("inv_day") / width)), [*GROUP, "span"])
-        .drop("span")
-    )
-    return every.unionByName(grouped).where(F.abs(day - F.col("inv_day")).between(F.lit(low), reach)).drop("reach")
 
-
-def _far_days(queries: DataFrame, points: DataFrame, opposite: bool, tolerance: float) -> DataFrame:
-    """Invoice days at any distance that can win on the amount alone: at most four for each query.
-
-    They depend on the group, the direction and the amount only, so each of these is asked for once.
-    """
-    asked = [*GROUP, "is_debit", "t"]
-    queries, every_query = queries.select(*asked).distinct(), queries
-    by_amount = points.groupBy(*GROUP, "c").agg(F.max("day").alias("v"))
-    widths = {
-        "debit_exact": log_width(1 / 1.005, 1 / 0.995), "debit_close": log_width(1 / 1.05, 1 / 0.95),
-        "credit_exact": log_width(1 / 1.02, 1 / 0.995), "credit_close": log_width(1 / 1.02, 1 / 0.95),
-    }
-    # In one direction an invoice is asked for by debits only or by credits only.
-    asked_by_debit = F.col("is_income") if opposite else ~F.col("is_income")
-    tiers = F.when(asked_by_debit, F.array(F.lit("debit_exact"), F.lit("debit_close"))).otherwise(
-        F.array(F.lit("credit_exact"), F.lit("credit_close")))
-    bounded = with_bounds(queries, tolerance)
-    side = F.when(F.col("is_debit"), "debit_").otherwise("credit_")
-    ranges = bounded.select(*asked, F.explode(F.array(*[
-        F.struct(F.concat(side, F.lit(tier)).alias("tier"), F.col(f"{tier}_lo").alias("lo"), F.col(f"{tier}_hi").alias("hi"))
-        for tier in ("exact", "close")
-    ])).alias("r")).select(*asked, "r.*")
-    latest = latest_in_range(
-        by_amount.select(*GROUP, F.explode(tiers).alias("tier"), F.col("c").alias("x"), "v"), ranges, GROUP, widths
-    ).select(*asked, F.col("v").alias("inv_day"))
-    edges = bounded.select(*asked, "approx_lo", "approx_hi", F.explode(F.array_compact(F.array(
-        F.col("close_hi") + 1, F.when(F.col("is_debit"), F.col("close_lo"))))).alias("x"))
-    beyond = nearest_both_sides(
-        by_amount.select(*GROUP, F.col("c").alias("x"), F.col("v").cast("long").alias("p")), edges, GROUP, 64)
-    nearest = (
-        beyond.withColumn("hit", F.when(F.col("x") > F.col("t"), F.col("above")).otherwise(F.col("below")))
-        .where(F.col("hit.x").between(F.col("approx_lo"), F.col("approx_hi")))
-        .select(*asked, F.col("hit.p").cast("int").alias("inv_day"))
-    )
-    return every_query.join(latest.unionByName(nearest).distinct(), asked)
-
-
-def _best_on(days: DataFrame, points: DataFrame, tolerance_days: int, tolerance: float) -> DataFrame:
-    """Best accepted invoice of each query row among the given invoice days (``QUERY`` + ``inv_day``)."""
-    looked = nearest_both_sides(
-        points.select(*GROUP, F.col("day").alias("inv_day"), F.col("c").alias("x"), "p"),
-        days.withColumnRenamed("t", "x"), ["inv_day", *GROUP], 4,
-    ).withColumnRenamed("x", "t").where("above is not null or below is not null")
-    known = (F.col("day") != NO_DAY) & (F.col("inv_day") != NO_DAY)
-    on_date = F.when(known, dates.date_points(F.col("day") - F.col("inv_day"), tolerance_days)).otherwise(F.lit(0.0))
-
-    def rated(side: str) -> Column:
-        score = (amount_points(F.col(f"{side}.x"), tolerance) + on_date + F.col("name_points")
-                 + F.col("number_points"))
-        return F.when(F.col(side).isNotNull() & (score >= THRESHOLD), F.struct(
-            score.alias("score"), F.col("inv_day"), (-F.abs(F.col(f"{side}.x") - F.col("t"))).alias("nearness"),
-            (-F.col(f"{side}.p")).alias("neg_id")))
-
-    return (
-        with_bounds(looked, tolerance)
-        .withColumn("best", F.greatest(rated("above"), rated("below")))
-        .where(F.col("best").isNotNull())
-        .groupBy(*QUERY).agg(F.max("best").alias("best"))
-    )
-
-
-def _best_of(queries: DataFrame, points: DataFrame, opposite: bool, tolerance_days: int,
-             tolerance: float) -> DataFrame:
-    """Best accepted invoice of each query row (columns ``QUERY``).
-
-    The points bound what a wider look can find, always before the same bonus. An exact amount within
-    three days (0.73) beats everything outside them (at most 0.70). A close amount within three days
-    (0.68) is beaten only within seven days, because an exact amount further away has 0.65 at most.
-    So the denser the invoices, the fewer queries look far.
-    """
-    span = max(14, tolerance_days)
-    group_days = points.where((F.col("grp") != EVERY) & (F.col("day") != NO_DAY)).select(
-        *GROUP, F.col("day").alias("inv_day")).distinct()
-    first = queries.withColumn("reach", F.lit(3))
-    near = durable(_best_on(_near_days(first, group_days, 0, 3), points, tolerance_days, tolerance))
-
-    def reached(amount: float) -> Column:
-        score = F.lit(amount) + F.lit(0.18) + F.col("name_points") + F.col("number_points")
-        return F.coalesce(F.col("score") >= score, F.lit(False))
-
-    open_ = durable(
-        queries.join(near.select(*QUERY, "best.score"), QUERY, "left").where(~reached(0.55))
-        .select(*QUERY, F.when(reached(0.50), 7).otherwise(span).alias("reach")))
-    far = _far_days(open_.where(F.col("reach") == span).drop("reach"), points, opposite, tolerance)
-    further = durable(_near_days(open_.where(F.col("grp") != EVERY), group_days, 4, span).unionByName(far))
-    written_out = _near_days(open_.where(F.col("grp") == EVERY), group_days, 4, span)
-    return near.unionByName(
-        _best_on(written_out.unionByName(further), points, tolerance_days, tolerance))
-
-
-def _search(txns: DataFrame, points: DataFrame, evidence: DataFrame, opposite: bool, tolerance_days: int,
-            tolerance: float) -> DataFrame:
-    """(txn, id) of the best invoice in the primary or the opposite direction."""
-    wanted_income = F.col("is_debit") if opposite else ~F.col("is_debit")
-    base = txns.withColumn("is_income", wanted_income)
-    groups = durable(base.select("txn", "is_income", F.lit(EVERY).cast("long").alias("grp"), "is_debit", "t", "day",
-                                 F.lit(0.0).alias("name_points"), F.lit(0.0).alias("number_points")).unionByName(
-        base.join(evidence, "text").select("txn", *QUERY)))
-    best = _best_of(groups.select(*QUERY).distinct(), points, opposite, tolerance_days, tolerance)
-    return (
-        groups.join(best, QUERY).groupBy("txn").agg(F.max("best").alias("best"))
-        .select("txn", (-F.col("best.neg_id")).alias("id"))
-    )
+def _questions(txns: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(txn, turned, ``ASKED``): each transaction in both directions, for all invoices and for each of its evidence groups."""
+    both = txns.withColumn("turned", F.explode(F.array(F.lit(False), F.lit(True))))
+    base = both.withColumn("is_income", F.when(F.col("turned"), F.col("is_debit")).otherwise(~F.col("is_debit")))
+    every = base.withColumns({"g1": F.lit(EVERY).cast("long"), "g2": F.lit(EVERY).cast("long"),
+                              "name_points": F.lit(0.0), "number_points": F.lit(0.0)})
+    found = base.join(evidence.withColumns(_named(F.col("grp"))).drop("grp"), "text")
+    return every.unionByName(found).select("txn", "turned", *ASKED)
 
 
 def match_transactions(
@@ -393,20 +279,21 @@ def match_transactions(
         raise ValueError("amount_tolerance_pct must lie between 0 and 1")
     inv = prepare_invoices(invoices, bank_currency, rates)
     txns = prepare_transactions(statement, key)
-    if txns.groupBy("txn").count().where("count > 1").limit(1).count():
-        raise ValueError(f"{', '.join(key)} must identify the rows of the statement")
     # Equal invoices collapse before they are copied into their groups.
     slim = durable(inv.groupBy("is_income", "name", "number", "day", "c").agg(F.min("id").alias("id")))
-    found_in_text, members = text_evidence(txns.select("text").distinct(), slim)
-    found_in_text, members = durable(found_in_text), durable(members)
-    # Whole numbers instead of texts as group keys; written once, so that the numbers stay the same.
-    numbered = durable(found_in_text.select("grp").distinct().withColumn("no", F.monotonically_increasing_id() + 1))
-    evidence = durable(found_in_text.join(numbered, "grp").drop("grp").withColumnRenamed("no", "grp"))
-    points = durable(grouped_points(slim, members, numbered))
-    primary = durable(_search(txns, points, evidence, False, date_tolerance_days, amount_tolerance_pct))
-    rest = txns.join(primary, "txn", "left_anti")
-    other = _search(rest, points, evidence, True, date_tolerance_days, amount_tolerance_pct)
-    found = primary.unionByName(other)
+    evidence, members = text_evidence(txns.select("text").distinct(), slim)
+    questions = durable(_questions(txns, evidence))
+    once = questions.where((F.col("g1") == EVERY) & (F.col("g2") == EVERY) & ~F.col("turned"))
+    if once.groupBy("txn").count().where("count > 1").limit(1).count():
+        raise ValueError(f"{', '.join(key)} must identify the rows of the statement")
+    points = grouped_points(slim, members, questions.select("g1", "g2").distinct())
+    distinct = with_bounds(questions.select(*ASKED).distinct(), amount_tolerance_pct)
+    rule = Rule(date_tolerance_days, amount_tolerance_pct, THRESHOLD)
+    best = best_answers(points, distinct, rule, (F.col("g1") == EVERY) & (F.col("g2") == EVERY))
+    # The other direction counts only where this one has nothing.
+    first = F.struct((~F.col("turned")).alias("straight"), "best.score", "best.inv_day", "best.nearness", "best.neg_id")
+    found = questions.join(best, ASKED).groupBy("txn").agg(F.max(first).alias("best")).select(
+        "txn", (-F.col("best.neg_id")).alias("id"))
     return _describe(statement, txns, found, inv, key, bank_currency, date_tolerance_days, amount_tolerance_pct)
 
 

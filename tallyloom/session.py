@@ -6,10 +6,14 @@ import atexit
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_KEPT: dict[str, DataFrame] = {}
+_SCOPES: list[list[DataFrame]] = []
 _OWN_FOLDERS: dict[str, tempfile.TemporaryDirectory] = {}
 
 
@@ -50,22 +54,40 @@ def durable(df: DataFrame) -> DataFrame:
     """Writes ``df`` once as Parquet into the shared folder, so that several readers see the same rows.
 
     The behaviour is the same everywhere: the copy is written, also where nothing would be recomputed. Copies stay until
-    :func:`discard` or until the driver ends.
+    :func:`discard`, until the :func:`scratch` block around the call ends, or until the driver ends.
     """
     path = f"{shared_folder(df.sparkSession)}/tallyloom/{uuid.uuid4().hex}"
     df.write.parquet(path)
     copy = df.sparkSession.read.schema(df.schema).parquet(path)
     copy._durable_path = path
-    atexit.register(discard, copy)
+    _KEPT[path] = copy
+    if _SCOPES:
+        _SCOPES[-1].append(copy)
     return copy
 
 
+@contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """Copies made inside the block go when it ends; what is computed from them has to be written by then."""
+    _SCOPES.append([])
+    try:
+        yield _SCOPES[-1]
+    finally:
+        discard(*_SCOPES.pop())
+
+
 def discard(*copies: DataFrame) -> None:
     """Removes durable copies that nothing reads any more."""
     for copy in copies:
+        _KEPT.pop(copy._durable_path, None)
         try:
             context = copy.sparkSession.sparkContext
             path = context._jvm.org.apache.hadoop.fs.Path(copy._durable_path)
             path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
         except Exception:  # the session has ended; the folder belongs to the run
-            return
+            continue
+
+
+@atexit.register
+def _discard_all() -> None:
+    discard(*list(_KEPT.values()))

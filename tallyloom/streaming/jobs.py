@@ -7,7 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tallyloom.operators import extraction, ledger, reconcile
 from tallyloom.operators import suppliers as supplier_ops
-from tallyloom.session import durable
+from tallyloom.session import durable, scratch
 from tallyloom.sources import files
 
 
@@ -74,8 +74,9 @@ def reconcile_arrivals(transactions: DataFrame, invoices: DataFrame, out: str, c
     """Matches arriving transactions with the ledger; each micro-batch overwrites its own folder."""
     def write(batch: DataFrame, batch_id: int) -> None:
         # A micro-batch is read several times; it is written out, so that all reads see the same rows.
-        matched = reconcile.match_transactions(durable(batch), invoices, **options)
-        matched.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        with scratch():
+            matched = reconcile.match_transactions(durable(batch), invoices, **options)
+            matched.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
     return transactions.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
