@@ -159,6 +159,13 @@ SELECT id, invoice_number, (CASE WHEN NOT is_income THEN amount + 1 ELSE amount
   CASE WHEN NOT is_income AND currency = 'EUR' THEN 'edited' ELSE notes END AS notes, coalesce(supplier_id, -1) AS supplier_id, is_income::INTEGER AS is_income
 FROM grown WHERE NOT (currency = 'BGN' AND is_income)""")
 
+add("ledger_month_edits", INVOICES)("""
+SELECT id, CASE WHEN month(date) = 3 AND currency = 'EUR' THEN strftime(date + INTERVAL 1 MONTH, '%Y-%m-%d') ELSE strftime(date, '%Y-%m-%d') END AS date,
+  (CASE WHEN month(date) = 3 THEN amount + 1 ELSE amount END)::DOUBLE AS amount,
+  CASE WHEN month(date) = 3 THEN 'edited' ELSE notes END AS notes
+FROM invoices WHERE date IS NULL OR NOT (month(date) = 5 AND currency = 'BGN')
+UNION ALL SELECT -id - 1, strftime(date, '%Y-%m-%d'), amount::DOUBLE, notes FROM invoices WHERE month(date) = 7""")
+
 add("snapshot_export", INVOICES, SUPPLIERS, ONE_SUPPLIER, ENRICHED)(f"""
 SELECT id AS invoice_id, s_category AS category, array_to_string(s_categories, '|') AS categories,
   coalesce({filled('transaction_type')}, s_type) AS transaction_type, s_vat AS vat_number,

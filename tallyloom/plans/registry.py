@@ -16,7 +16,7 @@ from tallyloom.operators import currency, evaluation, extraction, ledger, reconc
 from tallyloom.operators import suppliers as supplier_ops
 from tallyloom.plans import reports
 from tallyloom.session import shared_folder
-from tallyloom.sources import sinks, tables
+from tallyloom.sources import ledger_table, sinks, tables
 from tallyloom.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -203,6 +203,22 @@ def invoice_merge(spark: SparkSession, d: str) -> DataFrame:
                              F.coalesce("supplier_id", F.lit(-1)).alias("supplier_id"), "is_income"))
 
 
+@query
+def ledger_month_edits(spark: SparkSession, d: str) -> DataFrame:
+    """Edits, moves to another month, deletions and additions on a stored ledger, month by month."""
+    root = f"{shared_folder(spark)}/tallyloom/ledger-{uuid.uuid4().hex}"
+    inv = tables.invoices(spark, d).select("id", *ledger.FIELDS)
+    ledger_table.create(inv, root)
+    march = inv.where(F.month("date") == 3).select(
+        "id", (F.col("amount") + 1).cast(money.MONEY).alias("amount"), F.lit("edited").alias("notes"),
+        F.when(F.col("currency") == "EUR", F.add_months("date", 1)).alias("date"))
+    ledger_table.edit(spark, root, march, lambda rows: ledger.update(rows, march))
+    gone = inv.where((F.month("date") == 5) & (F.col("currency") == "BGN"))
+    ledger_table.edit(spark, root, gone, lambda rows: ledger.delete(rows, gone))
+    ledger_table.append(inv.where(F.month("date") == 7).withColumn("id", -F.col("id") - 1), root)
+    return plain(ledger_table.read(spark, root).select("id", "date", "amount", "notes"))
+
+
 @query
 def snapshot_export(spark: SparkSession, d: str) -> DataFrame:
     snap = ledger.snapshot(tables.invoices(spark, d), tables.suppliers(spark, d))

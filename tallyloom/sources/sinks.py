@@ -1,23 +1,37 @@
-"""Writers. Tables without a lakehouse are published as versions: write a new folder, then move the pointer."""
+"""Writers. Tables without a lakehouse are published as versions: write a new folder, then commit its name."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tallyloom.sources import commits
+
 
 def publish(df: DataFrame, root: str, version: str, partition_by: list[str] | None = None) -> str:
-    """Writes a table version and makes it current. Repeating a version gives the same result."""
-    folder = f"{root}/version={version}"
-    writer = df.write.mode("overwrite")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(folder)
-    pointer = df.sparkSession.createDataFrame([(version,)], "value string")
-    pointer.coalesce(1).write.mode("overwrite").text(f"{root}/current")
-    return folder
+    """Writes a table version and makes it current in one step. Repeating a version gives the same result.
+
+    The folder is new each time, so readers of the version before are not disturbed; a writer that dies before the
+    commit changes nothing. Of two writers at a time, the one that commits later is current.
+    """
+    spark = df.sparkSession
+    folder = f"{root}/version={version}/{uuid.uuid4().hex}"
+    (df.write.partitionBy(*partition_by) if partition_by else df.write).parquet(folder)
+    while True:
+        number, _ = commits.load(spark, root)
+        try:
+            commits.commit(spark, root, number + 1, {"version": version, "folder": folder.removeprefix(f"{root}/")})
+            return folder
+        except commits.Conflict:
+            continue
 
 
 def read_current(spark: SparkSession, root: str) -> DataFrame:
-    version = spark.read.text(f"{root}/current").first()["value"]
-    return spark.read.parquet(f"{root}/version={version}")
+    _, content = commits.load(spark, root)
+    if content is None:
+        raise ValueError(f"nothing is published in {root}")
+    return spark.read.parquet(f"{root}/{content['folder']}")
 
 
 def write_ledger(invoices: DataFrame, root: str, version: str) -> str:
