@@ -184,20 +184,25 @@ class Encoder:
         self.single = {p: struct.pack("<I", i) for p, i in usable.items() if len(p) == 1}
         self.bytes = dict(zip((int(p[3:5], 16) for i, p in enumerate(self.text) if vocabulary.kinds[i] == BYTE),
                               (i for i, k in enumerate(vocabulary.kinds) if k == BYTE)))
-        known = "".join(map(re.escape, (c for c in self.single if c != SPACE)))
         self.inside = {pair for p in usable for pair in zip(p, p[1:])}
-        across = any(a != SPACE and b == SPACE for a, b in self.inside)
-        blank = SPACE if SPACE in self.single else ""
-        if across or not known:
-            self.cut = re.compile(f"[{known}{blank}]+|.", re.S) if known or blank else re.compile(".", re.S)
-        else:
-            self.cut = re.compile(f"{SPACE}+[{known}]*|[{known}]+|.", re.S)
+        self.cut = re.compile(self._segments(), re.S)
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.edges: dict[int, Edges] = {}
         self.fits: list[dict[int, bool]] = [{} for _ in self.text]
         self.checked = 0
 
+    def _segments(self) -> str:
+        """Where texts are cut for lookup: before blanks and behind words, if no piece goes on there, and around unknown characters."""
+        letters = "".join(re.escape(c) for c in self.single if c.isalpha())
+        others = "".join(re.escape(c) for c in self.single if not c.isalpha() and c != SPACE)
+        known = letters + others + (SPACE if SPACE in self.single else "")
+        if not (letters and others) or any(a != SPACE and b == SPACE for a, b in self.inside):
+            return f"[{known}]+|." if known else "."
+        if any(a.isalpha() and not b.isalpha() for a, b in self.inside):
+            return f"{SPACE}+[{letters}{others}]*|[{letters}{others}]+|."
+        return f"{SPACE}++[{others}]*+[{letters}]*+|[{others}]++[{letters}]*+|[{letters}]++|."
+
     def compatible(self, left: int, right: int) -> bool:
         """Whether the two pieces, merged again from their characters, stay apart where they are.
 
