@@ -99,6 +99,15 @@ SELECT DISTINCT id, target::DOUBLE AS target FROM (
 UNION ALL
 SELECT id, 250000.0::DOUBLE FROM invoices WHERE abs(amount - 250000) < 100 OR abs(total_base - 250000) < 100""")
 
+add("amount_neighbours", INVOICES, BANK)("""
+, targets AS (SELECT DISTINCT coalesce(debit, credit) AS target FROM bank)
+, met AS (SELECT target, id, min(abs(v - target)) AS away FROM (
+    SELECT target, id, amount AS v FROM targets JOIN invoices ON amount > target - 5 AND amount < target + 5
+    UNION ALL SELECT target, id, total_base FROM targets JOIN invoices ON total_base > target - 5 AND total_base < target + 5) GROUP BY 1, 2)
+SELECT target::DOUBLE AS target, 'count' AS what, count(id) AS n FROM targets LEFT JOIN met USING (target) WHERE target IS NOT NULL GROUP BY 1
+UNION ALL
+SELECT target::DOUBLE, 'id', id FROM met QUALIFY row_number() OVER (PARTITION BY target ORDER BY away, id) <= 3""")
+
 add("supplier_enrich", INVOICES, SUPPLIERS, ONE_SUPPLIER, ENRICHED)(f"""
 SELECT id, coalesce({filled('description')}, {filled('notes')}, 'No description available') AS description,
   kind AS transaction_type, coalesce(s_type, CASE WHEN known THEN 'Not specified' END, kind) AS account_description,

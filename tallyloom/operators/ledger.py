@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyloom.functions import money, names
 from tallyloom.operators.containment import find_needles
-from tallyloom.operators.numbering import number_rows
+from tallyloom.operators.numbering import kth_smallest, number_rows, running_sum
 from tallyloom.operators.suppliers import one_per_key
 
 FIELDS = ["date", "invoice_number", "transactor", "amount", "vat", "total_base", "currency", "supplier_id", "notes",
@@ -83,22 +84,70 @@ def near_amounts(invoices: DataFrame, targets: DataFrame, threshold: float = 0.0
     """Bulk form of ``near_amount``: pairs (target, id), found through buckets of the threshold's width.
 
     ``targets``: one column ``target``. With ``nearest``, each target keeps that many invoices, by distance, then id; without it, all
-    that the threshold admits. Two amounts closer than the threshold share a bucket or lie in
-    neighbouring ones, so each target asks three buckets and meets only those invoices.
+    that the threshold admits (:func:`near_counts` tells how many those are). Distinct amounts meet the targets, so an amount that
+    most invoices share is one row until the pairs asked for are written out.
     """
+    amounts = invoices.select("id", F.explode(F.array_distinct(F.array("amount", "total_base"))).alias("value")).where("value is not null")
+    asked = targets.select("target").where("target is not null").distinct()
+    if nearest is not None:
+        return _nearest(amounts, asked, threshold, nearest)
+
     def bucket(value: Column) -> Column:
         return F.floor(value.cast("double") / threshold)
-    amounts = invoices.select("id", F.explode(F.array_distinct(F.array("amount", "total_base"))).alias("value"))
-    asked = targets.select("target").distinct().withColumn(
-        "bucket", F.explode(F.transform(F.array(*[F.lit(i) for i in (-1, 0, 1)]),
-                                        lambda step: bucket(F.col("target")) + step)))
+    # Two amounts closer than the threshold share a bucket or lie in neighbouring ones.
+    around = asked.withColumn("bucket", F.explode(F.transform(
+        F.array(*[F.lit(i) for i in (-1, 0, 1)]), lambda step: bucket(F.col("target")) + step)))
+    met = amounts.select("value").distinct().withColumn("bucket", bucket(F.col("value"))).join(around, "bucket").where(
+        F.abs(F.col("value") - F.col("target")) < threshold).select("target", "value")
+    return met.join(amounts, "value").select("target", "id").distinct()
+
+
+def _nearest(amounts: DataFrame, asked: DataFrame, threshold: float, n: int) -> DataFrame:
+    """The nearest n invoices of each target, from the places of targets among the sorted distinct amounts.
+
+    An invoice has at most two amounts, so 2n distinct amounts on either side hold n invoices that are as near as any beyond;
+    of one amount, the n smallest ids suffice. So a target meets a fixed number of rows, however many share its amount.
+    """
+    values = amounts.select(F.col("value").alias("at")).distinct()
+    points = values.select("at", F.lit(0).alias("kind"), F.lit(1).alias("one")).union(asked.select("target", F.lit(1), F.lit(0)))
+    placed = running_sum(points, "at", "kind", value="one", name="place")
+    around = placed.where("kind = 1").select(F.col("at").alias("target"), F.explode(
+        F.sequence(F.col("place") - 2 * n + 1, F.col("place") + 2 * n)).alias("place"))
+    first = F.row_number().over(Window.partitionBy("value").orderBy("id"))
+    held = amounts.withColumn("first", first).where(F.col("first") <= n).select("id", "value")
     away = F.abs(F.col("value") - F.col("target"))
-    found = amounts.withColumn("bucket", bucket(F.col("value"))).join(asked, "bucket").where(away < threshold)
-    if nearest is None:
-        return found.select("target", "id").distinct()
+    found = around.join(placed.where("kind = 0").select("place", F.col("at").alias("value")), "place").where(
+        away < threshold).join(held, "value")
     closest = found.groupBy("target", "id").agg(F.min(away).alias("away"))
-    place = F.row_number().over(Window.partitionBy("target").orderBy("away", "id"))
-    return closest.withColumn("place", place).where(F.col("place") <= nearest).select("target", "id")
+    rank = F.row_number().over(Window.partitionBy("target").orderBy("away", "id"))
+    return closest.withColumn("rank", rank).where(F.col("rank") <= n).select("target", "id")
+
+
+def near_counts(invoices: DataFrame, targets: DataFrame, threshold: float = 0.01) -> DataFrame:
+    """(target, n): how many invoices ``near_amount`` finds for each distinct target, without forming a pair.
+
+    An invoice is near all targets inside an open interval around each of its amounts; two intervals that meet are one. The
+    number of intervals open at a target is the running sum of their starts and ends in order. Starts and ends at one
+    amount are summed first, so a frequent amount is two rows. Amounts and threshold are compared in millionths.
+    """
+    exact = "decimal(28,6)"
+    step = F.lit(Decimal(str(threshold))).cast(exact)
+    low = F.least("amount", "total_base").cast(exact)
+    high = F.greatest("amount", "total_base").cast(exact)
+
+    def span(first: Column, last: Column) -> Column:
+        return F.struct((first - step).cast(exact).alias("start"), (last + step).cast(exact).alias("stop"))
+    spans = invoices.select(F.explode(F.when(high - low >= 2 * step, F.array(span(low, low), span(high, high))).otherwise(
+        F.array(span(low, high)))).alias("s")).where("s.start is not null")
+    # At one amount: ends first, then targets, then starts, as the intervals are open.
+    edges = spans.select(F.explode(F.array(
+        F.struct(F.col("s.stop").alias("at"), F.lit(0).alias("kind"), F.lit(-1).cast("long").alias("change")),
+        F.struct(F.col("s.start").alias("at"), F.lit(2).alias("kind"), F.lit(1).cast("long").alias("change")))).alias("e"))
+    asked = targets.select("target").where("target is not null").distinct()
+    events = edges.groupBy("e.at", "e.kind").agg(F.sum("e.change").alias("change")).select("at", "kind", "change").union(
+        asked.select(F.col("target").cast(exact), F.lit(1), F.lit(0).cast("long")).distinct())
+    opened = running_sum(events, "at", "kind", value="change", name="n").where("kind = 1")
+    return asked.join(opened.select("at", "n"), F.col("target").cast(exact) == F.col("at")).select("target", "n")
 
 
 def years(invoices: DataFrame) -> DataFrame:
@@ -109,14 +158,33 @@ def years(invoices: DataFrame) -> DataFrame:
 def page(invoices: DataFrame, number: int, size: int = 20) -> DataFrame:
     """One listing page, newest first; a page beyond either end is moved to the nearest one.
 
-    Ids are numbered in listing order without gathering the ledger, then the rows of the page are fetched.
+    Counts per day, added up in listing order, tell the days of the page; ids inside its first and last day are found by counts
+    as well. So no row is numbered or sorted but those of the page. One row a calendar day meets in one task.
     """
-    last = max(1, -(-invoices.count() // size))
-    number = min(max(1, number), last)
     age = F.coalesce(-F.unix_date("date").cast("long"), F.lit(2**40))
-    placed = number_rows(invoices.select(age.alias("age"), "id"), "age", "id", name="place")
-    wanted = placed.where(F.col("place").between((number - 1) * size + 1, number * size)).select("id")
-    return newest_first(invoices.join(wanted, "id", "left_semi"))
+    days = invoices.groupBy("date").agg(F.count("*").alias("n"))
+    ahead = F.sum("n").over(Window.orderBy(age).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
+    total = days.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    last = max(1, -(-total // size))
+    number = min(max(1, number), last)
+    begin, end = (number - 1) * size, min(number * size, total)
+    held = days.withColumn("ahead", ahead).where((F.col("ahead") < end) & (F.col("ahead") + F.col("n") > begin)).orderBy("ahead").collect()
+    if not held:
+        return newest_first(invoices.limit(0))
+
+    def on(day: dt.date | None) -> Column:
+        return F.col("date").isNull() if day is None else F.col("date") == F.lit(day)
+    newest, oldest = held[0], held[-1]
+    inside = F.lit(True) if newest["date"] is None else F.col("date") <= F.lit(newest["date"])
+    inside = inside | F.col("date").isNull() if oldest["date"] is None else inside & (F.col("date") >= F.lit(oldest["date"]))
+    inside = on(None) if newest["date"] is None else inside
+    if begin > newest["ahead"]:
+        first = kth_smallest(invoices.where(on(newest["date"])), "id", begin - newest["ahead"] + 1)
+        inside = inside & (~F.coalesce(on(newest["date"]), F.lit(False)) | (F.col("id") >= first))
+    if end < oldest["ahead"] + oldest["n"]:
+        final = kth_smallest(invoices.where(on(oldest["date"])), "id", end - oldest["ahead"])
+        inside = inside & (~F.coalesce(on(oldest["date"]), F.lit(False)) | (F.col("id") <= final))
+    return newest_first(invoices.where(inside))
 
 
 def listing_totals(invoices: DataFrame, size: int = 20) -> DataFrame:

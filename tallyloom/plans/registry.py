@@ -141,6 +141,16 @@ def amount_proximity(spark: SparkSession, d: str) -> DataFrame:
     return bulk.unionByName(ledger.near_amount(inv, 250000.0, 100.0).select("id", F.lit(250000.0).alias("target")))
 
 
+@query
+def amount_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """For each bank amount how many invoices lie within five units, and which three are nearest."""
+    inv = tables.invoices(spark, d)
+    targets = tables.bank(spark, d).select(F.coalesce("debit", "credit").alias("target"))
+    counts = ledger.near_counts(inv, targets, 5.0).select("target", F.lit("count").alias("what"), "n")
+    nearest = ledger.near_amounts(inv, targets, 5.0, nearest=3).select("target", F.lit("id").alias("what"), F.col("id").alias("n"))
+    return plain(counts.unionByName(nearest))
+
+
 @query
 def supplier_enrich(spark: SparkSession, d: str) -> DataFrame:
     return plain(ledger.detail(tables.invoices(spark, d), tables.suppliers(spark, d)).select(
