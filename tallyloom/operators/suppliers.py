@@ -5,6 +5,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyloom.fixed_values import SHEET_COLUMNS, SHEET_HEADER_NAMES, SHEET_TOTAL_WORDS
@@ -14,6 +16,10 @@ from tallyloom.operators.numbering import number_rows
 from tallyloom.operators.statements import split_fields
 
 
+#: Places of incoming rows begin here; arrival numbers stay below.
+INCOMING = 1 << 62
+
+
 def keyed(suppliers: DataFrame) -> DataFrame:
     return suppliers.withColumn("name_key", names.name_key(F.col("supplier_name")))
 
@@ -79,25 +85,35 @@ def upsert(suppliers: DataFrame, incoming: DataFrame) -> DataFrame:
     """
     rows = keyed(suppliers).withColumn("turn", F.lit(0)).unionByName(
         keyed(with_arrival(suppliers, incoming)).withColumn("turn", F.lit(1)), allowMissingColumns=True).where(F.col("name_key") != "")
-    at = F.struct("turn", "arrival")
-    fields = [c for c in rows.columns if c not in ("name_key", "turn", "arrival", "category", "categories")]
+    # One whole number a row orders known before incoming rows, so that aggregates keep fixed-width places, not texts.
+    rows = rows.withColumn("place", F.col("turn") * F.lit(INCOMING) + F.col("arrival").cast("long"))
+    fields = [c for c in rows.columns if c not in ("name_key", "turn", "arrival", "place", "category", "categories")]
 
     def filled(name: str) -> Column:
         return blank_to_null(F.col(name)) if rows.schema[name].dataType.simpleString() == "string" else F.col(name)
 
-    merged = rows.groupBy("name_key").agg(
-        *[F.min_by(f, F.when(filled(f).isNotNull(), at)).alias(f) for f in fields],
-        # The primary category is never replaced; a new supplier takes the one it arrives with.
-        F.min_by("category", at).alias("category"),
-        F.min(at).getField("arrival").alias("arrival"),
-        (F.min("turn") == 1).alias("is_new"),
-        (F.min(F.when(blank_to_null(F.col("vat_number")).isNotNull(), F.col("turn"))) == 1).alias("vat_from_incoming"),
-    )
+    best = rows.groupBy("name_key").agg(
+        F.min("place").alias("first"),
+        *[F.min(F.when(filled(f).isNotNull(), F.col("place"))).alias(f"at_{i}") for i, f in enumerate(fields)])
+    # What stands at the winning places is fetched by name and place, so the rows of a frequent name spread and drop out.
+    wanted = best.select("name_key", F.explode(F.array_distinct(F.array("first", *[f"at_{i}" for i in range(len(fields))]))).alias("place"))
+    held = rows.join(wanted, ["name_key", "place"], "left_semi").groupBy("name_key").agg(
+        F.collect_list(F.struct("place", "category", *fields)).alias("held"))
+
+    def at(place: str, name: str) -> Column:
+        return F.get(F.filter("held", lambda h: h["place"] == F.col(place)), F.lit(0))[name]
+
+    is_new = F.col("first") >= F.lit(INCOMING)
+    vat_at = F.col(f"at_{fields.index('vat_number')}")
     return (
-        merged.join(_united_categories(rows), "name_key", "left")
-        .withColumn("categories", F.coalesce("categories", F.array().cast("array<string>")))
-        .withColumn("vat_filled", ~F.col("is_new") & F.coalesce("vat_from_incoming", F.lit(False)))
-        .drop("vat_from_incoming")
+        best.join(held, "name_key").join(_united_categories(rows), "name_key", "left")
+        .select("name_key", *[at(f"at_{i}", f).alias(f) for i, f in enumerate(fields)],
+                # The primary category is never replaced; a new supplier takes the one it arrives with.
+                at("first", "category").alias("category"),
+                (F.col("first") - F.when(is_new, F.lit(INCOMING)).otherwise(F.lit(0))).cast(rows.schema["arrival"].dataType).alias("arrival"),
+                is_new.alias("is_new"),
+                F.coalesce("categories", F.array().cast("array<string>")).alias("categories"),
+                (~is_new & F.coalesce(vat_at >= F.lit(INCOMING), F.lit(False))).alias("vat_filled"))
     )
 
 
@@ -109,14 +125,15 @@ def _united_categories(rows: DataFrame) -> DataFrame:
     """
     turn = F.col("turn")
 
-    def at(category: Column, stage: Column, arrival: Column, position: Column) -> Column:
-        return F.struct(category.alias("c"), F.struct(
-            stage.alias("stage"), arrival.alias("arrival"), position.alias("position")).alias("place"))
+    def at(category: Column, stage: int, arrival: Column, position: Column) -> Column:
+        # Stage, arrival and position as one number of fixed width.
+        place = F.lit(Decimal(stage * 10**32)) + arrival.cast("decimal(22,0)") * F.lit(Decimal(10**10)) + position
+        return F.struct(category.alias("c"), place.cast("decimal(38,0)").alias("place"))
 
     listed = F.transform(F.coalesce("categories", F.array().cast("array<string>")),
-                         lambda c, i: at(c, F.lit(0), F.col("arrival"), i))
-    single = at(F.col("category"), F.lit(1), F.col("arrival"), F.lit(0))
-    original = at(F.col("category"), F.lit(1), F.coalesce("first_in", "arrival"), F.lit(1))
+                         lambda c, i: at(c, 0, F.col("arrival"), i))
+    single = at(F.col("category"), 1, F.col("arrival"), F.lit(0))
+    original = at(F.col("category"), 1, F.coalesce("first_in", "arrival"), F.lit(1))
     arrivals = rows.where(turn == 1).groupBy("name_key").agg(F.min("arrival").alias("first_in"))
     placed = rows.join(arrivals, "name_key", "left").select("name_key", F.explode(
         F.concat(listed, F.array(F.when(turn == 1, single).otherwise(original)))).alias("e"))
@@ -172,8 +189,8 @@ def _sheet_column(name: str) -> Column:
 def read_sheets(lines: DataFrame) -> DataFrame:
     """Unique suppliers of all sheets, first seen first. ``lines``: sheet, line_no, line (comma-separated)."""
     rows = lines.where(F.trim("line") != "").withColumn("fields", split_fields(F.col("line")))
-    headers = rows.groupBy("sheet").agg(F.min_by(F.struct("line_no", "fields"), "line_no").alias("h")).select(
-        "sheet", F.col("h.line_no").alias("header_line"), F.col("h.fields").alias("header"))
+    headers = rows.groupBy("sheet").agg(F.min("line_no").alias("line_no")).join(rows, ["sheet", "line_no"]).select(
+        "sheet", F.col("line_no").alias("header_line"), F.col("fields").alias("header"))
     places = headers.where(F.size("header") >= 4).select(
         "sheet", "header_line", *[_sheet_column(c).alias(f"i_{c}") for c in SHEET_COLUMNS])
 
@@ -190,8 +207,9 @@ def read_sheets(lines: DataFrame) -> DataFrame:
                 blank_to_null(names.fold_lines(cell("category"))).alias("category"))
         .where((name != "") & ~F.lower(name).isin(SHEET_HEADER_NAMES) & ~F.lower(name).rlike("|".join(SHEET_TOTAL_WORDS)))
     )
-    first = F.min_by(F.struct("supplier_name", "transaction_type", "category", "sheet", "line_no"), F.struct("sheet", "line_no"))
-    return picked.groupBy(F.lower("supplier_name").alias("k")).agg(first.alias("s")).select("s.*")
+    place = F.row_number().over(Window.partitionBy(F.lower("supplier_name")).orderBy("sheet", "line_no"))
+    return picked.withColumn("place", place).where("place = 1").select(
+        "supplier_name", "transaction_type", "category", "sheet", "line_no")
 
 
 def import_sheets(suppliers: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame]:

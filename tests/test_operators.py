@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 from decimal import Decimal
 
 import pytest
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.operators import currency, evaluation, extraction, ledger, reconcile, statements
 from tallyloom.operators import suppliers as sup
-from tallyloom.operators.numbering import number_rows
+from tallyloom.operators.numbering import kth_smallest, number_rows
 from tallyloom.plans import reports
 from tallyloom.sources import files, sinks, tables
 from tallyloom.streaming import jobs
@@ -84,6 +85,30 @@ def test_near_amounts_equals_pairs(spark):
     assert {(float(r["target"]), r["id"]) for r in ledger.near_amounts(inv, targets, 1.0).collect()} == want
 
 
+def _pairs(inv, targets, threshold):
+    return {(t, r["id"]): min(abs(v - t) for v in (r["amount"], r["total_base"]) if v is not None)
+            for t in targets for r in inv if any(v is not None and abs(v - t) < threshold for v in (r["amount"], r["total_base"]))}
+
+
+@pytest.mark.parametrize("threshold", [0.01, 1.0, 3.5])
+def test_amounts_with_a_hot_value_against_pairs(spark, threshold):
+    rnd = random.Random(4)
+    cents = lambda: Decimal(rnd.randint(0, 2000)) / 100
+    rows = [(i, Decimal("10.00") if rnd.random() < 0.9 else cents(), rnd.choice([Decimal("10.00"), cents(), None])) for i in range(400)]
+    rows += [(400, None, None), (401, Decimal("3.00"), Decimal("10.00")), (402, Decimal("8.00"), Decimal("10.00"))]
+    inv = spark.createDataFrame(rows, "id long, amount decimal(18,2), total_base decimal(18,2)")
+    asked = [Decimal("10.00"), Decimal("9.00"), Decimal("11.00"), Decimal("-5.00"), Decimal("900.00"), Decimal("6.50")] + [cents() for _ in range(40)]
+    targets = spark.createDataFrame([(t,) for t in [*asked, asked[0], None]], "target decimal(18,2)")
+    pairs = _pairs(inv.collect(), set(asked), Decimal(str(threshold)))
+    assert {tuple(r) for r in ledger.near_amounts(inv, targets, threshold).collect()} == set(pairs)
+    counts = {r["target"]: r["n"] for r in ledger.near_counts(inv, targets, threshold).collect()}
+    assert counts == {t: sum(p[0] == t for p in pairs) for t in set(asked)}
+    for n in (1, 3):
+        want = {(t, i) for t in set(asked) for _, i in sorted((away, i) for (u, i), away in pairs.items() if u == t)[:n]}
+        assert {tuple(r) for r in ledger.near_amounts(inv, targets, threshold, nearest=n).collect()} == want
+    assert ledger.near_counts(inv.limit(0), targets, threshold).agg({"n": "sum"}).first()[0] == 0
+
+
 def test_supplier_upsert_and_changes(spark):
     base = spark.createDataFrame([(1, "Acme Ltd", "IT", ["IT"], None, "")], SUP)
     new = spark.createDataFrame([(5, "ACME_LTD", "Cloud", "DEDUCTION", "V1"), (6, "acme-ltd", "IT", "X", "V2"), (7, "Beta", "Food", None, None)],
@@ -207,6 +232,38 @@ def test_pages_are_clamped(spark, n, last):
     assert ledger.page(inv, n).count() == last
 
 
+def test_pages_against_a_sorted_list(spark):
+    rnd = random.Random(6)
+    days = [None, dt.date(2024, 1, 1), dt.date(2024, 1, 1), dt.date(2024, 1, 1), dt.date(2024, 2, 1), dt.date(1965, 3, 1)]
+    rows = [(i * 7919 - 5000, rnd.choice(days)) for i in range(97)]
+    rnd.shuffle(rows)
+    inv = spark.createDataFrame(rows, "id long, date date")
+    listed = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or dt.date(2000, 1, 1)).toordinal(), r[0]))
+    for size in (1, 20):
+        for number in (1, 2, 3, 5, 97, 98):
+            last = min(number, -(-97 // size))
+            assert [tuple(r) for r in ledger.page(inv, number, size).collect()] == listed[(last - 1) * size:last * size]
+    assert ledger.page(inv.limit(0), 3).count() == 0
+
+
+def test_kth_smallest(spark):
+    rnd = random.Random(9)
+    values = sorted([rnd.randint(-2**60, 2**60) for _ in range(50)] + [5] * 30)
+    rows = spark.createDataFrame([(v,) for v in [*values, None]], "v long")
+    for k in (1, 17, 40, 80):
+        assert kth_smallest(rows, "v", k) == values[k - 1]
+    assert kth_smallest(rows, "v", 81) is None and kth_smallest(rows.limit(0), "v", 1) is None
+
+
+def test_upsert_has_no_sorted_aggregate(spark):
+    base = spark.createDataFrame([(1, "Acme Ltd", "IT", ["IT"], None, "")], SUP)
+    new = spark.createDataFrame([(5, "ACME_LTD", "Cloud", "DEDUCTION", "V1")],
+                                "arrival long, supplier_name string, category string, transaction_type string, vat_number string")
+    lines = spark.createDataFrame([("s", 0, "A,B,C,D"), ("s", 1, "1,T,Acme-Ltd,First")], "sheet string, line_no long, line string")
+    for frame in (sup.upsert(base, new), sup.read_sheets(lines)):
+        assert "SortAggregate" not in frame._jdf.queryExecution().toString()
+
+
 def test_upsert_keeps_every_column_and_the_order_of_arrival(spark):
     base = spark.createDataFrame([(4, "Acme Ltd", "IT", ["IT"], None, "", {"a": "1"}, None)], SUP + ", raw_extraction map<string,string>, phone string")
     new = spark.createDataFrame([(("d2", 0), "ACME_LTD", "Cloud", "X", "V2", {"b": "2"}, "77"), (("d1", 5), "New-Co", "First", None, None, {"c": "3"}, ""),
