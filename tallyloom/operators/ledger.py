@@ -196,12 +196,12 @@ def supplier_ids(suppliers: DataFrame) -> DataFrame:
     return suppliers.groupBy(F.col("supplier_name").alias("transactor")).agg(F.min("arrival").alias("resolved_id"))
 
 
-def append(invoices: DataFrame, incoming: DataFrame, suppliers: DataFrame) -> DataFrame:
-    """Incoming rows as ledger rows: supplier id resolved, ids continued after the largest one.
+def append(invoices: DataFrame, incoming: DataFrame, suppliers: DataFrame, last_id: int | None = None) -> DataFrame:
+    """Incoming rows as ledger rows: supplier id resolved, ids continued after the largest one (``last_id`` where it is known).
 
     ``incoming`` needs a unique ``arrival`` and any subset of the ledger fields.
     """
-    start = invoices.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
+    start = invoices.agg(F.coalesce(F.max("id"), F.lit(0))).scalar() if last_id is None else F.lit(last_id).cast("long")
     missing = {f: F.lit(None).cast(invoices.schema[f].dataType) for f in FIELDS if f not in incoming.columns}
     rows = incoming.withColumns(missing) if missing else incoming
     rows = rows.join(supplier_ids(suppliers), "transactor", "left")

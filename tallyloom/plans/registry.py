@@ -584,7 +584,7 @@ def stream_daily_totals(spark: SparkSession, d: str) -> DataFrame:
     folder = scratch(spark)
     stream = jobs.read_events(spark, d).select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("kind"),
                                                F.col("value").cast(money.MONEY).alias("amount"))
-    jobs.run_updates(jobs.daily_totals(stream), f"{folder}/out", f"{folder}/checkpoint")
+    jobs.run_updates(jobs.daily_totals(stream), f"{folder}/out", f"{folder}/checkpoint", ["day_start", "kind"])
     return plain(jobs.read_latest(spark, f"{folder}/out", ["day_start", "kind"]).withColumn("day_start", F.col("day_start").cast("date")))
 
 
