@@ -46,14 +46,17 @@ def sweep(points: DataFrame, rules: DataFrame) -> DataFrame:
     A rule's interval runs from its key to the last key that begins with it, so intervals nest. In key order a rule's
     start opens its interval: the active stack becomes the rules around it and itself. A point keeps of the last opened
     stack what is still open at its own key. Points and starts are dealt to ranges of keys and swept range by range; a range
-    begins with the stack that the ranges before it leave. One row a range meets in one task.
+    begins with the stack that the ranges before it leave, so the points of one key may lie in several ranges: a hash of their other
+    columns (but maps) spreads them. One row a range meets in one task.
     """
     starts = _stacked(rules).select("key", F.lit(0).alias("kind"), "stack", *[
         F.lit(None).cast(f.dataType).alias(f.name) for f in points.schema.fields if f.name != "key"])
     others = [c for c in points.columns if c != "key"]
     events = starts.select("key", "kind", "stack", *others).union(
         points.select("key", F.lit(1), F.lit(None).cast(starts.schema["stack"].dataType), *others))
-    dealt = common.staged(events.repartitionByRange("key", "kind").withColumn("part", F.spark_partition_id()), "sweep")
+    hashed = [f.name for f in points.schema.fields if f.name != "key" and "map<" not in f.dataType.simpleString()]
+    spread = F.xxhash64(*hashed) if hashed else F.lit(0)
+    dealt = common.staged(events.repartitionByRange("key", "kind", spread).withColumn("part", F.spark_partition_id()), "sweep")
     in_order = Window.partitionBy("part").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     opened = dealt.where("kind = 0").groupBy("part").agg(F.max(F.struct("key", "stack")).alias("last"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

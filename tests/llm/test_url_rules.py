@@ -55,6 +55,29 @@ def test_sweep_over_many_ranges(spark):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+def test_one_key_lies_in_several_ranges(spark, monkeypatch):
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    for key, value in zip(before, ("16", "false")):
+        spark.conf.set(key, value)
+    staged, tables = url_rules.common.staged, []
+
+    def kept(df, name):
+        tables.append(staged(df, name))
+        return tables[-1]
+    monkeypatch.setattr(url_rules.common, "staged", kept)
+    try:
+        pages = spark.range(3000).select(F.col("id").alias("page_id"), F.format_string("https://h%d.com/?q=%d", "id", "id").alias("url"))
+        rules = [("com", "/", "allow"), ("h7.com", "/", "block"), ("h2999.com", "", "block")]
+        table = spark.createDataFrame(rules, "host string, path string, verdict string")
+        for r in url_rules.judge(pages, table).collect():
+            assert (r.host, r.path, r.rule, r.verdict) == _judge(r.url, rules)
+        held = tables[0].where("key = 'com#/' and kind = 1").groupBy("part").count().collect()
+        assert len(held) >= 4 and max(r["count"] for r in held) < 1500
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
 def test_awkward_rows(spark):
     rules = spark.createDataFrame([("com", "/", "block")], "host string, path string, verdict string")
     pages = spark.createDataFrame(
