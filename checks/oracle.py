@@ -57,6 +57,19 @@ SELECT 'statement_' || n || '.csv' AS file, 'Standard Statement Format' AS detec
 FROM (SELECT n_nationkey AS n FROM nation) LEFT JOIN (
   SELECT regexp_extract(file, '_(\\d+)', 1)::INTEGER AS m, count(*) AS c FROM bank GROUP BY 1) ON n = m""")
 
+NAMED_FILE = "['hsbc ', 'My Wells Fargo ', 'paypal-', 'plain_'][n % 4 + 1] || n || '.csv'"
+add("statement_overrides", BANK)(f"""
+SELECT {NAMED_FILE} AS file, row_no * 2 + 100 AS row_no, strftime(date + CASE WHEN n % 4 IN (0, 2) THEN 3 ELSE 0 END, '%Y-%m-%d') AS date,
+  CASE WHEN n % 4 <> 3 THEN description END AS description, debit::DOUBLE AS debit, credit::DOUBLE AS credit
+FROM (SELECT *, regexp_extract(file, '_(\\d+)', 1)::INTEGER AS n FROM bank)""")
+
+add("statement_formats", BANK)(f"""
+SELECT {NAMED_FILE} AS file, ['HSBC', 'Wells Fargo', 'PayPal', 'Simple Statement Format'][n % 4 + 1] AS detected_format, 0 AS header_row,
+  CASE WHEN n % 4 = 3 THEN 2 ELSE 3 END AS matched_columns, CASE WHEN n % 4 = 3 THEN 0.5 ELSE 0.75 END::DOUBLE AS confidence,
+  coalesce(c, 0)::BIGINT AS row_count
+FROM (SELECT n_nationkey AS n FROM nation) LEFT JOIN (
+  SELECT regexp_extract(file, '_(\\d+)', 1)::INTEGER AS m, sum(CASE WHEN row_no % 10 = 0 THEN 2 ELSE 1 END) AS c FROM bank GROUP BY 1) ON n = m""")
+
 # --- money ------------------------------------------------------------------------------------
 CODE = "CASE WHEN id % 10 = 9 THEN 'GBP' ELSE currency END"
 add("convert_to_base", INVOICES)(f"""
@@ -310,6 +323,13 @@ add("report_expenses", *REPORT)("""
 SELECT sheet, strftime(date, '%Y-%m-%d') AS date, invoice_number, transactor, description, expense_category, kind_of_transaction,
   amount::DOUBLE AS amount, vat::DOUBLE AS vat, total_bgn::DOUBLE AS total_bgn, total_eur::DOUBLE AS total_eur, currency,
   payment_method, fx_warning::INTEGER AS fx_warning FROM items""")
+add("report_bank_duplicates", INVOICES)("""
+, spent AS (SELECT * FROM invoices WHERE NOT is_income)
+SELECT CASE WHEN is_income THEN 'INCOME' ELSE 'EXPENSES' END AS sheet, strftime(date, '%Y-%m-%d') AS date, invoice_number, transactor,
+  total_base::DOUBLE AS total FROM invoices
+UNION ALL
+SELECT 'EXPENSES', strftime(date, '%Y-%m-%d'), '', transactor, (total_base + 1)::DOUBLE FROM spent s
+WHERE id % 2 <> 0 AND NOT EXISTS (SELECT 1 FROM spent o WHERE o.date = s.date AND o.transactor = s.transactor AND o.total_base = s.total_base + 1)""")
 add("report_summary", *REPORT)("""
 SELECT coalesce(y, 0)::INTEGER AS year, coalesce(m, 0)::INTEGER AS month, CASE g WHEN 0 THEN 'month' WHEN 1 THEN 'year' ELSE 'all' END AS level,
   inc::DOUBLE AS income, spent::DOUBLE AS expenses, (inc - spent)::DOUBLE AS net
@@ -355,6 +375,17 @@ add("four_field_export", INVOICES, SUPPLIERS, ONE_SUPPLIER, ENRICHED, KINDS.form
 SELECT id, transactor AS supplier_name,
   coalesce(nullif(array_to_string(s_categories, ', '), ''), nullif(s_category, ''), json_extract_string(raw, '$."Expense Category Account"'), '') AS service_category,
   kind AS transaction_type, coalesce({filled('s_vat')}, '') AS vat_number FROM kinds""")
+add("extraction_four_fields", INVOICES)("""
+, r AS (SELECT *, CASE WHEN json_valid(raw_extraction) THEN raw_extraction END AS raw FROM invoices)
+SELECT id, coalesce(CASE WHEN id % 3 <> 0 THEN transactor END, json_extract_string(raw, '$.Transactor'), '') AS supplier_name,
+  CASE id % 4 WHEN 0 THEN 'A, B' WHEN 1 THEN 'Single' ELSE coalesce(json_extract_string(raw, '$."Expense Category Account"'), '') END AS service_category,
+  coalesce(CASE WHEN id % 5 < 2 THEN transaction_type END, json_extract_string(raw, '$."Kind of Transaction"'), '') AS transaction_type,
+  coalesce(CASE WHEN id % 2 = 0 THEN 'VAT' || id END, CASE WHEN id % 7 <> 0 THEN vat::VARCHAR END, '') AS vat_number
+FROM r""")
+add("reconciled_export", INVOICES, BANK)("""
+SELECT file, row_no AS id, coalesce(debit, credit)::DOUBLE AS amount FROM bank
+UNION ALL SELECT 'ledger', id, amount::DOUBLE FROM invoices
+UNION ALL SELECT 'by id', id, amount::DOUBLE FROM invoices WHERE id = 1""")
 GROUPED = "regexp_replace(regexp_replace({c}::VARCHAR, '(\\d)(\\d{{3}})\\.', '\\1,\\2.'), '(\\d)(\\d{{3}}),', '\\1,\\2,')"
 EXPORT_COLUMNS = ["id", "date", "invoice_number", "transactor", "amount", "vat", "total_base", "currency", "supplier_id", "notes",
                   "is_income", "transaction_type", "file_path", "description", "raw_extraction", "document_type"]

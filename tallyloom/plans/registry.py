@@ -16,7 +16,7 @@ from tallyloom.operators import currency, evaluation, extraction, ledger, reconc
 from tallyloom.operators import suppliers as supplier_ops
 from tallyloom.plans import reports
 from tallyloom.session import shared_folder
-from tallyloom.sources import ledger_table, sinks, tables
+from tallyloom.sources import files, ledger_table, sinks, tables
 from tallyloom.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,6 +78,19 @@ def header_mapping(spark: SparkSession, d: str) -> DataFrame:
                     F.array_join(pairs, ";").alias("mapping"))
 
 
+@query
+def statement_overrides(spark: SparkSession, d: str) -> DataFrame:
+    """Statements with the user's own column mapping; empty rows are dropped."""
+    return plain(statements.standardise(tables.overridden_lines(spark, d), tables.overrides(spark, d))).drop("balance", "reference")
+
+
+@query
+def statement_formats(spark: SparkSession, d: str) -> DataFrame:
+    """Format names after banks and confidences below one."""
+    return statements.detect_formats(tables.overridden_lines(spark, d)).select(
+        "file", "detected_format", "header_row", "matched_columns", "confidence", "row_count")
+
+
 @query
 def convert_to_base(spark: SparkSession, d: str) -> DataFrame:
     inv = tables.invoices(spark, d).withColumn("currency", F.when(F.col("id") % 10 == 9, "GBP").otherwise(F.col("currency")))
@@ -284,6 +297,18 @@ def report_expenses(spark: SparkSession, d: str) -> DataFrame:
                               "payment_method", "fx_warning"))
 
 
+@query
+def report_bank_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    """Expenses and a statement that pays them: rows with the same day, payee and amount are there already."""
+    inv = tables.invoices(spark, d)
+    paid = ledger.expenses(inv).select(
+        "date", (F.col("total_base") + F.when(F.col("id") % 2 == 0, 0).otherwise(1)).cast(money.MONEY).alias("debit"),
+        F.lit(None).cast(money.MONEY).alias("credit"), F.col("transactor").alias("payee"), F.lit("").alias("reference"),
+        F.lit("").alias("description"))
+    items = reports.combine(reports.invoice_items(inv, tables.suppliers(spark, d)), reports.bank_items(paid))
+    return plain(items.select("sheet", "date", "invoice_number", "transactor", "total"))
+
+
 @query
 def report_summary(spark: SparkSession, d: str) -> DataFrame:
     items = reports.combine(reports.invoice_items(tables.invoices(spark, d), tables.suppliers(spark, d)),
@@ -325,6 +350,31 @@ def four_field_export(spark: SparkSession, d: str) -> DataFrame:
     return reports.four_fields(tables.invoices(spark, d), tables.suppliers(spark, d))
 
 
+@query
+def extraction_four_fields(spark: SparkSession, d: str) -> DataFrame:
+    """The four fields of extraction rows, with what is missing taken from the raw reply."""
+    k = F.col("id")
+    rows = tables.invoices(spark, d).select(
+        "id", F.when(k % 3 != 0, F.col("transactor")).otherwise("").alias("supplier_name"),
+        F.when(k % 4 == 0, F.array(F.lit("A"), F.lit("B"))).alias("categories"), F.when(k % 4 == 1, "Single").alias("category"),
+        F.when(k % 5 < 2, F.col("transaction_type")).alias("transaction_type"),
+        F.when(k % 2 == 0, F.concat(F.lit("VAT"), k.cast("string"))).alias("vat_number"),
+        F.when(k % 7 != 0, F.col("vat").cast("string")).alias("tax_amount"), "raw_extraction")
+    return reports.extraction_fields(rows)
+
+
+@query
+def reconciled_export(spark: SparkSession, d: str) -> DataFrame:
+    """Statement rows written to one folder a file, read back with the ledger that they were stored beside."""
+    folder = scratch(spark)
+    sinks.write_matches(tables.bank(spark, d), f"{folder}/statements")
+    tables.invoices(spark, d).write.parquet(f"{folder}/ledger")
+    stored = files.invoices(spark, f"{folder}/ledger")
+    rows = spark.read.parquet(f"{folder}/statements").select("file", F.col("row_no").alias("id"), F.coalesce("debit", "credit").alias("amount"))
+    first = ledger.by_id(stored, 1).select(F.lit("by id").alias("file"), "id", "amount")
+    return plain(rows.unionByName(stored.select(F.lit("ledger").alias("file"), "id", "amount")).unionByName(first))
+
+
 @query
 def ledger_export(spark: SparkSession, d: str) -> DataFrame:
     return plain(reports.display_ledger(tables.invoices(spark, d))).withColumn("supplier_id", F.coalesce("supplier_id", F.lit(-1).cast("long")))

@@ -163,11 +163,31 @@ def four_fields(invoices: DataFrame, suppliers: DataFrame | None = None) -> Data
         F.coalesce(blank_to_null(F.col("supplier_vat")), F.lit("")).alias("vat_number"))
 
 
-def supplier_fields(suppliers: DataFrame) -> DataFrame:
-    return suppliers.select(
-        "supplier_name", names.join_categories(F.col("categories"), F.col("category")).alias("service_category"),
-        F.coalesce("transaction_type", F.lit("")).alias("transaction_type"),
-        F.coalesce("vat_number", F.lit("")).alias("vat_number"))
+def extraction_fields(rows: DataFrame) -> DataFrame:
+    """The four fields of rows that carry their own attributes, such as suppliers or extraction results.
+
+    Categories come from the list, else from the single one, else from the raw reply; name and type from the row, else from the raw
+    reply; the VAT number is the row's, else its tax amount. Columns that ``rows`` lacks count as empty; an ``id`` stays.
+    """
+    def own(name: str, kind: str = "string") -> Column:
+        return F.col(name).cast(kind) if name in rows.columns else F.lit(None).cast(kind)
+
+    def raw(key: str) -> Column:
+        if "raw_extraction" not in rows.columns:
+            return F.lit(None).cast("string")
+        if rows.schema["raw_extraction"].dataType.simpleString().startswith("map"):
+            return blank_to_null(F.try_element_at("raw_extraction", F.lit(key)))
+        return _raw(key)
+    listed = names.join_categories(own("categories", "array<string>"), own("category"))
+    return rows.select(
+        *[c for c in ("id",) if c in rows.columns],
+        F.coalesce(blank_to_null(own("supplier_name")), raw("Transactor"), F.lit("")).alias("supplier_name"),
+        F.coalesce(blank_to_null(listed), raw("Expense Category Account"), F.lit("")).alias("service_category"),
+        F.coalesce(blank_to_null(own("transaction_type")), raw("Kind of Transaction"), F.lit("")).alias("transaction_type"),
+        F.coalesce(blank_to_null(own("vat_number")), own("tax_amount"), F.lit("")).alias("vat_number"))
+
+
+supplier_fields = extraction_fields
 
 
 def monthly_report(invoices: DataFrame) -> dict[str, DataFrame]:

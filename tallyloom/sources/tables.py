@@ -166,6 +166,33 @@ def statement_lines(spark: SparkSession, folder: str) -> DataFrame:
     return heads.unionByName(lines)
 
 
+def overridden_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """The bank lines in files named after banks, with two dates, a signed amount and empty rows in between."""
+    named = F.array(F.lit("hsbc "), F.lit("My Wells Fargo "), F.lit("paypal-"), F.lit("plain_"))
+
+    def file_of(n: Column) -> Column:
+        return F.concat(F.get(named, F.pmod(n, F.lit(4)).cast("int")), n.cast("string"), F.lit(".csv"))
+    nation = read(spark, folder, "nation").select(F.col("n_nationkey").alias("n"))
+    heads = nation.select(file_of(F.col("n")).alias("file"), F.lit(0).cast("long").alias("line_no"), F.when(
+        F.pmod("n", F.lit(4)) == 3, "Date,Other,Amount").otherwise("Date,Value Date,Narrative,Amount").alias("line"))
+    rows = bank(spark, folder).withColumn("n", F.regexp_extract("file", r"_(\d+)\.csv", 1).cast("int"))
+    amount = F.coalesce(-F.col("debit"), F.col("credit")).cast("string")
+    dates_, later = F.date_format("date", "yyyy-MM-dd"), F.date_format(F.date_add("date", 3), "yyyy-MM-dd")
+    line = F.when(F.pmod("n", F.lit(4)) == 3, F.concat_ws(",", dates_, F.lit("x"), amount)).otherwise(
+        F.concat_ws(",", dates_, later, "description", amount))
+    empty = F.when(F.col("row_no") % 10 == 0, F.lit(",,,"))
+    return heads.unionByName(rows.select(file_of(F.col("n")).alias("file"), F.col("row_no"), F.posexplode(
+        F.array_compact(F.array(line, empty))).alias("i", "line")).select(
+            "file", (F.col("row_no") * 2 + F.col("i") + 100).cast("long").alias("line_no"), "line"))
+
+
+def overrides(spark: SparkSession, folder: str) -> DataFrame:
+    """For half of the banks' files the user's own mapping: the value date is the date."""
+    files = overridden_lines(spark, folder).where("line like 'Date,Value Date%'").where("file not like 'My %'").select("file")
+    return files.select("file", F.explode(F.array(*[F.struct(F.lit(a).alias("std_col"), F.lit(b).alias("src_col")) for a, b in (
+        ("date", "Value Date"), ("description", "Narrative"), ("amount", "Amount"))])).alias("o")).select("file", "o.*")
+
+
 def report_lines(spark: SparkSession, folder: str) -> DataFrame:
     """The bank lines as statements that only the report reads: dates, signs and references in columns named otherwise."""
     nation = read(spark, folder, "nation").select(F.col("n_nationkey").alias("n"))
