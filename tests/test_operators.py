@@ -365,3 +365,13 @@ def test_exports_read_back(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "e" / "details")).count() == 2
     sinks.write_sheets({"DATA ALERTS": matched}, str(tmp_path / "s"))
     assert spark.read.option("header", True).csv(str(tmp_path / "s" / "data_alerts")).count() == 2
+
+
+def test_four_fields_of_rows_with_few_columns(spark):
+    sup_rows = spark.createDataFrame([("A", None, [], "7.5"), ("B", "One", ["X", "Y"], None)],
+                                     "supplier_name string, category string, categories array<string>, tax_amount string")
+    got = sorted(tuple(r) for r in reports.supplier_fields(sup_rows).collect())
+    assert got == [("A", "", "", "7.5"), ("B", "X, Y", "", "")]
+    raw = spark.createDataFrame([(1, "", {"Transactor": "T", "Kind of Transaction": "K", "Expense Category Account": "E"}), (2, "S", None)],
+                                "id int, supplier_name string, raw_extraction map<string,string>")
+    assert sorted(tuple(r) for r in reports.extraction_fields(raw).collect()) == [(1, "T", "E", "K", ""), (2, "S", "", "", "")]
