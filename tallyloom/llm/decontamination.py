@@ -3,21 +3,24 @@
 from __future__ import annotations
 
 import pickle
+import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from tallyloom.llm import common
 from tallyloom.llm.common import ALNUM_BYTES
 
 WINDOW = 13
-#: Words of test items in one automaton, which then takes about 60 MB; more items make more automata and passes.
-BLOCK_WORDS = 100_000
+#: Words of test items in one automaton, which then takes about 60 MB, and automata that one scan of the documents holds;
+#: more items make more automata, and more than these make a further scan.
+BLOCK_WORDS, BLOCKS_A_SCAN = 100_000, 8
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -186,38 +189,89 @@ def pieces(words: list[bytes], window: int, most: int) -> list[list[bytes]]:
     return [words[a:a + size] for a in range(0, len(words) - window + 1, size - window + 1)]
 
 
+def _cut_items(window: int, most: int):
+    """Pieces of items (item, words, n), and how many words the task has put out before each."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = 0
+        for batch in batches:
+            rows = []
+            for name, text in zip(*(c.to_pylist() for c in batch.columns)):
+                for words in pieces(words_of(text), window, most):
+                    if words:
+                        rows.append((name, b" ".join(words), len(words), done))
+                        done += len(words)
+            kinds = (pa.string(), pa.binary(), pa.int64(), pa.int64())
+            columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays(columns, names=["item", "words", "n", "before"])
+    return run
+
+
+def _build(window: int):
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        items = ((name, words.split(b" ")) for name, words in zip(rows["item"].to_pylist(), rows["words"].to_pylist()))
+        built = pickle.dumps(vars(Automaton(window).build(items)))
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "automaton": pa.array([built], pa.binary())})
+    return run
+
+
+def _built(benchmark: DataFrame, window: int, item: str, text: str, block_words: int) -> DataFrame:
+    """(block, automaton) in the shared folder, a folder for each block; tasks cut the items and build the automata.
+
+    Pieces are laid end to end in the order of the tasks that cut them, and a block takes those that begin among its
+    ``block_words`` words, so it holds less than twice as many whatever the lengths of items and the partitions are.
+    """
+    spark = benchmark.sparkSession
+    rows = benchmark.select(
+        F.coalesce(F.col(f"`{item}`").cast("string"), F.lit("null")).alias("item"), F.col(f"`{text}`").cast("binary").alias("text"))
+    parts = common.staged(
+        rows.mapInArrow(_cut_items(window, block_words), "item string, words binary, n long, before long")
+        .withColumn("task", F.spark_partition_id()), "items")
+    # One row for each task that cut items.
+    earlier = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.groupBy("task").agg(F.sum("n").alias("total")).select(
+        "task", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("offset"))
+    placed = parts.join(offsets, "task").select(
+        F.floor((F.col("offset") + F.col("before")) / block_words).alias("block"), "item", "words")
+    path = f"{common.shared_folder(spark)}/tallyloom-llm/automata-{uuid.uuid4().hex}"
+    placed.groupBy("block").applyInArrow(_build(window), "block long, automaton binary").write.partitionBy("block").parquet(path)
+    common.discard(parts)
+    return common.removable(spark.read.schema("automaton binary, block long").parquet(path), path)
+
+
+def _pickled(built: DataFrame) -> Iterator[bytes]:
+    """The fields of the automata as they were written, one automaton at a time."""
+    for row in built.select("block").distinct().orderBy("block").collect():
+        yield bytes(built.where(F.col("block") == row.block).first().automaton)
+
+
 def automata(benchmark: DataFrame, window: int = WINDOW, *, item: str = "item_id", text: str = "text",
              block_words: int = BLOCK_WORDS) -> Iterator[Automaton]:
-    """One automaton for every ``block_words`` words of items, streamed through the driver block by block. An item of more
-    words goes into several, under the same name."""
-    block: list[tuple[str, list[bytes]]] = []
-    size = 0
-    rows = benchmark.select(F.col(f"`{item}`").cast("string").alias("i"), F.col(f"`{text}`").cast("binary").alias("t"))
-    for row in rows.toLocalIterator():
-        for words in pieces(words_of(None if row.t is None else bytes(row.t)), window, block_words):
-            if block and size + len(words) > block_words:
-                yield Automaton(window).build(block)
-                block, size = [], 0
-            block.append((row.i if row.i is not None else "null", words))
-            size += len(words)
-    yield Automaton(window).build(block)
+    """The automata of a benchmark, one for every ``block_words`` words of items. An item of more words goes into several,
+    under the same name."""
+    built = _built(benchmark, window, item, text, block_words)
+    yield from (Automaton(**pickle.loads(one)) for one in _pickled(built))
+    common.discard(built)
 
 
 _SPANS = ArrayType(StructType([StructField("first", IntegerType()), StructField("after", IntegerType())]))
 _FOUND = [StructField("n_words", LongType()), StructField("__spans", _SPANS), StructField("__items", ArrayType(StringType()))]
 
 
-def _scan(shared):
+def _scan(shared: list[Broadcast]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = pickle.loads(shared.value)
+        blocks = [Automaton(**pickle.loads(one.value)) for one in shared]
         for batch in batches:
             counts, spans, items = [], [], []
             for text in batch.column(batch.num_columns - 1).to_pylist():
                 words = words_of(text)
-                covered, owners = automaton.hits(words)
+                covered, names = [], []
+                for automaton in blocks:
+                    found, owners = automaton.hits(words)
+                    covered += found
+                    names += [automaton.names[i] for i in owners]
                 counts.append(len(words))
-                spans.append([{"first": a, "after": b} for a, b in covered])
-                items.append([automaton.names[i] for i in owners])
+                spans.append([{"first": a, "after": b} for a, b in _joined(covered)])
+                items.append(names)
             kind = pa.list_(pa.struct([("first", pa.int32()), ("after", pa.int32())]))
             columns = [pa.array(counts, pa.int64()), pa.array(spans, kind), pa.array(items, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(
@@ -225,8 +279,7 @@ def _scan(shared):
     return run
 
 
-def _scanned(docs: DataFrame, automaton: Automaton, text: str, carry: list[str]) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(automaton))
+def _scanned(docs: DataFrame, shared: list[Broadcast], text: str, carry: list[str]) -> DataFrame:
     ready = docs.select(*[f"`{c}`" for c in carry], F.col(f"`{text}`").cast("binary").alias("__bytes"))
     return ready.mapInArrow(_scan(shared), StructType([*ready.schema.fields[:-1], *_FOUND]))
 
@@ -245,13 +298,17 @@ def _union(spans: Column) -> Column:
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, max_coverage: int = 20,
-                       text: str = "text", carry: list[str] | None = None, block_words: int = BLOCK_WORDS) -> DataFrame:
+                       text: str = "text", carry: list[str] | None = None, block_words: int = BLOCK_WORDS,
+                       blocks_a_scan: int = BLOCKS_A_SCAN) -> DataFrame:
     """``docs`` with ``n_words``, ``n_hit``, ``n_items``, ``items``, ``spans`` and ``contaminated``.
 
     A window is ``window`` consecutive words of an item, or a whole item that is shorter. A word inside an occurrence of any
     window is hit; ``spans`` are the runs of hit words (first word, word after the last), ``items`` the sorted ids of
     the items with occurring windows. A document is contaminated if one in ``max_coverage`` of its words or more is hit.
 
+    Automata of ``block_words`` words of items are built in tasks and broadcast one by one; a scan of the documents holds up to
+    ``blocks_a_scan`` of them. What further scans find is written and their broadcasts are removed.
+
     ``carry``: the input columns to keep (all by default). Null texts have no words and are never contaminated; items with a null
     text match nothing, a null item id is named "null", items of one id count once; an empty benchmark hits nothing. Repeated rows
     are all returned; an empty table gives no rows. Input columns named like an output column are replaced.
@@ -259,9 +316,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = W
     outputs = ("n_words", "n_hit", "n_items", "items", "spans", "contaminated")
     known = common.without(docs, *[c for c in outputs if c != text.lower()])
     carry = [c for c in known.columns if carry is None or c in carry]
-    blocks = automata(benchmark, window, block_words=block_words)
-    first = next(blocks)
-    second = next(blocks, None)
+    context = docs.sparkSession.sparkContext
+    built = _built(benchmark, window, "item_id", "text", block_words)
+    scans = batched(map(context.broadcast, _pickled(built)), blocks_a_scan)
+    first, second = list(next(scans, ())), next(scans, None)
     if second is None:
         found = _scanned(known, first, text, carry)
     else:
@@ -269,15 +327,19 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = W
         base = _scanned(table, first, text, [*carry, "__rid"])
         more = None
         while second is not None:
-            part = _scanned(table, second, text, ["__rid"]).where("size(__items) > 0").select("__rid", "__spans", "__items")
+            part = _scanned(table, list(second), text, ["__rid"]).where("size(__items) > 0").select("__rid", "__spans", "__items")
+            part = common.staged(part, "contamination-scan")
+            for one in second:
+                one.destroy()
             more = part if more is None else more.union(part)
-            second = next(blocks, None)
+            second = next(scans, None)
         more = more.groupBy("__rid").agg(
             F.flatten(F.collect_list("__spans")).alias("__s"), F.flatten(F.collect_list("__items")).alias("__i"))
         found = base.join(more, "__rid", "left").drop("__rid").withColumns({
             "__spans": F.when(F.col("__s").isNull(), F.col("__spans")).otherwise(_union(F.concat("__spans", "__s"))),
             "__items": F.when(F.col("__i").isNull(), F.col("__items")).otherwise(F.concat("__items", "__i")),
         }).drop("__s", "__i")
+    common.discard(built)
     hit = F.aggregate("__spans", F.lit(0).cast("long"), lambda n, x: n + x["after"] - x["first"])
     return found.select(
         *[f"`{c}`" for c in carry], "n_words", hit.alias("n_hit"),

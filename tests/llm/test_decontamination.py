@@ -109,3 +109,15 @@ def test_an_item_above_the_block_size_is_split(spark):
     rows = {r.doc_id: r for r in dc.find_contamination(docs, items, block_words=50).collect()}
     assert all(rows[i].n_hit == 13 and rows[i].items == ["long"] for i in range(138))
     assert rows[200].n_hit == 150 and rows[200].n_items == 1 and rows[201].items == ["short"]
+
+
+def test_scans_hold_a_bounded_number_of_automata(spark):
+    items, texts, docs, benchmark = _case(spark)
+    for scattered in (benchmark.repartition(7), benchmark.coalesce(1)):
+        sizes = [len(a.length) for a in dc.automata(scattered, block_words=30)]
+        assert len(sizes) > 4 and max(sizes) <= 2 * 2 * 30 + 1
+        rows = {r.doc_id: r for r in dc.find_contamination(docs, scattered, block_words=30, blocks_a_scan=3).collect()}
+        for i, text in enumerate(texts):
+            n, hit, names = _expected(text, items)
+            assert (rows[i].n_words, rows[i].n_hit, rows[i]["items"]) == (n, len(hit), sorted(names))
+            assert {w for s in rows[i].spans for w in range(s.first, s.after)} == hit
