@@ -70,6 +70,10 @@ SELECT {NAMED_FILE} AS file, ['HSBC', 'Wells Fargo', 'PayPal', 'Simple Statement
 FROM (SELECT n_nationkey AS n FROM nation) LEFT JOIN (
   SELECT regexp_extract(file, '_(\\d+)', 1)::INTEGER AS m, sum(CASE WHEN row_no % 10 = 0 THEN 2 ELSE 1 END) AS c FROM bank GROUP BY 1) ON n = m""")
 
+add("quoted_records")(r"""
+SELECT doc_id, regexp_replace(coalesce(text, ''), '\r\n|\r|\n', ' ', 'g') AS text, coalesce(source, '') AS source, n_chars::BIGINT AS n_chars,
+  4::BIGINT AS n_cells FROM documents""")
+
 # --- money ------------------------------------------------------------------------------------
 CODE = "CASE WHEN id % 10 = 9 THEN 'GBP' ELSE currency END"
 add("convert_to_base", INVOICES)(f"""

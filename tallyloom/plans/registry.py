@@ -16,7 +16,7 @@ from tallyloom.operators import currency, evaluation, extraction, ledger, reconc
 from tallyloom.operators import suppliers as supplier_ops
 from tallyloom.plans import reports
 from tallyloom.session import shared_folder
-from tallyloom.sources import files, ledger_table, sinks, tables
+from tallyloom.sources import files, ledger_table, quoted, sinks, tables
 from tallyloom.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,6 +91,17 @@ def statement_formats(spark: SparkSession, d: str) -> DataFrame:
         "file", "detected_format", "header_row", "matched_columns", "confidence", "row_count")
 
 
+@query
+def quoted_records(spark: SparkSession, d: str) -> DataFrame:
+    """Every document as a record of a file, whose quoted cell holds the line breaks of the text."""
+    folder = scratch(spark)
+    tables.write_quoted(tables.read(spark, d, "documents"), folder)
+    fields = F.col("fields")
+    return quoted.records(spark, folder).select(
+        fields[0].cast("long").alias("doc_id"), fields[1].alias("text"), fields[2].alias("source"),
+        fields[3].cast("long").alias("n_chars"), F.size("fields").cast("long").alias("n_cells"))
+
+
 @query
 def convert_to_base(spark: SparkSession, d: str) -> DataFrame:
     inv = tables.invoices(spark, d).withColumn("currency", F.when(F.col("id") % 10 == 9, "GBP").otherwise(F.col("currency")))

@@ -20,24 +20,29 @@ TRUTH_SCHEMA = "file string, expected_type string, expected map<string,string>"
 EXTRACTION_SCHEMA = "doc_id long, file_name string, stage string, attempt int, response string"
 
 
-def statement_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of all statement files under a path: file, line_no, line.
+def physical_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of all text files under a path: file, block (where the part that a task reads begins), line_no, line.
 
-    Files are split like any text file, so one very large statement is read by many tasks. The line
+    Files are split like any text file, so one very large file is read by many tasks. The line
     number is not dense; it grows with the position in the file (block start, then order in the task).
     """
     rows = spark.read.text(path, recursiveFileLookup=True).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
         F.regexp_replace("value", "\r$", "").alias("line"))
     within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    return rows.select("file", (F.col("block") * F.lit(1 << 20) + within).alias("line_no"), "line")
+    return rows.select("file", "block", (F.col("block") * F.lit(1 << 20) + within).alias("line_no"), "line")
+
+
+def statement_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of all statement files under a path: file, line_no, line; see :func:`physical_lines`."""
+    return physical_lines(spark, path).drop("block")
 
 
 def multiline_statements(spark: SparkSession, path: str, widest: int = 256) -> DataFrame:
     """Statement files with line breaks inside quoted cells: whole records by the CSV reader, as lines again.
 
     Records may differ in width, as lines above the header do; a record of ``widest`` cells or more raises an error. Each
-    such file is read by one task.
+    such file is read by one task; :mod:`tallyloom.sources.quoted` reads it with many.
     """
     names = [f"c{i}" for i in range(widest)]
     rows = spark.read.schema(", ".join(f"{c} string" for c in names)).csv(

@@ -186,6 +186,14 @@ def overridden_lines(spark: SparkSession, folder: str) -> DataFrame:
             "file", (F.col("row_no") * 2 + F.col("i") + 100).cast("long").alias("line_no"), "line"))
 
 
+def write_quoted(documents: DataFrame, folder: str) -> None:
+    """One record of four cells for each document: doc_id, text and source in quotes, n_chars."""
+    def cell(name: str) -> Column:
+        return F.concat(F.lit('"'), F.replace(F.coalesce(F.col(name), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+    plain = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("doc_id", "n_chars")]
+    documents.select(F.concat_ws(",", plain[0], cell("text"), cell("source"), plain[1]).alias("value")).write.text(folder)
+
+
 def overrides(spark: SparkSession, folder: str) -> DataFrame:
     """For half of the banks' files the user's own mapping: the value date is the date."""
     files = overridden_lines(spark, folder).where("line like 'Date,Value Date%'").where("file not like 'My %'").select("file")
