@@ -86,10 +86,16 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     lines = lines.withColumn("first", F.coalesce(
         F.last(F.when(~F.col("before"), F.col("line_no")), ignorenulls=True).over(so_far), "open"))
     part = (F.col("before") | F.col("after")) & ~F.col("first").eqNullSafe(F.col("unclosed"))
-    whole = lines.where(~part).select("file", "line_no", "line")
-    joined = lines.where(part).groupBy("file", F.col("first").alias("line_no")).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), " ").alias("line"))
-    return whole.union(joined).where(F.col("line") != "").select("file", "line_no", split_record(F.col("line")).alias("fields"))
+    key = F.when(part, F.col("first")).otherwise(F.col("line_no")).alias("key")
+    # Lines meet where their block is already; only what crosses the edge of a block moves on.
+    pieces = lines.groupBy("file", "block", key).agg(
+        F.collect_list(F.struct("line_no", "line")).alias("lines"),
+        (F.bool_or(~part | ~F.col("before")) & F.bool_or(~part | ~F.col("after"))).alias("whole"))
+    pieces = pieces.withColumn("line", F.array_join(F.array_sort("lines")["line"], " "))
+    crossing = pieces.where(~F.col("whole")).groupBy("file", "key").agg(
+        F.array_join(F.array_sort(F.collect_list(F.struct("block", "line")))["line"], " ").alias("line"))
+    found = pieces.where("whole").select("file", "key", "line").union(crossing)
+    return found.where(F.col("line") != "").select("file", F.col("key").alias("line_no"), split_record(F.col("line")).alias("fields"))
 
 
 def statement_lines(spark: SparkSession, path: str) -> DataFrame:
