@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tallyloom.operators.joins import meet
+
 
 #: Characters of a needle's anchor.
 ANCHOR = 8
@@ -21,9 +23,9 @@ def _anchored(keys: DataFrame, size: int) -> DataFrame:
         "needle", F.explode(_pieces(F.col("needle"), F.lit(size))).alias("piece"))
     popularity = pieces.groupBy("piece").agg(F.count("*").alias("n"))
     place = F.row_number().over(Window.partitionBy("needle").orderBy("n", "piece"))
-    anchors = pieces.join(popularity, "piece").withColumn("place", place).where("place = 1").select("needle", "piece")
+    anchors = meet(pieces, popularity, "piece").withColumn("place", place).where("place = 1").select("needle", "piece")
     short = keys.where(F.length("needle") < size).select("kind", "needle", F.col("needle").alias("piece"))
-    return short.unionByName(keys.join(anchors, "needle").select("kind", "needle", "piece"))
+    return short.unionByName(meet(keys, anchors, "needle").select("kind", "needle", "piece"))
 
 
 def find_needles(texts: DataFrame, needles: DataFrame, size: int = ANCHOR) -> DataFrame:
@@ -43,5 +45,5 @@ def find_needles(texts: DataFrame, needles: DataFrame, size: int = ANCHOR) -> Da
         F.xxhash64("text").alias("h"), F.explode(_pieces(F.col("text"), F.col("n"))).alias("piece")).select(
         "h", F.xxhash64("piece").alias("piece"))
     anchored = _anchored(keys, size).withColumn("piece", F.xxhash64("piece"))
-    met = cut.join(anchored, "piece").select("h", "kind", "needle").distinct()
-    return met.join(whole.withColumn("h", F.xxhash64("text")), "h").where(F.contains("text", "needle")).select("text", "kind", "needle")
+    met = meet(cut, anchored, "piece").select("h", "kind", "needle").distinct()
+    return meet(met, whole.withColumn("h", F.xxhash64("text")), "h").where(F.contains("text", "needle")).select("text", "kind", "needle")

@@ -17,6 +17,7 @@ Plan. No pair of a transaction and all invoices in its band is ever built:
 * All these lookups, for both directions, are answered in one sorted pass (``match_index``).
 
 Three tables are written on the way: the distinct invoices, what the texts hold, and the questions.
+No join of sides that grow sends one through the driver (``joins.meet``).
 Equal transactions (direction, amount, date) and equal invoices (group, day, amount) are collapsed
 first, so hot amounts and hot suppliers do not multiply.
 """
@@ -30,6 +31,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tallyloom.functions import dates, money
 from tallyloom.fixed_values import BASE_CURRENCY
 from tallyloom.operators.containment import find_needles
+from tallyloom.operators.joins import meet
 from tallyloom.operators.match_index import ASKED, GROUP, NO_DAY, Rule, best_answers
 from tallyloom.session import durable
 
@@ -148,15 +150,12 @@ def _numbered(grp: Column, number: Column) -> Column:
 def _used_words(names: DataFrame, seen: DataFrame) -> DataFrame:
     """(name, ws, used): the long words of each name, and those found in any text, rarest first."""
     listed = names.select("name", _long_words(F.col("name")).alias("ws")).where(F.size("ws") > 0)
-    used = (
-        listed.select("name", F.explode(F.array_distinct("ws")).alias("word"))
-        .join(seen.select("word"), "word", "left_semi")
-    )
+    used = meet(listed.select("name", F.explode(F.array_distinct("ws")).alias("word")), seen.select("word"), "word", "left_semi")
     # A set is looked up through its rarest word, which leads to the fewest sets.
     popularity = used.groupBy("word").agg(F.count("*").alias("n"))
-    ranked = used.join(popularity, "word").groupBy("name").agg(
+    ranked = meet(used, popularity, "word").groupBy("name").agg(
         F.array_sort(F.collect_list(F.struct("n", "word"))).alias("ranked"))
-    return listed.join(ranked, "name").select("name", "ws", F.col("ranked.word").alias("used"))
+    return meet(listed, ranked, "name").select("name", "ws", F.col("ranked.word").alias("used"))
 
 
 def _set_groups(word_sets: DataFrame) -> DataFrame:
@@ -199,15 +198,15 @@ def text_evidence(texts: DataFrame, slim: DataFrame) -> tuple[DataFrame, DataFra
     word_sets = _used_words(names, in_text.select("word").distinct())
     sets = _set_groups(word_sets)
     vocabulary = in_text.groupBy("text").agg(F.collect_set("word").alias("vocabulary"))
+    anchored = sets.select(F.col("anchor").alias("word"), "words", "grp", "points").distinct()
     partial = (
-        in_text.join(sets.select(F.col("anchor").alias("word"), "words", "grp", "points").distinct(), "word")
-        .join(vocabulary, "text")
+        meet(meet(in_text, anchored, "word"), vocabulary, "text")
         .where(F.size(F.array_except("words", "vocabulary")) == 0)
         .select("text", "grp", F.col("points").alias("name_points"))
     )
     long_names = word_sets.where(F.size("used") > 6)
     counted = (
-        in_text.join(long_names.select("name", F.size("ws").alias("total"), F.explode("ws").alias("word")), "word")
+        meet(in_text, long_names.select("name", F.size("ws").alias("total"), F.explode("ws").alias("word")), "word")
         .groupBy("text", "name").agg((F.lit(0.08) * (F.count("*") / F.first("total"))).alias("name_points"))
     )
     own = F.concat(F.lit("s:"), F.col("name"))
@@ -223,7 +222,7 @@ def text_evidence(texts: DataFrame, slim: DataFrame) -> tuple[DataFrame, DataFra
         by_name.withColumn("number_points", none)
         .unionByName(by_number.select("text", _numbered(F.lit(""), F.col("number")).alias("grp"),
                                       none.alias("name_points"), ten.alias("number_points")))
-        .unionByName(by_name.join(by_number, "text").select(
+        .unionByName(meet(by_name, by_number, "text").select(
             "text", _numbered(F.col("grp"), F.col("number")).alias("grp"), "name_points",
             ten.alias("number_points")))
     )
@@ -238,16 +237,16 @@ def grouped_points(slim: DataFrame, members: DataFrame, wanted: DataFrame) -> Da
     ``wanted``: (g1, g2), the groups some text points to.
     """
     point = [*GROUP, "day", "c"]
-    named = slim.join(members, "name")
+    named = meet(slim, members, "name")
     numbered = F.length("number") > 2
-    grouped = (
+    grouped = meet((
         named.select("is_income", "grp", "day", "c", "id")
         .unionByName(named.where(numbered).select(
             "is_income", _numbered(F.col("grp"), F.col("number")).alias("grp"), "day", "c", "id"))
         .unionByName(slim.where(numbered).select(
             "is_income", _numbered(F.lit(""), F.col("number")).alias("grp"), "day", "c", "id"))
-        .withColumns(_named(F.col("grp"))).join(wanted, ["g1", "g2"], "left_semi")
-    )
+        .withColumns(_named(F.col("grp")))
+    ), wanted, ["g1", "g2"], "left_semi")
     everything = slim.withColumns({"g1": F.lit(EVERY).cast("long"), "g2": F.lit(EVERY).cast("long")}).select(*point, "id")
     return everything.unionByName(grouped.select(*point, "id")).groupBy(*point).agg(F.min("id").alias("p"))
 
@@ -258,7 +257,7 @@ def _questions(txns: DataFrame, evidence: DataFrame) -> DataFrame:
     base = both.withColumn("is_income", F.when(F.col("turned"), F.col("is_debit")).otherwise(~F.col("is_debit")))
     every = base.withColumns({"g1": F.lit(EVERY).cast("long"), "g2": F.lit(EVERY).cast("long"),
                               "name_points": F.lit(0.0), "number_points": F.lit(0.0)})
-    found = base.join(evidence.withColumns(_named(F.col("grp"))).drop("grp"), "text")
+    found = meet(base, evidence.withColumns(_named(F.col("grp"))).drop("grp"), "text")
     return every.unionByName(found).select("txn", "turned", *ASKED)
 
 
@@ -292,7 +291,7 @@ def match_transactions(
     best = best_answers(points, distinct, rule, (F.col("g1") == EVERY) & (F.col("g2") == EVERY))
     # The other direction counts only where this one has nothing.
     first = F.struct((~F.col("turned")).alias("straight"), "best.score", "best.inv_day", "best.nearness", "best.neg_id")
-    found = questions.join(best, ASKED).groupBy("txn").agg(F.max(first).alias("best")).select(
+    found = meet(questions, best, ASKED).groupBy("txn").agg(F.max(first).alias("best")).select(
         "txn", (-F.col("best.neg_id")).alias("id"))
     return _describe(statement, txns, found, inv, key, bank_currency, date_tolerance_days, amount_tolerance_pct)
 
@@ -300,7 +299,7 @@ def match_transactions(
 def _describe(statement: DataFrame, txns: DataFrame, found: DataFrame, inv: DataFrame, key: Sequence[str],
               bank_currency: str, tolerance_days: int, tolerance: float) -> DataFrame:
     """Re-scores the winning pairs from the plain rule and writes the match columns."""
-    pair = with_bounds(txns.join(found, "txn").join(inv.withColumnRenamed("day", "inv_day"), "id"), tolerance)
+    pair = with_bounds(meet(meet(txns, found, "txn"), inv.withColumnRenamed("day", "inv_day"), "id"), tolerance)
     known = (F.col("day") != NO_DAY) & (F.col("inv_day") != NO_DAY)
     on_date = F.when(known, dates.date_points(F.col("day") - F.col("inv_day"), tolerance_days)).otherwise(F.lit(0.0))
     on_amount = amount_points(F.col("c"), tolerance)
@@ -339,7 +338,7 @@ def _describe(statement: DataFrame, txns: DataFrame, found: DataFrame, inv: Data
         details.alias("match_details"),
         F.col("id").alias("matched_invoice_id"),
     )
-    return statement.join(columns, list(key), "left").withColumn(
+    return meet(statement, columns, key, "left").withColumn(
         "match_confidence", F.coalesce("match_confidence", F.lit(0)))
 
 
