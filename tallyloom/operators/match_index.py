@@ -9,12 +9,12 @@ ranges and the nearest amounts beyond them.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 NO_DAY = -9_999_999
 #: Days of a block; amount blocks for each factor e; the day block of what is asked for at any date.
@@ -216,36 +216,46 @@ def _amount_block(value: Column) -> Column:
     return F.floor(F.log(value.cast("double")) * F.lit(PER_E)).cast("int")
 
 
-def best_answers(points: DataFrame, questions: DataFrame, rule: Rule, every: Column) -> DataFrame:
+def best_answers(points: DataFrame, questions: DataFrame, rule: Rule, every: Column,
+                 bounded: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The best accepted point for each question: ``ASKED`` and ``best``, a row for each way (near, any date) that has one.
 
-    ``points``: ``GROUP``, ``day``, ``c``, ``p`` (the smallest id), each (group, day, c) once. ``questions``: ``ASKED`` and
-    ``BOUNDS``, each once. ``every`` tells the groups in which only an amount within the tolerance can win; they are dealt by
+    ``points``: ``GROUP``, ``day``, ``c``, ``p`` (the smallest id), each (group, day, c) once. ``questions``: ``ASKED``,
+    each once. ``bounded`` adds ``BOUNDS`` to rows with ``t`` and ``is_debit``; that is done behind the exchange, which does not
+    carry them. ``every`` tells the groups in which only an amount within the tolerance can win; they are dealt by
     amount block too. Other groups are small or spread over day blocks; a task holds the points of one block.
     """
     span = rule.span
     low = F.col("c").cast("double") * (1 - rule.amount) * 0.999 - 1
     wanted = F.sequence(_amount_block(F.greatest(low, F.lit(1.0))), _amount_block(F.col("c").cast("double") * 1.11 + 1))
     block_of = lambda day: F.floor(day / DAY_BLOCK).cast("int")
-    near_points = (
-        points.where(F.col("day") != NO_DAY)
-        .withColumn("ab", F.explode(F.when(every, wanted).otherwise(F.array(F.lit(0)))))
-        .withColumn("db", F.explode(F.sequence(block_of(F.col("day") - span), block_of(F.col("day") + span))))
-        .select(*GROUP, "ab", "db", "day", F.col("c").alias("x"), "p")
-    )
-    far_points = (
-        points.groupBy(*GROUP, "c").agg(F.max(F.struct("day", (-F.col("p")).alias("n"))).alias("m"))
-        .withColumn("ab", F.explode(wanted))
-        .select(*GROUP, "ab", F.lit(ANY_DATE).alias("db"), "m.day", F.col("c").alias("x"), (-F.col("m.n")).alias("p"))
+    none_of = F.array().cast("array<int>")
+    near_ab = F.when(F.col("day") == NO_DAY, none_of).when(every, F.col("wanted")).otherwise(F.array(F.lit(0)))
+    near_db = F.sequence(block_of(F.col("day") - span), block_of(F.col("day") + span))
+    # At any date only the latest day of an amount counts.
+    latest = F.row_number().over(Window.partitionBy(*GROUP, "c").orderBy(F.desc("day"))) == 1
+    far_ab = F.when(F.col("latest"), F.col("wanted")).otherwise(none_of)
+
+    def block(ab: Column, db: Column) -> Column:
+        return F.struct(ab.alias("ab"), db.alias("db"))
+
+    blocks = F.concat(
+        F.flatten(F.transform("near_ab", lambda ab: F.transform("near_db", lambda db: block(ab, db)))),
+        F.transform("far_ab", lambda ab: block(ab, F.lit(ANY_DATE))))
+    point_rows = (
+        points.withColumn("latest", latest).withColumn("wanted", wanted)
+        .withColumns({"near_ab": near_ab, "near_db": near_db, "far_ab": far_ab})
+        .select(*GROUP, "day", F.col("c").alias("x"), "p", F.explode(blocks).alias("b"))
+        .select(*GROUP, "b.ab", "b.db", "day", "x", "p")
     )
     asked = questions.withColumnRenamed("t", "x")
     near = asked.where(F.col("day") != NO_DAY).withColumns({
         "ab": F.when(every, _amount_block(F.col("x"))).otherwise(F.lit(0)), "db": block_of(F.col("day"))})
     far = asked.withColumns({"ab": _amount_block(F.col("x")), "db": F.lit(ANY_DATE)})
     none = F.lit(0).cast("long")
-    index = near_points.unionByName(far_points).withColumns({
-        "asks": F.lit(False), "is_debit": F.lit(False), "name_points": F.lit(0.0), "number_points": F.lit(0.0),
-        **{b: none for b in BOUNDS}})
+    index = point_rows.withColumns({
+        "asks": F.lit(False), "is_debit": F.lit(False), "name_points": F.lit(0.0), "number_points": F.lit(0.0)})
     rows = index.unionByName(near.unionByName(far).withColumns({"asks": F.lit(True), "p": none}))
     keys = [*GROUP, "ab", "db"]
-    return rows.repartition(*keys).sortWithinPartitions(*keys, "asks").mapInArrow(_pass(rule, CHUNK), BEST)
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, "asks")
+    return bounded(dealt.withColumn("t", F.col("x"))).drop("t").mapInArrow(_pass(rule, CHUNK), BEST)

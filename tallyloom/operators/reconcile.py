@@ -248,7 +248,8 @@ def grouped_points(slim: DataFrame, members: DataFrame, wanted: DataFrame) -> Da
         .withColumns(_named(F.col("grp")))
     ), wanted, ["g1", "g2"], "left_semi")
     everything = slim.withColumns({"g1": F.lit(EVERY).cast("long"), "g2": F.lit(EVERY).cast("long")}).select(*point, "id")
-    return everything.unionByName(grouped.select(*point, "id")).groupBy(*point).agg(F.min("id").alias("p"))
+    # Dealt without the day, as ``match_index`` needs them: so the points are made and moved once.
+    return everything.unionByName(grouped.select(*point, "id")).repartition(*GROUP, "c").groupBy(*point).agg(F.min("id").alias("p"))
 
 
 def _questions(txns: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -286,9 +287,9 @@ def match_transactions(
     if once.groupBy("txn").count().where("count > 1").limit(1).count():
         raise ValueError(f"{', '.join(key)} must identify the rows of the statement")
     points = grouped_points(slim, members, questions.select("g1", "g2").distinct())
-    distinct = with_bounds(questions.select(*ASKED).distinct(), amount_tolerance_pct)
     rule = Rule(date_tolerance_days, amount_tolerance_pct, THRESHOLD)
-    best = best_answers(points, distinct, rule, (F.col("g1") == EVERY) & (F.col("g2") == EVERY))
+    best = best_answers(points, questions.select(*ASKED).distinct(), rule, (F.col("g1") == EVERY) & (F.col("g2") == EVERY),
+                        lambda rows: with_bounds(rows, amount_tolerance_pct))
     # The other direction counts only where this one has nothing.
     first = F.struct((~F.col("turned")).alias("straight"), "best.score", "best.inv_day", "best.nearness", "best.neg_id")
     found = meet(questions, best, ASKED).groupBy("txn").agg(F.max(first).alias("best")).select(
