@@ -38,7 +38,8 @@ def plain(df: DataFrame) -> DataFrame:
         if kind.startswith("decimal"):
             c = c.cast("double")
         elif kind == "date":
-            c = F.date_format(c, "yyyy-MM-dd")
+            # Spark writes a plus before years of five digits.
+            c = F.ltrim(F.date_format(c, "yyyy-MM-dd"), F.lit("+"))
         elif kind == "array<string>":
             c = F.array_join(c, "|")
         elif kind == "boolean":
