@@ -5,6 +5,8 @@ Input rows: ``doc_id``, ``file_name``, ``stage``, ``attempt``, ``response`` (the
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyloom.fixed_values import MODE_STAGES, STAGE_ORDER
@@ -31,6 +33,19 @@ def first_success(extractions: DataFrame, mode: str = "auto") -> DataFrame:
     return ranked.where((F.col("place") == 1) & usable).select("doc_id", "file_name", "stage", "attempt", "records")
 
 
+def first_stages(extractions: DataFrame, modes: Sequence[str]) -> DataFrame:
+    """(mode, doc_id, stage, attempt): which reply :func:`first_success` takes in each of the modes.
+
+    Every reply is parsed once for all modes, and no record is carried along.
+    """
+    order = F.array_position(F.array(*[F.lit(s) for s in STAGE_ORDER]), F.col("stage"))
+    usable = extractions.where(F.size(replies.reply_records(F.col("response"))) > 0).select("doc_id", "stage", "attempt")
+    allowed = F.array_compact(F.array(*[F.when(F.col("stage").isin(MODE_STAGES[m]), F.lit(m)) for m in modes]))
+    place = F.row_number().over(Window.partitionBy("mode", "doc_id").orderBy(order, "attempt"))
+    return usable.withColumn("mode", F.explode(allowed)).withColumn("place", place).where("place = 1").select(
+        "mode", "doc_id", "stage", "attempt")
+
+
 def merge_passes(passes: DataFrame) -> DataFrame:
     """(doc_id, field, value) with the highest confidence; an equal confidence keeps the earlier pass.
 

@@ -271,12 +271,7 @@ def extract_json(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def extraction_first_success(spark: SparkSession, d: str) -> DataFrame:
-    x = tables.extractions(spark, d)
-    rows = None
-    for mode in ("auto", "cloud", "local"):
-        part = extraction.first_success(x, mode).select(F.lit(mode).alias("mode"), "doc_id", "stage", "attempt")
-        rows = part if rows is None else rows.unionByName(part)
-    return rows
+    return extraction.first_stages(tables.extractions(spark, d), ("auto", "cloud", "local"))
 
 
 @query
