@@ -28,7 +28,11 @@ def parse_money(text: Column) -> Column:
     A last separator followed by one or two digits is the decimal mark, every other separator
     groups digits. A leading or trailing minus and surrounding brackets mean a negative amount.
     """
-    return bind(F.regexp_replace(text, r"[^0-9.,\-()]", ""), _signed_amount)
+    def read(value: Column) -> Column:
+        # Plain cents, the most common spelling, need one test instead of eight expressions.
+        plain = F.when(value.rlike(r"\A[0-9]{1,15}\.[0-9]{2}\z"), value.try_cast(MONEY))
+        return F.coalesce(plain, bind(F.regexp_replace(value, r"[^0-9.,\-()]", ""), _signed_amount))
+    return bind(text, read)
 
 
 def _signed_amount(kept: Column) -> Column:

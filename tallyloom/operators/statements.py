@@ -27,8 +27,10 @@ def _any(*columns: str) -> str:
 def split_fields(line: Column) -> Column:
     """Comma-separated fields of a line, quotes honoured and removed, any number of fields."""
     parts = F.split(line, r',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1)
-    return F.transform(parts, lambda f: F.replace(
+    quoted = F.transform(parts, lambda f: F.replace(
         F.regexp_replace(F.trim(f), r'^"([\s\S]*)"$', "$1"), F.lit('""'), F.lit('"')))
+    # The expression looks at the rest of the line for each comma; a line without quotes needs none of it.
+    return F.when(line.contains('"'), quoted).otherwise(F.transform(F.split(line, ",", -1), lambda f: F.trim(f)))
 
 
 def is_header(fields: Column) -> Column:
