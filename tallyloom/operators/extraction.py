@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyloom.fixed_values import MODE_STAGES, STAGE_ORDER
 from tallyloom.functions import dates, money, names, replies
+from tallyloom.functions.binding import bind
 from tallyloom.functions.money import blank_to_null
 from tallyloom.operators.suppliers import one_per_key
 
@@ -57,15 +58,19 @@ def merge_passes(passes: DataFrame) -> DataFrame:
 
 
 def confidences(extractions: DataFrame) -> DataFrame:
-    """Replies as passes for ``merge_passes``: every field with the confidence its reply states for it."""
-    scores = F.from_json(F.col("r")["Confidence"], "map<string,double>")
-    return (
-        parse(extractions).select("doc_id", F.col("attempt").alias("pass"), F.explode("records").alias("r"))
-        .select("doc_id", "pass", scores.alias("scores"), F.explode("r").alias("field", "value"))
-        .where((F.col("field") != "Confidence") & F.col("value").isNotNull())
-        .select("doc_id", "pass", "field", "value", F.coalesce(
-            F.try_element_at("scores", F.lower(F.replace("field", F.lit(" "), F.lit("_")))), F.lit(0.0)).alias("confidence"))
-    )
+    """Replies as passes for ``merge_passes``: every field with the confidence its reply states for it.
+
+    A record is written out as fields in one step, so that each reply is parsed once and its confidences once.
+    """
+    def fields(record: Column, scores: Column) -> Column:
+        stated = F.filter(F.map_entries(record), lambda e: (e["key"] != "Confidence") & e["value"].isNotNull())
+        return F.transform(stated, lambda e: F.struct(
+            e["key"].alias("field"), e["value"].alias("value"), F.coalesce(
+                F.try_element_at(scores, F.lower(F.replace(e["key"], F.lit(" "), F.lit("_")))), F.lit(0.0)).alias("confidence")))
+    listed = F.transform(replies.reply_records(F.col("response")), lambda r: bind(
+        F.from_json(r["Confidence"], "map<string,double>"), lambda scores: fields(r, scores)))
+    return extractions.select("doc_id", F.col("attempt").alias("pass"), F.explode(F.flatten(listed)).alias("e")).select(
+        "doc_id", "pass", "e.*")
 
 
 def records(winners: DataFrame) -> DataFrame:

@@ -21,6 +21,21 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return table
 
 
+#: Rows of orders that one task turns into invoices, bank lines or replies.
+ROWS_A_TASK = 50_000
+
+
+def _orders_of(spark: SparkSession, folder: str, customer: DataFrame) -> DataFrame:
+    """Orders with the columns of their customers, dealt to as many tasks as there are rows for.
+
+    Dealt behind the join: the join's own tasks follow the bytes of the orders, which are few beside what is made of them, and a
+    task with too many rows would sort them on disk.
+    """
+    orders = spark.read.parquet(f"{folder}/orders.parquet")
+    tasks = max(spark.sparkContext.defaultParallelism, -(-orders.count() // ROWS_A_TASK))
+    return orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).repartition(tasks)
+
+
 def _pick(key: Column, *values) -> Column:
     """One of the values by the remainder of the key."""
     choice = F.lit(values[-1])
@@ -280,8 +295,7 @@ def extractions(spark: SparkSession, folder: str) -> DataFrame:
     """Three raw model replies per order, one per stage, in five ways of answering."""
     k = F.col("o_orderkey")
     customer = read(spark, folder, "customer").select("c_custkey", "c_name", "c_mktsegment")
-    rows = read(spark, folder, "orders").join(customer, F.col("o_custkey") == F.col("c_custkey")).withColumn(
-        "stage_no", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    rows = _orders_of(spark, folder, customer).withColumn("stage_no", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
     net = F.col("o_totalprice").cast(money.MONEY)
     date = F.col("o_orderdate").cast("date")
     written = F.when(k % 4 == 0, F.date_format(date, "yyyy-MM-dd")).when(k % 4 == 1, F.date_format(date, "dd/MM/yyyy")).when(
