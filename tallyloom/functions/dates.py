@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, functions as F
 
 from tallyloom.fixed_values import FILE_NAME_DATE_FORMATS, MATCH_DATE_FORMATS, REPLY_DATE_FORMATS
+from tallyloom.functions.binding import bind
 
 DATE_IN_NAME = r"(\d{1,2}[-/]\d{1,2}[-/]\d{2,4}|\d{4}[-/]\d{1,2}[-/]\d{1,2})"
 
@@ -20,15 +21,14 @@ def _shape(pattern: str) -> str:
 
 def parse_date(text: Column, formats: list[str]) -> Column:
     """The first format that reads the text wins; null when none does."""
-    trimmed = F.trim(text)
-    return F.coalesce(*[
-        F.when(trimmed.rlike(_shape(f)), F.try_to_timestamp(trimmed, F.lit(f)).cast("date")) for f in formats])
+    return bind(F.trim(text), lambda trimmed: F.coalesce(*[
+        F.when(trimmed.rlike(_shape(f)), F.try_to_timestamp(trimmed, F.lit(f)).cast("date")) for f in formats]))
 
 
 def leading_date(text: Column) -> Column:
     """The date that a text begins with, without a time behind it; any other text as a whole."""
     token = F.regexp_extract(F.trim(text), r"^(\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4})(?=\D|$)", 1)
-    return F.coalesce(F.nullif(token, F.lit("")), F.trim(text))
+    return F.coalesce(bind(token, lambda t: F.nullif(t, F.lit(""))), F.trim(text))
 
 
 def parse_match_date(text: Column) -> Column:

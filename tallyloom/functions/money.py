@@ -124,12 +124,15 @@ def line_total(amount: Column, vat: Column, currency: Column) -> Column:
 def fill_from_total(amount: Column, vat: Column, total: Column) -> Column:
     """struct(amount, vat): a missing amount or VAT inferred from a positive total."""
     zero = F.lit(0).cast(MONEY)
-    a, v, t = F.coalesce(amount, zero), F.coalesce(vat, zero), F.coalesce(total, zero)
-    known = t > 0
-    return F.struct(
-        F.when(known & (a == 0), t - v).otherwise(a).cast(MONEY).alias("amount"),
-        F.when(known & (a > 0) & (v == 0), t - a).otherwise(v).cast(MONEY).alias("vat"),
-    )
+
+    def filled(given: Column) -> Column:
+        a, v, t = given["a"], given["v"], given["t"]
+        known = t > 0
+        return F.struct(
+            F.when(known & (a == 0), t - v).otherwise(a).cast(MONEY).alias("amount"),
+            F.when(known & (a > 0) & (v == 0), t - a).otherwise(v).cast(MONEY).alias("vat"),
+        )
+    return bind(F.struct(*[F.coalesce(c, zero).alias(n) for c, n in ((amount, "a"), (vat, "v"), (total, "t"))]), filled)
 
 
 def ingest_currency(text: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from tallyloom.fixed_values import EMPTY_WORDS
+from tallyloom.functions.binding import bind
 from tallyloom.functions.money import blank_to_null
 
 
@@ -21,13 +22,11 @@ def tokens(text: Column) -> Column:
 
 def token_jaccard(left: Column, right: Column) -> Column:
     """Shared words over all words, four decimals; two equal texts give 1, an empty side gives 0."""
-    a, b = F.array_distinct(tokens(left)), F.array_distinct(tokens(right))
-    ratio = F.try_divide(F.size(F.array_intersect(a, b)).cast("double"), F.size(F.array_union(a, b)))
-    return (
-        F.when(left == right, F.lit(1.0))
-        .when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0))
-        .otherwise(F.floor(ratio * 10000 + 0.5) / 10000)
-    )
+    def share(a: Column, b: Column) -> Column:
+        ratio = F.try_divide(F.size(F.array_intersect(a, b)).cast("double"), F.size(F.array_union(a, b)))
+        return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(F.floor(ratio * 10000 + 0.5) / 10000)
+    words = F.struct(F.array_distinct(tokens(left)).alias("a"), F.array_distinct(tokens(right)).alias("b"))
+    return F.when(left == right, F.lit(1.0)).otherwise(bind(words, lambda w: share(w["a"], w["b"])))
 
 
 def contains_either_way(left: Column, right: Column) -> Column:

@@ -76,22 +76,25 @@ def document_type(label: Column) -> Column:
 
 def numeric_score(expected: Column, extracted: Column) -> Column:
     """Score of a number on absolute values: within 0.1 %, 5 %, 10 %."""
-    e = F.abs(F.translate(expected, ",", ".").try_cast("double"))
-    x = F.abs(F.translate(extracted, ",", ".").try_cast("double"))
-    off = F.try_divide(F.abs(e - x), e)
-    return (
-        F.when(e.isNull() | x.isNull(), F.lit(0.0))
-        .when(e == 0, F.when(x == 0, F.lit(1.0)).otherwise(F.lit(0.0)))
-        .when(off <= 0.001, F.lit(1.0)).when(off <= 0.05, F.lit(0.8)).when(off <= 0.1, F.lit(0.5))
-        .otherwise(F.lit(0.0))
-    )
+    def read(text: Column) -> Column:
+        return F.abs(F.translate(text, ",", ".").try_cast("double"))
+
+    def score(e: Column, x: Column, off: Column) -> Column:
+        return (
+            F.when(e.isNull() | x.isNull(), F.lit(0.0))
+            .when(e == 0, F.when(x == 0, F.lit(1.0)).otherwise(F.lit(0.0)))
+            .when(off <= 0.001, F.lit(1.0)).when(off <= 0.05, F.lit(0.8)).when(off <= 0.1, F.lit(0.5))
+            .otherwise(F.lit(0.0))
+        )
+    return bind(F.struct(read(expected).alias("e"), read(extracted).alias("x")), lambda n: bind(
+        F.try_divide(F.abs(n["e"] - n["x"]), n["e"]), lambda off: score(n["e"], n["x"], off)))
 
 
 def date_text_score(expected: Column, extracted: Column) -> Column:
     """Score of a date written in any of the known formats."""
     e = dates.parse_date(dates.leading_date(expected), SCORE_DATE_FORMATS)
     x = dates.parse_date(dates.leading_date(extracted), SCORE_DATE_FORMATS)
-    return F.coalesce(dates.date_score(F.date_diff(e, x)), F.lit(0.0))
+    return F.coalesce(bind(F.date_diff(e, x), dates.date_score), F.lit(0.0))
 
 
 def field_score(name: Column, expected: Column, extracted: Column) -> Column:

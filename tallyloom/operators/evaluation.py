@@ -63,15 +63,15 @@ def field_scores(truth: DataFrame, predictions: DataFrame) -> DataFrame:
     """(model, file, field, expected, extracted, score) for the successful predictions.
 
     ``truth``: file, expected map<string,string>; ``payload`` of a prediction is a JSON object. Each prediction meets its file
-    once, and the expected fields are written out behind the join.
+    once; its payload is parsed, and the expected fields are written out, behind the join, so that only texts are moved and sorted.
     """
-    done = predictions.where(F.col("status") == "success").select(
-        "model", "file", F.from_json("payload", "map<string,string>").alias("fields"))
-    entries = F.transform(F.map_entries("fields"), lambda e: F.struct(
+    done = predictions.where(F.col("status") == "success").select("model", "file", "payload")
+    entries = F.transform(F.map_entries(F.from_json("payload", "map<string,string>")), lambda e: F.struct(
         replies.ground_truth_key(e["key"]).alias("field"), e["value"].alias("value")))
     wanted = (
-        done.select("model", "file", entries.alias("entries")).join(truth.select("file", F.col("expected").alias("all")), "file")
-        .select("model", "file", "entries", F.explode("all").alias("field", "expected")).where(F.col("expected").isNotNull())
+        done.join(truth.select("file", F.col("expected").alias("all")), "file")
+        .select("model", "file", entries.alias("entries"), F.map_filter("all", lambda _, v: v.isNotNull()).alias("all"))
+        .select("model", "file", "entries", F.explode("all").alias("field", "expected"))
     )
     # A later key of the reply replaces an earlier one that maps to the same field.
     last = F.try_element_at(F.filter("entries", lambda e: e["field"] == F.col("field")), F.lit(-1))["value"]
@@ -83,8 +83,11 @@ def field_scores(truth: DataFrame, predictions: DataFrame) -> DataFrame:
 
 
 def _mean(column: str) -> Column:
-    """Mean of scores; summed as decimals so that the result does not depend on the order of rows."""
-    return F.sum(F.col(column).cast("decimal(20,6)")).cast("double") / F.count(column)
+    """Mean of scores of at most 1; summed as decimals so that the result does not depend on the order of rows.
+
+    The sum has 18 digits, which Spark adds as whole numbers; it holds 10^12 rows.
+    """
+    return F.sum(F.col(column).cast("decimal(8,6)")).cast("double") / F.count(column)
 
 
 def field_accuracy(scores: DataFrame) -> DataFrame:

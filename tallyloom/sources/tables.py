@@ -47,12 +47,11 @@ def _pick(key: Column, *values) -> Column:
 def invoices(spark: SparkSession, folder: str) -> DataFrame:
     """One invoice per order."""
     k = F.col("o_orderkey")
-    orders = read(spark, folder, "orders")
     customer = read(spark, folder, "customer").select("c_custkey", "c_name", "c_mktsegment")
     net = F.col("o_totalprice").cast(money.MONEY)
     vat = F.when(k % 3 == 0, (net * F.lit("0.20").cast("decimal(3,2)")).cast(money.MONEY)).otherwise(
         F.lit(0).cast(money.MONEY))
-    inv = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select(
+    inv = _orders_of(spark, folder, customer).select(
         k.alias("id"),
         F.col("o_orderdate").cast("date").alias("date"),
         F.concat(F.lit("INV-"), F.lpad(k.cast("string"), 9, "0")).alias("invoice_number"),
