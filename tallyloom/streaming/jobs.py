@@ -77,8 +77,8 @@ def ingest_replies(replies: DataFrame, ledger_root: str, suppliers: DataFrame, c
             if root is not None:
                 changes.compact(spark, root, keys, batch_id, compact_every, peaks)
         with scratch():
-            # A micro-batch is read several times; it is written out, so that all reads see the same rows.
-            winners = durable(extraction.first_success(durable(batch)))
+            # The micro-batch is read once; what it holds is written out, so that all later reads see the same rows.
+            winners = durable(extraction.first_success(batch))
             seen = changes.read(spark, seen_root, ["doc_id"], batch_id, winners)
             if seen is not None:
                 winners = durable(winners.join(seen.select("doc_id"), "doc_id", "left_anti"))
@@ -139,6 +139,10 @@ def read_events(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_pieces(spark: SparkSession, rows: DataFrame, folder: str, pieces: int, *keys: str) -> DataFrame:
-    """``rows`` written as so many files and streamed one file a batch."""
-    rows.repartition(pieces, *keys).write.parquet(folder)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    """``rows`` written as so many pieces and streamed one piece a batch. Rows of one key are in one piece.
+
+    A piece is as many files as the session runs tasks, so that no batch is read by few of them.
+    """
+    files_a_piece = spark.sparkContext.defaultParallelism
+    rows.repartition(pieces * files_a_piece, *keys).write.parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files_a_piece).parquet(folder)
