@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyloom.functions import money, names
 from tallyloom.operators.containment import find_needles
+from tallyloom.operators.joins import meet
 from tallyloom.operators.numbering import kth_smallest, number_rows, running_sum
 from tallyloom.operators.suppliers import one_per_key
 
@@ -84,22 +85,31 @@ def near_amounts(invoices: DataFrame, targets: DataFrame, threshold: float = 0.0
     """Bulk form of ``near_amount``: pairs (target, id), found through buckets of the threshold's width.
 
     ``targets``: one column ``target``. With ``nearest``, each target keeps that many invoices, by distance, then id; without it, all
-    that the threshold admits (:func:`near_counts` tells how many those are). Distinct amounts meet the targets, so an amount that
-    most invoices share is one row until the pairs asked for are written out.
+    that the threshold admits (:func:`near_counts` tells how many those are). Those pairs come straight out of the join of amounts
+    and targets and are not moved again: of the amounts of an id near a target, only the smallest gives the pair.
     """
-    amounts = invoices.select("id", F.explode(F.array_distinct(F.array("amount", "total_base"))).alias("value")).where("value is not null")
     asked = targets.select("target").where("target is not null").distinct()
     if nearest is not None:
-        return _nearest(amounts, asked, threshold, nearest)
+        return _nearest(_amounts(invoices), asked, threshold, nearest)
 
     def bucket(value: Column) -> Column:
         return F.floor(value.cast("double") / threshold)
+
+    def close(value: str) -> Column:
+        return F.abs(F.col(value) - F.col("target")) < threshold
     # Two amounts closer than the threshold share a bucket or lie in neighbouring ones.
     around = asked.withColumn("bucket", F.explode(F.transform(
         F.array(*[F.lit(i) for i in (-1, 0, 1)]), lambda step: bucket(F.col("target")) + step)))
-    met = amounts.select("value").distinct().withColumn("bucket", bucket(F.col("value"))).join(around, "bucket").where(
-        F.abs(F.col("value") - F.col("target")) < threshold).select("target", "value")
-    return met.join(amounts, "value").select("target", "id").distinct()
+    # Amounts near a target follow each other in order, so the next smaller one tells whether there is a smaller one near it.
+    amounts = _amounts(invoices.select("id", "amount", "total_base").repartition("id")).withColumn(
+        "smaller", F.lag("value").over(Window.partitionBy("id").orderBy("value")))
+    met = meet(amounts.withColumn("bucket", bucket(F.col("value"))), around, "bucket")
+    return met.where(close("value") & ~F.coalesce(close("smaller"), F.lit(False))).select("target", "id")
+
+
+def _amounts(invoices: DataFrame) -> DataFrame:
+    """(id, value): the net and the base total of each invoice; one row if they are equal."""
+    return invoices.select("id", F.explode(F.array_distinct(F.array("amount", "total_base"))).alias("value")).where("value is not null")
 
 
 def _nearest(amounts: DataFrame, asked: DataFrame, threshold: float, n: int) -> DataFrame:
