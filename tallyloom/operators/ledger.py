@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tallyloom.functions import money, names
 from tallyloom.operators.containment import find_needles
 from tallyloom.operators.joins import meet
-from tallyloom.operators.numbering import kth_smallest, number_rows, running_sum
+from tallyloom.operators.numbering import kth_smallest, number_rows
 from tallyloom.operators.suppliers import one_per_key
 
 FIELDS = ["date", "invoice_number", "transactor", "amount", "vat", "total_base", "currency", "supplier_id", "notes",
@@ -112,33 +112,46 @@ def _amounts(invoices: DataFrame) -> DataFrame:
     return invoices.select("id", F.explode(F.array_distinct(F.array("amount", "total_base"))).alias("value")).where("value is not null")
 
 
+#: Width of a block of amounts, in thresholds.
+BLOCK = 32
+
+
 def _nearest(amounts: DataFrame, asked: DataFrame, threshold: float, n: int) -> DataFrame:
-    """The nearest n invoices of each target, from the places of targets among the sorted distinct amounts.
+    """The nearest n invoices of each target, from the distinct amounts before and behind it in a block of amounts.
 
     An invoice has at most two amounts, so 2n distinct amounts on either side hold n invoices that are as near as any beyond;
-    of one amount, the n smallest ids suffice. So a target meets a fixed number of rows, however many share its amount.
+    of one amount, the n smallest ids suffice. So a target meets a fixed number of amounts, however many invoices share one.
+    An amount within the threshold of its block's end stands in the next block as well.
     """
-    values = amounts.select(F.col("value").alias("at")).distinct()
-    points = values.select("at", F.lit(0).alias("kind"), F.lit(1).alias("one")).union(asked.select("target", F.lit(1), F.lit(0)))
-    placed = running_sum(points, "at", "kind", value="one", name="place")
-    around = placed.where("kind = 1").select(F.col("at").alias("target"), F.explode(
-        F.sequence(F.col("place") - 2 * n + 1, F.col("place") + 2 * n)).alias("place"))
-    first = F.row_number().over(Window.partitionBy("value").orderBy("id"))
-    held = amounts.withColumn("first", first).where(F.col("first") <= n).select("id", "value")
-    away = F.abs(F.col("value") - F.col("target"))
-    found = around.join(placed.where("kind = 0").select("place", F.col("at").alias("value")), "place").where(
-        away < threshold).join(held, "value")
-    closest = found.groupBy("target", "id").agg(F.min(away).alias("away"))
-    rank = F.row_number().over(Window.partitionBy("target").orderBy("away", "id"))
-    return closest.withColumn("rank", rank).where(F.col("rank") <= n).select("target", "id")
+    place = F.dense_rank().over(Window.partitionBy("value").orderBy("id"))
+    held = amounts.withColumn("place", place).where(F.col("place") <= n).groupBy("value").agg(
+        F.collect_set(F.struct("id")).alias("ids"))
+
+    def block(value: str) -> Column:
+        return F.col(value).cast("double") / (BLOCK * threshold)
+    # Half a threshold more on either side, as the quotients are rounded.
+    blocks = F.sequence(F.floor(block("value") - 1.5 / BLOCK), F.floor(block("value") + 1.5 / BLOCK))
+    points = held.select(F.explode(blocks).alias("block"), F.col("value").alias("at"), F.lit(0).alias("kind"), F.struct("value", "ids").alias("held")).union(
+        asked.select(F.floor(block("target")), "target", F.lit(1), F.lit(None)))
+    beside = [F.expr(f"{side}(held, {i}) IGNORE NULLS OVER (PARTITION BY block ORDER BY at, kind)")
+              for side in ("lag", "lead") for i in range(1, 2 * n + 1)]
+    met = points.withColumn("held", F.array(*beside)).where("kind = 1").withColumnRenamed("at", "target")
+
+    def away(value: Column) -> Column:
+        return F.abs(value - F.col("target"))
+    close = F.filter("held", lambda h: h.isNotNull() & (away(h["value"]) < threshold))
+    near = F.array_sort(F.flatten(F.transform(close, lambda h: F.transform(
+        h["ids"], lambda i: F.struct(away(h["value"]).alias("away"), i["id"].alias("id"))))))
+    return met.select("target", F.explode(F.slice(F.array_distinct(F.transform(near, lambda x: x["id"])), 1, n)).alias("id"))
 
 
 def near_counts(invoices: DataFrame, targets: DataFrame, threshold: float = 0.01) -> DataFrame:
     """(target, n): how many invoices ``near_amount`` finds for each distinct target, without forming a pair.
 
     An invoice is near all targets inside an open interval around each of its amounts; two intervals that meet are one. The
-    number of intervals open at a target is the running sum of their starts and ends in order. Starts and ends at one
-    amount are summed first, so a frequent amount is two rows. Amounts and threshold are compared in millionths.
+    number of intervals open at a target is the running sum of their starts and ends in order, in each block of amounts from the
+    intervals that are open where it begins. Equal intervals are counted first, so a frequent amount is one row. Amounts and
+    threshold are compared in millionths.
     """
     exact = "decimal(28,6)"
     step = F.lit(Decimal(str(threshold))).cast(exact)
@@ -148,16 +161,21 @@ def near_counts(invoices: DataFrame, targets: DataFrame, threshold: float = 0.01
     def span(first: Column, last: Column) -> Column:
         return F.struct((first - step).cast(exact).alias("start"), (last + step).cast(exact).alias("stop"))
     spans = invoices.select(F.explode(F.when(high - low >= 2 * step, F.array(span(low, low), span(high, high))).otherwise(
-        F.array(span(low, high)))).alias("s")).where("s.start is not null")
-    # At one amount: ends first, then targets, then starts, as the intervals are open.
-    edges = spans.select(F.explode(F.array(
-        F.struct(F.col("s.stop").alias("at"), F.lit(0).alias("kind"), F.lit(-1).cast("long").alias("change")),
-        F.struct(F.col("s.start").alias("at"), F.lit(2).alias("kind"), F.lit(1).cast("long").alias("change")))).alias("e"))
+        F.array(span(low, high)))).alias("s")).where("s.start is not null").groupBy("s.start", "s.stop").agg(F.count("*").alias("n"))
+
+    def block(value: Column) -> Column:
+        return F.floor(value.cast(exact).cast("double") / (BLOCK * threshold))
+    crossed = spans.withColumn("block", F.explode(F.sequence(block(F.col("start")), block(F.col("stop")))))
+    # At one amount: ends first, then targets, then starts, as the intervals are open. A start before the block comes ahead of all.
+    edges = crossed.select("block", F.explode(F.array(
+        F.struct(F.when(block(F.col("start")) == F.col("block"), F.col("start")).alias("at"), F.lit(2).alias("kind"), F.col("n").alias("change")),
+        F.when(block(F.col("stop")) == F.col("block"), F.struct(
+            F.col("stop").alias("at"), F.lit(0).alias("kind"), (-F.col("n")).alias("change"))))).alias("e")).where("e is not null")
     asked = targets.select("target").where("target is not null").distinct()
-    events = edges.groupBy("e.at", "e.kind").agg(F.sum("e.change").alias("change")).select("at", "kind", "change").union(
-        asked.select(F.col("target").cast(exact), F.lit(1), F.lit(0).cast("long")).distinct())
-    opened = running_sum(events, "at", "kind", value="change", name="n").where("kind = 1")
-    return asked.join(opened.select("at", "n"), F.col("target").cast(exact) == F.col("at")).select("target", "n")
+    events = edges.select("block", "e.at", "e.kind", "e.change", F.lit(None).alias("target")).union(
+        asked.select(block(F.col("target")), F.col("target").cast(exact), F.lit(1), F.lit(0).cast("long"), "target"))
+    opened = F.sum("change").over(Window.partitionBy("block").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return events.withColumn("n", opened).where("kind = 1").select("target", "n")
 
 
 def years(invoices: DataFrame) -> DataFrame:

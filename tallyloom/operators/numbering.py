@@ -1,4 +1,4 @@
-"""Numbers, running sums and ranks over a whole table without a single-task window."""
+"""Numbers and ranks over a whole table without a single-task window."""
 
 from __future__ import annotations
 
@@ -25,20 +25,6 @@ def number_rows(df: DataFrame, *order: str, name: str = "row_number", start: Col
     )
 
 
-def running_sum(df: DataFrame, *order: str, value: str, name: str = "running") -> DataFrame:
-    """Adds the sum of ``value`` over all rows up to and including each, in the given order (which must be unique).
-
-    Sums of range partitions are added up first; rows add up inside their own partition.
-    """
-    placed = durable(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = placed.groupBy("_part").agg(F.sum(value).alias("_n")).select(
-        "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = F.sum(value).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return placed.withColumn("_inside", inside).join(offsets, "_part").withColumn(
-        name, F.col("_before") + F.col("_inside")).drop("_part", "_inside", "_before")
-
-
 def kth_smallest(rows: DataFrame, column: str, k: int, bins: int = 1024) -> int | None:
     """The k-th smallest (from 1) value of a whole-number column; none if there are fewer values.
 

@@ -15,7 +15,7 @@ from tallyloom.functions import dates, money, names, replies
 from tallyloom.operators import currency, evaluation, extraction, ledger, reconcile, statements
 from tallyloom.operators import suppliers as supplier_ops
 from tallyloom.plans import reports
-from tallyloom.session import shared_folder
+from tallyloom.session import durable, shared_folder
 from tallyloom.sources import files, ledger_table, quoted, sinks, tables
 from tallyloom.streaming import jobs
 
@@ -169,8 +169,8 @@ def amount_proximity(spark: SparkSession, d: str) -> DataFrame:
 @query
 def amount_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """For each bank amount how many invoices lie within five units, and which three are nearest."""
-    inv = tables.invoices(spark, d)
-    targets = tables.bank(spark, d).select(F.coalesce("debit", "credit").alias("target"))
+    inv = durable(tables.invoices(spark, d).select("id", "amount", "total_base"))
+    targets = durable(tables.bank(spark, d).select(F.coalesce("debit", "credit").alias("target")).distinct())
     counts = ledger.near_counts(inv, targets, 5.0).select("target", F.lit("count").alias("what"), "n")
     nearest = ledger.near_amounts(inv, targets, 5.0, nearest=3).select("target", F.lit("id").alias("what"), F.col("id").alias("n"))
     return plain(counts.unionByName(nearest))
