@@ -12,6 +12,7 @@ from tallyloom.operators.containment import find_needles
 from tallyloom.operators.joins import meet
 from tallyloom.operators.numbering import kth_smallest, number_rows
 from tallyloom.operators.suppliers import one_per_key
+from tallyloom.session import durable
 
 FIELDS = ["date", "invoice_number", "transactor", "amount", "vat", "total_base", "currency", "supplier_id", "notes",
           "is_income", "transaction_type", "file_path", "description", "raw_extraction", "document_type"]
@@ -330,8 +331,8 @@ def detail(invoices: DataFrame, suppliers: DataFrame) -> DataFrame:
 
 def number_in_file_name(invoices: DataFrame, files: DataFrame) -> DataFrame:
     """(file, id): for every file the first invoice whose number occurs in the file name."""
-    numbers = invoices.where(F.trim("invoice_number") != "").groupBy(
-        F.lower("invoice_number").alias("needle")).agg(F.min("id").alias("id"))
+    numbers = durable(invoices.where(F.trim("invoice_number") != "").groupBy(
+        F.lower("invoice_number").alias("needle")).agg(F.min("id").alias("id")))
     hits = find_needles(files.select(F.lower("file").alias("text")), numbers.select(F.lit("n").alias("kind"), "needle"))
     best = hits.join(numbers, "needle").groupBy("text").agg(F.min("id").alias("id"))
     return files.select("file", F.lower("file").alias("text")).join(best, "text").select("file", "id")

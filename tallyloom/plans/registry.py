@@ -476,7 +476,7 @@ def page_slice(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def file_to_invoice(spark: SparkSession, d: str) -> DataFrame:
-    inv = tables.invoices(spark, d)
+    inv = durable(tables.invoices(spark, d).select("id", "invoice_number", "file_path"))
     return ledger.number_in_file_name(inv, inv.select(F.col("file_path").alias("file")))
 
 
