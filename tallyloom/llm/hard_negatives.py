@@ -14,6 +14,8 @@ from tallyloom.llm import common
 EXACT, TERMS = 2**24, 4096
 #: Bytes of the vectors in a block, and scores that a task holds at once.
 BLOCK_BYTES, TILE_SCORES = 1 << 21, 1 << 21
+#: Blocks of rows in a staged file, which one task reads whole.
+BLOCKS_A_FILE = 4
 NO_SCORE = {np.dtype(t): np.iinfo(t).min for t in (np.int32, np.int64)}
 BLOCK = "rids array<long>, ids array<long>, labels array<long>, vectors binary, width int, norm double"
 FOUND = "anchor_rid long, anchor_id long, place int, other_rid long, other_id long, score long"
@@ -192,16 +194,14 @@ def _tile(block: dict, anchors: dict, tile: slice, score: np.ndarray, count: int
                     pa.array(value.astype(np.int64))], names=[f.split()[0] for f in FOUND.split(", ")])
 
 
-def _pairs(blocks: DataFrame, anchors: DataFrame, parts: int) -> DataFrame:
-    """Each block of rows beside each block of anchors (``part`` 0 to ``parts`` - 1): an equi-join on the part and a salt."""
-    salts = max(1, -(-common.partitions(blocks.sparkSession) // parts))
-    left = blocks.select(
-        *[F.col(c).alias(f"b_{c}") for c in blocks.columns], F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("__part"),
-        F.pmod(F.xxhash64(F.col("rids")[0]), F.lit(salts)).alias("__salt"))
-    right = anchors.select(
-        *[F.col(c).alias(f"a_{c}") for c in anchors.columns if c != "part"], F.col("part").alias("__part"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("__salt"))
-    return left.join(right, ["__part", "__salt"]).drop("__part", "__salt")
+def _pairs(blocks: DataFrame, anchors: DataFrame) -> DataFrame:
+    """Each block of rows beside each block of anchors, read from the staged files by the task that scores them.
+
+    A cartesian product of the files: nothing is shuffled, and no side is sent through the driver, however small its files look.
+    """
+    left = blocks.select([F.col(c).alias(f"b_{c}") for c in blocks.columns])
+    right = anchors.select([F.col(c).alias(f"a_{c}") for c in anchors.columns if c != "part"])
+    return left.crossJoin(right.hint("shuffle_replicate_nl"))
 
 
 def _first(found: DataFrame, count: int, *by: str) -> DataFrame:
@@ -224,8 +224,8 @@ def mine(table: DataFrame, anchor: Column, *, key: str = "vec_id", vector: str =
     labels are returned whose score lies between ``low`` and ``high`` percent of the positive's. Equal scores go to the
     smaller key, null keys last.
 
-    All rows are searched, in blocks: rows and anchors are packed into blocks of two megabytes, staged, and every block of
-    rows meets every block of anchors once for positives and once for negatives. A task holds one pair of blocks.
+    All rows are searched, in blocks: rows and anchors are packed into blocks of two megabytes, staged in files of a few, and every
+    block of rows meets every block of anchors once for positives and once for negatives. A task scores one pair of blocks at a time.
 
     Rows with a null label, a null vector, or a null or non-finite component take no part. An anchor without positives,
     and a positive without negatives, give no rows. Vectors of different lengths end with zeros; empty vectors score
@@ -239,7 +239,7 @@ def mine(table: DataFrame, anchor: Column, *, key: str = "vec_id", vector: str =
         F.col(f"`{label}`").cast("long").alias("label"), value.cast("array<double>").alias("vector"),
         F.coalesce(anchor, F.lit(False)).alias("anchor"))
     rows = common.staged(rows, "vectors")
-    blocks = common.staged(rows.drop("anchor").mapInArrow(_packed(scale), BLOCK), "blocks")
+    blocks = common.staged(rows.drop("anchor").mapInArrow(_packed(scale), BLOCK), "blocks", BLOCKS_A_FILE)
     result = "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long"
     limits = blocks.agg(F.max("width").alias("width"), F.max("norm").alias("norm")).first()
     chosen = rows.where("anchor").drop("anchor")
@@ -266,9 +266,9 @@ def mine(table: DataFrame, anchor: Column, *, key: str = "vec_id", vector: str =
         return pa.Table.from_batches([_as_batch(block, **more)])
 
     def search(anchors: DataFrame, many: int, positive: bool) -> DataFrame:
-        return _pairs(blocks, anchors, parts).mapInArrow(_searched(limits.width, primes, many, positive), FOUND)
+        return _pairs(blocks, anchors).mapInArrow(_searched(limits.width, primes, many, positive), FOUND)
 
-    asked = common.staged(chosen.groupBy("part").applyInArrow(together, f"{BLOCK}, part int"), "anchors")
+    asked = common.staged(chosen.groupBy("part").applyInArrow(together, f"{BLOCK}, part int"), "anchors", 1)
     near = common.staged(_first(search(asked, positives, True), positives, "anchor_rid"), "positives")
     score = F.col("score")
     # Whole-number bounds: low * p <= 100 * n <= high * p. Missing positives get a range that holds nothing.
@@ -282,12 +282,12 @@ def mine(table: DataFrame, anchor: Column, *, key: str = "vec_id", vector: str =
         F.col("anchor_rid").alias("rid"),
         F.transform(F.sequence(F.lit(1), F.lit(positives)), lambda i: F.coalesce(F.get(F.col("b.lo"), i - 1), top)).alias("lows"),
         F.transform(F.sequence(F.lit(1), F.lit(positives)), lambda i: F.coalesce(F.get(F.col("b.hi"), i - 1), bottom)).alias("highs"))
-    banded = chosen.join(listed, "rid").select("rid", "id", "label", "vector", "part", "lows", "highs")
+    banded = chosen.join(listed.hint("merge"), "rid").select("rid", "id", "label", "vector", "part", "lows", "highs")
     asked = common.staged(
-        banded.groupBy("part").applyInArrow(together, f"{BLOCK}, part int, lows array<long>, highs array<long>"), "anchors")
+        banded.groupBy("part").applyInArrow(together, f"{BLOCK}, part int, lows array<long>, highs array<long>"), "anchors", 1)
     far = _first(search(asked, negatives, False), negatives, "anchor_rid", "place")
     known = near.select("anchor_rid", (F.col("rank") - 1).alias("place"), F.col("other_id").alias("positive_id"),
                         score.alias("positive_score"))
-    return far.join(known, ["anchor_rid", "place"]).select(
+    return far.join(known.hint("merge"), ["anchor_rid", "place"]).select(
         "anchor_id", "positive_id", F.col("rank").cast("int").alias("rank"), F.col("other_id").alias("negative_id"),
         "positive_score", F.col("score").alias("negative_score"))

@@ -71,3 +71,26 @@ def test_empty_tables(spark):
     assert hard_negatives.mine(table, F.col("vec_id") % 50 == 0).count() == 0
     assert hard_negatives.mine(table.limit(0), F.col("vec_id") % 50 == 0).count() == 0
     assert hard_negatives.mine(table, F.lit(True)).count() == 0
+
+
+def test_no_block_is_sent_through_the_driver(spark, monkeypatch):
+    """Anchors copied for each partition filled the driver, and a task took all blocks that one file held."""
+    monkeypatch.setattr(hard_negatives, "BLOCK_BYTES", 600)
+    rows = _rows(random.Random(8), 300)
+    plans, write, pairs, files = [], hard_negatives.common.staged, hard_negatives._pairs, []
+
+    def watched(df, *more):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, *more)
+
+    def met(blocks, anchors):
+        files.append((blocks.count(), len(blocks.inputFiles())))
+        return pairs(blocks, anchors)
+
+    monkeypatch.setattr(hard_negatives.common, "staged", watched)
+    monkeypatch.setattr(hard_negatives, "_pairs", met)
+    found = hard_negatives.mine(spark.createDataFrame(rows, SCHEMA).coalesce(1), F.col("vec_id") % 50 == 0)
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert not any("Broadcast" in plan for plan in plans)
+    assert all(n > 8 and many >= n / 4 for n, many in files) and len(files) == 2
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(_mine(rows), key=repr)
