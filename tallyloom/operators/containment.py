@@ -59,6 +59,26 @@ def pieces(whole: DataFrame, shapes: list[str]) -> DataFrame:
     return whole.withColumn("shape", _shape(F.col("text"))).select("text", F.explode(every).alias("piece"))
 
 
+def two_numbers(value: Column, prefix: str) -> list[Column]:
+    """A text as two numbers, which are moved, sorted and compared faster."""
+    return [F.xxhash64(value).alias(f"{prefix}1"), F.xxhash64(F.lit(1), value).alias(f"{prefix}2")]
+
+
+def held_pieces(texts: DataFrame, needles: DataFrame) -> DataFrame:
+    """(t1, t2, p1, p2): each distinct text and pieces of it, as two numbers each; every needle that a text holds is among its pieces.
+
+    ``texts``: one column ``text``; ``needles``: one column ``needle``. So a join with needles by their two numbers finds what texts hold,
+    and no text is moved for it. Needles of other than the most frequent patterns are found by :func:`find_needles`.
+    """
+    whole = texts.select("text").where(F.length("text") > 0).distinct()
+    shapes = frequent_shapes(needles.where(F.length("needle") > 0))
+    held = pieces(whole, shapes).select(*two_numbers(F.col("text"), "t"), *two_numbers(F.col("piece"), "p"))
+    if len(shapes) < SHAPES:
+        return held
+    rest = needles.where(~_shape(F.col("needle")).isin(shapes)).select(F.lit("").alias("kind"), "needle")
+    return held.unionByName(find_needles(whole, rest).select(*two_numbers(F.col("text"), "t"), *two_numbers(F.col("needle"), "p")))
+
+
 def find_needles(texts: DataFrame, needles: DataFrame, size: int = ANCHOR) -> DataFrame:
     """Pairs (text, kind, needle) where the needle occurs anywhere in the text.
 

@@ -5,6 +5,10 @@ partition with the points of a block first, and read once. A point goes to every
 it, so a question is answered in one block. Inside a block nothing is paired: a question looks up, on each of the days
 it reaches, the nearest amount on either side by binary search, and, at any date, the latest day in its best amount
 ranges and the nearest amounts beyond them.
+
+Groups have modes. A small group is one block, in which its questions are answered at any date. Large groups are dealt by day, those in
+which only an amount within the tolerance can win by amount too; there a question is asked at any date only if its
+answer from the days around it is not better than any answer without date points: few are, where invoices lie dense.
 """
 
 from __future__ import annotations
@@ -14,18 +18,26 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F
+
+from tallyloom.operators.joins import meet
+from tallyloom.session import durable
 
 NO_DAY = -9_999_999
-#: Days of a block; amount blocks for each factor e; the day block of what is asked for at any date.
-DAY_BLOCK, PER_E, ANY_DATE = 64, 2.0, -(2**31)
+#: Days of a block; amount blocks for each factor e; the day blocks of what is asked for at any date, and of small groups.
+DAY_BLOCK, PER_E, ANY_DATE, SMALL_GROUP = 256, 2.0, -(2**31), 2**31 - 1
+#: Modes of a group: one block; dealt by day; dealt by day and amount.
+SMALL, DATED, BANDED = 0, 1, 2
 #: Rows that are answered together; blocks are never parted.
 CHUNK = 1 << 18
 GROUP = ["is_income", "g1", "g2"]
-BOUNDS = ["exact_lo", "exact_hi", "close_lo", "close_hi", "approx_lo", "approx_hi"]
 ASKED = [*GROUP, "is_debit", "t", "day", "name_points", "number_points"]
-BEST = "is_income boolean, g1 long, g2 long, is_debit boolean, t long, day int, name_points double, number_points double, " \
-    "best struct<score:double,inv_day:int,nearness:long,neg_id:long>"
+QUESTION = ["rid", *ASKED, "mode"]
+ANSWER = "rid long, score double, inv_day int, nearness long, neg_id long, open boolean, is_income boolean, g1 long, g2 long, " \
+    "is_debit boolean, t long, day int, name_points double, number_points double, mode int"
+#: Points of the best amount tier.
+MOST_FOR_AMOUNT = 0.55
 
 
 @dataclass(frozen=True)
@@ -38,6 +50,20 @@ class Rule:
     def span(self) -> int:
         return max(14, self.days)
 
+    def bounds(self, t: np.ndarray, debit: np.ndarray) -> dict[str, np.ndarray]:
+        """As the column rule: the inclusive range of the invoice amount for each tier."""
+        def down(value: np.ndarray, num: int, den: int) -> np.ndarray:
+            return value // den * num + value % den * num // den
+
+        def up(num: int, den: int) -> np.ndarray:
+            return -down(-t, num, den)
+        wide = round(self.amount * 10_000)
+        credit_low = up(100, 102)
+        return {"exact_lo": np.where(debit, up(1000, 1005), credit_low), "exact_hi": down(t, 1000, 995),
+                "close_lo": np.where(debit, up(100, 105), credit_low), "close_hi": down(t, 100, 95),
+                "approx_lo": np.where(debit, np.maximum(up(100, 110), up(10_000, 10_000 + wide)), credit_low),
+                "approx_hi": down(t, 10_000, 10_000 - wide)}
+
     def date_points(self, distance: np.ndarray) -> np.ndarray:
         """As the column rule: by the distance in days."""
         return np.select([distance == 0, distance <= 3, distance <= 7, distance <= 14, distance <= self.days],
@@ -120,8 +146,20 @@ def _near(points: dict[str, np.ndarray], wins: Winners, span: int) -> None:
         _around(slots, points, wins, who, at[who])
 
 
+def _firsts(points: dict[str, np.ndarray], latest: bool) -> dict[str, np.ndarray]:
+    """Of each amount and day, or of each amount at its latest day, the point with the smallest id."""
+    last = (points["p"], -points["day"], points["x"], points["block"]) if latest else (points["p"], points["x"], points["day"], points["block"])
+    order = np.lexsort(last)
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for key in ("block", "x") if latest else ("block", "day", "x"):
+        new[1:] |= points[key][order][1:] != points[key][order][:-1]
+    return {k: v[order[new]] for k, v in points.items()}
+
+
 def _far(points: dict[str, np.ndarray], wins: Winners) -> None:
     """Any date: the latest day in the exact and in the close range, and the nearest amounts beyond the close one."""
+    points = _firsts(points, True)
     by_amount = Slots(points["block"], points["x"])
     amounts, days, ids = (points[k][by_amount.order] for k in ("x", "day", "p"))
     at, there = by_amount.find(wins.q["block"])
@@ -149,31 +187,36 @@ def _far(points: dict[str, np.ndarray], wins: Winners) -> None:
         wins.offer(who[fits], amounts[i[fits]], days[i[fits]], ids[i[fits]])
 
 
-def _answered(rows: pa.Table, rule: Rule) -> pa.RecordBatch | None:
-    """The best answers to the questions among the rows, which hold whole blocks."""
+def _answered(rows: pa.Table, rule: Rule) -> list[pa.RecordBatch]:
+    """The best answers to the questions among the rows, which hold whole blocks, and the questions that stay open."""
     data = {c: rows.column(c).to_numpy() for c in rows.column_names}
     block = np.cumsum(data.pop("new")) - 1
-    asks, far = data["asks"], data["db"] == ANY_DATE
-    parts = []
-    for kind in (False, True):
-        mine = far == kind
+    asks, kinds = data["asks"], np.select([data["db"] == ANY_DATE, data["db"] == SMALL_GROUP], [2, 1], 0)
+    out = []
+    for kind in range(3):
+        mine = kinds == kind
         at = np.flatnonzero(mine & asks)
         if not len(at):
             continue
-        points = {k: data[k][mine & ~asks] for k in ("x", "p")} | {
-            "block": block[mine & ~asks], "day": data["day"][mine & ~asks].astype(np.int64)}
-        q = {k: data[k][at] for k in ("x", "name_points", "number_points", *BOUNDS)} | {
-            "block": block[at], "day": data["day"][at].astype(np.int64)}
+        points = _firsts({k: data[k][mine & ~asks] for k in ("x", "p")} | {
+            "block": block[mine & ~asks], "day": data["day"][mine & ~asks].astype(np.int64)}, False)
+        q = {k: data[k][at] for k in ("x", "name_points", "number_points")} | {
+            "block": block[at], "day": data["day"][at].astype(np.int64)} | rule.bounds(data["x"][at], data["is_debit"][at])
         wins = Winners(rule, q)
-        _far(points, wins) if kind else _near(points, wins, rule.span)
-        found = wins.score >= 0
-        keep = at[found]
-        best = pa.StructArray.from_arrays(
-            [pa.array(wins.score[found]), pa.array(wins.day[found].astype(np.int32)), pa.array(wins.nearness[found]),
-             pa.array(wins.neg_id[found])], ["score", "inv_day", "nearness", "neg_id"])
-        parts.append(pa.RecordBatch.from_arrays(
-            [*[pa.array(data["x" if c == "t" else c][keep]) for c in ASKED], best], [*ASKED, "best"]))
-    return pa.Table.from_batches(parts).combine_chunks().to_batches() if parts else None
+        if kind < 2:
+            _near(points, wins, rule.span)
+        if kind:
+            _far(points, wins)
+        # What is found at any date has no more than the points for amount, name and number.
+        is_open = (wins.score <= MOST_FOR_AMOUNT + q["name_points"] + q["number_points"]) & (kind == 0)
+        keep = (wins.score >= 0) | is_open
+        some = at[keep]
+        out.append(pa.RecordBatch.from_arrays(
+            [pa.array(v) for v in (data["p"][some], wins.score[keep], wins.day[keep].astype(np.int32), wins.nearness[keep], wins.neg_id[keep],
+                                   is_open[keep], *(np.where(is_open[keep], v, v.dtype.type(0)) for v in (
+                                       data["x" if c == "t" else c][some] for c in [*ASKED, "mode"])))],
+            [f.split()[0] for f in ANSWER.split(", ")]))
+    return out
 
 
 def _pass(rule: Rule, chunk: int):
@@ -199,16 +242,30 @@ def _pass(rule: Rule, chunk: int):
             if not batch.num_rows:
                 continue
             batch, new = marked(batch)
+            # More questions to one block than are held at once: they are answered part by part, and its points stay.
+            if count >= 2 * chunk and not new.any() and held[-1].column("asks")[-1].as_py():
+                table = pa.Table.from_batches(held)
+                yield from _answered(table, rule)
+                first = table.num_rows - int(np.argmax(table.column("new").to_numpy()[::-1])) - 1
+                points = table.slice(first).filter(pc.invert(table.slice(first).column("asks"))).combine_chunks()
+                if points.num_rows:
+                    begins = np.zeros(points.num_rows, bool)
+                    begins[0] = True
+                    held = points.set_column(points.column_names.index("new"), "new", pa.array(begins)).to_batches()
+                else:
+                    held = []
+                    batch = batch.set_column(batch.schema.get_field_index("new"), "new", pa.array(np.arange(batch.num_rows) == 0))
+                count = points.num_rows
             starts = np.flatnonzero(new)
             if count + batch.num_rows >= chunk and len(starts) and (held or starts[-1] > 0):
                 cut = int(starts[-1])
-                yield from _answered(pa.Table.from_batches([*held, batch.slice(0, cut)]), rule) or ()
+                yield from _answered(pa.Table.from_batches([*held, batch.slice(0, cut)]), rule)
                 held, count = [batch.slice(cut)], batch.num_rows - cut
             else:
                 held.append(batch)
                 count += batch.num_rows
         if held:
-            yield from _answered(pa.Table.from_batches(held), rule) or ()
+            yield from _answered(pa.Table.from_batches(held), rule)
     return run
 
 
@@ -216,46 +273,70 @@ def _amount_block(value: Column) -> Column:
     return F.floor(F.log(value.cast("double")) * F.lit(PER_E)).cast("int")
 
 
-def best_answers(points: DataFrame, questions: DataFrame, rule: Rule, every: Column,
-                 bounded: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """The best accepted point for each question: ``ASKED`` and ``best``, a row for each way (near, any date) that has one.
-
-    ``points``: ``GROUP``, ``day``, ``c``, ``p`` (the smallest id), each (group, day, c) once. ``questions``: ``ASKED``,
-    each once. ``bounded`` adds ``BOUNDS`` to rows with ``t`` and ``is_debit``; that is done behind the exchange, which does not
-    carry them. ``every`` tells the groups in which only an amount within the tolerance can win; they are dealt by
-    amount block too. Other groups are small or spread over day blocks; a task holds the points of one block.
-    """
+def _searched(points: DataFrame, asked: DataFrame, rule: Rule, far: bool) -> DataFrame:
+    """``ANSWER`` of the questions ``asked``: around their days, or, with ``far``, at any date."""
     span = rule.span
     low = F.col("c").cast("double") * (1 - rule.amount) * 0.999 - 1
     wanted = F.sequence(_amount_block(F.greatest(low, F.lit(1.0))), _amount_block(F.col("c").cast("double") * 1.11 + 1))
     block_of = lambda day: F.floor(day / DAY_BLOCK).cast("int")
-    none_of = F.array().cast("array<int>")
-    near_ab = F.when(F.col("day") == NO_DAY, none_of).when(every, F.col("wanted")).otherwise(F.array(F.lit(0)))
-    near_db = F.sequence(block_of(F.col("day") - span), block_of(F.col("day") + span))
-    # At any date only the latest day of an amount counts.
-    latest = F.row_number().over(Window.partitionBy(*GROUP, "c").orderBy(F.desc("day"))) == 1
-    far_ab = F.when(F.col("latest"), F.col("wanted")).otherwise(none_of)
-
-    def block(ab: Column, db: Column) -> Column:
-        return F.struct(ab.alias("ab"), db.alias("db"))
-
-    blocks = F.concat(
-        F.flatten(F.transform("near_ab", lambda ab: F.transform("near_db", lambda db: block(ab, db)))),
-        F.transform("far_ab", lambda ab: block(ab, F.lit(ANY_DATE))))
-    point_rows = (
-        points.withColumn("latest", latest).withColumn("wanted", wanted)
-        .withColumns({"near_ab": near_ab, "near_db": near_db, "far_ab": far_ab})
-        .select(*GROUP, "day", F.col("c").alias("x"), "p", F.explode(blocks).alias("b"))
-        .select(*GROUP, "b.ab", "b.db", "day", "x", "p")
-    )
-    asked = questions.withColumnRenamed("t", "x")
-    near = asked.where(F.col("day") != NO_DAY).withColumns({
-        "ab": F.when(every, _amount_block(F.col("x"))).otherwise(F.lit(0)), "db": block_of(F.col("day"))})
-    far = asked.withColumns({"ab": _amount_block(F.col("x")), "db": F.lit(ANY_DATE)})
-    none = F.lit(0).cast("long")
-    index = point_rows.withColumns({
-        "asks": F.lit(False), "is_debit": F.lit(False), "name_points": F.lit(0.0), "number_points": F.lit(0.0)})
-    rows = index.unionByName(near.unionByName(far).withColumns({"asks": F.lit(True), "p": none}))
+    one = lambda block: F.array(F.lit(block))
+    small, banded = F.col("mode") == SMALL, F.col("mode") == BANDED
+    if far:
+        place, point_ab, point_db = (_amount_block(F.col("t")), F.lit(ANY_DATE)), wanted, one(ANY_DATE)
+    else:
+        place = (F.when(banded, _amount_block(F.col("t"))).otherwise(0), F.when(small, F.lit(SMALL_GROUP)).otherwise(block_of(F.col("day"))))
+        point_ab = F.when(banded, wanted).otherwise(one(0))
+        point_db = F.when(small, one(SMALL_GROUP)).when(F.col("day") == NO_DAY, F.array().cast("array<int>")).otherwise(
+            F.sequence(block_of(F.col("day") - span), block_of(F.col("day") + span)))
+    index = points.select(*GROUP, "mode", "day", F.col("c").alias("x"), "p", F.explode(point_ab).alias("ab"), point_db.alias("dbs")).select(
+        *GROUP, "mode", "ab", F.explode("dbs").alias("db"), "day", "x", "p", F.lit(False).alias("asks"), F.lit(False).alias("is_debit"),
+        F.lit(0.0).alias("name_points"), F.lit(0.0).alias("number_points"))
+    questions = asked.select(*GROUP, "mode", place[0].alias("ab"), place[1].alias("db"), "day", F.col("t").alias("x"), F.col("rid").alias("p"),
+                             F.lit(True).alias("asks"), "is_debit", "name_points", "number_points")
     keys = [*GROUP, "ab", "db"]
-    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, "asks")
-    return bounded(dealt.withColumn("t", F.col("x"))).drop("t").mapInArrow(_pass(rule, CHUNK), BEST)
+    dealt = index.unionByName(questions).repartition(*keys).sortWithinPartitions(*keys, "asks")
+    return dealt.mapInArrow(_pass(rule, CHUNK), ANSWER)
+
+
+def amount_blocks(asked: DataFrame) -> list[tuple[bool, int]]:
+    """Directions and amount blocks of the questions: at most 2 * 88 of them, as amounts are 64-bit numbers."""
+    return [tuple(r) for r in asked.select("is_income", _amount_block(F.col("t")).alias("ab")).distinct().collect()]
+
+
+def in_amount_blocks(blocks: list[tuple[bool, int]], tolerance: float) -> Column:
+    """Whether a point can be wanted in one of the blocks."""
+    c = F.col("c").cast("double")
+    first, last = _amount_block(F.greatest(c * (1 - tolerance) * 0.999 - 1, F.lit(1.0))), _amount_block(c * 1.11 + 1)
+    fits = F.lit(False)
+    for direction in (False, True):
+        mine = sorted(ab for is_income, ab in blocks if is_income == direction)
+        if mine:
+            fits |= (F.col("is_income") == direction) & F.exists(F.sequence(first, last), lambda ab: ab.isin(mine))
+    return fits
+
+
+def best_answers(points: Callable[[DataFrame], DataFrame], asked: DataFrame, rule: Rule) -> DataFrame:
+    """(rid, score, inv_day, nearness, neg_id): accepted points, among them the best one for each question.
+
+    ``asked``: ``QUESTION``, with ``rid`` for the row that asks. ``points`` gives, for questions, the points of their groups: ``GROUP``, ``mode``,
+    ``day``, ``c``, ``p`` (the id); of equal points in large groups it gives the smallest id. Answers are written on the way.
+    """
+    undated = (F.col("day") == NO_DAY) & (F.col("mode") != SMALL)
+    near = durable(_searched(points(asked), asked.where(~undated), rule, False))
+    still = durable(near.where("open").select(*QUESTION).unionByName(asked.where(undated).select(*QUESTION)))
+    answers = near
+    if still.limit(1).count():
+        answers = answers.unionByName(durable(_searched(points(still), still, rule, True)))
+    return answers.where("score >= 0").select("rid", "score", "inv_day", "nearness", "neg_id")
+
+
+def best_of_each(answers: DataFrame) -> DataFrame:
+    """(rid, id): the best answer of each row that asks: score, then later day, then nearer amount, then smaller id."""
+    best = F.max(F.struct("score", "inv_day", "nearness", "neg_id")).alias("best")
+    return durable(answers.groupBy("rid").agg(best).select("rid", (-F.col("best.neg_id")).alias("id")))
+
+
+def without_answer(asking: DataFrame, found: DataFrame) -> DataFrame | None:
+    """The rows that have no answer; None if there are none."""
+    left = durable(meet(asking, found, "rid", "left_anti"))
+    return left if left.limit(1).count() else None

@@ -9,17 +9,18 @@ amount, then to the smaller id. One invoice may settle many transactions.
 Plan. No pair of a transaction and all invoices in its band is ever built:
 
 * Text evidence depends only on the distinct text, so supplier names and invoice numbers are found
-  once per distinct text by an equi-join. Every piece of evidence becomes an *evidence group* (all
-  invoices, one supplier, one number, or both) with its bonus.
+  once per distinct text by an equi-join (``text_evidence``). Every piece of evidence becomes an *evidence
+  group* (all invoices, those of some names, those of a frequent number, or both) with its bonus. The few
+  invoices of a rare number are scored one by one.
 * Inside one group and one invoice day, the date points are fixed and the amount points only fall
   with the distance of the amounts. So just two invoices can win: the nearest at or above and the
   nearest below. Outside the date tolerance at most four days can win.
-* All these lookups, for both directions, are answered in one sorted pass (``match_index``).
+* These lookups are answered in one sorted pass (``match_index``): around the days of all questions, and at any
+  date only for what that leaves open. The other direction is asked for what has no match after that.
 
-Three tables are written on the way: the distinct invoices, what the texts hold, and the questions.
+Statement and ledger are written once and read from there; so are texts, questions and answers.
 No join of sides that grow sends one through the driver (``joins.meet``).
-Equal transactions (direction, amount, date) and equal invoices (group, day, amount) are collapsed
-first, so hot amounts and hot suppliers do not multiply.
+Equal invoices of large groups (group, day, amount) are collapsed first, so hot amounts do not multiply.
 """
 
 from __future__ import annotations
@@ -30,14 +31,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyloom.functions import dates, money
 from tallyloom.fixed_values import BASE_CURRENCY
-from tallyloom.operators.containment import find_needles
+from tallyloom.operators import text_evidence
+from tallyloom.operators.containment import two_numbers
 from tallyloom.operators.joins import meet
-from tallyloom.operators.match_index import ASKED, GROUP, NO_DAY, Rule, best_answers
+from tallyloom.operators.match_index import BANDED, NO_DAY, QUESTION, Rule, amount_blocks, best_answers, best_of_each, in_amount_blocks, without_answer
 from tallyloom.session import durable
 
 UNITS = 10_000  # amounts are compared as whole 1/10,000 units of the bank currency
 THRESHOLD = 0.30
 EVERY = 0  # both numbers of the group of all invoices
+ROW = "__row"  # numbers the rows of the statement
 
 
 def _floor_ratio(value: str, num: int, den: int) -> Column:
@@ -119,147 +122,36 @@ def prepare_invoices(invoices: DataFrame, bank_currency: str, rates: DataFrame |
     )
 
 
-def prepare_transactions(txns: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Direction, amount, day and search text of each transaction with a positive amount; credit wins."""
+def prepare_transactions(txns: DataFrame, keep: Sequence[Column | str]) -> DataFrame:
+    """Direction, amount, day and search text of each transaction, beside the columns ``keep``; credit wins. ``t`` is null or positive."""
     credit, debit = F.coalesce(F.col("credit"), F.lit(0)), F.coalesce(F.col("debit"), F.lit(0))
     value = F.when(credit > 0, credit).when(debit > 0, debit)
     text = F.lower(F.concat_ws(" ", F.coalesce("description", F.lit("")), F.coalesce("reference", F.lit(""))))
+    t = (value * UNITS).cast("long")
     return txns.select(
-        F.struct(*key).alias("txn"),
+        *keep,
         (~(credit > 0)).alias("is_debit"),
-        (value * UNITS).cast("long").alias("t"),
+        F.when(t > 0, t).alias("t"),
         F.coalesce(F.unix_date("date"), F.lit(NO_DAY)).alias("day"),
         text.alias("text"),
-    ).where(F.col("t") > 0)
-
-
-def _long_words(name: Column) -> Column:
-    return F.filter(F.split(name, r"\s+"), lambda w: F.length(w) > 3)
-
-
-def _named(grp: Column) -> dict[str, Column]:
-    """A group's name as two numbers, which sort and compare faster than texts."""
-    return {"g1": F.xxhash64(grp), "g2": F.xxhash64(F.lit(1), grp)}
-
-
-def _numbered(grp: Column, number: Column) -> Column:
-    """Group of the invoices of ``grp`` that carry ``number``; ``grp`` is empty for any invoice."""
-    return F.concat(grp, F.lit("#"), number)
-
-
-def _used_words(names: DataFrame, seen: DataFrame) -> DataFrame:
-    """(name, ws, used): the long words of each name, and those found in any text, rarest first."""
-    listed = names.select("name", _long_words(F.col("name")).alias("ws")).where(F.size("ws") > 0)
-    used = meet(listed.select("name", F.explode(F.array_distinct("ws")).alias("word")), seen.select("word"), "word", "left_semi")
-    # A set is looked up through its rarest word, which leads to the fewest sets.
-    popularity = used.groupBy("word").agg(F.count("*").alias("n"))
-    ranked = meet(used, popularity, "word").groupBy("name").agg(
-        F.array_sort(F.collect_list(F.struct("n", "word"))).alias("ranked"))
-    return meet(listed, ranked, "name").select("name", "ws", F.col("ranked.word").alias("used"))
-
-
-def _set_groups(word_sets: DataFrame) -> DataFrame:
-    """(name, grp, anchor, words, points): all word sets of the names with at most six used words.
-
-    A partial name match depends only on which of the name's words are in the text, so all names
-    sharing a word set form one group: a word such as "services" costs one group, not one pair per
-    name. Names with more used words would have too many sets; each of those stays a group of its
-    own, with its points counted per text.
-    """
-    mask_bits = F.sequence(F.lit(1), F.expr("cast(power(2, size(used)) as int) - 1"))
-    exploded = word_sets.where(F.size("used") <= 6).withColumn("mask", F.explode(mask_bits))
-    words = F.expr("filter(used, (w, i) -> getbit(cast(mask as bigint), i) = 1)")
-    hits = F.size(F.filter("ws", lambda w: F.array_contains(F.col("words"), w)))
-    return (
-        exploded.withColumn("words", words)
-        .withColumn("hits", hits).withColumn("total", F.size("ws"))
-        .select("name", "words", F.element_at("words", 1).alias("anchor"),
-                (F.lit(0.08) * (F.col("hits") / F.col("total"))).alias("points"),
-                F.concat_ws(" ", F.lit("w:"), F.array_sort("words"), F.col("hits").cast("string"),
-                            F.col("total").cast("string")).alias("grp"))
     )
 
 
-def text_evidence(texts: DataFrame, slim: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """What each distinct text points to, and which names belong to which evidence group.
-
-    Returns (text, grp, name_points, number_points) and (name, grp).
-    """
-    names = slim.where(F.col("name") != "").select("name").distinct()
-    numbers = slim.where(F.length("number") > 2).select("number").distinct()
-    words = names.select(F.explode(_long_words(F.col("name"))).alias("word")).distinct()
-    needles = (
-        names.select(F.lit("name").alias("kind"), F.col("name").alias("needle"))
-        .unionByName(numbers.select(F.lit("number").alias("kind"), F.col("number").alias("needle")))
-        .unionByName(words.select(F.lit("word").alias("kind"), F.col("word").alias("needle")))
-    )
-    hits = durable(find_needles(texts, needles))
-    in_text = hits.where("kind = 'word'").select("text", F.col("needle").alias("word"))
-    word_sets = _used_words(names, in_text.select("word").distinct())
-    sets = _set_groups(word_sets)
-    vocabulary = in_text.groupBy("text").agg(F.collect_set("word").alias("vocabulary"))
-    anchored = sets.select(F.col("anchor").alias("word"), "words", "grp", "points").distinct()
-    partial = (
-        meet(meet(in_text, anchored, "word"), vocabulary, "text")
-        .where(F.size(F.array_except("words", "vocabulary")) == 0)
-        .select("text", "grp", F.col("points").alias("name_points"))
-    )
-    long_names = word_sets.where(F.size("used") > 6)
-    counted = (
-        meet(in_text, long_names.select("name", F.size("ws").alias("total"), F.explode("ws").alias("word")), "word")
-        .groupBy("text", "name").agg((F.lit(0.08) * (F.count("*") / F.first("total"))).alias("name_points"))
-    )
-    own = F.concat(F.lit("s:"), F.col("name"))
-    # A whole name outscores any share of its words, so the larger of the two is the rule's value.
-    single = (
-        hits.where("kind = 'name'").select("text", F.col("needle").alias("name"), F.lit(0.15).alias("name_points"))
-        .unionByName(counted).groupBy("text", "name").agg(F.max("name_points").alias("name_points"))
-    )
-    by_name = partial.unionByName(single.select("text", own.alias("grp"), "name_points"))
-    by_number = hits.where("kind = 'number'").select("text", F.col("needle").alias("number"))
-    none, ten = F.lit(0.0), F.lit(0.10)
-    evidence = (
-        by_name.withColumn("number_points", none)
-        .unionByName(by_number.select("text", _numbered(F.lit(""), F.col("number")).alias("grp"),
-                                      none.alias("name_points"), ten.alias("number_points")))
-        .unionByName(meet(by_name, by_number, "text").select(
-            "text", _numbered(F.col("grp"), F.col("number")).alias("grp"), "name_points",
-            ten.alias("number_points")))
-    )
-    members = single.select("name").distinct().select("name", own.alias("grp")).unionByName(
-        sets.select("name", "grp"))
-    return evidence, members
+def _every(txns: DataFrame) -> DataFrame:
+    """``QUESTION`` without its direction: each transaction asks all invoices."""
+    zero, no_points = F.lit(EVERY).cast("long"), F.lit(0.0)
+    return txns.select("rid", "is_debit", "t", "day", zero.alias("g1"), zero.alias("g2"), F.lit(BANDED).alias("mode"),
+                       no_points.alias("name_points"), no_points.alias("number_points"))
 
 
-def grouped_points(slim: DataFrame, members: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Distinct invoices as points (is_income, g1, g2, day, c) -> smallest id, one row per distinct point.
-
-    ``wanted``: (g1, g2), the groups some text points to.
-    """
-    point = [*GROUP, "day", "c"]
-    named = meet(slim, members, "name")
-    numbered = F.length("number") > 2
-    grouped = meet((
-        named.select("is_income", "grp", "day", "c", "id")
-        .unionByName(named.where(numbered).select(
-            "is_income", _numbered(F.col("grp"), F.col("number")).alias("grp"), "day", "c", "id"))
-        .unionByName(slim.where(numbered).select(
-            "is_income", _numbered(F.lit(""), F.col("number")).alias("grp"), "day", "c", "id"))
-        .withColumns(_named(F.col("grp")))
-    ), wanted, ["g1", "g2"], "left_semi")
-    everything = slim.withColumns({"g1": F.lit(EVERY).cast("long"), "g2": F.lit(EVERY).cast("long")}).select(*point, "id")
-    # Dealt without the day, as ``match_index`` needs them: so the points are made and moved once.
-    return everything.unionByName(grouped.select(*point, "id")).repartition(*GROUP, "c").groupBy(*point).agg(F.min("id").alias("p"))
-
-
-def _questions(txns: DataFrame, evidence: DataFrame) -> DataFrame:
-    """(txn, turned, ``ASKED``): each transaction in both directions, for all invoices and for each of its evidence groups."""
-    both = txns.withColumn("turned", F.explode(F.array(F.lit(False), F.lit(True))))
-    base = both.withColumn("is_income", F.when(F.col("turned"), F.col("is_debit")).otherwise(~F.col("is_debit")))
-    every = base.withColumns({"g1": F.lit(EVERY).cast("long"), "g2": F.lit(EVERY).cast("long"),
-                              "name_points": F.lit(0.0), "number_points": F.lit(0.0)})
-    found = meet(base, evidence.withColumns(_named(F.col("grp"))).drop("grp"), "text")
-    return every.unionByName(found).select("txn", "turned", *ASKED)
+def _direct(found: DataFrame, rule: Rule) -> DataFrame:
+    """(rid, score, inv_day, nearness, neg_id) of the accepted pairs of a transaction and an invoice whose number its text holds."""
+    rows = found.select("rid", "is_debit", "t", "day", "name_points", "number_points", "invoice.c", F.col("invoice.day").alias("inv_day"), "invoice.id")
+    known = (F.col("day") != NO_DAY) & (F.col("inv_day") != NO_DAY)
+    on_date = F.when(known, dates.date_points(F.col("day") - F.col("inv_day"), rule.days)).otherwise(F.lit(0.0))
+    score = amount_points(F.col("c"), rule.amount) + on_date + F.col("name_points") + F.col("number_points")
+    return with_bounds(rows, rule.amount).withColumn("score", score).where(F.col("score") >= rule.threshold).select(
+        "rid", "score", "inv_day", (-F.abs(F.col("c") - F.col("t"))).alias("nearness"), (-F.col("id")).alias("neg_id"))
 
 
 def match_transactions(
@@ -277,34 +169,57 @@ def match_transactions(
     """
     if not 0 < amount_tolerance_pct < 1:
         raise ValueError("amount_tolerance_pct must lie between 0 and 1")
-    inv = prepare_invoices(invoices, bank_currency, rates)
-    txns = prepare_transactions(statement, key)
-    # Equal invoices collapse before they are copied into their groups.
-    slim = durable(inv.groupBy("is_income", "name", "number", "day", "c").agg(F.min("id").alias("id")))
-    evidence, members = text_evidence(txns.select("text").distinct(), slim)
-    questions = durable(_questions(txns, evidence))
-    once = questions.where((F.col("g1") == EVERY) & (F.col("g2") == EVERY) & ~F.col("turned"))
-    if once.groupBy("txn").count().where("count > 1").limit(1).count():
+    inv = durable(prepare_invoices(invoices, bank_currency, rates))
+    lines = durable(statement.withColumn(ROW, F.monotonically_increasing_id()))
+    named = [f"__key{i}" for i, _ in enumerate(key)]
+    txns = prepare_transactions(lines, [F.col(ROW).alias("rid"), *[F.col(f"`{k}`").alias(n) for k, n in zip(key, named)]]).where(
+        F.col("t").isNotNull())
+    if txns.groupBy(*named).count().where("count > 1").limit(1).count():
         raise ValueError(f"{', '.join(key)} must identify the rows of the statement")
-    points = grouped_points(slim, members, questions.select("g1", "g2").distinct())
+    names = text_evidence.names_of(inv)
+    texts = text_evidence.texts_of(txns, inv, names)
+    evidence, members = text_evidence.evidence(texts, names)
+    asking = txns.select("rid", "is_debit", "t", "day", *two_numbers(F.col("text"), "t"))
+    told = durable(meet(asking, evidence, text_evidence.TEXT).drop(*text_evidence.TEXT))
+    frequent = texts.select(F.inline("frequent")).distinct()
+    frequent = frequent if frequent.limit(1).count() else None
     rule = Rule(date_tolerance_days, amount_tolerance_pct, THRESHOLD)
-    best = best_answers(points, questions.select(*ASKED).distinct(), rule, (F.col("g1") == EVERY) & (F.col("g2") == EVERY),
-                        lambda rows: with_bounds(rows, amount_tolerance_pct))
-    # The other direction counts only where this one has nothing.
-    first = F.struct((~F.col("turned")).alias("straight"), "best.score", "best.inv_day", "best.nearness", "best.neg_id")
-    found = meet(questions, best, ASKED).groupBy("txn").agg(F.max(first).alias("best")).select(
-        "txn", (-F.col("best.neg_id")).alias("id"))
-    return _describe(statement, txns, found, inv, key, bank_currency, date_tolerance_days, amount_tolerance_pct)
-
 
-def _describe(statement: DataFrame, txns: DataFrame, found: DataFrame, inv: DataFrame, key: Sequence[str],
-              bank_currency: str, tolerance_days: int, tolerance: float) -> DataFrame:
-    """Re-scores the winning pairs from the plain rule and writes the match columns."""
-    pair = with_bounds(meet(meet(txns, found, "txn"), inv.withColumnRenamed("day", "inv_day"), "id"), tolerance)
+    def points(asked: DataFrame) -> DataFrame:
+        every = (F.col("g1") == EVERY) & (F.col("g2") == EVERY)
+        blocks = amount_blocks(asked.where(every))
+        zero = F.lit(EVERY).cast("long")
+        all_of = inv.where(in_amount_blocks(blocks, amount_tolerance_pct)).select(
+            "is_income", zero.alias("g1"), zero.alias("g2"), F.lit(BANDED).alias("mode"), "day", "c", F.col("id").alias("p"))
+        small, large = text_evidence.group_points(inv, members, asked.where(~every).select("g1", "g2").distinct(), frequent)
+        point = ["is_income", "g1", "g2", "mode", "day", "c"]
+        return small.unionByName(all_of.groupBy(*point).agg(F.min("p").alias("p"))).unionByName(large.groupBy(*point).agg(F.min("p").alias("p")))
+
+    def found(txns: DataFrame, told: DataFrame, is_income: Column) -> DataFrame:
+        """(rid, id): the best invoice of one direction for each transaction that has one."""
+        asked = _every(txns).unionByName(told.where("invoice is null").drop("invoice")).withColumn("is_income", is_income).select(*QUESTION)
+        return best_of_each(best_answers(points, asked, rule).unionByName(_direct(told.where(F.col("invoice.is_income") == is_income), rule)))
+
+    first = found(txns, told, ~F.col("is_debit"))
+    # The other direction counts only where this one has nothing.
+    left = without_answer(txns.select("rid", "is_debit", "t", "day"), first)
+    if left is not None:
+        first = first.unionByName(found(left, meet(told, left.select("rid"), "rid", "left_semi"), F.col("is_debit")))
+    given = [*key, *[c for c in statement.columns if c not in key]]
+    return _describe(given, lines, first, inv, bank_currency, date_tolerance_days, amount_tolerance_pct)
+
+
+def _describe(given: Sequence[str], lines: DataFrame, found: DataFrame, inv: DataFrame, bank_currency: str,
+              tolerance_days: int, tolerance: float) -> DataFrame:
+    """The statement's columns ``given``; re-scores the winning pairs from the plain rule and writes the match columns."""
+    hidden = {c: f"__given{i}" for i, c in enumerate(given)}
+    rows = prepare_transactions(lines, [F.col(ROW).alias("rid"), *[F.col(f"`{c}`").alias(h) for c, h in hidden.items()]])
+    pair = meet(meet(rows, found, "rid", "left"), inv.withColumnRenamed("day", "inv_day"), "id", "left")
+    pair = with_bounds(pair, tolerance)
     known = (F.col("day") != NO_DAY) & (F.col("inv_day") != NO_DAY)
     on_date = F.when(known, dates.date_points(F.col("day") - F.col("inv_day"), tolerance_days)).otherwise(F.lit(0.0))
     on_amount = amount_points(F.col("c"), tolerance)
-    words = _long_words(F.col("name"))
+    words = text_evidence.long_words(F.col("name"))
     shared = F.size(F.filter(words, lambda w: F.contains(F.col("text"), w)))
     full_name = (F.col("name") != "") & F.contains("text", "name")
     part = F.when(shared > 0, F.lit(0.08) * (shared / F.size(words))).otherwise(F.lit(0.0))
@@ -328,19 +243,18 @@ def _describe(statement: DataFrame, txns: DataFrame, found: DataFrame, inv: Data
         F.format_number(F.col("converted").cast(money.MONEY), 2), F.lit(f" {bank_currency}, bank: "),
         F.format_number(bank, 2), F.lit(f" {bank_currency} (diff: "), F.format_string("%.1f", pct), F.lit("%)"),
     )
-    columns = pair.select(
-        *[F.col("txn").getField(k).alias(k) for k in key],
+    matched = F.col("id").isNotNull()
+    return pair.select(
+        *[F.col(h).alias(c) for c, h in hidden.items()],
         F.col("transactor").alias("matched_supplier"),
         F.col("invoice_number").alias("matched_invoice_number"),
-        F.bround(score * 100).cast("int").alias("match_confidence"),
-        method.alias("match_method"),
+        F.when(matched, F.bround(score * 100).cast("int")).otherwise(0).alias("match_confidence"),
+        F.when(matched, method).alias("match_method"),
         F.col("converted").cast(money.MONEY).alias("converted_invoice_amount"),
         F.round(pct, 1).alias("amount_difference_pct"),
-        details.alias("match_details"),
+        F.when(matched, details).alias("match_details"),
         F.col("id").alias("matched_invoice_id"),
     )
-    return meet(statement, columns, key, "left").withColumn(
-        "match_confidence", F.coalesce("match_confidence", F.lit(0)))
 
 
 def match_stats(matched: DataFrame) -> DataFrame:

@@ -97,9 +97,9 @@ def ingest_replies(replies: DataFrame, ledger_root: str, suppliers: DataFrame, c
 def reconcile_arrivals(transactions: DataFrame, invoices: DataFrame, out: str, checkpoint: str, **options) -> StreamingQuery:
     """Matches arriving transactions with the ledger; each micro-batch overwrites its own folder."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        # A micro-batch is read several times; it is written out, so that all reads see the same rows.
+        # The match writes the micro-batch out and reads it from there, so that all reads see the same rows.
         with scratch():
-            matched = reconcile.match_transactions(durable(batch), invoices, **options)
+            matched = reconcile.match_transactions(batch, invoices, **options)
             matched.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
     return transactions.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
