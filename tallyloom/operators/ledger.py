@@ -236,7 +236,8 @@ def append(invoices: DataFrame, incoming: DataFrame, suppliers: DataFrame, last_
     rows = rows.join(supplier_ids(suppliers), "transactor", "left")
     rows = rows.withColumn("supplier_id", F.coalesce("supplier_id", "resolved_id")).withColumn(
         "is_income", is_income()).withColumn("description", F.coalesce("description", F.lit("")))
-    return number_rows(rows.select("arrival", *FIELDS), "arrival", name="id", start=start).select("id", *FIELDS)
+    # Written first: numbering reads its rows twice.
+    return number_rows(durable(rows.select("arrival", *FIELDS)), "arrival", name="id", start=start).select("id", *FIELDS)
 
 
 def update(invoices: DataFrame, changes: DataFrame) -> DataFrame:

@@ -10,19 +10,17 @@ from tallyloom.session import durable
 def number_rows(df: DataFrame, *order: str, name: str = "row_number", start: Column | None = None) -> DataFrame:
     """Adds 1, 2, 3 … in the given order (which must be unique), after an optional start value.
 
-    Rows are range-partitioned by the order, counted per partition, and numbered inside each
-    partition; only the partition counts meet in one place.
+    Rows are range-partitioned by the order, sorted and numbered inside each partition while they are written, and counted per
+    partition; only the partition counts meet in one place. The rows are computed twice, to find the ranges and to be dealt.
     """
-    placed = durable(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    # The number of a row as Spark gives it: the partition, and 33 bits for the place in it.
+    placed = durable(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()))
+    placed = placed.withColumns({"_part": F.shiftright("_id", 33), "_inside": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1}).drop("_id")
     counts = placed.groupBy("_part").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
     begin = F.lit(0).cast("long") if start is None else start
-    return (
-        placed.withColumn("_inside", inside).join(offsets, "_part")
-        .withColumn(name, F.col("_before") + F.col("_inside") + begin).drop("_part", "_inside", "_before")
-    )
+    return placed.join(offsets, "_part").withColumn(name, F.col("_before") + F.col("_inside") + begin).drop("_part", "_inside", "_before")
 
 
 def kth_smallest(rows: DataFrame, column: str, k: int, bins: int = 1024) -> int | None:

@@ -294,12 +294,13 @@ def extractions(spark: SparkSession, folder: str) -> DataFrame:
     """Three raw model replies per order, one per stage, in five ways of answering."""
     k = F.col("o_orderkey")
     customer = read(spark, folder, "customer").select("c_custkey", "c_name", "c_mktsegment")
-    rows = _orders_of(spark, folder, customer).withColumn("stage_no", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    rows = _orders_of(spark, folder, customer)
     net = F.col("o_totalprice").cast(money.MONEY)
     date = F.col("o_orderdate").cast("date")
     written = F.when(k % 4 == 0, F.date_format(date, "yyyy-MM-dd")).when(k % 4 == 1, F.date_format(date, "dd/MM/yyyy")).when(
         k % 4 == 2, F.date_format(date, "MMMM d, yyyy")).otherwise("")
-    body = _json(
+    # The three replies of an order differ in the last field; all before it is written once.
+    same = _json(
         Transactor=_text(F.concat("c_name", F.lit(" Trading"))),
         Invoice_Number=F.when(k % 3 == 0, F.lit('""')).otherwise(_text(F.concat(F.lit("INV-"), F.lpad(k.cast("string"), 9, "0")))),
         Invoice_Date=_text(written),
@@ -311,8 +312,10 @@ def extractions(spark: SparkSession, folder: str) -> DataFrame:
         Expense_Category_Account=_text(F.concat("c_mktsegment", F.lit(", general"))),
         Kind_of_Transaction=_text(F.lit("DEDUCTION")),
         VAT=F.when(k % 5 == 0, F.lit("undefined")).otherwise(_text(F.concat(F.lit("BG"), k.cast("string")))),
-        Confidence=F.concat(F.lit('{"amount": 0.'), (F.col("stage_no") * 3 + k % 3 + 1).cast("string"), F.lit(', "transactor": 0.5}')),
     )
+    rows = rows.withColumn("same", same).withColumn("stage_no", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    confidence = F.concat(F.lit('{"amount": 0.'), (F.col("stage_no") * 3 + k % 3 + 1).cast("string"), F.lit(', "transactor": 0.5}'))
+    body = F.concat(F.expr("substring(same, 1, length(same) - 1)"), F.lit(', "Confidence": '), confidence, F.lit("}"))
     way = F.pmod(k + F.col("stage_no") * 2, F.lit(5))
     reply = (
         F.when(way == 0, F.concat(F.lit("Here it is:\n```json\n"), body, F.lit("\n```\nDone.")))
